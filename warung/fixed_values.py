@@ -46,3 +46,9 @@ FORECAST_TABLES = ["skor", "prediksi", "dampak", "meta"]
 
 # FIXED VALUES: names of the two trend series.
 TREND_SERIES = {"gross_sales": "Gross sales", "profit": "Profit"}
+
+# FIXED VALUES: score text formats (R² 3 decimals, RMSE whole dollars, MAPE
+# one-decimal percent) and the score table formats (regParam 3 decimals with
+# grouping, R² and MAPE 4 decimals, RMSE and MSE whole numbers, missing "—").
+SERIES_ACTUAL = "Laba sebenarnya"
+SERIES_PREDICTED_PREFIX = "Tebakan "

@@ -32,7 +32,7 @@ def category_volume(pairs: DataFrame) -> DataFrame:
            .groupBy("category")
            .agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("volume")))
     ord_ = F.row_number().over(Window.orderBy(F.col("volume").desc(), F.col("category")))
-    return vol.select(ord_.alias("ord"), "category", "volume")
+    return vol.select(ord_.cast("bigint").alias("ord"), "category", "volume")
 
 
 def graph_nodes(pairs: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def top_pairs(pairs: DataFrame, n: int = TOP_PAIRS) -> DataFrame:
     top = (pairs.where(F.col("n").isNotNull())
            .orderBy(F.col("n").desc(), "kat1", "kat2").limit(n))
     rank = F.row_number().over(Window.orderBy(F.col("n").desc(), "kat1", "kat2"))
-    return top.select(rank.alias("rank"), "kat1", "kat2", F.col("n").cast("bigint").alias("n"),
+    return top.select(rank.cast("bigint").alias("rank"), "kat1", "kat2", F.col("n").cast("bigint").alias("n"),
                       F.concat(F.col("kat1"), F.lit("  +  "), F.col("kat2")).alias("label"),
                       count_text(F.col("n")).alias("text"))
 

@@ -81,7 +81,7 @@ def top_products(sales: DataFrame, dim: DataFrame, measure: str = "units",
     full = key_label(F.col("product_name"), F.col("product_id"))
     rank = F.row_number().over(Window.orderBy(F.col("value").desc(), F.col("product_id")))
     return (top.join(F.broadcast(names), "product_id", "left")
-            .select(rank.alias("rank"), "product_id", full.alias("label"),
+            .select(rank.cast("bigint").alias("rank"), "product_id", full.alias("label"),
                     short_label(full).alias("short_label"),
                     F.col("value").cast("bigint" if measure == "units" else "double").alias("value"),
                     _text(measure)(F.col("value")).alias("text")))
@@ -92,7 +92,7 @@ def top_brands(sales: DataFrame, dim: DataFrame, measure: str = "units",
     """Top brands by units or profit."""
     top = _top(per_brand(sales, dim), "brand", measure, n)
     rank = F.row_number().over(Window.orderBy(F.col("value").desc(), F.col("brand")))
-    return top.select(rank.alias("rank"), "brand", short_label(F.col("brand")).alias("short_label"),
+    return top.select(rank.cast("bigint").alias("rank"), "brand", short_label(F.col("brand")).alias("short_label"),
                       F.col("value").cast("bigint" if measure == "units" else "double").alias("value"),
                       _text(measure)(F.col("value")).alias("text"))
 

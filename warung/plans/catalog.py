@@ -482,6 +482,166 @@ def q_top_pairs(spark, root):
     return graph.top_pairs(_pairs(spark, root))
 
 
+# ------------------------------------------------------------ forecast
+from warung.operators import forecast as FC  # noqa: E402
+
+FC_SALES = ["s AS (SELECT * FROM fact_sales WHERE tanggal IS NOT NULL)"]
+WEEKLY_SQL = [
+    """wk AS (
+  SELECT w.week, CAST(COALESCE(p.profit, 0) AS DECIMAL(24,4)) AS profit,
+         ROW_NUMBER() OVER (ORDER BY w.week) AS t
+  FROM (SELECT CAST(unnest(generate_series(
+                 date_trunc('week', CAST(lo AS DATE) + INTERVAL 6 DAY),
+                 date_trunc('week', CAST(hi AS DATE) - INTERVAL 6 DAY), INTERVAL 7 DAY)) AS TIMESTAMP) AS week
+        FROM (SELECT MIN(tanggal) AS lo, MAX(tanggal) AS hi FROM s) b) w
+  LEFT JOIN (SELECT CAST(date_trunc('week', CAST(tanggal AS DATE)) AS TIMESTAMP) AS week,
+                    SUM(profit) AS profit
+             FROM s GROUP BY 1) p ON w.week = p.week)"""]
+FRAME_SQL = WEEKLY_SQL + [
+    f"""fr AS (
+  SELECT week, t, profit,
+         LAG(profit, 1) OVER (ORDER BY t) AS lag_1, LAG(profit, 2) OVER (ORDER BY t) AS lag_2,
+         LAG(profit, 3) OVER (ORDER BY t) AS lag_3, LAG(profit, 4) OVER (ORDER BY t) AS lag_4,
+         LAG(profit, {FC.SEASON}) OVER (ORDER BY t) AS lag_52, MAX(t) OVER () AS n_weeks
+  FROM wk)""",
+    f"""frame AS (
+  SELECT *, lag_52 IS NOT NULL AND mean_4 IS NOT NULL AS usable FROM (
+    SELECT *, ROUND((lag_1 + lag_2 + lag_3 + lag_4) * 0.25, 4) AS mean_4,
+           CASE WHEN t > n_weeks - {FC.TEST_WEEKS} THEN 'test' ELSE 'train' END AS split
+    FROM fr) x)"""]
+NAIVE_SQL = FRAME_SQL + ["np AS (" + "\n  UNION ALL ".join(
+    f"SELECT '{name}' AS model, week, CAST(profit AS DOUBLE) AS aktual, CAST({col} AS DOUBLE) AS prediksi "
+    f"FROM frame WHERE split = 'test' AND usable" for name, col in FC.NAIVE_MODELS.items()) + ")"]
+
+
+def _fc_sql(body: str, ctes: list[str]) -> str:
+    return with_marts(["fact_sales"], body, FC_SALES + ctes)
+
+
+def _weekly(spark, root):
+    return FC.weekly_profit(_marts(spark, root)["fact_sales"])
+
+
+def _frame(spark, root):
+    return FC.forecast_frame(_weekly(spark, root))
+
+
+@register("weekly_profit", _fc_sql("SELECT week, CAST(profit AS DOUBLE) AS profit, t FROM wk", WEEKLY_SQL))
+def q_weekly_profit(spark, root):
+    """M1: weekly profit over full Monday weeks, gaps 0."""
+    return _weekly(spark, root).select("week", F.col("profit").cast("double").alias("profit"), "t")
+
+
+FRAME_COLS = ["profit", "lag_1", "lag_2", "lag_3", "lag_4", "lag_52", "mean_4"]
+
+
+@register("forecast_split", _fc_sql(
+    "SELECT week, t, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in FRAME_COLS)
+    + ", split, usable FROM frame", FRAME_SQL))
+def q_forecast_split(spark, root):
+    """M1/M2: lag features and the time-ordered train/test split."""
+    return _frame(spark, root).select("week", "t", *[F.col(c).cast("double").alias(c) for c in FRAME_COLS],
+                                      "split", "usable")
+
+
+@register("forecast_metrics", _fc_sql("""
+SELECT model, ROUND(1.0 - sse / NULLIF(sst, 0.0), 9) AS r2, ROUND(SQRT(mse), 4) AS rmse,
+       ROUND(mse, 0) AS mse, ROUND(mape, 9) AS mape
+FROM (SELECT model, AVG((aktual - prediksi) * (aktual - prediksi)) AS mse,
+             SUM((aktual - prediksi) * (aktual - prediksi)) AS sse,
+             COUNT(*) * VAR_POP(aktual) AS sst,
+             AVG(ABS(aktual - prediksi) / NULLIF(ABS(aktual), 0.0)) AS mape
+      FROM np GROUP BY model) m""", NAIVE_SQL))
+def q_forecast_metrics(spark, root):
+    """M4: R², RMSE, MSE, MAPE of the naive yardsticks on the test weeks."""
+    return FC.score(FC.naive_predictions(_frame(spark, root)))
+
+
+@register("training_meta", _fc_sql("""
+SELECT CAST(SUM(CASE WHEN split = 'train' THEN 1 ELSE 0 END) AS INTEGER) AS n_latih,
+       CAST(SUM(CASE WHEN split = 'test' THEN 1 ELSE 0 END) AS INTEGER) AS n_uji,
+       MIN(CASE WHEN split = 'test' THEN week END) AS batas
+FROM frame WHERE usable""", FRAME_SQL))
+def q_training_meta(spark, root):
+    """M9: train weeks, test weeks, cut-off."""
+    return FC.training_meta(_frame(spark, root))
+
+
+@register("fit_linear_models", None)
+def q_fit_linear_models(spark, root):
+    """M3: MLlib OLS / ridge / lasso scores on the test weeks (rows-only:
+    solver numerics)."""
+    pred, _, _ = FC.fit_linear_models(_frame(spark, root), "normal")
+    return FC.score(pred)
+
+
+@register("feature_impact", None)
+def q_feature_impact(spark, root):
+    """Coefficient x training standard deviation per model and feature."""
+    _, coefs, train = FC.fit_linear_models(_frame(spark, root), "normal")
+    return FC.feature_impact(coefs, train)
+
+
+_FORECAST_CACHE: dict[tuple[int, str], dict[str, DataFrame]] = {}
+
+
+def _forecast_tables(spark, root) -> dict[str, DataFrame]:
+    """B6 once per session and source: fit, write under the shared
+    checkpoint folder, read back (later page views read the parquet)."""
+    key = (id(spark), root)
+    if key not in _FORECAST_CACHE:
+        from warung.session import scratch_path
+        out = scratch_path(spark, "forecast")
+        _FORECAST_CACHE[key] = M.load_forecast(
+            spark, out, lambda: FC.build_forecast(_marts(spark, root)["fact_sales"]))
+    return _FORECAST_CACHE[key]
+
+
+@register("build_forecast", None)
+def q_build_forecast(spark, root):
+    """The score table written by the forecast build."""
+    return _forecast_tables(spark, root)["skor"]
+
+
+@register("pick_champion", None)
+def q_pick_champion(spark, root):
+    """The champion row (lowest MAPE)."""
+    return _forecast_tables(spark, root)["skor"].where("terbaik").select("model", "mape", "terbaik")
+
+
+@register("model_card", None)
+def q_model_card(spark, root):
+    """M0: the champion's card."""
+    return FC.model_card(_forecast_tables(spark, root)["skor"])
+
+
+@register("predicted_vs_actual", None)
+def q_predicted_vs_actual(spark, root):
+    """M5: the champion's test-period series, long form."""
+    return FC.predicted_vs_actual(_forecast_tables(spark, root)["prediksi"])
+
+
+@register("compare_engines", None)
+def q_compare_engines(spark, root):
+    """M6: RMSE of run A and run B side by side (default metric)."""
+    return FC.compare_engines(_forecast_tables(spark, root)["skor"])
+
+
+@register("score_table", None)
+def q_score_table(spark, root):
+    """M7: the full score table with display texts."""
+    return FC.score_table(_forecast_tables(spark, root)["skor"])
+
+
+@register("feature_impact_top", None)
+def q_feature_impact_top(spark, root):
+    """M8: the ten strongest features of the champion (or of the best model
+    with coefficients when a naive yardstick wins)."""
+    t = _forecast_tables(spark, root)
+    name = FC.champion_for_impact(t["skor"], t["dampak"]).first()
+    return FC.feature_impact_top(t["dampak"], name["model"] if name else None)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: q.run for k, q in REGISTRY.items()}
 
