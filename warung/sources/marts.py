@@ -39,7 +39,15 @@ from warung.fixed_values import (FACTS_WITH_DATE, FORECAST_TABLES,
 from warung.functions.scalars import day_ts
 from warung.sources.tables import read_table
 
+# Value ranges of one line: prices below 10^10, discounts below 10, unit costs
+# below 10^7 and quantities below 10^5.  With these the whole line-profit
+# expression stays within 18 digits, so Spark computes it on 64-bit longs
+# instead of BigDecimal; a value outside its range is an overflow error
+# (ANSI mode), never a silently wrong sum.
 MONEY = "decimal(12,2)"
+RATE = "decimal(3,2)"
+UNIT_COST = "decimal(9,2)"
+QUANTITY = "decimal(5,0)"
 LINE_PROFIT = "decimal(18,4)"
 
 
@@ -74,7 +82,7 @@ def product_lines(part: DataFrame) -> DataFrame:
     return part.select(
         F.col("p_partkey").alias("product_id"),
         category_of(F.col("p_type"), F.col("p_name")).alias("category"),
-        F.col("p_retailprice").cast(MONEY).alias("unit_cost"))
+        F.col("p_retailprice").cast(UNIT_COST).alias("unit_cost"))
 
 
 def order_lines(orders: DataFrame) -> DataFrame:
@@ -94,14 +102,14 @@ def build_fact_sales(lineitem: DataFrame, orders: DataFrame, part: DataFrame) ->
     """
     qty = F.col("l_quantity").cast("bigint")
     price = F.col("l_extendedprice").cast(MONEY)
-    disc = F.col("l_discount").cast(MONEY)
+    disc = F.col("l_discount").cast(RATE)
     lines = lineitem.select("l_orderkey", "l_partkey", qty.alias("q"),
                             price.alias("ext"), disc.alias("disc"))
     joined = (lines
               .join(order_lines(orders), F.col("l_orderkey") == F.col("o_orderkey"))
               .join(product_lines(part), F.col("l_partkey") == F.col("product_id")))
     line_profit = (F.col("ext") * (F.lit(1) - F.col("disc"))
-                   - F.col("q").cast(MONEY) * F.col("unit_cost")).cast(LINE_PROFIT)
+                   - F.col("q").cast(QUANTITY) * F.col("unit_cost")).cast(LINE_PROFIT)
     return (joined
             .groupBy("tanggal", "category", "status", "product_id")
             .agg(F.sum("q").alias("items"),
