@@ -52,3 +52,6 @@ TREND_SERIES = {"gross_sales": "Gross sales", "profit": "Profit"}
 # grouping, R² and MAPE 4 decimals, RMSE and MSE whole numbers, missing "—").
 SERIES_ACTUAL = "Laba sebenarnya"
 SERIES_PREDICTED_PREFIX = "Tebakan "
+
+# FIXED VALUES: KPI card titles, in display order.
+KPI_CARDS = ["Gross Sales", "Profit", "Order", "Cancel Rate", "Produk Terjual"]

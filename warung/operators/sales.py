@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from warung.fixed_values import STATUS_ORDER, TREND_SERIES
-from warung.functions.scalars import (at_least_one, bucket_start, grain_step,
-                                      percent_of)
+from warung.fixed_values import KPI_CARDS, STATUS_ORDER, TREND_SERIES
+from warung.functions.scalars import (at_least_one, bucket_start, count_share_text,
+                                      count_text, grain_step, money_text, percent_of,
+                                      percent_text)
 
 
 def domain(df: DataFrame, name: str, values: list) -> DataFrame:
@@ -58,6 +59,7 @@ def orders_by_status(orders: DataFrame) -> DataFrame:
     total = at_least_one(F.sum("orders").over(Window.partitionBy()))
     return (kept.select("status", F.col("orders").cast("bigint").alias("orders"),
                         percent_of(F.col("orders"), total).alias("share"))
+            .withColumn("text", count_share_text(F.col("orders"), F.col("share")))
             .orderBy("orders", "status"))
 
 
@@ -108,3 +110,14 @@ def trend_end_labels(trend_df: DataFrame) -> DataFrame:
     return (long.groupBy("kolom")
             .agg(F.max("tanggal").alias("tanggal"), F.max_by("value", "tanggal").alias("value"))
             .select(names[F.col("kolom")].alias("series"), "tanggal", "value"))
+
+
+def report_labels(kpi: DataFrame) -> DataFrame:
+    """The KPI row as the five card texts ``(ord, card, text)``:
+    money as ``$1,234``, counts with grouping, the cancel rate as ``12.3%``."""
+    texts = [money_text(F.col("gross_sales")), money_text(F.col("profit")),
+             count_text(F.col("orders")), percent_text(F.col("cancel_rate")),
+             count_text(F.col("products_sold"))]
+    cards = F.array(*[F.struct(F.lit(i + 1).alias("ord"), F.lit(name).alias("card"), t.alias("text"))
+                      for i, (name, t) in enumerate(zip(KPI_CARDS, texts))])
+    return kpi.select(F.explode(cards).alias("c")).select("c.ord", "c.card", "c.text")

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from warung.fixed_values import (FUNNEL_ROWS, FUNNEL_STAGES, STAGE_NAMES,
+from warung.fixed_values import (FUNNEL_ROWS, FUNNEL_STAGES, KPI_CARDS, STAGE_NAMES,
                                  STATUS_ORDER, TOP_N, TOP_PAIRS)
 from warung.functions import scalars as S
 from warung.operators import filters, graph, products, sales, visitors
@@ -235,12 +235,34 @@ def q_kpi_cards_filtered(spark, root):
     return sales.kpi_cards(v["sales"], v["orders"])
 
 
+def _labels_sql() -> str:
+    kpi = _kpi_sql(False).split("\nSELECT COALESCE", 1)
+    cards = ", ".join(f"({i + 1}, '{c}')" for i, c in enumerate(KPI_CARDS))
+    return (kpi[0] + ",\nk AS (SELECT COALESCE" + kpi[1] + """)
+SELECT c.ord, c.card,
+       CASE c.ord WHEN 1 THEN '$' || format('{:,.0f}', k.gross_sales)
+                  WHEN 2 THEN '$' || format('{:,.0f}', k.profit)
+                  WHEN 3 THEN format('{:,.0f}', CAST(k.orders AS DOUBLE))
+                  WHEN 4 THEN format('{:,.1f}', k.cancel_rate) || '%'
+                  ELSE format('{:,.0f}', CAST(k.products_sold AS DOUBLE)) END AS text
+FROM (VALUES """ + cards + """) c(ord, card), k""")
+
+
+@register("report_labels", _labels_sql())
+def q_report_labels(spark, root):
+    """The KPI cards as display texts."""
+    v = _view(spark, root)
+    return sales.report_labels(sales.kpi_cards(v["sales"], v["orders"]))
+
+
 def _status_sql(filtered: bool) -> str:
     return _sales_sql(f"""
-SELECT status, CAST(orders AS BIGINT) AS orders,
-       CAST(orders AS DOUBLE) / CAST(GREATEST(COALESCE(SUM(orders) OVER (), 0), 1) AS DOUBLE) * 100.0 AS share
-FROM (SELECT status, SUM(orders) AS orders FROM o
-      WHERE status IN ({_sql_list(STATUS_ORDER)}) GROUP BY status) t""", filtered)
+SELECT status, orders, share,
+       format('{{:,.0f}}', CAST(orders AS DOUBLE)) || '  (' || format('{{:,.1f}}', share) || '%)' AS text
+FROM (SELECT status, CAST(orders AS BIGINT) AS orders,
+             CAST(orders AS DOUBLE) / CAST(GREATEST(COALESCE(SUM(orders) OVER (), 0), 1) AS DOUBLE) * 100.0 AS share
+      FROM (SELECT status, SUM(orders) AS orders FROM o
+            WHERE status IN ({_sql_list(STATUS_ORDER)}) GROUP BY status) t) u""", filtered)
 
 
 @register("orders_by_status", _status_sql(False))
