@@ -188,6 +188,18 @@ def q_load_mart(spark, root):
     return M.mart_inventory(frames)
 
 
+
+@register("build_fact_events_stream", with_marts(["fact_events"], "SELECT * FROM fact_events"))
+def q_build_fact_events_stream(spark, root):
+    """B3 incrementally: event files through a Structured Streaming job
+    (watermarked de-duplication into an exactly-once parquet sink), then the
+    mart aggregate over the sink."""
+    from warung.session import scratch_path
+    from warung.streaming.events import refresh_fact_events
+    base = scratch_path(spark, "events-stream")
+    return refresh_fact_events(spark, root, f"{base}/user_days", f"{base}/_checkpoint",
+                               glob="events.parquet")
+
 # -------------------------------------------------------------- filters
 FILTERED_SALES_COLS = ("tanggal", "category", "status", "product_id", "items")
 
