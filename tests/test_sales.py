@@ -109,3 +109,16 @@ def test_report_labels_texts(spark):
     assert [(r.card, r.text) for r in rows] == [
         ("Gross Sales", "$7"), ("Profit", "$7"), ("Order", "4"), ("Cancel Rate", "25.0%"),
         ("Produk Terjual", "2")]
+
+
+def test_results_do_not_depend_on_session_time_zone(spark):
+    s = gap_sales(spark)
+    want = [tuple(r) for r in sales.trend(filters.filter_facts(s, d(2024, 1, 3), d(2024, 1, 8)), "week").collect()]
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for tz in ("America/Sao_Paulo", "Asia/Kolkata", "Pacific/Kiritimati"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            got = [tuple(r) for r in sales.trend(filters.filter_facts(s, d(2024, 1, 3), d(2024, 1, 8)), "week").collect()]
+            assert got == want, tz
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

@@ -27,7 +27,9 @@ def _ts_literal(v: DateLike):
         v = v.replace(tzinfo=None)
     elif isinstance(v, dt.date):
         v = dt.datetime(v.year, v.month, v.day)
-    return F.lit(v).cast("timestamp_ntz")
+    # A text literal cast to timestamp_ntz involves no time zone (a Python
+    # datetime literal would pass through the process and session zones).
+    return F.lit(v.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def filter_facts(df: DataFrame, start: DateLike, end: DateLike,

@@ -83,9 +83,7 @@ def _marts(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     if key not in _MART_CACHE:
         from warung.session import scratch_path
         path = scratch_path(spark, "mart")
-        frames = dict(M.load_mart(spark, path, root))
-        frames[M.GRAPH_TABLE] = M.load_graph(spark, path, root)
-        _MART_CACHE[key] = frames
+        _MART_CACHE[key] = dict(M.load_mart(spark, path, root, with_graph=True))
     return _MART_CACHE[key]
 
 
