@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from warung.functions.scalars import is_present
 
+MONTH = "month"  # partition column of a month-partitioned mart
+
 DateLike = dt.date | dt.datetime | str | None
 
 
@@ -47,6 +49,13 @@ def filter_facts(df: DataFrame, start: DateLike, end: DateLike,
         cond = cond & (F.col("tanggal") >= lo)
     if hi is not None:
         cond = cond & (F.col("tanggal") <= hi)
+    if MONTH in df.columns:
+        # a mart written in month directories: the same range on the
+        # partition column prunes directories before files are opened
+        if lo is not None:
+            cond = cond & (F.col(MONTH) >= F.trunc(lo.cast("date"), "month"))
+        if hi is not None:
+            cond = cond & (F.col(MONTH) <= F.trunc(hi.cast("date"), "month"))
     if use_category and categories and "category" in df.columns:
         cond = cond & F.col("category").isin(list(categories))
     if use_status and statuses and "status" in df.columns:
