@@ -18,9 +18,6 @@ from warung.fixed_values import RANKINGS, TOP_N
 from warung.functions.scalars import (as_missing, count_text, is_present, key_label,
                                       money_text, short_label)
 
-MEASURES = {"units": "items", "profit": "profit"}
-
-
 def _is_double(df: DataFrame, col: str) -> bool:
     return dict(df.dtypes).get(col) in ("double", "float")
 

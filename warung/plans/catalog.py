@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from warung.fixed_values import (FUNNEL_ROWS, FUNNEL_STAGES, KPI_CARDS, STAGE_NAMES,
                                  STATUS_ORDER, TOP_N, TOP_PAIRS)
-from warung.functions import scalars as S
 from warung.operators import filters, graph, products, sales, visitors
 from warung.plans.oracle_sql import with_marts
 from warung.sources import marts as M
@@ -132,10 +131,6 @@ EVENTS_SQL = ["e AS (SELECT * FROM fact_events WHERE tanggal IS NOT NULL)"]
 
 
 # ------------------------------------------------------- sources and marts
-def _money(c: str) -> str:
-    return f"CAST({c} AS DOUBLE)"
-
-
 @register("build_fact_sales", with_marts(["fact_sales"], """
 SELECT tanggal, category, status, product_id, items,
        CAST(gross_sales AS DOUBLE) AS gross_sales, CAST(profit AS DOUBLE) AS profit
@@ -713,4 +708,4 @@ def oracle_sql() -> dict[str, str]:
     return {k: q.sql for k, q in REGISTRY.items() if q.sql}
 
 
-__all__ = ["REGISTRY", "queries", "oracle_sql", "S"]
+__all__ = ["REGISTRY", "queries", "oracle_sql"]

@@ -7,7 +7,6 @@ session time zone so that timestamp literals read the same everywhere.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -76,11 +75,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     root = checkpoint_root(spark).rstrip("/")
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
-
-def local_path(p: str) -> str | None:
-    """The local file-system path of ``p`` if it is one, else ``None``."""
-    if p.startswith("file:"):
-        return p[len("file:"):]
-    if "://" in p:
-        return None
-    return p if os.path.isabs(p) else None

@@ -97,14 +97,8 @@ def build_fact_sales(lineitem: DataFrame, orders: DataFrame, part: DataFrame) ->
 
     Both joins are equi-joins left to Catalyst/AQE: the part side is broadcast
     only while its measured size is under ``autoBroadcastJoinThreshold``,
-    otherwise it is a sort-merge join (AQE splits a skewed key).
-
-    The aggregate's one shuffle is a *range* shuffle on (tanggal, product_id)
-    instead of a hash shuffle (it satisfies the grouping, so nothing is added):
-    every task then holds a contiguous date range, which keeps the
-    month-partitioned write at about one file per task, and a day holding a
-    third of all lines is still split across tasks by product.  At this grain
-    (about one group per line) a map-side combine would save little.
+    otherwise it is a sort-merge join (AQE splits a skewed key).  The
+    aggregate runs partial-before-shuffle on the full grain.
     """
     qty = F.col("l_quantity").cast("bigint")
     price = F.col("l_extendedprice").cast(MONEY)
@@ -117,7 +111,6 @@ def build_fact_sales(lineitem: DataFrame, orders: DataFrame, part: DataFrame) ->
     line_profit = (F.col("ext") * (F.lit(1) - F.col("disc"))
                    - F.col("q").cast(QUANTITY) * F.col("unit_cost")).cast(LINE_PROFIT)
     return (joined
-            .repartitionByRange("tanggal", "product_id")
             .groupBy("tanggal", "category", "status", "product_id")
             .agg(F.sum("q").alias("items"),
                  F.sum("ext").alias("gross_sales"),
@@ -237,6 +230,13 @@ WRITE_ORDER = {"fact_sales": ["tanggal", "category"], "fact_orders": ["tanggal"]
 # Facts large enough to be written in month directories, so a date-range
 # filter prunes whole directories (``PartitionFilters``) before any file is
 # opened.  The small facts (days x a few keys) stay one data set.
+#
+# Before such a write the rows are rebalanced by month (Spark's REBALANCE
+# hint): AQE cuts the shuffle output into partitions of about
+# ``spark.sql.adaptive.advisoryPartitionSizeInBytes``, splitting a month that
+# holds a third of all rows over many tasks and merging small months, so each
+# month becomes a few right-sized files instead of one file per write task.
+# The extra shuffle moves the narrow mart rows, not the source lines.
 MONTH_PARTITIONED = {"fact_sales"}
 PARTITION_COLUMN = "month"
 
@@ -254,7 +254,8 @@ def write_tables(frames: dict[str, DataFrame], root: str, parallel: int = 4) ->
         name, df = item
         writer_cols = []
         if name in MONTH_PARTITIONED and "tanggal" in df.columns:
-            df = df.withColumn(PARTITION_COLUMN, F.trunc(F.col("tanggal").cast("date"), "month"))
+            df = (df.withColumn(PARTITION_COLUMN, F.trunc(F.col("tanggal").cast("date"), "month"))
+                  .hint("rebalance", PARTITION_COLUMN))
             writer_cols = [PARTITION_COLUMN]
         if name in WRITE_ORDER and set(WRITE_ORDER[name]) <= set(df.columns):
             df = df.sortWithinPartitions(*writer_cols, *WRITE_ORDER[name])
