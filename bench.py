@@ -19,7 +19,6 @@ import os
 import re
 import statistics
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -41,13 +40,12 @@ def _sf_of(path: str) -> float | str:
 
 
 def main() -> None:
-    from warung.session import get_session
-    scratch = tempfile.mkdtemp(prefix="warung-bench-")
-    spark = get_session(
-        f"local[{CPUS}]", app="warung-bench", shuffle_partitions=CPUS,
-        extra={"spark.driver.memory": "16g",
-               "spark.local.dir": scratch,
-               "spark.checkpoint.dir": os.path.join(scratch, "ckpt")})
+    from warung.session import checkpoint_root, get_session
+    # spark.checkpoint.dir is taken from the session; a fresh folder is made
+    # only when it is unset (see warung.session.checkpoint_root).
+    spark = get_session(f"local[{CPUS}]", app="warung-bench", shuffle_partitions=CPUS,
+                        extra={"spark.driver.memory": "16g"})
+    checkpoint_root(spark)
     from warung.plans import catalog
 
     t0 = time.time()

@@ -640,13 +640,13 @@ def q_feature_impact(spark, root):
     return FC.feature_impact(coefs, train)
 
 
-_FORECAST_CACHE: dict[tuple[int, str], dict[str, DataFrame]] = {}
+_FORECAST_CACHE: dict[tuple[str, str], dict[str, DataFrame]] = {}
 
 
 def _forecast_tables(spark, root) -> dict[str, DataFrame]:
     """B6 once per session and source: fit, write under the shared
     checkpoint folder, read back (later page views read the parquet)."""
-    key = (id(spark), root)
+    key = _session_key(spark, root)
     if key not in _FORECAST_CACHE:
         from warung.session import scratch_path
         out = scratch_path(spark, "forecast")
