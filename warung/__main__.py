@@ -4,6 +4,8 @@
     python -m warung kpi_cards /root/testdata/sf0.01
     python -m warung top_products_units /root/testdata/sf0.01 --rows 20
     python -m warung trend_monthly /data/retail --out /shared/reports/trend
+    python -m warung --page sales /data/retail --start 1996-01-01 --end 1997-12-31 \
+        --category "ECONOMY ring" --status Complete --grain Mingguan
 """
 
 from __future__ import annotations
@@ -21,8 +23,18 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--rows", type=int, default=50, help="rows to print")
     p.add_argument("--out", help="write the whole result as parquet here instead of printing")
     p.add_argument("--master", default=None, help="Spark master (the launcher's by default)")
+    p.add_argument("--page", choices=["sales", "visitors", "products", "graph"],
+                   help="show every view of one dashboard page instead of one key")
+    p.add_argument("--start", help="first day of the date filter")
+    p.add_argument("--end", help="last day of the date filter")
+    p.add_argument("--category", action="append", default=[], help="category filter (repeatable)")
+    p.add_argument("--status", action="append", default=[], help="status filter (repeatable)")
+    p.add_argument("--grain", default="Bulanan", help="trend grain: Harian, Mingguan or Bulanan")
     args = p.parse_args(argv)
 
+    if args.page:
+        return _page(args)
+
     from warung.plans import catalog
     if args.list or not args.key:
         for k, q in catalog.REGISTRY.items():
@@ -43,5 +55,25 @@ def main(argv: list[str] | None = None) -> int:
     return 0
 
 
+def _page(args) -> int:
+    from warung.plans import catalog, pages
+    from warung.session import get_session
+    spark = get_session(args.master)
+    marts = catalog._marts(spark, args.key or args.root)
+    sel = dict(start=args.start, end=args.end, categories=args.category, statuses=args.status)
+    if args.page == "sales":
+        views = pages.sales_page(marts, grain=args.grain, **sel)
+    elif args.page == "visitors":
+        views = pages.visitors_page(marts, **sel)
+    elif args.page == "products":
+        views = pages.products_page(marts, **sel)
+    else:
+        views = pages.graph_page(marts["category_pairs"])
+    for name, df in views.items():
+        print(f"== {name}")
+        df.show(args.rows, truncate=False)
+    return 0
+
+
 if __name__ == "__main__":
     sys.exit(main())
