@@ -122,3 +122,11 @@ def test_results_do_not_depend_on_session_time_zone(spark):
             assert got == want, tz
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_null_category_dropped(spark):
+    rows = [(d(2024, 1, 1), None, "Complete", 1, 2, Decimal("5"), Decimal("1")),
+            (d(2024, 1, 1), "A", "Complete", 2, 3, Decimal("7"), Decimal("2"))]
+    cats = sales.category_table(_sales(spark, rows)).collect()
+    assert [(r.category, r.unit, r.gross, r.produk_unik) for r in cats] == [("A", 3, 7.0, 1)]
+    assert [r.category for r in filters.option_categories(_sales(spark, rows)).collect()] == ["A"]
