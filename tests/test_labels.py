@@ -18,7 +18,7 @@ def test_percent_text_half_even(spark):
 
 
 def test_signed_text(spark):
-    assert _one(spark, S.signed_text, [1234.4, -3.0, 0.0]) == ["+1,234", "-3", "+0"]
+    assert _one(spark, S.signed_text, [1234.4, -3.0, 0.0, -0.4, -0.0]) == ["+1,234", "-3", "+0", "-0", "-0"]
 
 
 def test_short_label(spark):
@@ -38,3 +38,9 @@ def test_key_label_and_dash(spark):
     df = spark.createDataFrame([(None, 7), ("n", 8)], "name string, k bigint")
     assert [r[0] for r in df.select(S.key_label(F.col("name"), F.col("k"))).collect()] == ["7", "n"]
     assert [r[0] for r in df.select(S.dash_if_missing(F.col("name"))).collect()] == ["—", "n"]
+
+
+def test_percent_and_plain_texts_do_not_group(spark):
+    assert _one(spark, S.percent_text, [1234.56, -0.04]) == ["1234.6%", "-0.0%"]
+    assert _one(spark, lambda c: S.plain_text(c, 3), [-1234.5678]) == ["-1234.568"]
+    assert _one(spark, lambda c: S.fixed_text(c, 3), [1234.5]) == ["1,234.500"]

@@ -76,20 +76,27 @@ def count_text(x: Column) -> Column:
     return F.format_number(x.cast("double"), 0)
 
 
+def plain_text(x: Column, decimals: int) -> Column:
+    """Fixed-point text *without* thousands grouping (``{:.3f}``), rounded
+    half-even like ``format_number``."""
+    return F.regexp_replace(F.format_number(x.cast("double"), decimals), ",", "")
+
+
 def percent_text(x: Column, decimals: int = 1) -> Column:
-    """``12.3%`` (half-even, like Python's formatting)."""
-    return F.concat(F.format_number(x.cast("double"), decimals), F.lit("%"))
+    """``12.3%`` / ``1234.5%`` — no grouping, half-even."""
+    return F.concat(plain_text(x, decimals), F.lit("%"))
 
 
 def fixed_text(x: Column, decimals: int) -> Column:
-    """Plain fixed-point text with grouping, e.g. R² with 3 decimals."""
+    """Fixed-point text with thousands grouping (``{:,.3f}``)."""
     return F.format_number(x.cast("double"), decimals)
 
 
 def signed_text(x: Column) -> Column:
-    """``+1,234`` / ``-1,234``."""
-    return F.concat(F.when(x >= 0, F.lit("+")).otherwise(F.lit("")),
-                    F.format_number(x.cast("double"), 0))
+    """``+1,234`` / ``-1,234`` (the sign follows the rounded text, so
+    -0.4 and -0.0 print ``-0``)."""
+    t = F.format_number(x.cast("double"), 0)
+    return F.concat(F.when(t.startswith("-"), F.lit("")).otherwise(F.lit("+")), t)
 
 
 def count_share_text(v: Column, share: Column) -> Column:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from warung.fixed_values import (METRICS, SERIES_ACTUAL, SERIES_PREDICTED_PREFIX,
                                  TOP_IMPACT)
 from warung.functions.scalars import (dash_if_missing, fixed_text, money_text,
-                                      percent_text, signed_text)
+                                      percent_text, plain_text, signed_text)
 
 WEEKLY = "decimal(24,4)"
 TEST_WEEKS = 52
@@ -220,7 +220,7 @@ def model_card(skor: DataFrame) -> DataFrame:
     card texts; no row when no model is marked."""
     best = skor.where(F.col("terbaik")).orderBy(F.col("mape").asc_nulls_last(), "model").limit(1)
     return best.select("model", "r2", "rmse", (F.col("mape") * 100).alias("mape_pct"),
-                       fixed_text(F.col("r2"), 3).alias("r2_text"),
+                       plain_text(F.col("r2"), 3).alias("r2_text"),
                        money_text(F.col("rmse")).alias("rmse_text"),
                        percent_text(F.col("mape") * 100).alias("mape_text"))
 
@@ -246,7 +246,7 @@ def compare_engines(skor: DataFrame, metric: str = "RMSE", suffix: str = "_b",
     col, scale, _ = METRICS[metric]
     other = f"r2{suffix}"
     have = skor.where(F.col(other).isNotNull() & ~F.isnan(F.col(other)))
-    fmt = {"r2": lambda c: fixed_text(c, 3), "rmse": money_text,
+    fmt = {"r2": lambda c: plain_text(c, 3), "rmse": money_text,
            "mape": lambda c: percent_text(c, 1)}[col]
     long = have.select("model", F.explode(F.array(
         F.struct(F.lit(run_b).alias("run"), (F.col(f"{col}{suffix}") * scale).alias("value")),
@@ -260,8 +260,8 @@ def score_table(skor: DataFrame) -> DataFrame:
     return skor.select(
         "model", "reg_param", "r2", "mape", "rmse", "mse",
         dash_if_missing(fixed_text(F.col("reg_param"), 3)).alias("reg_param_text"),
-        dash_if_missing(F.format_number(F.col("r2"), 4)).alias("r2_text"),
-        dash_if_missing(F.format_number(F.col("mape"), 4)).alias("mape_text"),
+        dash_if_missing(plain_text(F.col("r2"), 4)).alias("r2_text"),
+        dash_if_missing(plain_text(F.col("mape"), 4)).alias("mape_text"),
         dash_if_missing(fixed_text(F.col("rmse"), 0)).alias("rmse_text"),
         dash_if_missing(fixed_text(F.col("mse"), 0)).alias("mse_text"))
 

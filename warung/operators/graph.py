@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from warung.fixed_values import TOP_PAIRS
-from warung.functions.scalars import count_text
+from warung.functions.scalars import count_text, percent_text
 
 # Largest node count the dense matrix is drawn for (cells grow as nodes²).
 MAX_MATRIX_NODES = 20_000
@@ -63,7 +63,7 @@ def graph_density(pairs: DataFrame) -> DataFrame:
                         F.coalesce("n_pairs", F.lit(0)).cast("bigint").alias("n_pairs"))
             .withColumn("possible", possible.cast("bigint"))
             .withColumn("density", dens)
-            .withColumn("text", F.concat(F.format_number(F.col("density"), 0), F.lit("%"))))
+            .withColumn("text", percent_text(F.col("density"), 0)))
 
 
 def assert_unique_edges(pairs: DataFrame) -> DataFrame:

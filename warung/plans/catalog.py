@@ -248,7 +248,7 @@ SELECT c.ord, c.card,
        CASE c.ord WHEN 1 THEN '$' || format('{:,.0f}', k.gross_sales)
                   WHEN 2 THEN '$' || format('{:,.0f}', k.profit)
                   WHEN 3 THEN format('{:,.0f}', CAST(k.orders AS DOUBLE))
-                  WHEN 4 THEN format('{:,.1f}', k.cancel_rate) || '%'
+                  WHEN 4 THEN format('{:.1f}', k.cancel_rate) || '%'
                   ELSE format('{:,.0f}', CAST(k.products_sold AS DOUBLE)) END AS text
 FROM (VALUES """ + cards + """) c(ord, card), k""")
 
@@ -263,7 +263,7 @@ def q_report_labels(spark, root):
 def _status_sql(filtered: bool) -> str:
     return _sales_sql(f"""
 SELECT status, orders, share,
-       format('{{:,.0f}}', CAST(orders AS DOUBLE)) || '  (' || format('{{:,.1f}}', share) || '%)' AS text
+       format('{{:,.0f}}', CAST(orders AS DOUBLE)) || '  (' || format('{{:.1f}}', share) || '%)' AS text
 FROM (SELECT status, CAST(orders AS BIGINT) AS orders,
              CAST(orders AS DOUBLE) / CAST(GREATEST(COALESCE(SUM(orders) OVER (), 0), 1) AS DOUBLE) * 100.0 AS share
       FROM (SELECT status, SUM(orders) AS orders FROM o
@@ -363,8 +363,8 @@ def _funnel_values() -> str:
 @register("funnel", with_marts(["fact_events"], f"""
 SELECT ord, event_type AS stage, stage_name, funnel_row, sessions, pct,
        CASE WHEN sessions = 0 THEN ''
-            WHEN ord <= 2 THEN format('{{:,.0f}}', CAST(sessions AS DOUBLE)) || '<br>' || format('{{:,.1f}}', pct) || '%'
-            ELSE stage_name || '<br>' || format('{{:,.0f}}', CAST(sessions AS DOUBLE)) || ' (' || format('{{:,.1f}}', pct) || '%)' END AS text
+            WHEN ord <= 2 THEN format('{{:,.0f}}', CAST(sessions AS DOUBLE)) || '<br>' || format('{{:.1f}}', pct) || '%'
+            ELSE stage_name || '<br>' || format('{{:,.0f}}', CAST(sessions AS DOUBLE)) || ' (' || format('{{:.1f}}', pct) || '%)' END AS text
 FROM (
   SELECT j.*, CAST(sessions AS DOUBLE)
            / CAST(GREATEST(COALESCE(MAX(CASE WHEN ord = 1 THEN sessions END) OVER (), 0), 1) AS DOUBLE) * 100.0 AS pct
@@ -507,7 +507,7 @@ def q_graph_edges(spark, root):
 @register("graph_density", with_marts(["category_pairs"], """
 SELECT n_categories, n_pairs, possible,
        CAST(n_pairs AS DOUBLE) / CAST(NULLIF(possible, 0) AS DOUBLE) * 100.0 AS density,
-       format('{:,.0f}', CAST(n_pairs AS DOUBLE) / CAST(NULLIF(possible, 0) AS DOUBLE) * 100.0) || '%' AS text
+       format('{:.0f}', CAST(n_pairs AS DOUBLE) / CAST(NULLIF(possible, 0) AS DOUBLE) * 100.0) || '%' AS text
 FROM (SELECT v AS n_categories, e AS n_pairs, CAST(v * (v - 1) // 2 AS BIGINT) AS possible
       FROM (SELECT (SELECT COUNT(*) FROM vol) AS v, (SELECT COUNT(*) FROM category_pairs) AS e) c) d""",
     [VOLUME_SQL]))
