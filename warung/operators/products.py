@@ -99,13 +99,22 @@ def rank_ties(sales: DataFrame, n: int = TOP_N) -> DataFrame:
     top n equal the #n value, and the value at #n+1.  A ranking with n or
     fewer members is skipped, so the result may have no rows.
 
-    Each ranking is cut to its n+1 largest values by a distributed top-k
-    first; the window then runs over those n+1 rows only.
+    Both rankings read one per-product aggregate, stacked into
+    (ranking, product, value) so the two branches share the same plan below
+    their filter and Spark reuses its shuffle; each ranking is then cut to
+    its n+1 largest values by a distributed top-k, and the window runs over
+    those n+1 rows only.
     """
     per = per_product(sales)
+    value_type = "decimal(38,4)"
+    stacked = (per.select("product_id", F.explode(F.array(*[
+        F.struct(F.lit(m).alias("measure"), F.col(m).cast(value_type).alias("v"))
+        for m in ("units", "profit")])).alias("s"))
+        .select("product_id", "s.measure", "s.v"))
     parts = []
     for label, measure in zip(RANKINGS, ("units", "profit")):
-        top = _top(per, "product_id", measure, n + 1)
+        one = stacked.where(F.col("measure") == measure).select("product_id", F.col("v").alias(measure))
+        top = _top(one, "product_id", measure, n + 1)
         rn = F.row_number().over(Window.orderBy(F.col("value").desc(), F.col("product_id")))
         ranked = top.select(F.col("value").cast("double").alias("value"), rn.alias("rn"))
         at = lambda k: F.max(F.when(F.col("rn") == k, F.col("value")))
