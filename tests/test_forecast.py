@@ -101,3 +101,24 @@ def test_naive_scores_by_hand(spark):
     assert r.mse == round(sse / 3, 0) and r.rmse == round((sse / 3) ** 0.5, 4)
     assert r.r2 == round(1 - sse / sst, 9) and r.mape == round((2 / 10 + 5 / 20) / 2, 9)
     assert mean == 10.0
+
+
+def test_mllib_ols_matches_least_squares_on_real_series(spark):
+    import numpy as np
+
+    from warung.sources import marts as M
+    fs = M.build_marts(spark, "/root/testdata/sf0.001")["fact_sales"]
+    frame = FC.forecast_frame(FC.weekly_profit(fs)).cache()
+    spec = [FC.LinearSpec("ols", 0.0, 0.0)]
+    _, coefs, train = FC.fit_linear_models(frame, "normal", spec)
+    rows = train.select("y", *FC.FEATURES).collect()   # the weekly series: bounded, small
+    X = np.array([[1.0] + [r[c] for c in FC.FEATURES] for r in rows])
+    y = np.array([r["y"] for r in rows])
+    beta = np.linalg.lstsq(X, y, rcond=None)[0][1:]
+    got = {r.fitur: r.coef for r in coefs.collect()}
+    for f, b in zip(FC.FEATURES, beta):
+        assert abs(got[f] - b) <= 1e-6 * max(1.0, abs(b)), (f, got[f], b)
+    # impact = coefficient x sample standard deviation on the training rows
+    imp = {r.fitur: r.dampak for r in FC.feature_impact(coefs, train).collect()}
+    for j, f in enumerate(FC.FEATURES):
+        assert abs(imp[f] - got[f] * np.std(X[:, j + 1], ddof=1)) <= 1e-6 * max(1.0, abs(imp[f]))
