@@ -77,10 +77,15 @@ def forecast_page(tables: dict[str, DataFrame], metric: str = DEFAULT_METRIC
                   ) -> dict[str, DataFrame]:
     """Champion card, training meta, predicted vs actual, the two-run
     comparison for one metric, the score table and the feature impact."""
-    skor, dampak = tables["skor"], tables["dampak"]
-    shown = forecast.champion_for_impact(skor, dampak).first()
-    return {"card": forecast.model_card(skor), "meta": tables["meta"],
-            "predicted": forecast.predicted_vs_actual(tables["prediksi"]),
+    skor, dampak, prediksi = tables["skor"], tables["dampak"], tables["prediksi"]
+    card = forecast.model_card(skor)
+    if "model" in dampak.columns:
+        shown = forecast.champion_for_impact(skor, dampak).first()
+    else:  # a table of the champion's impacts only
+        shown = None
+    champion = None if "model" in prediksi.columns else (card.select("model").first() or [None])[0]
+    return {"card": card, "meta": tables["meta"],
+            "predicted": forecast.predicted_vs_actual(prediksi, champion),
             "compare": forecast.compare_engines(skor, metric),
             "scores": forecast.score_table(skor),
             "impact": forecast.feature_impact_top(dampak, shown["model"] if shown else None)}
