@@ -56,21 +56,32 @@ def weekly_profit(sales: DataFrame) -> DataFrame:
     a week without sales is 0; ``t`` numbers the weeks from 1.
 
     The partial first and last weeks are left out, so every week sums seven
-    days of data.
+    days of data.  One pass over the fact: the per-week aggregate also
+    carries each week's first and last day; windows over the (time-span
+    bounded) week series then give the full-week range and fill empty weeks
+    between consecutive non-empty ones.
     """
-    s = sales.where(F.col("tanggal").isNotNull())
-    per = (s.groupBy(F.trunc(F.col("tanggal").cast("date"), "week").alias("week"))
-           .agg(F.sum("profit").alias("profit")))
-    lo, hi = F.col("lo"), F.col("hi")
-    first = F.trunc(F.date_add(lo, 6), "week")
-    last = F.trunc(F.date_sub(hi, 6), "week")
-    weeks = (s.agg(F.min("tanggal").cast("date").alias("lo"), F.max("tanggal").cast("date").alias("hi"))
-             .select(F.explode(F.when(first <= last, F.sequence(first, last, F.expr("INTERVAL 7 DAYS"))))
-                     .alias("week")))
+    per = (sales.where(F.col("tanggal").isNotNull())
+           .groupBy(F.trunc(F.col("tanggal").cast("date"), "week").alias("week"))
+           .agg(F.sum("profit").alias("profit"),
+                F.min("tanggal").cast("date").alias("d_lo"),
+                F.max("tanggal").cast("date").alias("d_hi")))
+    everything = Window.partitionBy()
+    step = F.expr("INTERVAL 7 DAYS")
+    bounded = (per
+               .withColumn("first", F.trunc(F.date_add(F.min("d_lo").over(everything), 6), "week"))
+               .withColumn("last", F.trunc(F.date_sub(F.max("d_hi").over(everything), 6), "week"))
+               .withColumn("nxt", F.lead("week").over(Window.orderBy("week"))))
+    upto = F.coalesce(F.date_sub(F.col("nxt"), 7), F.col("week"))
+    filled = (bounded
+              .select(F.posexplode(F.sequence(F.col("week"), upto, step)).alias("i", "wk"),
+                      "profit", "first", "last")
+              .where((F.col("wk") >= F.col("first")) & (F.col("wk") <= F.col("last"))))
     t = F.row_number().over(Window.orderBy("week")).cast("bigint")
-    return (weeks.join(per, "week", "left")
-            .select(F.col("week").cast("timestamp_ntz").alias("week"),
-                    F.coalesce(F.col("profit"), F.lit(0)).cast(WEEKLY).alias("profit"))
+    return (filled
+            .select(F.col("wk").cast("timestamp_ntz").alias("week"),
+                    F.when(F.col("i") == 0, F.col("profit")).otherwise(F.lit(0))
+                     .cast(WEEKLY).alias("profit"))
             .withColumn("t", t))
 
 

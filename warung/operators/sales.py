@@ -78,18 +78,26 @@ def trend(sales: DataFrame, grain: str = "month") -> DataFrame:
     """Gross sales and profit per day / Monday week / month.
 
     Every bucket between the first and the last bucket of the *filtered* data
-    is present; empty ones are 0.  The calendar comes from one min/max row and
-    is as long as the covered time span, independent of data volume.
+    is present; empty ones are 0.  One pass over the fact: the per-bucket
+    aggregate (map-side combined) is followed by a window over the bucket
+    series, which is as long as the covered time span whatever the data
+    volume; each bucket emits itself plus the empty buckets up to the next
+    one (``sequence(bucket, next - step)``), so no calendar join and no
+    second scan are needed.
     """
     per = (sales.where(F.col("tanggal").isNotNull())
            .groupBy(bucket_start(F.col("tanggal"), grain).alias("tanggal"))
            .agg(F.sum("gross_sales").alias("gross_sales"), F.sum("profit").alias("profit")))
-    calendar = (per.agg(F.min("tanggal").alias("lo"), F.max("tanggal").alias("hi"))
-                .select(F.explode(F.sequence("lo", "hi", grain_step(grain))).alias("tanggal")))
-    return (calendar.join(per, "tanggal", "left")
-            .select("tanggal",
-                    F.coalesce(F.col("gross_sales").cast("double"), F.lit(0.0)).alias("gross_sales"),
-                    F.coalesce(F.col("profit").cast("double"), F.lit(0.0)).alias("profit"))
+    step = grain_step(grain)
+    with_next = per.withColumn("nxt", F.lead("tanggal").over(Window.orderBy("tanggal")))
+    upto = F.coalesce(F.col("nxt") - step, F.col("tanggal"))
+    filled = with_next.select(F.posexplode(F.sequence(F.col("tanggal"), upto, step)).alias("i", "bucket"),
+                              "gross_sales", "profit")
+    own = F.col("i") == 0
+    return (filled
+            .select(F.col("bucket").cast("timestamp_ntz").alias("tanggal"),
+                    F.when(own, F.col("gross_sales").cast("double")).otherwise(F.lit(0.0)).alias("gross_sales"),
+                    F.when(own, F.col("profit").cast("double")).otherwise(F.lit(0.0)).alias("profit"))
             .orderBy("tanggal"))
 
 
