@@ -82,27 +82,31 @@ def co_purchase_matrix(pairs: DataFrame, max_nodes: int = MAX_MATRIX_NODES) -> D
     ``(y_ord, y, x_ord, x, z)``, axes in volume order; absent pairs are 0 and
     the diagonal is NULL.
 
-    The grid is generated per row node by ``sequence(1, V)`` and an equi-join
-    on the position, not by a cross join; its size is V², so V is checked
-    against ``max_nodes`` inside the job before any cell is produced.
+    The checked edge list is turned into both directions once (U2); node
+    volumes are the sums of that list per row end (each edge counts once per
+    end, a self pair twice — the same weighted degree as G1).  The grid is
+    generated per row node by ``sequence(1, V)`` and an equi-join on the
+    position, not by a cross join; its size is V², so V is checked against
+    ``max_nodes`` inside the job before any cell is produced.
     """
     edges = assert_unique_edges(pairs)
-    nodes = category_volume(edges)
-    v = F.count(F.lit(1)).over(Window.partitionBy())
+    sym = (edges.select(F.col("kat1").alias("y"), F.col("kat2").alias("x"), "n")
+           .unionByName(edges.select(F.col("kat2").alias("y"), F.col("kat1").alias("x"), "n")))
+    vol = (sym.where(F.col("y").isNotNull())
+           .groupBy("y").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("volume")))
+    order = Window.orderBy(F.col("volume").desc(), F.col("y"))
+    nodes = vol.select(F.row_number().over(order).cast("bigint").alias("ord"), "y",
+                       F.count(F.lit(1)).over(Window.partitionBy()).alias("v"))
     too_big = F.raise_error(F.lit(f"co-purchase matrix over {max_nodes} categories"))
-    rows = (nodes.select(F.col("ord").alias("y_ord"), F.col("category").alias("y"), v.alias("v"))
-            .select("y_ord", "y",
-                    F.explode(F.when(F.col("v") > max_nodes, too_big)
-                              .otherwise(F.sequence(F.lit(1), F.col("v")))).alias("x_ord")))
-    cols = nodes.select(F.col("ord").alias("x_ord"), F.col("category").alias("x"))
-    sym = (edges.where(F.col("kat1") != F.col("kat2"))
-           .select(F.col("kat1").alias("y"), F.col("kat2").alias("x"), "n")
-           .unionByName(edges.where(F.col("kat1") != F.col("kat2"))
-                        .select(F.col("kat2").alias("y"), F.col("kat1").alias("x"), "n")))
+    rows = nodes.select(F.col("ord").alias("y_ord"), "y",
+                        F.explode(F.when(F.col("v") > max_nodes, too_big)
+                                  .otherwise(F.sequence(F.lit(1).cast("bigint"), F.col("v"))))
+                        .alias("x_ord"))
+    cols = nodes.select(F.col("ord").alias("x_ord"), F.col("y").alias("x"))
     z = F.when(F.col("y") == F.col("x"), F.lit(None).cast("double")) \
          .otherwise(F.coalesce(F.col("n").cast("double"), F.lit(0.0)))
     return (rows.join(cols, "x_ord")
-            .join(sym, ["y", "x"], "left")
+            .join(sym.where(F.col("y") != F.col("x")), ["y", "x"], "left")
             .select("y_ord", "y", "x_ord", "x", z.alias("z")))
 
 
