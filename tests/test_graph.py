@@ -51,3 +51,14 @@ def test_top_pairs_and_texts(spark):
     assert "B + C: 1,500 order" in edges
     nodes = {r.text for r in graph.graph_nodes(p).collect()}
     assert "C — 1,503 co-purchase" in nodes
+
+
+def test_self_pair_counts_twice_in_both_volume_paths(spark):
+    p = spark.createDataFrame([("A", "A", 2), ("A", "B", 3)], PAIRS_SCHEMA)
+    vol = {r.category: r.volume for r in graph.category_volume(p).collect()}
+    assert vol == {"A": 2 + 2 + 3, "B": 3}
+    cells = graph.co_purchase_matrix(p).collect()
+    order = {r.y: r.y_ord for r in cells}
+    assert order == {"A": 1, "B": 2}                      # same volume order as category_volume
+    m = {(r.y, r.x): r.z for r in cells}
+    assert m[("A", "A")] is None and m[("A", "B")] == m[("B", "A")] == 3.0
