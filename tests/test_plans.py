@@ -22,7 +22,9 @@ def test_no_cross_product_or_python_in_any_plan(spark):
     for key, q in catalog.REGISTRY.items():
         if key in WRITERS:
             continue
-        plan = plan_of(q.run(spark, SF))
+        df = q.run(spark, SF)
+        assert len(set(df.columns)) == len(df.columns), (key, df.columns)  # the driver keys on names
+        plan = plan_of(df)
         for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython",
                     "ArrowEvalPython", "FlatMapGroupsInPandas"):
             assert bad not in plan, (key, bad)
