@@ -7,7 +7,8 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 
 def test_all_keys_match_duckdb(spark):
     from oracle_check import compare
-    res = compare(spark, "/root/testdata/sf0.001", verbose=False)
+    from warung.plans import catalog
+    res = compare(spark, "/root/testdata/sf0.001", list(catalog.REGISTRY), verbose=False)
     bad = {k: v for k, v in res.items() if not (v == "OK" or v.startswith("rows-only"))}
     assert not bad, bad
 
