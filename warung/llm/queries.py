@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from warung.llm import mixing, packing, quality_rules, url_filters, warc
+from warung.llm import embedding_dedup, language_id, line_dedup, minhash_dedup, mixing, packing, quality_rules, url_filters, warc
 from warung.llm.store import ship
 from warung.session import scratch_path
 
@@ -20,6 +20,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines removed from every document, and what is left of it."""
+    out = line_dedup.dedup_lines(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_exact", "n_near", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; a fifth of them is held out of training."""
+    docs = _table(spark, sf_dir, "documents")
+    out = language_id.identify(docs)
+    return out.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics, base rule and learned verdict of every document."""
     out = quality_rules.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -39,6 +52,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type", number(F.col("refers_to")).alias("refers_to"))
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate documents."""
+    return minhash_dedup.near_duplicates(spark, _table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture of all sources, none repeated more than twice."""
     out = mixing.mix(_table(spark, sf_dir, "documents"), max_repeat=2.0)
@@ -56,7 +74,13 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(spark, _table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-_ALL = [op3_quality_rules, op4_warc, op7_mixing, op8_packing, op9_url_filters]
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of near-duplicate embeddings of equal label."""
+    return embedding_dedup.near_duplicates(spark, _table(spark, sf_dir, "embeddings"))
+
+
+_ALL = [op1_line_dedup, op2_language_id, op3_quality_rules, op4_warc, op6_minhash_dedup, op7_mixing, op8_packing, op9_url_filters,
+        op10_embedding_dedup]
 
 
 def _with_package(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
