@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from warung.llm import embedding_dedup, language_id, line_dedup, minhash_dedup, mixing, packing, quality_rules, url_filters, warc
+from warung.llm import embedding_dedup, language_id, line_dedup, minhash_dedup, mixing, packing, quality_rules, suffix_dedup, url_filters, warc
 from warung.llm.store import ship
 from warung.session import scratch_path
 
@@ -52,6 +52,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type", number(F.col("refers_to")).alias("refers_to"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated passages."""
+    out = suffix_dedup.remove_repeats(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate documents."""
     return minhash_dedup.near_duplicates(spark, _table(spark, sf_dir, "documents"))
@@ -79,7 +85,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(spark, _table(spark, sf_dir, "embeddings"))
 
 
-_ALL = [op1_line_dedup, op2_language_id, op3_quality_rules, op4_warc, op6_minhash_dedup, op7_mixing, op8_packing, op9_url_filters,
+_ALL = [op1_line_dedup, op2_language_id, op3_quality_rules, op4_warc, op5_suffix_dedup, op6_minhash_dedup, op7_mixing, op8_packing, op9_url_filters,
         op10_embedding_dedup]
 
 
