@@ -2,20 +2,53 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is
 written as Parquet and read again as the next stage's ``docs``.  All stages
-but the last return the columns of ``documents``.
+but the last return the columns of ``documents``; ``n_chars`` follows the text.
+
+Nulls, empty texts, repeated rows and further columns are dealt with as the
+operators' docstrings say; an empty table passes through every stage.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from warung.llm import mixing, packing
+from warung.llm import language_id, line_dedup, minhash_dedup, mixing, packing
 from warung.llm.queries import WORD_BPE
 from warung.llm.store import saved, ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str, *, least_score: float = 0.3) -> DataFrame:
+    """Documents whose language the network can tell; ``und`` and pooled
+    probabilities below ``least_score`` go.  A missing ``lang`` is filled in."""
+    ship(spark)
+    net = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
+    told = language_id.predict(docs.select(*COLUMNS, F.col("text").alias("_read")), net, text_col="_read")
+    kept = told.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= least_score))
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(COLUMNS)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that stood earlier in the corpus; one that has
+    no word left goes."""
+    ship(spark)
+    out = line_dedup.dedup_lines(spark, docs.select(COLUMNS))
+    return out.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles,
+    similarity 0.8): the one of the smallest id."""
+    ship(spark)
+    found = minhash_dedup.near_duplicates(spark, docs, k=5, similarity=0.8)
+    kept = found.where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    # of rows with one id and one text a single row stays
+    out = docs.select(COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return out.dropDuplicates(["doc_id", "text"]).select(COLUMNS)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at tempered weights; none loses a document, none is taken more
     than one and a half times."""
@@ -31,6 +64,9 @@ def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 STAGES = [
+    ("language ID", identify_language),
+    ("line dedup", drop_repeated_lines),
+    ("near-dedup", drop_near_copies),
     ("mixing", mix_sources),
     ("packing", pack_windows),
 ]

@@ -24,7 +24,7 @@ plausible, unconnected pairs are ever emitted.
 Defined results: a null or empty text, or one without words, has the empty set
 and is linked with nothing; equal texts and repeated rows are one component;
 a doc_id that stands on several rows gets a row for each; ties take the
-smallest doc_id.
+smallest doc_id, a null one before all others.
 """
 
 from __future__ import annotations
@@ -197,7 +197,8 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                         cls.append(want)
                 yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(items, pa.binary())], ["class", "items"])
 
-    rows = docs.join(wanted, "doc_id").select("class", "text")
+    wanted = wanted.withColumnRenamed("doc_id", "_id")
+    rows = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("class", "text")
     return rows.mapInArrow(run, "class long, items binary").dropDuplicates(["class"])
 
 
@@ -269,7 +270,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, k: int = 4, similar
     out = (slim_docs.where("class is not null").join(final, "class").select("doc_id", "n", "component_id")
            .unionByName(slim_docs.where("class is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))))
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id",
-                      (F.col("doc_id") == F.col("component_id")).alias("kept"))
+                      F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def _agreement_series(x, y):
