@@ -20,7 +20,9 @@ yields no piece.
 
 from __future__ import annotations
 
+import math
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,14 +44,63 @@ class WordTokenizer:
     """Token ids per word from the ``tokenizers`` library, with a bounded cache.
 
     The vocabulary drops white space, so the ids of a text are those of its
-    words one after the other.  Two generations of ``room`` words keep what is
-    frequent; a word that fell out is tokenized again.
+    words one after the other; a letter before a mark of punctuation ends a
+    piece, so a word's last mark is looked up by itself.  New words made of
+    letters are tokenized many at a time and told apart by their closing
+    tokens.  Two generations of ``room`` words keep what is frequent; a word
+    that fell out is tokenized again.
     """
 
-    def __init__(self, path: str, room: int = 150_000):
+    def __init__(self, path: str, room: int = 200_000):
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
+        vocabulary = self.library.get_vocab()
+        self.closing = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.closing[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.room, self.young, self.old = room, {}, {}
+        self.marks = {m: self._one([m])[0] for m in ".,;:!?"}
+
+    def _one(self, words: list[str]) -> list[bytes]:
+        made = self.library.encode_batch_fast(words, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in made]
+
+    def _many(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters only."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 4096):
+            some = words[at:at + 4096]
+            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.closing[ids]) + 1
+            if len(ends) != len(some):            # a letter whose lower case is no letter alone
+                out += self._one(some)
+                continue
+            flat, cuts = ids.tobytes(), (4 * ends).tolist()
+            out += [flat[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+        return out
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Adds the ids of words that are in neither generation."""
+        young, old, marks = self.young, self.old, self.marks
+        letters, others, marked = {}, [], []
+        for w in words:
+            text = w.decode()
+            if text.isalpha():
+                letters[w] = text
+            elif text[-1] in marks and text[:-1].isalpha():
+                core = w[:-1]
+                marked.append((w, core, text[-1]))
+                if core not in young:
+                    if core in old:
+                        young[core] = old[core]
+                    else:
+                        letters[core] = text[:-1]
+            else:
+                others.append(w)
+        young.update(zip(letters, self._many(list(letters.values())), strict=True))
+        if others:
+            young.update(zip(others, self._one([w.decode() for w in others]), strict=True))
+        for w, core, mark in marked:
+            young[w] = young[core] + marks[mark]
 
     def batch(self, texts: list[bytes | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -57,19 +108,14 @@ class WordTokenizer:
         # lower-cased by the vocabulary's own normaliser.
         split = [(t or b"").split() if b"<|" in (t or b"") else (t or b"").lower().split() for t in texts]
         young, old = self.young, self.old
-        need = set().union(*split)
         new = []
-        for w in need:
-            if w not in young:
-                ids = old.get(w)
-                if ids is None:
-                    new.append(w)
-                else:
-                    young[w] = ids
+        for w in set().union(*split) - young.keys():
+            if w in old:
+                young[w] = old[w]
+            else:
+                new.append(w)
         if new:
-            made = self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            for w, e in zip(new, made, strict=True):
-                young[w] = np.array(e.ids, dtype="<u4").tobytes()
+            self._learn(new)
         out = [b"".join([young[w] for w in ws]) for ws in split]
         if len(young) > self.room:
             self.old, self.young = young, {}
@@ -198,43 +244,38 @@ class Layout:
                 out[reach] = p.before             # a single spelled-out window
         return out
 
-    def windows_of(self, queue: int, low: int, high: int) -> np.ndarray:
-        """A few windows more than hold tokens [low, high) of the queue."""
-        first, last = None, None
-        for p in self.phases:
-            end = self.bounds(np.array([p.first + p.count]))[0, queue]
-            if first is None and low < end:
-                first = self._near(p, queue, low) - 1
-            if high <= end:
-                last = self._near(p, queue, high) + 2
-                break
-        return np.arange(max(first or 0, 0), last + 1)
-
-    def _near(self, p: Phase, queue: int, token: int) -> int:
-        if not len(p.weights) or not p.weights[queue]:
-            return p.first if token <= (self.bounds(np.array([p.first]))[0, queue]) else p.first + p.count
-        share = p.weights[queue] / p.weights.sum()
-        # a queue is never more than its count of queues / 2 + 1 tokens from its share
-        at = (token - p.before[queue]) / (share * self.window)
-        return p.first + int(np.clip(np.floor(at), 0, p.count))
-
-    def pieces(self, queue: int, low: int, high: int) -> list[tuple[int, int, int, int]]:
-        """(start in the queue, length, window, offset there) of tokens [low, high)."""
-        if low >= high:
-            return []
-        windows = self.windows_of(queue, low, high)
+    def pieces(self, queue: int, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of documents lying at ``cuts[0] .. cuts[1] .. cuts[-1]`` in the
+        queue: each piece's start in the queue, length, window and offset there."""
+        low, high = int(cuts[0]), int(cuts[-1])
+        windows = np.arange(self._window_near(queue, low, -2), self._window_near(queue, high, 2) + 1)
         edges = self.bounds(np.append(windows, windows[-1] + 1))
-        while edges[0, queue] > low and windows[0] > 0:
-            windows = np.arange(max(windows[0] - 8, 0), windows[-1] + 1)
+        while edges[0, queue] > low:
+            windows = np.arange(max(windows[0] - 64, 0), windows[-1] + 1)
             edges = self.bounds(np.append(windows, windows[-1] + 1))
         while edges[-1, queue] < high:
-            windows = np.arange(windows[0], windows[-1] + 9)
+            windows = np.arange(windows[0], windows[-1] + 65)
             edges = self.bounds(np.append(windows, windows[-1] + 1))
+        mine = edges[:, queue]
+        all_cuts = np.unique(np.concatenate([cuts, mine[(mine > low) & (mine < high)]]))
+        begin, length = all_cuts[:-1], np.diff(all_cuts)
+        at = np.searchsorted(mine, begin, side="right") - 1
         before = (edges[1:, :queue] - edges[:-1, :queue]).sum(axis=1)
-        begin = np.maximum(edges[:-1, queue], low)
-        end = np.minimum(edges[1:, queue], high)
-        return [(int(begin[k]), int(end[k] - begin[k]), int(windows[k]), int(before[k] + begin[k] - edges[k, queue]))
-                for k in np.flatnonzero(end > begin)]
+        return begin, length, windows[at], before[at] + begin - mine[at]
+
+    def _window_near(self, queue: int, token: int, slack: int) -> int:
+        """The window that holds the token, or one nearby."""
+        for p in self.phases:
+            end = p.first + p.count
+            if token <= self.bounds(np.array([end]))[0, queue]:
+                if not len(p.weights) or not p.weights[queue]:
+                    return max(p.first + slack, 0) if slack < 0 else end
+                share = p.weights[queue] / p.weights.sum()
+                at = int((token - p.before[queue]) / (share * self.window))
+                # rounding keeps a queue within its count of queues of its share
+                slip = math.ceil(len(self.totals) / (share * self.window))
+                return max(0, p.first + min(max(at, 0), p.count) + slack + (slip if slack > 0 else -slip))
+        return self.phases[-1].first + 1
 
 
 # ------------------------------------------------------------------- the job
@@ -295,20 +336,29 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, *, end_id: int =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, base, layout = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                out: list[list] = [[] for _ in range(9)]
-                for row in batch.slice(at, 512).to_pylist():
-                    queue = where[row["source"]]
-                    low = int(base[row["task"], queue]) + row["start"]
-                    for begin, length, w, offset in layout.pieces(queue, low, low + row["n"]):
-                        ids = row["ids"][4 * (begin - low):4 * (begin - low + length)]
-                        for column, v in zip(out, (row["doc_id"], begin - low, length, zlib.crc32(ids), row["n"], w,
-                                                   offset, row["source"], ids if keep_ids else None), strict=True):
-                            column.append(v)
-                kinds = [pa.int64()] * 7 + [pa.string(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)],
-                                                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens",
-                                                  "sequence_id", "offset", "source", "ids"])
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                doc, n = (part.column(c).to_numpy() for c in ("doc_id", "n"))
+                task, ids = part.column("task").to_numpy(), part.column("ids").to_pylist()
+                queue = np.array([where[x] for x in part.column("source").to_pylist()])
+                low = base[task, queue] + part.column("start").to_numpy()
+                order = np.lexsort([low, queue])
+                # runs of documents that follow one another in a queue
+                breaks = (queue[order][1:] != queue[order][:-1]) | ((low + n)[order][:-1] != low[order][1:])
+                for run in np.split(order, np.flatnonzero(breaks) + 1):
+                    if not len(run):
+                        continue
+                    cuts = np.append(low[run], low[run[-1]] + n[run[-1]])
+                    begin, length, windows, offset = layout.pieces(queue[run[0]], cuts)
+                    row = run[np.searchsorted(cuts, begin, side="right") - 1]
+                    start = begin - low[row]
+                    pieces = [ids[r][4 * s:4 * (s + k)] for r, s, k in zip(row.tolist(), start.tolist(), length.tolist(), strict=True)]
+                    sums = np.fromiter(map(zlib.crc32, pieces), np.int64, len(pieces))
+                    columns = [doc[row], start, length, sums, n[row], windows, offset]
+                    yield pa.RecordBatch.from_arrays(
+                        [*(pa.array(c, pa.int64()) for c in columns), part.column("source").take(pa.array(row)),
+                         pa.array(pieces, pa.binary()) if keep_ids else pa.nulls(len(row), pa.binary())],
+                        ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "ids"])
 
     pieces = tokens.mapInArrow(cut, PIECES + ", ids binary")
     return pieces if keep_ids else pieces.drop("ids")
