@@ -23,7 +23,7 @@ def test_stale_mart_triggers_rebuild(spark):
     built = M.build_marts(spark, SRC)
     stale = dict(built)
     stale["fact_events"] = built["fact_events"].drop("tanggal")
-    M.write_tables(stale, root)
+    M.write_tables(spark, stale, root)
     assert M.read_tables(spark, root, list(built), M.REQUIRED_COLUMNS) is None
     calls = []
 
@@ -71,3 +71,59 @@ def test_events_sessions_are_distinct_user_days(spark):
     rows = {(r.tanggal.day, r.event_type, r.traffic_source): r.sessions
             for r in M.build_fact_events(ev).collect()}
     assert rows == {(1, "product", "Email"): 2, (2, "cart", "Email"): 1}
+
+
+def test_half_finished_refresh_leaves_the_old_version(spark):
+    root = tempfile.mkdtemp(prefix="warung-half-")
+    one = spark.range(3).withColumnRenamed("id", "x")
+    M.write_tables(spark, {"a": one, "b": one}, root, "src")
+
+    def fail(_):
+        raise RuntimeError("died midway")
+
+    with pytest.raises(RuntimeError):
+        M.write_tables(spark, {"a": spark.range(9).withColumnRenamed("id", "x"), "b": fail}, root, "src")
+    found = M.read_tables(spark, root, ["a", "b"], {"a": ["x"]}, "src")
+    assert found["a"].count() == 3 and found["b"].count() == 3
+
+
+def test_without_manifest_or_of_another_source_nothing_is_reused(spark):
+    root = tempfile.mkdtemp(prefix="warung-manifest-")
+    spark.range(3).write.parquet(os.path.join(root, "v-x", "a"))
+    assert M.read_tables(spark, root, ["a"]) is None
+    M.write_tables(spark, {"a": spark.range(4)}, root, "src")
+    assert M.read_tables(spark, root, ["a"], src_root="other") is None
+    assert M.read_tables(spark, root, ["a"], src_root="src")["a"].count() == 4
+
+
+def test_lines_without_part_or_order_stay(spark):
+    from warung.operators import products
+    lineitem = spark.createDataFrame([(1, 10, 2.0, 10.0, 0.1), (1, 99, 4.0, 20.0, 0.0), (7, 10, 1.0, 5.0, 0.0)],
+                                     "l_orderkey long, l_partkey long, l_quantity double, l_extendedprice double, l_discount double")
+    orders = spark.createDataFrame([(1, "1995-01-02", "1-URGENT", "F")], "o_orderkey long, o_orderdate string, o_orderpriority string, o_orderstatus string")
+    orders = orders.withColumn("o_orderdate", orders["o_orderdate"].cast("date"))
+    part = spark.createDataFrame([(10, "red ring", "ECONOMY", 1.0)], "p_partkey long, p_name string, p_type string, p_retailprice double")
+    rows = {(r.product_id, r.tanggal is None): r for r in M.build_fact_sales(lineitem, orders, part).collect()}
+    assert len(rows) == 3
+    assert rows[(99, False)].category is None and rows[(99, False)].profit is None and rows[(99, False)].items == 4
+    assert rows[(10, True)].status is None and rows[(10, True)].items == 1
+    dim = spark.createDataFrame([(10, "red ring", "B")], "product_id long, product_name string, brand string")
+    top = products.top_products(M.build_fact_sales(lineitem, orders, part), dim, "units").collect()
+    assert [r.label for r in top] == ["99", "red ring"]
+
+
+def test_a_part_quantity_is_an_error(spark):
+    lineitem = spark.createDataFrame([(1, 10, 2.5, 10.0, 0.1)],
+                                     "l_orderkey long, l_partkey long, l_quantity double, l_extendedprice double, l_discount double")
+    orders = spark.createDataFrame([(1, "F", "1-URGENT")], "o_orderkey long, o_orderstatus string, o_orderpriority string").selectExpr("*", "date'1995-01-02' AS o_orderdate")
+    part = spark.createDataFrame([(10, "red ring", "ECONOMY", 1.0)], "p_partkey long, p_name string, p_type string, p_retailprice double")
+    with pytest.raises(Exception, match="l_quantity"):
+        M.build_fact_sales(lineitem, orders, part).collect()
+
+
+def test_one_order_with_thousands_of_categories(spark):
+    n = 1500
+    lineitem = spark.range(n).selectExpr("1L AS l_orderkey", "id AS l_partkey")
+    part = spark.range(n).selectExpr("id AS p_partkey", "concat('x c', lpad(id, 5, '0')) AS p_name", "'T' AS p_type", "1.0D AS p_retailprice")
+    pairs = M.build_category_pairs(lineitem, part)
+    assert pairs.count() == n * (n - 1) // 2

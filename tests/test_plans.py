@@ -39,8 +39,10 @@ def test_filters_reach_the_scan(spark):
 
 def test_hot_key_paths_combine_map_side(spark):
     pairs = plan_of(catalog.REGISTRY["category_pairs"].run(spark, SF))
-    # collect_set is combined before the shuffle on the order key
-    assert pairs.count("ObjectHashAggregate") >= 2
+    # distinct (order, category) rows are combined before the shuffle, and no
+    # array of an order's pairs is built
+    assert pairs.count("HashAggregate") >= 4 and "Generate" not in pairs and "collect_" not in pairs
+    assert "ReusedExchange" in pairs or pairs.count("Exchange") >= 2
     sales = plan_of(catalog.REGISTRY["build_fact_sales"].run(spark, SF))
     assert "partial_sum" in sales
     top = plan_of(catalog.REGISTRY["top_products_units"].run(spark, SF))

@@ -36,3 +36,27 @@ def test_stream_equals_batch_and_resumes(spark):
     # a rerun with no new file adds nothing
     again = ST.refresh_fact_events(spark, feed, out, ck, glob="events-*.parquet")
     assert _rows(again) == _rows(after_second)
+
+
+def test_late_rows_are_kept(spark):
+    """A row of day D that arrives after rows of day D+1 still counts."""
+    base = tempfile.mkdtemp(prefix="warung-stream-late-")
+    feed = os.path.join(base, "feed")
+    os.makedirs(feed)
+    schema = spark.read.parquet(f"{SRC}/events.parquet").schema
+
+    def events(rows):
+        part = spark.createDataFrame(rows, "ts string, user_id long, event_type string")
+        part = part.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+        return part.select(*[(F.col(f.name) if f.name in part.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                             for f in schema])
+
+    first = events([("2024-01-01 10:00:00", 1, "view"), ("2024-01-02 00:05:00", 1, "view")])
+    late = events([("2024-01-01 23:59:00", 2, "view"), ("2024-01-02 10:00:00", 3, "view"), ("2024-01-01 10:30:00", 1, "view")])
+    out, ck = os.path.join(base, "out"), os.path.join(base, "ck")
+    for k, part in enumerate((first, late)):
+        part.coalesce(1).write.parquet(os.path.join(base, f"p{k}"))
+        name = [f for f in os.listdir(os.path.join(base, f"p{k}")) if f.endswith(".parquet")][0]
+        shutil.copy(os.path.join(base, f"p{k}", name), os.path.join(feed, f"events-{k}.parquet"))
+        mart = ST.refresh_fact_events(spark, feed, out, ck, glob="events-*.parquet")
+    assert _rows(mart) == _rows(M.build_fact_events(first.unionByName(late)))

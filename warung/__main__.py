@@ -2,7 +2,7 @@
 
     python -m warung --list
     python -m warung kpi_cards /root/testdata/sf0.01
-    python -m warung top_products_units /root/testdata/sf0.01 --rows 20
+    python -m warung top_products_units /root/testdata/sf0.01
     python -m warung trend_monthly /data/retail --out /shared/reports/trend
     python -m warung --page sales /data/retail --start 1996-01-01 --end 1997-12-31 \
         --category "ECONOMY ring" --status Complete --grain Mingguan
@@ -20,10 +20,9 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("root", nargs="?", default="/root/testdata/sf0.01",
                    help="folder holding the source tables (one parquet data set each)")
     p.add_argument("--list", action="store_true", help="list the registered views")
-    p.add_argument("--rows", type=int, default=50, help="rows to print")
     p.add_argument("--out", help="write the whole result as parquet here instead of printing")
     p.add_argument("--master", default=None, help="Spark master (the launcher's by default)")
-    p.add_argument("--page", choices=["sales", "visitors", "products", "graph"],
+    p.add_argument("--page", choices=["sales", "visitors", "products", "graph", "forecast"],
                    help="show every view of one dashboard page instead of one key")
     p.add_argument("--start", help="first day of the date filter")
     p.add_argument("--end", help="last day of the date filter")
@@ -51,10 +50,23 @@ def main(argv: list[str] | None = None) -> int:
     if args.out:
         df.write.mode("overwrite").parquet(args.out)
     else:
-        df.show(args.rows, truncate=False)
+        _print(df, args.key)
     return 0
 
 
+PRINTED = 1000
+
+
+def _print(df, name: str) -> None:
+    """Print a view whole; one too long for a terminal has to be written."""
+    rows = df.limit(PRINTED + 1).collect()
+    if len(rows) > PRINTED:
+        raise SystemExit(f"{name} has more than {PRINTED} rows; write it with --out")
+    print("\t".join(df.columns))
+    for r in rows:
+        print("\t".join("" if v is None else str(v) for v in r))
+
+
 def _page(args) -> int:
     from warung.plans import catalog, pages
     from warung.session import get_session
@@ -67,11 +79,16 @@ def _page(args) -> int:
         views = pages.visitors_page(marts, **sel)
     elif args.page == "products":
         views = pages.products_page(marts, **sel)
-    else:
+    elif args.page == "graph":
         views = pages.graph_page(marts["category_pairs"])
+    else:
+        views = pages.forecast_page(catalog._forecast_tables(spark, args.key or args.root))
     for name, df in views.items():
         print(f"== {name}")
-        df.show(args.rows, truncate=False)
+        if args.out:
+            df.write.mode("overwrite").parquet(f"{args.out.rstrip('/')}/{name}")
+        else:
+            _print(df, name)
     return 0
 
 

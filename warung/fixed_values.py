@@ -38,8 +38,9 @@ DEFAULT_METRIC = "RMSE"
 # FIXED VALUES: ranking names of the rank-tie table.
 RANKINGS = ["unit terjual", "profit"]
 
-# Mart table names and the jobs that produce them.
-MART_TABLES = ["fact_sales", "fact_orders", "fact_events", "dim_products"]
+# Mart table names; the rollup is ours, the others equal the dashboard's (FIXED VALUES).
+ROLLUP_TABLE = "sales_rollup"
+MART_TABLES = ["fact_sales", "fact_orders", "fact_events", "dim_products", ROLLUP_TABLE]
 FACTS_WITH_DATE = ["fact_sales", "fact_orders", "fact_events"]
 GRAPH_TABLE = "category_pairs"
 FORECAST_TABLES = ["skor", "prediksi", "dampak", "meta"]
@@ -47,11 +48,15 @@ FORECAST_TABLES = ["skor", "prediksi", "dampak", "meta"]
 # FIXED VALUES: names of the two trend series.
 TREND_SERIES = {"gross_sales": "Gross sales", "profit": "Profit"}
 
-# FIXED VALUES: score text formats (R² 3 decimals, RMSE whole dollars, MAPE
-# one-decimal percent) and the score table formats (regParam 3 decimals with
-# grouping, R² and MAPE 4 decimals, RMSE and MSE whole numbers, missing "—").
+# FIXED VALUES: series names of the forecast page.
 SERIES_ACTUAL = "Laba sebenarnya"
 SERIES_PREDICTED_PREFIX = "Tebakan "
 
+# FIXED VALUES: texts after or between numbers and names.
+SESSIONS_SUFFIX = " Sesi"
+CO_PURCHASE_SUFFIX = " co-purchase"
+ORDER_SUFFIX = " order"
+PAIR_JOINER = "  +  "
+
 # FIXED VALUES: KPI card titles, in display order.
 KPI_CARDS = ["Gross Sales", "Profit", "Order", "Cancel Rate", "Produk Terjual"]

@@ -68,12 +68,12 @@ def percent_of(part: Column, total: Column) -> Column:
 # ------------------------------------------------------------------ text
 def money_text(x: Column) -> Column:
     """P5: ``$1,234``; half-even to whole units; negatives print ``$-1,234``."""
-    return F.concat(F.lit("$"), F.format_number(x.cast("double"), 0))
+    return F.concat(F.lit("$"), F.format_number(x, 0))
 
 
 def count_text(x: Column) -> Column:
-    """Thousands grouping, whole units."""
-    return F.format_number(x.cast("double"), 0)
+    """Thousands grouping, whole units; a count keeps all its digits."""
+    return F.format_number(x, 0)
 
 
 def plain_text(x: Column, decimals: int) -> Column:

@@ -80,13 +80,16 @@ def resolve_range(sales: DataFrame, start: DateLike = None,
 def filter_all(marts: dict[str, DataFrame], start: DateLike = None, end: DateLike = None,
                categories: Sequence[str] = (), statuses: Sequence[str] = ()
                ) -> dict[str, DataFrame]:
-    """The three filtered facts of one dashboard view.
+    """The filtered facts of one dashboard view, and the sales rollup
+    (the sales fact itself where the marts have no rollup).
 
     Sales and orders take every filter; events take the date range only (a
     visitor who is only browsing has no category or order status).
     """
-    lo, hi = resolve_range(marts["fact_sales"], start, end)
+    rollup = marts.get("sales_rollup", marts["fact_sales"])
+    lo, hi = resolve_range(rollup, start, end)
     return {
+        "rollup": filter_facts(rollup, lo, hi, categories, statuses),
         "sales": filter_facts(marts["fact_sales"], lo, hi, categories, statuses),
         "orders": filter_facts(marts["fact_orders"], lo, hi, categories, statuses),
         "events": filter_facts(marts["fact_events"], lo, hi, categories, statuses,

@@ -12,12 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from warung.fixed_values import TOP_PAIRS
+from warung.fixed_values import CO_PURCHASE_SUFFIX, ORDER_SUFFIX, PAIR_JOINER, TOP_PAIRS
 from warung.functions.scalars import count_text, percent_text
 
-# Largest node count the dense matrix is drawn for (cells grow as nodes²).
-MAX_MATRIX_NODES = 20_000
-
 
 def _edge_ends(pairs: DataFrame) -> DataFrame:
     """Both ends of every edge stacked into one keyed list."""
@@ -40,14 +37,14 @@ def graph_nodes(pairs: DataFrame) -> DataFrame:
     vol = category_volume(pairs)
     return vol.select("ord", "category", "volume",
                       F.concat(F.col("category"), F.lit(" — "), count_text(F.col("volume")),
-                               F.lit(" co-purchase")).alias("text"))
+                               F.lit(CO_PURCHASE_SUFFIX)).alias("text"))
 
 
 def graph_edges(pairs: DataFrame) -> DataFrame:
     """Every edge, no threshold, with text ``"a + b: n order"``."""
     return pairs.select("kat1", "kat2", F.col("n").cast("bigint").alias("n"),
                         F.concat(F.col("kat1"), F.lit(" + "), F.col("kat2"), F.lit(": "),
-                                 count_text(F.col("n")), F.lit(" order")).alias("text"))
+                                 count_text(F.col("n")), F.lit(ORDER_SUFFIX)).alias("text"))
 
 
 def graph_density(pairs: DataFrame) -> DataFrame:
@@ -77,17 +74,17 @@ def assert_unique_edges(pairs: DataFrame) -> DataFrame:
                     F.when(F.col("_k") > 1, dup).otherwise(F.col("n")).alias("n")))
 
 
-def co_purchase_matrix(pairs: DataFrame, max_nodes: int = MAX_MATRIX_NODES) -> DataFrame:
-    """The symmetric category x category matrix in long form
-    ``(y_ord, y, x_ord, x, z)``, axes in volume order; absent pairs are 0 and
-    the diagonal is NULL.
+def co_purchase_matrix(pairs: DataFrame) -> DataFrame:
+    """The symmetric category x category matrix in sparse long form
+    ``(y_ord, y, x_ord, x, z)``, axes in volume order.
+
+    Two rows per edge, one in each direction; a pair that is absent means 0,
+    and the diagonal (drawn empty) is absent too, so the rows grow with the
+    observed edges and not with the square of the categories.
 
     The checked edge list is turned into both directions once (U2); node
     volumes are the sums of that list per row end (each edge counts once per
-    end, a self pair twice — the same weighted degree as G1).  The grid is
-    generated per row node by ``sequence(1, V)`` and an equi-join on the
-    position, not by a cross join; its size is V², so V is checked against
-    ``max_nodes`` inside the job before any cell is produced.
+    end, a self pair twice — the same weighted degree as G1).
     """
     edges = assert_unique_edges(pairs)
     sym = (edges.select(F.col("kat1").alias("y"), F.col("kat2").alias("x"), "n")
@@ -95,19 +92,11 @@ def co_purchase_matrix(pairs: DataFrame, max_nodes: int = MAX_MATRIX_NODES) -> D
     vol = (sym.where(F.col("y").isNotNull())
            .groupBy("y").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("volume")))
     order = Window.orderBy(F.col("volume").desc(), F.col("y"))
-    nodes = vol.select(F.row_number().over(order).cast("bigint").alias("ord"), "y",
-                       F.count(F.lit(1)).over(Window.partitionBy()).alias("v"))
-    too_big = F.raise_error(F.lit(f"co-purchase matrix over {max_nodes} categories"))
-    rows = nodes.select(F.col("ord").alias("y_ord"), "y",
-                        F.explode(F.when(F.col("v") > max_nodes, too_big)
-                                  .otherwise(F.sequence(F.lit(1).cast("bigint"), F.col("v"))))
-                        .alias("x_ord"))
-    cols = nodes.select(F.col("ord").alias("x_ord"), F.col("y").alias("x"))
-    z = F.when(F.col("y") == F.col("x"), F.lit(None).cast("double")) \
-         .otherwise(F.coalesce(F.col("n").cast("double"), F.lit(0.0)))
-    return (rows.join(cols, "x_ord")
-            .join(sym.where(F.col("y") != F.col("x")), ["y", "x"], "left")
-            .select("y_ord", "y", "x_ord", "x", z.alias("z")))
+    nodes = vol.select(F.row_number().over(order).cast("bigint").alias("ord"), "y")
+    return (sym.where(F.col("y") != F.col("x"))
+            .join(nodes.withColumnRenamed("ord", "y_ord"), "y")
+            .join(nodes.select(F.col("ord").alias("x_ord"), F.col("y").alias("x")), "x")
+            .select("y_ord", "y", "x_ord", "x", F.coalesce(F.col("n").cast("double"), F.lit(0.0)).alias("z")))
 
 
 def top_pairs(pairs: DataFrame, n: int = TOP_PAIRS) -> DataFrame:
@@ -116,7 +105,7 @@ def top_pairs(pairs: DataFrame, n: int = TOP_PAIRS) -> DataFrame:
            .orderBy(F.col("n").desc(), "kat1", "kat2").limit(n))
     rank = F.row_number().over(Window.orderBy(F.col("n").desc(), "kat1", "kat2"))
     return top.select(rank.cast("bigint").alias("rank"), "kat1", "kat2", F.col("n").cast("bigint").alias("n"),
-                      F.concat(F.col("kat1"), F.lit("  +  "), F.col("kat2")).alias("label"),
+                      F.concat(F.col("kat1"), F.lit(PAIR_JOINER), F.col("kat2")).alias("label"),
                       count_text(F.col("n")).alias("text"))
 
 

@@ -99,33 +99,26 @@ def rank_ties(sales: DataFrame, n: int = TOP_N) -> DataFrame:
     top n equal the #n value, and the value at #n+1.  A ranking with n or
     fewer members is skipped, so the result may have no rows.
 
-    Both rankings read one per-product aggregate, stacked into
-    (ranking, product, value) so the two branches share the same plan below
-    their filter and Spark reuses its shuffle; each ranking is then cut to
-    its n+1 largest values by a distributed top-k, and the window runs over
-    those n+1 rows only.
+    Both rankings are one branch: the per-product sums stacked into (ranking,
+    product, value), cut to the n+1 first of each ranking (Spark limits the
+    groups of a ranked window before its shuffle), then one aggregate by
+    ranking over those few rows.
     """
     per = per_product(sales)
     value_type = "decimal(38,4)"
+    labels = dict(zip(("units", "profit"), RANKINGS))
     stacked = (per.select("product_id", F.explode(F.array(*[
-        F.struct(F.lit(m).alias("measure"), F.col(m).cast(value_type).alias("v"))
-        for m in ("units", "profit")])).alias("s"))
-        .select("product_id", "s.measure", "s.v"))
-    parts = []
-    for label, measure in zip(RANKINGS, ("units", "profit")):
-        one = stacked.where(F.col("measure") == measure).select("product_id", F.col("v").alias(measure))
-        top = _top(one, "product_id", measure, n + 1)
-        rn = F.row_number().over(Window.orderBy(F.col("value").desc(), F.col("product_id")))
-        ranked = top.select(F.col("value").cast("double").alias("value"), rn.alias("rn"))
-        at = lambda k: F.max(F.when(F.col("rn") == k, F.col("value")))
-        ranked = ranked.withColumn("nth", at(n).over(Window.partitionBy()))
-        is_tie = (F.col("rn") <= n) & (F.col("value") == F.col("nth"))
-        summary = ranked.agg(F.count(F.lit(1)).alias("members"), at(1).alias("first"),
-                             F.max("nth").alias("nth"), at(n + 1).alias("next"),
-                             F.sum(F.when(is_tie, 1).otherwise(0)).alias("ties"))
-        parts.append(summary.where(F.col("members") > n)
-                     .select(F.lit(label).alias("peringkat"), F.col("first").alias("top_1"),
-                             F.col("nth").alias(f"top_{n}"),
-                             F.col("ties").cast("bigint").alias(f"ties_in_top_{n}"),
-                             F.col("next").alias(f"top_{n + 1}")))
-    return parts[0].unionByName(parts[1])
+        F.struct(F.lit(label).alias("peringkat"), as_missing(F.col(m), _is_double(per, m)).cast(value_type).alias("v"))
+        for m, label in labels.items()])).alias("s"))
+        .select("product_id", "s.peringkat", "s.v").where(F.col("v").isNotNull()))
+    order = Window.partitionBy("peringkat").orderBy(F.col("v").desc(), F.col("product_id"))
+    top = stacked.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= n + 1)
+    at = lambda k: F.max(F.when(F.col("rn") == k, F.col("v").cast("double")))
+    first = F.array_sort(F.collect_list(F.when(F.col("rn") <= n, F.col("v").cast("double"))))
+    return (top.groupBy("peringkat")                # n + 1 rows per ranking
+            .agg(F.count(F.lit(1)).alias("members"), at(1).alias("top_1"), at(n).alias(f"top_{n}"),
+                 first.alias("firsts"), at(n + 1).alias(f"top_{n + 1}"))
+            .where(F.col("members") > n)
+            .select("peringkat", "top_1", f"top_{n}",
+                    F.size(F.filter("firsts", lambda x: x == F.col(f"top_{n}"))).cast("bigint").alias(f"ties_in_top_{n}"),
+                    f"top_{n + 1}"))

@@ -18,11 +18,11 @@ from warung.functions.scalars import (at_least_one, bucket_start, count_share_te
 
 def domain(df: DataFrame, name: str, values: list) -> DataFrame:
     """A small inline domain ``(ord, name)``; its size is fixed by the list."""
-    return df.sparkSession.createDataFrame(
-        [(i + 1, v) for i, v in enumerate(values)], f"ord int, {name} string")
+    rows = ", ".join(f"({i + 1}, '{v}')" for i, v in enumerate(values))
+    return df.sparkSession.sql(f"SELECT * FROM VALUES {rows} AS t(ord, {name})")
 
 
-def kpi_cards(sales: DataFrame, orders: DataFrame) -> DataFrame:
+def kpi_cards(sales: DataFrame, orders: DataFrame, products: DataFrame | None = None) -> DataFrame:
     """A1-A3: one row — gross sales, profit, orders, cancel rate (%), distinct
     products sold.
 
@@ -30,15 +30,16 @@ def kpi_cards(sales: DataFrame, orders: DataFrame) -> DataFrame:
     category column the category filter does not reach it, so the cancel rate
     may cover more than the sales KPIs (kept as in the dashboard).  The two
     global aggregates are stacked and folded into one row (no join).
+
+    With ``products`` (the sales fact under the same filters) ``sales`` may be
+    the rollup: sums come from it, distinct products from the fact.
     """
-    s = sales.agg(
-        F.sum("gross_sales").alias("gross_sales"),
-        F.sum("profit").alias("profit"),
-        F.count_distinct("product_id").alias("products_sold"))
+    s = sales.agg(F.sum("gross_sales").alias("gross_sales"), F.sum("profit").alias("profit"))
+    p = (sales if products is None else products).agg(F.count_distinct("product_id").alias("products_sold"))
     o = orders.agg(
         F.sum("orders").alias("orders"),
         F.sum(F.when(F.col("status") == "Cancelled", F.col("orders"))).alias("cancelled"))
-    both = s.unionByName(o, allowMissingColumns=True).agg(
+    both = s.unionByName(p, allowMissingColumns=True).unionByName(o, allowMissingColumns=True).agg(
         *[F.max(c).alias(c) for c in ("gross_sales", "profit", "products_sold",
                                       "orders", "cancelled")])
     return both.select(
@@ -63,14 +64,19 @@ def orders_by_status(orders: DataFrame) -> DataFrame:
             .orderBy("orders", "status"))
 
 
-def category_table(sales: DataFrame) -> DataFrame:
-    """Per category units, gross, profit and distinct products; by gross desc."""
-    return (sales.where(F.col("category").isNotNull())
-            .groupBy("category")
+def category_table(sales: DataFrame, products: DataFrame | None = None) -> DataFrame:
+    """Per category units, gross, profit and distinct products; by gross
+    desc.  With ``products`` (the sales fact under the same filters) ``sales``
+    may be the rollup, as in ``kpi_cards``."""
+    known = F.col("category").isNotNull()
+    sums = (sales.where(known).groupBy("category")
             .agg(F.sum("items").cast("bigint").alias("unit"),
                  F.sum("gross_sales").cast("double").alias("gross"),
-                 F.sum("profit").cast("double").alias("profit"),
-                 F.count_distinct("product_id").alias("produk_unik"))
+                 F.sum("profit").cast("double").alias("profit")))
+    count = ((sales if products is None else products).where(known).groupBy("category")
+             .agg(F.count_distinct("product_id").alias("produk_unik")))
+    return (sums.join(count, "category", "left")
+            .select("category", "unit", "gross", "profit", F.coalesce("produk_unik", F.lit(0)).cast("bigint").alias("produk_unik"))
             .orderBy(F.col("gross").desc(), "category"))
 
 

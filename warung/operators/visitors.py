@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from warung.fixed_values import FUNNEL_ROWS, FUNNEL_STAGES, STAGE_NAMES
+from warung.fixed_values import FUNNEL_ROWS, FUNNEL_STAGES, SESSIONS_SUFFIX, STAGE_NAMES
 from warung.functions.scalars import at_least_one, count_text, percent_of, percent_text
 
 
@@ -20,10 +20,9 @@ def funnel(events: DataFrame) -> DataFrame:
     """
     per = (events.where(F.col("event_type").isin(FUNNEL_STAGES))
            .groupBy("event_type").agg(F.sum("sessions").alias("sessions")))
-    rows = [(i + 1, s, STAGE_NAMES[s], FUNNEL_ROWS[min(i, len(FUNNEL_ROWS) - 1)])
-            for i, s in enumerate(FUNNEL_STAGES)]
-    stages = events.sparkSession.createDataFrame(
-        rows, "ord int, event_type string, stage_name string, funnel_row string")
+    rows = ", ".join(f"({i + 1}, '{s}', '{STAGE_NAMES[s]}', '{FUNNEL_ROWS[min(i, len(FUNNEL_ROWS) - 1)]}')"
+                     for i, s in enumerate(FUNNEL_STAGES))
+    stages = events.sparkSession.sql(f"SELECT * FROM VALUES {rows} AS t(ord, event_type, stage_name, funnel_row)")
     v = F.coalesce(F.col("sessions"), F.lit(0)).cast("bigint")
     joined = stages.join(F.broadcast(per), "event_type", "left").withColumn("sessions", v)
     peak = at_least_one(F.max(F.when(F.col("ord") == 1, F.col("sessions"))).over(Window.partitionBy()))
@@ -45,5 +44,5 @@ def sessions_by_source(events: DataFrame) -> DataFrame:
             .groupBy("traffic_source")
             .agg(F.sum("sessions").cast("bigint").alias("sessions"))
             .select("traffic_source", "sessions",
-                    F.concat(count_text(F.col("sessions")), F.lit(" Sesi")).alias("text"))
+                    F.concat(count_text(F.col("sessions")), F.lit(SESSIONS_SUFFIX)).alias("text"))
             .orderBy("sessions", "traffic_source"))

@@ -10,6 +10,7 @@ key says ``_filtered``, which applies one fixed sidebar selection.
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -61,7 +62,6 @@ SQL_VIEW_SALES = (f"{SQL_VIEW_RANGE} AND category IN ({_sql_list(VIEW_CATEGORIES
 SQL_VIEW_ORDERS = f"{SQL_VIEW_RANGE} AND status IN ({_sql_list(VIEW_STATUSES)})"
 
 
-_MART_CACHE: dict[tuple[str, str], dict[str, DataFrame]] = {}
 _BOUNDS_CACHE: dict[tuple[str, str], tuple] = {}
 
 
@@ -74,15 +74,37 @@ def _built(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return M.build_marts(spark, root)
 
 
+def _mart_root(spark: SparkSession, root: str, what: str = "marts") -> str:
+    """One place per application and source under the shared folder."""
+    from warung.session import checkpoint_root
+    app, tag = spark.sparkContext.applicationId, hashlib.md5(root.encode()).hexdigest()[:12]
+    return f"{checkpoint_root(spark).rstrip('/')}/warung-{what}/{app}/{tag}"
+
+
+class _Marts(dict):
+    """The marts of a source, each built when it is first asked for, written
+    under the shared folder and read back (S4/S5): page queries start from the
+    written parquet, and one that reads two tables builds those two."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        super().__init__()
+        self.spark, self.root = spark, root
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = M.load_table(self.spark, _mart_root(self.spark, self.root), self.root, name)
+        return self[name]
+
+    def get(self, name, default=None):
+        return self[name]
+
+
+_MART_CACHE: dict[tuple[str, str], _Marts] = {}
+
+
 def _marts(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The marts of ``root``, built once per session and written under the
-    shared checkpoint folder, then read back (S4/S5): page queries start
-    from the written parquet, like the dashboard reading its summary tables."""
     key = _session_key(spark, root)
     if key not in _MART_CACHE:
-        from warung.session import scratch_path
-        path = scratch_path(spark, "mart")
-        _MART_CACHE[key] = dict(M.load_mart(spark, path, root, with_graph=True))
+        _MART_CACHE[key] = _Marts(spark, root)
     return _MART_CACHE[key]
 
 
@@ -90,15 +112,27 @@ def _bounds(spark: SparkSession, root: str) -> tuple:
     """F6 default date range, computed once per session and source."""
     key = _session_key(spark, root)
     if key not in _BOUNDS_CACHE:
-        _BOUNDS_CACHE[key] = filters.date_bounds(_marts(spark, root)["fact_sales"])
+        _BOUNDS_CACHE[key] = filters.date_bounds(_marts(spark, root)[M.ROLLUP_TABLE])
     return _BOUNDS_CACHE[key]
 
 
+class _View(dict):
+    """The facts under one selection, each filtered when it is asked for."""
+
+    def __init__(self, spark: SparkSession, root: str, selection: tuple):
+        super().__init__()
+        self.marts, self.selection = _marts(spark, root), selection
+
+    def __missing__(self, name: str) -> DataFrame:
+        table = {"sales": "fact_sales", "orders": "fact_orders", "rollup": M.ROLLUP_TABLE}[name]
+        self[name] = filters.filter_facts(self.marts[table], *self.selection)
+        return self[name]
+
+
 def _view(spark: SparkSession, root: str, filtered: bool = False) -> dict[str, DataFrame]:
-    m = _marts(spark, root)
     if filtered:
-        return filters.filter_all(m, VIEW_START, VIEW_END, VIEW_CATEGORIES, VIEW_STATUSES)
-    return filters.filter_all(m, *_bounds(spark, root))
+        return _View(spark, root, (VIEW_START, VIEW_END, VIEW_CATEGORIES, VIEW_STATUSES))
+    return _View(spark, root, _bounds(spark, root))
 
 
 def _events(spark: SparkSession, root: str) -> DataFrame:
@@ -168,25 +202,24 @@ def q_category_pairs(spark, root):
 
 
 @register("load_mart", with_marts(
-    ["fact_sales", "fact_orders", "fact_events", "dim_products"], """
+    ["fact_sales", "fact_orders", "fact_events", "dim_products", "category_pairs"], """
 SELECT 'fact_sales' AS table_name, COUNT(*) AS n_rows FROM fact_sales
 UNION ALL SELECT 'fact_orders', COUNT(*) FROM fact_orders
 UNION ALL SELECT 'fact_events', COUNT(*) FROM fact_events
-UNION ALL SELECT 'dim_products', COUNT(*) FROM dim_products"""))
+UNION ALL SELECT 'dim_products', COUNT(*) FROM dim_products
+UNION ALL SELECT 'sales_rollup', COUNT(*) FROM (SELECT DISTINCT tanggal, category, status FROM fact_sales) r
+UNION ALL SELECT 'category_pairs', COUNT(*) FROM category_pairs"""))
 def q_load_mart(spark, root):
-    """Materialize the marts under the shared checkpoint folder
-    (or reuse a complete, current copy), then read them back."""
-    from warung.session import scratch_path
-    frames = M.load_mart(spark, scratch_path(spark, "mart"), root, refresh=True)
+    """Publish all marts of the source as one version, or reuse
+    the published ones, then read them back."""
+    frames = M.load_mart(spark, _mart_root(spark, root, "mart-set"), root, with_graph=True)
     return M.mart_inventory(frames)
 
 
-
 @register("build_fact_events_stream", with_marts(["fact_events"], "SELECT * FROM fact_events"))
 def q_build_fact_events_stream(spark, root):
-    """B3 incrementally: event files through a Structured Streaming job
-    (watermarked de-duplication into an exactly-once parquet sink), then the
-    mart aggregate over the sink."""
+    """B3 incrementally: event files through a stateless Structured Streaming
+    job into an exactly-once parquet sink, then the mart over the sink."""
     from warung.session import scratch_path
     from warung.streaming.events import refresh_fact_events
     base = scratch_path(spark, "events-stream")
@@ -212,7 +245,7 @@ def q_filter_all(spark, root):
 SELECT DISTINCT category FROM fact_sales WHERE category IS NOT NULL"""))
 def q_option_categories(spark, root):
     """the category picker's options."""
-    return filters.option_categories(_marts(spark, root)["fact_sales"])
+    return filters.option_categories(_marts(spark, root)[M.ROLLUP_TABLE])
 
 
 # ------------------------------------------------------------ sales page
@@ -230,14 +263,14 @@ SELECT COALESCE(CAST((SELECT SUM(gross_sales) FROM s) AS DOUBLE), 0.0) AS gross_
 def q_kpi_cards(spark, root):
     """A1-A3: the KPI row over the whole range (flagship)."""
     v = _view(spark, root)
-    return sales.kpi_cards(v["sales"], v["orders"])
+    return sales.kpi_cards(v["rollup"], v["orders"], v["sales"])
 
 
 @register("kpi_cards_filtered", _kpi_sql(True))
 def q_kpi_cards_filtered(spark, root):
     """A1-A3 under the sidebar selection."""
     v = _view(spark, root, filtered=True)
-    return sales.kpi_cards(v["sales"], v["orders"])
+    return sales.kpi_cards(v["rollup"], v["orders"], v["sales"])
 
 
 def _labels_sql() -> str:
@@ -257,7 +290,7 @@ FROM (VALUES """ + cards + """) c(ord, card), k""")
 def q_report_labels(spark, root):
     """The KPI cards as display texts."""
     v = _view(spark, root)
-    return sales.report_labels(sales.kpi_cards(v["sales"], v["orders"]))
+    return sales.report_labels(sales.kpi_cards(v["rollup"], v["orders"], v["sales"]))
 
 
 def _status_sql(filtered: bool) -> str:
@@ -292,13 +325,15 @@ FROM s WHERE category IS NOT NULL GROUP BY category""", filtered)
 @register("category_table", _category_sql(False))
 def q_category_table(spark, root):
     """Per-category breakdown."""
-    return sales.category_table(_view(spark, root)["sales"])
+    v = _view(spark, root)
+    return sales.category_table(v["rollup"], v["sales"])
 
 
 @register("category_table_filtered", _category_sql(True))
 def q_category_table_filtered(spark, root):
     """A7 under the sidebar selection."""
-    return sales.category_table(_view(spark, root, filtered=True)["sales"])
+    v = _view(spark, root, filtered=True)
+    return sales.category_table(v["rollup"], v["sales"])
 
 
 TRUNC_SQL = {"day": "CAST(CAST(tanggal AS DATE) AS TIMESTAMP)",
@@ -325,7 +360,7 @@ for _grain, _name in (("day", "daily"), ("week", "weekly"), ("month", "monthly")
         _key = f"trend_{_name}" + ("_filtered" if _filtered else "")
 
         def _run(spark, root, grain=_grain, filtered=_filtered):
-            return sales.trend(_view(spark, root, filtered)["sales"], grain)
+            return sales.trend(_view(spark, root, filtered)["rollup"], grain)
 
         register(_key, _trend_sql(_grain, _filtered),
                  f"R1-R4: gross sales and profit per {_grain}, gaps filled with 0"
@@ -338,7 +373,7 @@ SELECT series, tanggal, value, tanggal = MAX(tanggal) OVER () AS is_last FROM (
   UNION ALL SELECT 'Profit', tanggal, profit FROM tr) u""", False, _trend_ctes("month")))
 def q_trend_long(spark, root):
     """The monthly trend (default grain) in long form, last bucket flagged."""
-    return sales.trend_long(sales.trend(_view(spark, root)["sales"], "month"))
+    return sales.trend_long(sales.trend(_view(spark, root)["rollup"], "month"))
 
 
 @register("trend_end_labels", _sales_sql("""
@@ -348,7 +383,7 @@ SELECT series, tanggal, value FROM (
 WHERE tanggal = (SELECT MAX(tanggal) FROM tr)""", False, _trend_ctes("month")))
 def q_trend_end_labels(spark, root):
     """The value at the last monthly bucket of each series."""
-    return sales.trend_end_labels(sales.trend(_view(spark, root)["sales"], "month"))
+    return sales.trend_end_labels(sales.trend(_view(spark, root)["rollup"], "month"))
 
 
 # ---------------------------------------------------------- visitor page
@@ -388,6 +423,36 @@ def q_sessions_by_source(spark, root):
     return visitors.sessions_by_source(_events(spark, root))
 
 
+# A date window inside the events' range (events and orders do not overlap in
+# time here), so F5 and F6 reach the visitor page.
+EVENTS_START = dt.datetime(2024, 1, 8)
+EVENTS_END = dt.datetime(2024, 1, 20)
+EVENTS_VIEW_SQL = [f"e AS (SELECT * FROM fact_events WHERE tanggal BETWEEN TIMESTAMP '{EVENTS_START:%Y-%m-%d}' "
+                   f"AND TIMESTAMP '{EVENTS_END:%Y-%m-%d}')"]
+
+
+def _events_view(spark, root):
+    """The events of that window; category and status lists do not reach them."""
+    return filters.filter_facts(_marts(spark, root)["fact_events"], EVENTS_START, EVENTS_END, VIEW_CATEGORIES, VIEW_STATUSES,
+                                use_category=False, use_status=False)
+
+
+def _events_view_sql(key: str) -> str:
+    return REGISTRY[key].sql.replace(EVENTS_SQL[0], EVENTS_VIEW_SQL[0])
+
+
+@register("funnel_filtered", _events_view_sql("funnel"))
+def q_funnel_filtered(spark, root):
+    """The funnel of a date window; stages without sessions stay."""
+    return visitors.funnel(_events_view(spark, root))
+
+
+@register("sessions_by_source_filtered", _events_view_sql("sessions_by_source"))
+def q_sessions_by_source_filtered(spark, root):
+    """Product-view sessions per traffic source in a date window."""
+    return visitors.sessions_by_source(_events_view(spark, root))
+
+
 # ---------------------------------------------------------- products page
 PER_PRODUCT_SQL = ("pp AS (SELECT product_id, SUM(items) AS units, SUM(profit) AS profit "
                    "FROM s WHERE product_id IS NOT NULL GROUP BY 1)")
@@ -401,11 +466,11 @@ def _label_sql(col: str, width: int = 38) -> str:
             f"ELSE regexp_replace(substring({col}, 1, {width}), ' [^ ]*$', '') || '…' END")
 
 
-def _top_product_sql(measure: str) -> str:
+def _top_product_sql(measure: str, filtered: bool) -> str:
     vtype = "BIGINT" if measure == "units" else "DOUBLE"
     text = (f"format('{{:,.0f}}', CAST(t.value AS DOUBLE))" if measure == "units"
             else f"'$' || format('{{:,.0f}}', CAST(t.value AS DOUBLE))")
-    names, extra = _sales_view_sql(False)
+    names, extra = _sales_view_sql(filtered)
     body = f"""
 SELECT t.rank, t.product_id, COALESCE(d.product_name, CAST(t.product_id AS VARCHAR)) AS label,
        {_label_sql("COALESCE(d.product_name, CAST(t.product_id AS VARCHAR))")} AS short_label,
@@ -418,11 +483,11 @@ WHERE t.rank <= {TOP_N}"""
     return with_marts(names + ["dim_products"], body, extra + [PER_PRODUCT_SQL])
 
 
-def _top_brand_sql(measure: str) -> str:
+def _top_brand_sql(measure: str, filtered: bool) -> str:
     vtype = "BIGINT" if measure == "units" else "DOUBLE"
     text = (f"format('{{:,.0f}}', CAST(value AS DOUBLE))" if measure == "units"
             else f"'$' || format('{{:,.0f}}', CAST(value AS DOUBLE))")
-    names, extra = _sales_view_sql(False)
+    names, extra = _sales_view_sql(filtered)
     body = f"""
 SELECT rank, brand, {_label_sql("brand")} AS short_label, CAST(value AS {vtype}) AS value, {text} AS text
 FROM (SELECT brand, {measure} AS value, ROW_NUMBER() OVER (ORDER BY {measure} DESC, brand) AS rank
@@ -432,22 +497,24 @@ WHERE rank <= {TOP_N}"""
 
 
 for _measure in ("units", "profit"):
-    def _run_p(spark, root, measure=_measure):
-        v = _view(spark, root)
-        return products.top_products(v["sales"], _marts(spark, root)["dim_products"], measure)
+    for _filtered in (False, True):
+        def _run_p(spark, root, measure=_measure, filtered=_filtered):
+            v = _view(spark, root, filtered)
+            return products.top_products(v["sales"], _marts(spark, root)["dim_products"], measure)
 
-    def _run_b(spark, root, measure=_measure):
-        v = _view(spark, root)
-        return products.top_brands(v["sales"], _marts(spark, root)["dim_products"], measure)
+        def _run_b(spark, root, measure=_measure, filtered=_filtered):
+            v = _view(spark, root, filtered)
+            return products.top_brands(v["sales"], _marts(spark, root)["dim_products"], measure)
 
-    register(f"top_products_{_measure}", _top_product_sql(_measure),
-             f"T1/J1: top {TOP_N} products by {_measure}")(_run_p)
-    register(f"top_brands_{_measure}", _top_brand_sql(_measure),
-             f"T2/J2/A9: top {TOP_N} brands by {_measure}")(_run_b)
+        _suffix, _note = ("_filtered", " (sidebar selection)") if _filtered else ("", "")
+        register(f"top_products_{_measure}{_suffix}", _top_product_sql(_measure, _filtered),
+                 f"T1/J1: top {TOP_N} products by {_measure}{_note}")(_run_p)
+        register(f"top_brands_{_measure}{_suffix}", _top_brand_sql(_measure, _filtered),
+                 f"T2/J2/A9: top {TOP_N} brands by {_measure}{_note}")(_run_b)
 
 
-def _rank_ties_sql() -> str:
-    names, extra = _sales_view_sql(False)
+def _rank_ties_sql(filtered: bool) -> str:
+    names, extra = _sales_view_sql(filtered)
     parts = []
     for label, measure in (("unit terjual", "units"), ("profit", "profit")):
         parts.append(f"""
@@ -465,12 +532,18 @@ HAVING COUNT(*) > {TOP_N}""")
     return with_marts(names, "\nUNION ALL\n".join(parts), extra + [PER_PRODUCT_SQL])
 
 
-@register("rank_ties", _rank_ties_sql())
+@register("rank_ties", _rank_ties_sql(False))
 def q_rank_ties(spark, root):
     """T4: values at #1, #10, #11 and ties with #10, for units and profit."""
     return products.rank_ties(_view(spark, root)["sales"])
 
 
+@register("rank_ties_filtered", _rank_ties_sql(True))
+def q_rank_ties_filtered(spark, root):
+    """T4 under the sidebar selection."""
+    return products.rank_ties(_view(spark, root, filtered=True)["sales"])
+
+
 # ---------------------------------------------------------------- graph
 VOLUME_SQL = ("vol AS (SELECT category, CAST(SUM(n) AS BIGINT) AS volume FROM ("
               "SELECT kat1 AS category, n FROM category_pairs UNION ALL "
@@ -517,15 +590,13 @@ def q_graph_density(spark, root):
 
 
 @register("co_purchase_matrix", with_marts(["category_pairs"], """
-SELECT a.ord AS y_ord, a.category AS y, b.ord AS x_ord, b.category AS x,
-       CASE WHEN a.category = b.category THEN NULL
-            ELSE COALESCE(CAST(p.n AS DOUBLE), 0.0) END AS z
-FROM nodes a CROSS JOIN nodes b
-LEFT JOIN category_pairs p
-  ON (p.kat1 = a.category AND p.kat2 = b.category) OR (p.kat1 = b.category AND p.kat2 = a.category)""",
+SELECT a.ord AS y_ord, a.category AS y, b.ord AS x_ord, b.category AS x, CAST(p.n AS DOUBLE) AS z
+FROM (SELECT kat1, kat2, n FROM category_pairs UNION ALL SELECT kat2, kat1, n FROM category_pairs) p
+JOIN nodes a ON p.kat1 = a.category JOIN nodes b ON p.kat2 = b.category
+WHERE p.kat1 <> p.kat2""",
     [VOLUME_SQL, NODES_SQL]))
 def q_co_purchase_matrix(spark, root):
-    """The dense symmetric co-purchase matrix, long form."""
+    """The symmetric co-purchase matrix, sparse long form."""
     return graph.co_purchase_matrix(_pairs(spark, root))
 
 
@@ -577,7 +648,7 @@ def _fc_sql(body: str, ctes: list[str]) -> str:
 
 
 def _weekly(spark, root):
-    return FC.weekly_profit(_marts(spark, root)["fact_sales"])
+    return FC.weekly_profit(_marts(spark, root)[M.ROLLUP_TABLE])
 
 
 def _frame(spark, root):
@@ -648,10 +719,8 @@ def _forecast_tables(spark, root) -> dict[str, DataFrame]:
     checkpoint folder, read back (later page views read the parquet)."""
     key = _session_key(spark, root)
     if key not in _FORECAST_CACHE:
-        from warung.session import scratch_path
-        out = scratch_path(spark, "forecast")
         _FORECAST_CACHE[key] = M.load_forecast(
-            spark, out, lambda: FC.build_forecast(_marts(spark, root)["fact_sales"]))
+            spark, _mart_root(spark, root, "forecast"), lambda: FC.build_forecast(_marts(spark, root)[M.ROLLUP_TABLE]), src_root=root)
     return _FORECAST_CACHE[key]
 
 
@@ -679,10 +748,11 @@ def q_predicted_vs_actual(spark, root):
     return FC.predicted_vs_actual(_forecast_tables(spark, root)["prediksi"])
 
 
-@register("compare_engines", None)
-def q_compare_engines(spark, root):
-    """M6: RMSE of run A and run B side by side (default metric)."""
-    return FC.compare_engines(_forecast_tables(spark, root)["skor"])
+for _metric, _name in (("RMSE", "compare_engines"), ("R²", "compare_engines_r2"), ("MAPE", "compare_engines_mape")):
+    def _run_c(spark, root, metric=_metric):
+        return FC.compare_engines(_forecast_tables(spark, root)["skor"], metric)
+
+    register(_name, None, f"M6: {_metric} of run A and run B side by side")(_run_c)
 
 
 @register("score_table", None)

@@ -8,7 +8,7 @@ names, in dependency order.
 
 from __future__ import annotations
 
-CATEGORY = "concat_ws(' ', p.p_type, split_part(p.p_name, ' ', -1))"
+CATEGORY = "CASE WHEN p.p_partkey IS NOT NULL THEN concat_ws(' ', p.p_type, split_part(p.p_name, ' ', -1)) END"
 
 STATUS = """CASE WHEN o.o_orderpriority = '5-LOW' AND o.o_orderstatus = 'F' THEN 'Returned'
                  WHEN o.o_orderpriority = '5-LOW' AND o.o_orderstatus = 'P' THEN 'Cancelled'
@@ -28,8 +28,8 @@ CTES = {
                   - CAST(CAST(l.l_quantity AS BIGINT) AS DECIMAL(12,2)) * CAST(p.p_retailprice AS DECIMAL(12,2))
                   AS DECIMAL(18,4))) AS profit
   FROM lineitem l
-  JOIN orders o ON l.l_orderkey = o.o_orderkey
-  JOIN part p ON l.l_partkey = p.p_partkey
+  LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey
+  LEFT JOIN part p ON l.l_partkey = p.p_partkey
   GROUP BY 1, 2, 3, 4)""",
     "fact_orders": f"""fact_orders AS (
   SELECT CAST(CAST(o.o_orderdate AS DATE) AS TIMESTAMP) AS tanggal, {STATUS} AS status,

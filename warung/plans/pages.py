@@ -35,12 +35,12 @@ def sales_page(marts: dict[str, DataFrame], start: DateLike = None, end: DateLik
     """KPI cards, trend at the chosen grain (Harian / Mingguan / Bulanan),
     orders by status and the category table."""
     v = _view(marts, start, end, categories, statuses)
-    kpi = sales.kpi_cards(v["sales"], v["orders"])
-    tr = sales.trend(v["sales"], GRAINS.get(grain, grain))
+    kpi = sales.kpi_cards(v["rollup"], v["orders"], v["sales"])
+    tr = sales.trend(v["rollup"], GRAINS.get(grain, grain))
     return {"kpi": kpi, "cards": sales.report_labels(kpi), "trend": tr,
             "trend_long": sales.trend_long(tr), "trend_end": sales.trend_end_labels(tr),
             "status": sales.orders_by_status(v["orders"]),
-            "categories": sales.category_table(v["sales"])}
+            "categories": sales.category_table(v["rollup"], v["sales"])}
 
 
 def visitors_page(marts: dict[str, DataFrame], start: DateLike = None, end: DateLike = None,
@@ -73,10 +73,12 @@ def graph_page(pairs: DataFrame) -> dict[str, DataFrame]:
             "nodes": graph.graph_nodes(pairs), "edges": graph.graph_edges(pairs)}
 
 
-def forecast_page(tables: dict[str, DataFrame], metric: str = DEFAULT_METRIC
+def forecast_page(tables: dict[str, DataFrame], metric: str = DEFAULT_METRIC, suffix: str = "_b"
                   ) -> dict[str, DataFrame]:
     """Champion card, training meta, predicted vs actual, the two-run
-    comparison for one metric, the score table and the feature impact."""
+    comparison for one metric, the score table and the feature impact.
+    ``suffix`` names the second run's columns in ``skor`` (``_sklearn`` in
+    tables scored by that library)."""
     skor, dampak, prediksi = tables["skor"], tables["dampak"], tables["prediksi"]
     card = forecast.model_card(skor)
     if "model" in dampak.columns:
@@ -86,6 +88,6 @@ def forecast_page(tables: dict[str, DataFrame], metric: str = DEFAULT_METRIC
     champion = None if "model" in prediksi.columns else (card.select("model").first() or [None])[0]
     return {"card": card, "meta": tables["meta"],
             "predicted": forecast.predicted_vs_actual(prediksi, champion),
-            "compare": forecast.compare_engines(skor, metric),
+            "compare": forecast.compare_engines(skor, metric, suffix),
             "scores": forecast.score_table(skor),
             "impact": forecast.feature_impact_top(dampak, shown["model"] if shown else None)}

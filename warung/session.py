@@ -57,8 +57,9 @@ def checkpoint_root(spark: SparkSession) -> str:
 
     On a cluster this is set by the operator of the cluster and points at a
     shared file system; it is read from the session, never replaced.  Only
-    when it is unset (local runs and tests) a fresh folder is created and
-    registered as the checkpoint folder of this session.
+    when it is unset in a local session (as in tests) a fresh folder is created
+    and registered; on a cluster a folder of the driver's machine would not be
+    seen by the executors, so an unset setting is an error there.
     """
     current = spark.sparkContext.getCheckpointDir()
     if not current:
@@ -67,6 +68,8 @@ def checkpoint_root(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(current)
             current = spark.sparkContext.getCheckpointDir() or current
     if not current:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         current = tempfile.mkdtemp(prefix="warung-ckpt-")
         spark.sparkContext.setCheckpointDir(current)
         current = spark.sparkContext.getCheckpointDir() or current

@@ -28,6 +28,7 @@ output columns):
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.errors import AnalysisException
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from warung.fixed_values import (FACTS_WITH_DATE, FORECAST_TABLES,
-                                 GRAPH_TABLE, MART_TABLES, TRAFFIC_SOURCES)
+                                 GRAPH_TABLE, MART_TABLES, ROLLUP_TABLE, TRAFFIC_SOURCES)
 from warung.functions.scalars import day_ts
 from warung.sources.tables import read_table
 
@@ -78,11 +79,19 @@ def traffic_source_of(user_id):
 
 
 # ----------------------------------------------------------------- builders
+def exact(x, name: str, kind: str):
+    """``x`` as a decimal or whole number; a value with more digits than the
+    type holds is an error raised inside the job, never rounded."""
+    made = x.cast(kind)
+    lost = F.raise_error(F.concat(F.lit(f"{name} does not fit {kind}: "), x.cast("string")))
+    return F.when(made.cast("double") != x.cast("double"), lost).otherwise(made)
+
+
 def product_lines(part: DataFrame) -> DataFrame:
     return part.select(
         F.col("p_partkey").alias("product_id"),
         category_of(F.col("p_type"), F.col("p_name")).alias("category"),
-        F.col("p_retailprice").cast(UNIT_COST).alias("unit_cost"))
+        exact(F.col("p_retailprice"), "p_retailprice", UNIT_COST).alias("unit_cost"))
 
 
 def order_lines(orders: DataFrame) -> DataFrame:
@@ -99,15 +108,20 @@ def build_fact_sales(lineitem: DataFrame, orders: DataFrame, part: DataFrame) ->
     only while its measured size is under ``autoBroadcastJoinThreshold``,
     otherwise it is a sort-merge join (AQE splits a skewed key).  The
     aggregate runs partial-before-shuffle on the full grain.
+
+    No line is dropped: one without its order has a NULL day and status, one
+    without its part a NULL category and no profit.  A quantity that is not
+    whole, or money with more digits than its type, is an error.
     """
-    qty = F.col("l_quantity").cast("bigint")
-    price = F.col("l_extendedprice").cast(MONEY)
-    disc = F.col("l_discount").cast(RATE)
+    qty = exact(F.col("l_quantity"), "l_quantity", "bigint")
+    price = exact(F.col("l_extendedprice"), "l_extendedprice", MONEY)
+    disc = exact(F.col("l_discount"), "l_discount", RATE)
     lines = lineitem.select("l_orderkey", "l_partkey", qty.alias("q"),
                             price.alias("ext"), disc.alias("disc"))
     joined = (lines
-              .join(order_lines(orders), F.col("l_orderkey") == F.col("o_orderkey"))
-              .join(product_lines(part), F.col("l_partkey") == F.col("product_id")))
+              .join(order_lines(orders), F.col("l_orderkey") == F.col("o_orderkey"), "left")
+              .join(product_lines(part).withColumnRenamed("product_id", "p_key"), F.col("l_partkey") == F.col("p_key"), "left")
+              .withColumnRenamed("l_partkey", "product_id"))
     line_profit = (F.col("ext") * (F.lit(1) - F.col("disc"))
                    - F.col("q").cast(QUANTITY) * F.col("unit_cost")).cast(LINE_PROFIT)
     return (joined
@@ -117,6 +131,19 @@ def build_fact_sales(lineitem: DataFrame, orders: DataFrame, part: DataFrame) ->
                  F.sum(line_profit).alias("profit")))
 
 
+def build_sales_rollup(fact_sales: DataFrame) -> DataFrame:
+    """tanggal x category x status -> items, gross_sales, profit.
+
+    What the KPI sums, trends, category sums and the forecast read: at most
+    days x categories x statuses rows (about 577,000 for the seven years and
+    48 categories of the test data), whatever the number of lines.  Distinct
+    products do not add up, so they are counted on ``fact_sales``.
+    """
+    return (fact_sales.groupBy("tanggal", "category", "status")
+            .agg(F.sum("items").alias("items"), F.sum("gross_sales").alias("gross_sales"),
+                 F.sum("profit").cast("decimal(38,4)").alias("profit")))
+
+
 def build_fact_orders(orders: DataFrame) -> DataFrame:
     """B2: tanggal x status -> number of orders."""
     return (order_lines(orders)
@@ -147,33 +174,20 @@ def build_dim_products(part: DataFrame) -> DataFrame:
 def build_category_pairs(lineitem: DataFrame, part: DataFrame) -> DataFrame:
     """kat1 < kat2 -> number of orders holding both categories.
 
-    One shuffle on the order key gathers each order's *set* of categories
-    (``collect_set`` combines map-side, so even an order holding a third of all
-    lines reaches its reducer as at most one set per map task, each no larger
-    than the category domain).  Pairs are then formed inside the de-duplicated
-    set, which is bounded by the category domain, not by the order size, and
-    the pair counts are combined map-side before a shuffle of pair keys only.
-
-    (Counting orders per distinct basket before forming pairs was measured
-    and rejected: a map task's baskets are mostly distinct, so it would add a
-    shuffle of one row per order, while the plan here shuffles only pair
-    keys after the order sets.)
+    Distinct (order, category) rows (a hash aggregate, combined before its
+    shuffle) meet themselves by an equi-join on the order with ``kat1 < kat2``,
+    over one reused exchange that adaptive execution can split where an order
+    is hot; the pair counts are combined before a shuffle of pair keys.  Lines
+    without an order key or category (an unknown part) make no pair.
     """
     cats = (lineitem.select("l_orderkey", "l_partkey")
             .join(product_lines(part).select("product_id", "category"),
                   F.col("l_partkey") == F.col("product_id"))
-            .where(F.col("category").isNotNull())
-            .groupBy("l_orderkey")
-            .agg(F.array_sort(F.collect_set("category")).alias("cats")))
-    pairs = F.flatten(F.transform(
-        F.col("cats"),
-        lambda x, i: F.transform(
-            F.slice(F.col("cats"), i + 2, F.greatest(F.size(F.col("cats")) - i - 1, F.lit(1))),
-            lambda y: F.struct(x.alias("kat1"), y.alias("kat2")))))
-    return (cats
-            .where(F.size("cats") > 1)
-            .select(F.explode(pairs).alias("p"))
-            .select("p.kat1", "p.kat2")
+            .where(F.col("category").isNotNull() & F.col("l_orderkey").isNotNull())
+            .select("l_orderkey", "category").distinct())
+    left = cats.withColumnRenamed("category", "kat1")
+    right = cats.withColumnRenamed("category", "kat2")
+    return (left.join(right, "l_orderkey")
             .where(F.col("kat1") < F.col("kat2"))
             .groupBy("kat1", "kat2")
             .agg(F.count(F.lit(1)).alias("n")))
@@ -190,6 +204,7 @@ def build_marts(spark: SparkSession, src_root: str) -> dict[str, DataFrame]:
         "fact_orders": build_fact_orders(orders),
         "fact_events": build_fact_events(events),
         "dim_products": build_dim_products(part),
+        ROLLUP_TABLE: build_sales_rollup(build_fact_sales(lineitem, orders, part)),
     }
 
 
@@ -212,6 +227,7 @@ class MartMissing(RuntimeError):
 REQUIRED_COLUMNS = {
     "fact_sales": ["tanggal", "category", "status", "product_id", "items",
                    "gross_sales", "profit"],
+    ROLLUP_TABLE: ["tanggal", "category", "status", "items", "gross_sales", "profit"],
     "fact_orders": ["tanggal", "status", "orders"],
     "fact_events": ["tanggal", "event_type", "traffic_source", "sessions"],
     "dim_products": ["product_id", "product_name", "brand"],
@@ -230,7 +246,7 @@ def mart_path(root: str, name: str) -> str:
 # Sort order inside each written file: the dashboard filters facts by date
 # range (and category), so date-clustered row groups let the pushed-down
 # filters skip row groups.  A per-task sort; no extra shuffle.
-WRITE_ORDER = {"fact_sales": ["tanggal", "category"], "fact_orders": ["tanggal"],
+WRITE_ORDER = {"fact_sales": ["tanggal", "category"], ROLLUP_TABLE: ["tanggal", "category"], "fact_orders": ["tanggal"],
                "fact_events": ["tanggal"]}
 # Facts large enough to be written in month directories, so a date-range
 # filter prunes whole directories (``PartitionFilters``) before any file is
@@ -246,15 +262,26 @@ MONTH_PARTITIONED = {"fact_sales"}
 PARTITION_COLUMN = "month"
 
 
-def write_tables(frames: dict[str, DataFrame], root: str, parallel: int = 4) -> None:
-    """Write each table as parquet, replacing an older copy.
+MANIFESTS = "_manifests"
+MANIFEST_SCHEMA = "version string, published timestamp, src_root string, tables array<string>"
+Derived = Callable[[dict[str, DataFrame]], DataFrame]
+
 
-    The writes are independent jobs, so they are submitted together from a
-    few driver threads; Spark interleaves their tasks, and a small dimension
-    job does not wait behind a large fact job.
+def write_tables(spark: SparkSession, frames: dict[str, DataFrame | Derived], root: str, src_root: str = "",
+                 parallel: int = 4) -> str:
+    """Write the tables into a folder of a new version and publish it.
+
+    The writes are independent jobs, so they are submitted together from a few
+    driver threads; a table given as a function is derived from the written
+    ones afterwards.  The last step writes one small manifest; readers go by
+    the newest manifest, so they never see a half-written version, and a
+    refresh that dies leaves the older version in force.
     """
     from concurrent.futures import ThreadPoolExecutor
 
+    version = uuid.uuid4().hex[:12]
+    folder = mart_path(root, f"v-{version}")
+
     def write(item):
         name, df = item
         writer_cols = []
@@ -264,47 +291,70 @@ def write_tables(frames: dict[str, DataFrame], root: str, parallel: int = 4) ->
             writer_cols = [PARTITION_COLUMN]
         if name in WRITE_ORDER and set(WRITE_ORDER[name]) <= set(df.columns):
             df = df.sortWithinPartitions(*writer_cols, *WRITE_ORDER[name])
-        df.write.mode("overwrite").partitionBy(*writer_cols).parquet(mart_path(root, name))
-
-    with ThreadPoolExecutor(max_workers=max(1, min(parallel, len(frames)))) as pool:
-        list(pool.map(write, frames.items()))
+        df.write.partitionBy(*writer_cols).parquet(mart_path(folder, name))
+
+    direct = {n: df for n, df in frames.items() if isinstance(df, DataFrame)}
+    with ThreadPoolExecutor(max_workers=max(1, min(parallel, len(direct)))) as pool:
+        list(pool.map(write, direct.items()))
+    written = {n: spark.read.parquet(mart_path(folder, n)) for n in direct}
+    for name, derive in frames.items():
+        if name not in direct:
+            write((name, derive(written)))
+    tables = ", ".join(f"'{n}'" for n in frames)
+    manifest = spark.sql(f"SELECT '{version}' AS version, current_timestamp() AS published, "
+                         f"'{src_root}' AS src_root, array({tables}) AS tables")
+    manifest.coalesce(1).write.mode("append").json(mart_path(root, MANIFESTS))
+    return version
+
+
+def published(spark: SparkSession, root: str) -> list[dict]:
+    """The manifests of ``root``, newest first; none if nothing is published.
+    Only a missing path means that; any other error is raised."""
+    try:
+        rows = spark.read.schema(MANIFEST_SCHEMA).json(mart_path(root, MANIFESTS)).collect()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    return [r.asDict() for r in sorted(rows, key=lambda r: (r["published"], r["version"]), reverse=True)]
 
 
 def read_tables(spark: SparkSession, root: str, names: Iterable[str],
-                required: dict[str, list[str]] | None = None) -> dict[str, DataFrame] | None:
-    """The written tables, or ``None`` if one is absent or stale.
+                required: dict[str, list[str]] | None = None, src_root: str | None = None) -> dict[str, DataFrame] | None:
+    """The newest published tables, or ``None`` if one is absent,
+    stale, or (with ``src_root``) built from another source.
 
     A table is stale when it lacks a required column (the dashboard's check is
     that the three facts carry ``tanggal``; ours lists every column read).
     """
-    out = {}
-    for name in names:
-        try:
-            df = spark.read.parquet(mart_path(root, name))
-        except AnalysisException:
-            return None
-        need = (required or {}).get(name, [])
-        if not set(need) <= set(df.columns):
-            return None
-        out[name] = df
+    names = list(names)
+    for m in published(spark, root):
+        if set(names) <= set(m["tables"]) and src_root in (None, m["src_root"]):
+            break
+    else:
+        return None
+    out = {n: spark.read.parquet(mart_path(mart_path(root, f"v-{m['version']}"), n)) for n in names}
+    if any(not set((required or {}).get(n, [])) <= set(df.columns) for n, df in out.items()):
+        return None
     return out
 
 
 def load_or_build(spark: SparkSession, root: str, names: list[str],
-                  build: Callable[[], dict[str, DataFrame]],
+                  build: Callable[[], dict[str, DataFrame | Derived]],
                   required: dict[str, list[str]] | None = None,
-                  refresh: bool = False) -> dict[str, DataFrame]:
-    """Reuse the written tables when complete, else build, write, re-read.
+                  refresh: bool = False, src_root: str = "") -> dict[str, DataFrame]:
+    """Reuse the published tables when complete and of this source,
+    else build, write, publish and read back.
 
-    Re-reading the written copy cuts the lineage: later jobs start from the
+    Reading the written copy cuts the lineage: later jobs start from the
     parquet files, not from the source joins.
     """
     if not refresh:
-        found = read_tables(spark, root, names, required)
+        found = read_tables(spark, root, names, required, src_root)
         if found is not None:
             return found
-    write_tables(build(), root)
-    found = read_tables(spark, root, names, required)
+    write_tables(spark, build(), root, src_root)
+    found = read_tables(spark, root, names, required, src_root)
     if found is None:  # pragma: no cover - a write that did not land
         raise MartMissing(root, "the mart build")
     return found
@@ -312,20 +362,34 @@ def load_or_build(spark: SparkSession, root: str, names: list[str],
 
 def load_mart(spark: SparkSession, mart_root: str, src_root: str,
               refresh: bool = False, with_graph: bool = False) -> dict[str, DataFrame]:
-    """S1/S4/S5/S7 for the four dashboard tables (and, with ``with_graph``,
-    the category-pair table, built in the same round of writes)."""
+    """S1/S4/S5/S7 for the dashboard tables and the rollup (and, with
+    ``with_graph``, the category-pair table), published as one version."""
     names = MART_TABLES + ([GRAPH_TABLE] if with_graph else [])
     required = {n: REQUIRED_COLUMNS[n] for n in names}
     for n in FACTS_WITH_DATE:
         assert "tanggal" in required[n]
 
     def build():
-        frames = build_marts(spark, src_root)
+        frames: dict[str, DataFrame | Derived] = dict(build_marts(spark, src_root))
+        frames[ROLLUP_TABLE] = lambda written: build_sales_rollup(written["fact_sales"])
         if with_graph:
             frames[GRAPH_TABLE] = build_graph(spark, src_root)
         return frames
 
-    return load_or_build(spark, mart_root, names, build, required, refresh)
+    return load_or_build(spark, mart_root, names, build, required, refresh, src_root)
+
+
+def load_table(spark: SparkSession, mart_root: str, src_root: str, name: str) -> DataFrame:
+    """One table on demand, published by itself under ``mart_root/name`` and
+    reused from there; the rollup is built from the published fact."""
+    def build():
+        if name == GRAPH_TABLE:
+            return {name: build_graph(spark, src_root)}
+        if name == ROLLUP_TABLE:
+            return {name: build_sales_rollup(load_table(spark, mart_root, src_root, "fact_sales"))}
+        return {name: build_marts(spark, src_root)[name]}
+
+    return load_or_build(spark, mart_path(mart_root, name), [name], build, {name: REQUIRED_COLUMNS[name]}, src_root=src_root)[name]
 
 
 def load_graph(spark: SparkSession, mart_root: str, src_root: str | None = None,
@@ -341,12 +405,12 @@ def load_graph(spark: SparkSession, mart_root: str, src_root: str | None = None,
         return found[GRAPH_TABLE]
     return load_or_build(spark, mart_root, names,
                          lambda: {GRAPH_TABLE: build_graph(spark, src_root)},
-                         required, refresh)[GRAPH_TABLE]
+                         required, refresh, src_root)[GRAPH_TABLE]
 
 
 def load_forecast(spark: SparkSession, mart_root: str,
                   build: Callable[[], dict[str, DataFrame]] | None = None,
-                  refresh: bool = False) -> dict[str, DataFrame]:
+                  refresh: bool = False, src_root: str = "") -> dict[str, DataFrame]:
     """S3/S6/S8 for the forecast results (skor, prediksi, dampak, meta)."""
     required = {n: REQUIRED_COLUMNS[n] for n in FORECAST_TABLES}
     if build is None:
@@ -354,7 +418,7 @@ def load_forecast(spark: SparkSession, mart_root: str,
         if found is None:
             raise MartMissing(mart_root, "build_forecast")
         return found
-    return load_or_build(spark, mart_root, FORECAST_TABLES, build, required, refresh)
+    return load_or_build(spark, mart_root, FORECAST_TABLES, build, required, refresh, src_root)
 
 
 def mart_inventory(frames: dict[str, DataFrame]) -> DataFrame:

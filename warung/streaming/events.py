@@ -2,19 +2,16 @@
 
 The dashboard reads ``fact_events`` (sessions per day, funnel stage and
 traffic source; a session is a distinct user-day).  When event files keep
-arriving, rebuilding the whole mart each time rereads all history.  This job
-reads only new files (file stream source), keeps one row per
-(day, stage, source, user) — de-duplicated under a watermark so its state is
-bounded by the watermark delay, not by history — and appends those rows to an
-exactly-once parquet sink (the checkpoint in the shared folder records which
-files and batches are done, so a restarted or failed run resumes without
-double counting).  The mart is then one aggregate over the sink.
+arriving, this job reads only new files (file stream source), projects them to
+(day, stage, source, user) and appends those rows to an exactly-once parquet
+sink (the checkpoint in the shared folder records which files and batches are
+done, so a restarted or failed run resumes without double counting).  The mart
+is then one distinct count over the sink.
 
-Late data: a row older than the watermark (``delay`` behind the newest day
-seen in an earlier batch) is dropped by the de-duplication step; choose the
-delay at least as large as the feed's lateness.  A one-shot replay of files
-(``availableNow``) processes the backlog as a first batch with no watermark
-yet, so it equals the batch build.
+The stream is stateless: no watermark, so a row that arrives after rows of a
+later day is kept, and the mart equals the batch build whatever the order of
+arrival.  Repeats of a user-day are counted once by the aggregate, which
+combines them before its shuffle.
 """
 
 from __future__ import annotations
@@ -29,35 +26,26 @@ from warung.sources.marts import funnel_stage_of, traffic_source_of
 KEYS = ["tanggal", "event_type", "traffic_source"]
 
 
-def user_days(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    """One row per (day, stage, source, user) of a streaming event frame.
-
-    The watermark column is the day as an event-time timestamp; it is part of
-    the de-duplication key, so state for a day is dropped once the watermark
-    passes it.
-    """
-    return (events
-            .select(day_ts(F.col("ts")).alias("tanggal"),
-                    funnel_stage_of(F.col("event_type")).alias("event_type"),
-                    traffic_source_of(F.col("user_id")).alias("traffic_source"),
-                    "user_id")
-            .withColumn("event_day", F.col("tanggal").cast("timestamp"))
-            .withWatermark("event_day", delay)
-            .dropDuplicates(["event_day", "event_type", "traffic_source", "user_id"]))
+def user_days(events: DataFrame) -> DataFrame:
+    """(day, stage, source, user) of an event frame."""
+    return events.select(day_ts(F.col("ts")).alias("tanggal"),
+                         funnel_stage_of(F.col("event_type")).alias("event_type"),
+                         traffic_source_of(F.col("user_id")).alias("traffic_source"),
+                         "user_id")
 
 
 def start_events_stream(spark: SparkSession, src_dir: str, out_path: str, checkpoint: str,
-                        glob: str = "events*.parquet", delay: str = "1 day",
+                        glob: str = "events*.parquet",
                         available_now: bool = True, max_files_per_trigger: int | None = None
                         ) -> StreamingQuery:
     """Start the incremental job: new event files under ``src_dir`` matching
-    ``glob`` -> de-duplicated user-days appended to ``out_path``."""
+    ``glob`` -> user-days appended to ``out_path``."""
     schema = spark.read.parquet(f"{src_dir.rstrip('/')}/{glob}").schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = user_days(reader.parquet(src_dir), delay)
-    writer = (stream.drop("event_day").writeStream
+    stream = user_days(reader.parquet(src_dir))
+    writer = (stream.writeStream
               .format("parquet")
               .option("path", out_path)
               .option("checkpointLocation", checkpoint)
@@ -70,13 +58,13 @@ def fact_events_from_sink(spark: SparkSession, out_path: str) -> DataFrame:
     """The mart from the sink: distinct users per day, stage and source."""
     return (spark.read.parquet(out_path)
             .groupBy(*KEYS)
-            .agg(F.count("user_id").alias("sessions")))
+            .agg(F.count_distinct("user_id").alias("sessions")))
 
 
 def refresh_fact_events(spark: SparkSession, src_dir: str, out_path: str, checkpoint: str,
-                        glob: str = "events*.parquet", delay: str = "1 day") -> DataFrame:
+                        glob: str = "events*.parquet") -> DataFrame:
     """Process every file not yet seen, then return the up-to-date mart."""
-    q = start_events_stream(spark, src_dir, out_path, checkpoint, glob, delay, available_now=True)
+    q = start_events_stream(spark, src_dir, out_path, checkpoint, glob, available_now=True)
     q.awaitTermination()
     if q.exception() is not None:  # pragma: no cover - surfaced by awaitTermination
         raise q.exception()
