@@ -17,7 +17,7 @@ spares most lines.
 
 Defined results: a null text has no lines and stays null; lines without words
 are never removed; rows equal in doc_id and text count as one document; the
-columns of ``docs`` are kept.
+columns of ``docs`` are kept, but for those that the added ones are named like.
 """
 
 from __future__ import annotations
@@ -233,28 +233,29 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, *, min_words: int = 5, id_
                 **_) -> DataFrame:
     """``docs`` with the remaining lines as text, and ``n_lines``, ``n_exact``
     and ``n_near`` (removed lines that repeat an earlier one, or are near one)."""
-    rows = docs.withColumn("rid", F.xxhash64(id_col, text_col)).withColumn("rid2", F.hash(F.lit(5), text_col, id_col))
-    slim = rows.select(F.col(id_col).alias("doc_id"), "rid", "rid2", F.col(text_col).alias("text"))
-    gone = (find_removed(spark, slim, min_words).distinct().groupBy("rid", "rid2")
+    added = ["n_lines", "n_exact", "n_near", "n_gone"]
+    keep = [c for c in docs.columns if c != text_col and c not in added]
+    rid, rid2, null = "_warung_rid", "_warung_rid2", "_warung_null"
+    rows = (docs.select(*keep, text_col).withColumn(rid, F.xxhash64(id_col, text_col)).withColumn(rid2, F.hash(F.lit(5), text_col, id_col)))
+    slim = rows.select(F.col(id_col).alias("doc_id"), F.col(rid).alias("rid"), F.col(rid2).alias("rid2"), F.col(text_col).alias("text"))
+    gone = (find_removed(spark, slim, min_words).distinct().groupBy(F.col("rid").alias(rid), F.col("rid2").alias(rid2))
             .agg(F.collect_list("line").alias("gone"), F.sum(F.col("exact").cast("long")).alias("n_exact"), F.count("*").alias("n_gone")))
     gone = saved(spark, gone, "lines-gone")
-    keep = [c for c in docs.columns if c != text_col]
-    squeezed = S.squeezed(rows.select("rid", "rid2", *keep, text_col).withColumn("_null", F.col(text_col).isNull()),
-                          ["rid", "rid2", "_null", *keep], text_col)
-    met = squeezed.join(gone, ["rid", "rid2"], "left").drop("rid", "rid2")
+    squeezed = S.squeezed(rows.withColumn(null, F.col(text_col).isNull()), [rid, rid2, null, *keep], text_col)
+    met = squeezed.join(gone, [rid, rid2], "left").drop(rid, rid2)
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts, n_lines = [], []
-                for text, null, out in zip(S.opened(part), part.column("_null").to_pylist(), part.column("gone").to_pylist(), strict=True):
-                    lines = [] if null else text.split(b"\n")
+                for text, absent, out in zip(S.opened(part), part.column(null).to_pylist(), part.column("gone").to_pylist(), strict=True):
+                    lines = [] if absent else text.split(b"\n")
                     n_lines.append(len(lines))
                     if out:
                         drop = set(out)
                         lines = [x for k, x in enumerate(lines) if k not in drop]
-                    texts.append(None if null else b"\n".join(lines).decode("utf-8", "replace"))
+                    texts.append(None if absent else b"\n".join(lines).decode("utf-8", "replace"))
                 count = [pa.array([x or 0 for x in part.column(c).to_pylist()], pa.int64()) for c in ("n_exact", "n_gone")]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), *count],
                                                  [*keep, text_col, "n_lines", "n_exact", "n_gone"])

@@ -13,7 +13,7 @@ one.  The source of most tokens is taken exactly once, so no document is lost
 
 Defined results: a null text counts one token; a null source is a source;
 equal rows are dealt with alike; an empty table gives no row; columns that the
-caller has are kept and the mixing columns added under ``mix_`` names.
+caller has are kept, but for those named like the ``mix_`` columns added here.
 """
 
 from __future__ import annotations
@@ -25,6 +25,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+ADDED = ("mix_tokens", "mix_weight", "mix_epoch", "mix_block")
+
+
 def word_count(text: Column) -> Column:
     """Words of the text, without splitting it: every word begins at the start
     or after white space."""
@@ -77,6 +80,7 @@ def mix(docs: DataFrame, *, max_repeat: float | None = None, min_entropy: float
     source (at most ``max_sources``, else an error) reaches the driver; block
     sums are one row per ``block_tokens``.
     """
+    docs = docs.drop(*[c for c in docs.columns if c.startswith("_mix_") or c in ADDED])
     tokens = docs.withColumn("mix_tokens", F.greatest(word_count(F.col(text_col)), F.lit(1)).cast("long"))
     source = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("null"))
     tokens = tokens.withColumn("_mix_source", source)
@@ -93,24 +97,24 @@ def mix(docs: DataFrame, *, max_repeat: float | None = None, min_entropy: float
         plan.append((r["_mix_source"], weight, budget // r["n"], budget % r["n"], max(1, math.ceil(r["n"] / block_tokens))))
     spark = docs.sparkSession
     plan_rows = F.broadcast(spark.createDataFrame(                     # a row per source
-        plan, "_mix_source string, mix_weight double, _epochs long, _rest long, _blocks long"))
+        plan, "_mix_source string, mix_weight double, _mix_epochs long, _mix_rest long, _mix_blocks long"))
     place = F.xxhash64(F.lit(seed), F.col(id_col))
-    rows = tokens.join(plan_rows, "_mix_source").withColumn("_block", F.pmod(place, F.col("_blocks")))
+    rows = tokens.join(plan_rows, "_mix_source").withColumn("_mix_blk", F.pmod(place, F.col("_mix_blocks")))
     # the part epoch: which blocks are whole, and which holds the edge
-    sums = rows.groupBy("_mix_source", "_block", "_rest", "_epochs", "_blocks").agg(F.sum("mix_tokens").alias("_in_block"))
-    order = F.xxhash64(F.lit(seed), F.col("_epochs"), F.col("_block"))
-    running = W.partitionBy("_mix_source").orderBy(order, "_block")
-    part = sums.withColumn("_before", F.sum("_in_block").over(running) - F.col("_in_block"))
-    edge = part.where("_before < _rest and _before + _in_block > _rest").select("_mix_source", "_block", "_before")
-    whole = part.where("_before + _in_block <= _rest").select("_mix_source", "_block")
-    inner = ["_mix_source", "_block"]
-    taken_edge = (rows.join(edge, inner).withColumn("_run", F.sum("mix_tokens").over(
+    sums = rows.groupBy("_mix_source", "_mix_blk", "_mix_rest", "_mix_epochs", "_mix_blocks").agg(F.sum("mix_tokens").alias("_mix_sum"))
+    order = F.xxhash64(F.lit(seed), F.col("_mix_epochs"), F.col("_mix_blk"))
+    running = W.partitionBy("_mix_source").orderBy(order, "_mix_blk")
+    part = sums.withColumn("_mix_before", F.sum("_mix_sum").over(running) - F.col("_mix_sum"))
+    edge = part.where("_mix_before < _mix_rest and _mix_before + _mix_sum > _mix_rest").select("_mix_source", "_mix_blk", "_mix_before")
+    whole = part.where("_mix_before + _mix_sum <= _mix_rest").select("_mix_source", "_mix_blk")
+    inner = ["_mix_source", "_mix_blk"]
+    taken_edge = (rows.join(edge, inner).withColumn("_mix_run", F.sum("mix_tokens").over(
         W.partitionBy(*inner).orderBy(F.xxhash64(F.lit(seed + 1), F.col(id_col)), id_col)
         .rowsBetween(W.unboundedPreceding, 0)))
-        .where(F.col("_before") + F.col("_run") <= F.col("_rest")).drop("_before", "_run"))
+        .where(F.col("_mix_before") + F.col("_mix_run") <= F.col("_mix_rest")).drop("_mix_before", "_mix_run"))
     taken = rows.join(whole, inner, "left_semi").unionByName(taken_edge)
-    last = taken.withColumn("mix_epoch", F.col("_epochs"))
-    full = rows.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_epochs") - 1)))
+    last = taken.withColumn("mix_epoch", F.col("_mix_epochs"))
+    full = rows.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_mix_epochs") - 1)))
     out = full.unionByName(last)
-    out = out.withColumn("mix_block", F.pmod(F.xxhash64(F.lit(seed), F.col("mix_epoch"), F.col("_block")), F.lit(2**31)))
-    return out.drop("_mix_source", "_epochs", "_rest", "_blocks", "_block")
+    out = out.withColumn("mix_block", F.pmod(F.xxhash64(F.lit(seed), F.col("mix_epoch"), F.col("_mix_blk")), F.lit(2**31)))
+    return out.drop("_mix_source", "_mix_epochs", "_mix_rest", "_mix_blocks", "_mix_blk")

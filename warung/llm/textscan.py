@@ -116,8 +116,11 @@ def texts_of(batch: pa.RecordBatch, column: str = "text", rows: int = 256) -> It
 
 
 # ----------------------------------------------------- texts that must travel
+SQUEEZED = ["_warung_z", "_warung_size"]
+
+
 def squeezed(docs, keys: list[str], text_col: str):
-    """``keys`` and the text as Zstandard bytes (``_z``, of ``_size`` bytes), for
+    """``keys`` and the text as Zstandard bytes (``_warung_z``, of ``_warung_size`` bytes), for
     joins that move texts; a null text is empty."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", compression_level=1)
@@ -126,14 +129,14 @@ def squeezed(docs, keys: list[str], text_col: str):
                 texts = [t or b"" for t in texts]
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(k) for k in keys), pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary()),
-                     pa.array([len(t) for t in texts], pa.int64())], [*keys, "_z", "_size"])
+                     pa.array([len(t) for t in texts], pa.int64())], [*keys, "_warung_z", "_warung_size"])
 
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
-    return docs.select(*keys, text_col).mapInArrow(run, kinds + ", _z binary, _size long")
+    return docs.select(*keys, text_col).mapInArrow(run, kinds + ", _warung_z binary, _warung_size long")
 
 
 def opened(part: pa.RecordBatch) -> Iterator[bytes]:
     """The texts of rows made by ``squeezed``."""
     codec = pa.Codec("zstd")
-    for z, size in zip(part.column("_z").to_pylist(), part.column("_size").to_pylist(), strict=True):
+    for z, size in zip(part.column("_warung_z").to_pylist(), part.column("_warung_size").to_pylist(), strict=True):
         yield codec.decompress(z, size, asbytes=True) if size else b""

@@ -78,7 +78,7 @@ def record(id_col: str, url_col: str, date: str) -> Column:
 def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
                least_bytes: int = 100, date: str = "2024-01-01T00:00:00Z") -> None:
     """Write one gzip archive per task under ``path``."""
-    rows = with_revisits(pages, id_col=id_col, html_col=html_col, least_bytes=least_bytes)
+    rows = with_revisits(pages.select(id_col, url_col, html_col), id_col=id_col, html_col=html_col, least_bytes=least_bytes)
     (rows.select(record(id_col, url_col, date).alias("value")).write
      .option("lineSep", END).option("compression", "gzip").text(path))
 
