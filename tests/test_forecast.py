@@ -108,9 +108,9 @@ def test_mllib_ols_matches_least_squares_on_real_series(spark):
 
     from warung.sources import marts as M
     fs = M.build_marts(spark, "/root/testdata/sf0.001")["fact_sales"]
-    frame = FC.forecast_frame(FC.weekly_profit(fs)).cache()
+    frame = FC.forecast_frame(FC.weekly_profit(fs))
     spec = [FC.LinearSpec("ols", 0.0, 0.0)]
-    _, coefs, train = FC.fit_linear_models(frame, "normal", spec)
+    _, coefs, train, _ = FC.fit_linear_models(frame, spec)
     rows = train.select("y", *FC.FEATURES).collect()   # the weekly series: bounded, small
     X = np.array([[1.0] + [r[c] for c in FC.FEATURES] for r in rows])
     y = np.array([r["y"] for r in rows])
@@ -122,3 +122,17 @@ def test_mllib_ols_matches_least_squares_on_real_series(spark):
     imp = {r.fitur: r.dampak for r in FC.feature_impact(coefs, train).collect()}
     for j, f in enumerate(FC.FEATURES):
         assert abs(imp[f] - got[f] * np.std(X[:, j + 1], ddof=1)) <= 1e-6 * max(1.0, abs(imp[f]))
+
+
+def test_closed_form_agrees_with_mllib(spark):
+    """Run B shares no code with run A; the penalties mean the same in both."""
+    from warung.sources import marts as M
+    frame = FC.forecast_frame(FC.weekly_profit(M.build_marts(spark, "/root/testdata/sf0.001")["fact_sales"]))
+    specs = [FC.LinearSpec("ols", 0.0, 0.0), FC.LinearSpec("ridge", 1e4, 0.0), FC.LinearSpec("lasso", 1e3, 1.0)]
+    a, _, _, penalties = FC.fit_linear_models(frame, specs)
+    b = FC.closed_form(frame, penalties, specs)
+    run_a = {(r.model, r.week): r.prediksi for r in a.collect()}
+    run_b = {(r.model, r.week): r.prediksi for r in b.collect()}
+    assert {m for m, _ in run_b} == {"ols", "ridge"}
+    for k, v in run_b.items():
+        assert abs(run_a[k] - v) <= 1e-6 * max(1.0, abs(v)), k

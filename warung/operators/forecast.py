@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from warung.fixed_values import (METRICS, SERIES_ACTUAL, SERIES_PREDICTED_PREFIX,
                                  TOP_IMPACT)
+from warung.session import materialized
 from warung.functions.scalars import (dash_if_missing, fixed_text, money_text,
                                       percent_text, plain_text, signed_text)
 
@@ -38,16 +39,22 @@ FEATURES = ["t", "lag_1", "lag_2", "lag_4", "lag_52", "mean_4"]
 @dataclass(frozen=True)
 class LinearSpec:
     name: str
-    reg_param: float
+    reg_param: float | None
     elastic_net: float
 
 
+# Penalties are chosen from GRID by time-ordered validation (see ``tuned``);
+# the target is near 10^6, so the grid is wide.
+GRID = [0.1, 1e3, 1e4, 1e5, 1e6]
+VALIDATION_WEEKS = 26
+MAX_ITER = 500
 LINEAR_MODELS = [LinearSpec("Linear Regression", 0.0, 0.0),
-                 LinearSpec("Ridge", 0.1, 0.0),
-                 LinearSpec("Lasso", 0.1, 1.0)]
+                 LinearSpec("Ridge", None, 0.0),
+                 LinearSpec("Lasso", None, 1.0)]
 NAIVE_MODELS = {"Naive (lag 1)": "lag_1", "Seasonal naive (lag 52)": "lag_52",
                 "Mean of last 4 weeks": "mean_4"}
-RUN_A, RUN_B = "MLlib normal equations", "MLlib L-BFGS"
+SINGLE_MODELS = {f"OLS on {c}": c for c in ("t", "lag_1", "lag_52", "mean_4")}
+RUN_A, RUN_B = "MLlib", "SQL closed form"
 
 
 # ------------------------------------------------------------- M1 series
@@ -154,26 +161,47 @@ def _design(frame: DataFrame) -> DataFrame:
     return frame.where("usable").select("week", "split", F.col("profit").cast("double").alias("y"), *cols)
 
 
-def fit_linear_models(frame: DataFrame, solver: str = "normal",
-                      specs: list[LinearSpec] = LINEAR_MODELS):
-    """M3: MLlib linear regressions on the training weeks.
-
-    ``solver='normal'`` solves the normal equations (exact least squares;
-    MLlib falls back to an iterative solver for the L1 model); ``'l-bfgs'`` is
-    MLlib's iterative solver.  Returns test predictions and the coefficients
-    (model, fitur, coef) — a list as long as the feature list.
+def _fit(spec: LinearSpec, reg_param: float, train: DataFrame):
+    """One MLlib fit; a solver that stops at its iteration limit is an error."""
+    lr = LinearRegression(featuresCol="features", labelCol="y", predictionCol="prediksi",
+                          regParam=reg_param, elasticNetParam=spec.elastic_net,
+                          solver="normal", maxIter=MAX_ITER, tol=1e-9)
+    model = lr.fit(train)
+    if model.summary.totalIterations >= MAX_ITER:
+        raise RuntimeError(f"{spec.name} did not converge in {MAX_ITER} iterations")
+    return model
+
+
+def tuned(spec: LinearSpec, train: DataFrame, grid: list[float] = GRID) -> float:
+    """The penalty of GRID with the lowest MAPE on the last VALIDATION_WEEKS
+    training weeks, fitted on the weeks before them (ties: the smaller)."""
+    if spec.reg_param is not None:
+        return spec.reg_param
+    edge = train.agg(F.max("t").alias("t")).first()["t"] - VALIDATION_WEEKS
+    early, late = train.where(F.col("t") <= edge), train.where(F.col("t") > edge)
+    error = F.avg(F.abs(F.col("y") - F.col("prediksi")) / F.nullif(F.abs(F.col("y")), F.lit(0.0)))
+    scored = [(_fit(spec, r, early).transform(late).agg(error.alias("m")).first()["m"], r) for r in grid]
+    return min(scored)[1]
+
+
+def fit_linear_models(frame: DataFrame, specs: list[LinearSpec] = LINEAR_MODELS):
+    """M3: MLlib linear regressions on the training weeks (normal equations;
+    for the L1 model MLlib falls back to an iterative solver).  Returns test
+    predictions, the coefficients (model, fitur, coef), the training weeks and
+    the penalty of each model.
+
+    The weekly frame (52 rows a year) is written once and read back, so the
+    fits do not recompute it and nothing stays cached.
     """
-    data = _design(frame).cache()
-    train = data.where(F.col("split") == "train")
-    test = data.where(F.col("split") == "test")
+    data = materialized(_design(frame), "forecast-frame")
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    preds, coefs = [], []
+    train = data.where(F.col("split") == "train")
+    ready, test = assembler.transform(train), assembler.transform(data.where(F.col("split") == "test"))
+    preds, coefs, penalties = [], [], {}
     for spec in specs:
-        lr = LinearRegression(featuresCol="features", labelCol="y", predictionCol="prediksi",
-                              regParam=spec.reg_param, elasticNetParam=spec.elastic_net,
-                              solver=solver, maxIter=200, tol=1e-9)
-        model = lr.fit(assembler.transform(train))
-        preds.append(model.transform(assembler.transform(test))
+        penalties[spec.name] = tuned(spec, ready)
+        model = _fit(spec, penalties[spec.name], ready)
+        preds.append(model.transform(test)
                      .select(F.lit(spec.name).alias("model"), "week", F.col("y").alias("aktual"),
                              "prediksi"))
         coefs += [(spec.name, f, float(c)) for f, c in zip(FEATURES, model.coefficients.toArray())]
@@ -181,7 +209,72 @@ def fit_linear_models(frame: DataFrame, solver: str = "normal",
     for p in preds[1:]:
         pred = pred.unionByName(p)
     coef_df = frame.sparkSession.createDataFrame(coefs, "model string, fitur string, coef double")
-    return pred, coef_df, train
+    return pred, coef_df, train, penalties
+
+
+def closed_form(frame: DataFrame, penalties: dict[str, float], specs: list[LinearSpec] = LINEAR_MODELS) -> DataFrame:
+    """Run B: the same L2 models without MLlib.  Means, variances and
+    covariances of the training weeks come from one SQL aggregate; the system
+    of as many unknowns as features is solved, and the predictions are a
+    projection.  The L1 model has no closed form and takes no part.
+
+    A penalty ``r`` on standardized features and label is ``r / stddev_pop(y) * var(x)``
+    on the diagonal.
+    """
+    import numpy as np
+    data = _design(frame)
+    cols = [*FEATURES, "y"]
+    sums = [F.avg(c).alias(f"m_{c}") for c in cols]
+    sums += [F.covar_samp(a, b).alias(f"c_{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j]
+    sums.append(F.stddev_pop("y").alias("sd_y"))
+    got = data.where(F.col("split") == "train").agg(*sums).first()
+    k = len(FEATURES)
+    if got["m_y"] is None:
+        return data.limit(0).select(F.lit("").alias("model"), "week", F.col("y").alias("aktual"), F.col("y").alias("prediksi"))
+    cov = np.array([[got[f"c_{min(i, j)}_{max(i, j)}"] for j in range(k + 1)] for i in range(k + 1)])
+    out = None
+    for spec in specs:
+        if spec.elastic_net:
+            continue
+        extra = np.diag(np.diag(cov)[:k]) * penalties[spec.name] / (got["sd_y"] or 1.0)
+        coef = np.linalg.solve(cov[:k, :k] + extra, cov[:k, k])
+        base = got["m_y"] - sum(c * got[f"m_{n}"] for c, n in zip(coef, FEATURES))
+        value = F.lit(float(base))
+        for c, n in zip(coef, FEATURES):
+            value = value + F.lit(float(c)) * F.col(n)
+        one = data.where(F.col("split") == "test").select(F.lit(spec.name).alias("model"), "week", F.col("y").alias("aktual"), value.alias("prediksi"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def single_fits(frame: DataFrame) -> DataFrame:
+    """One-feature least squares on the training weeks by SQL aggregates:
+    (model, fitur, coef, intercept, dampak), ``dampak`` as in M11."""
+    train = _design(frame).where(F.col("split") == "train")
+    stack = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(c).alias("fitur"), F.col(c).alias("x"))
+                                for m, c in SINGLE_MODELS.items()])).alias("s")
+    fit = train.select("y", stack).select("s.model", "s.fitur", "s.x", "y").groupBy("model", "fitur").agg(
+        F.regr_slope("y", "x").alias("coef"), F.regr_intercept("y", "x").alias("intercept"), F.stddev_samp("x").alias("sd"))
+    return fit.select("model", "fitur", "coef", "intercept", (F.col("coef") * F.col("sd")).alias("dampak"))
+
+
+def single_predictions(frame: DataFrame) -> DataFrame:
+    """Test-week predictions of the one-feature models (four rows of fits)."""
+    test = _design(frame).where(F.col("split") == "test")
+    stack = F.explode(F.array(*[F.struct(F.lit(c).alias("fitur"), F.col(c).alias("x")) for c in SINGLE_MODELS.values()])).alias("s")
+    return (test.select("week", F.col("y").alias("aktual"), stack).select("week", "aktual", "s.fitur", "s.x")
+            .join(F.broadcast(single_fits(frame)), "fitur")
+            .select("model", "week", "aktual", (F.col("intercept") + F.col("coef") * F.col("x")).alias("prediksi")))
+
+
+def plain_forecast(frame: DataFrame) -> dict[str, DataFrame]:
+    """The result tables over models that SQL states in full: the naive
+    yardsticks and the one-feature fits."""
+    predictions = naive_predictions(frame).unionByName(single_predictions(frame))
+    skor = pick_champion(score(predictions)).withColumn("reg_param", F.lit(None).cast("double"))
+    prediksi = predictions.join(F.broadcast(skor.where("terbaik").select("model")), "model", "left_semi")
+    return {"skor": skor, "prediksi": prediksi.select("week", "aktual", "prediksi", "model"),
+            "dampak": single_fits(frame).select("model", "fitur", "dampak"), "meta": training_meta(frame)}
 
 
 def feature_impact(coefs: DataFrame, train: DataFrame) -> DataFrame:
@@ -202,17 +295,15 @@ def pick_champion(scores: DataFrame) -> DataFrame:
 def build_forecast(sales: DataFrame, test_weeks: int = TEST_WEEKS) -> dict[str, DataFrame]:
     """M1 -> M2 -> M3/M4 -> M10 -> M11; the four result tables.
 
-    ``skor``: one row per model — run A (``solver='normal'``) scores, run B
-    (``solver='l-bfgs'``) scores in the ``*_b`` columns for the linear
-    models, ``reg_param`` NULL for the naive yardsticks.
+    ``skor``: one row per model — run A (MLlib) scores, run B (closed form)
+    scores in the ``*_b`` columns for the models that have one, ``reg_param``
+    NULL for the naive yardsticks.
     """
-    frame = forecast_frame(weekly_profit(sales), test_weeks).cache()
+    frame = materialized(forecast_frame(weekly_profit(sales), test_weeks), "forecast-weeks")
     naive = naive_predictions(frame)
-    lin_a, coefs, train = fit_linear_models(frame, "normal")
-    lin_b, _, _ = fit_linear_models(frame, "l-bfgs")
-    params = frame.sparkSession.createDataFrame(
-        [(s.name, float(s.reg_param)) for s in LINEAR_MODELS], "model string, reg_param double")
-    run_b = score(lin_b).select("model", *[F.col(c).alias(f"{c}_b") for c in ("r2", "rmse", "mse", "mape")])
+    lin_a, coefs, train, penalties = fit_linear_models(frame)
+    params = frame.sparkSession.createDataFrame(list(penalties.items()), "model string, reg_param double")
+    run_b = score(closed_form(frame, penalties)).select("model", *[F.col(c).alias(f"{c}_b") for c in ("r2", "rmse", "mse", "mape")])
     predictions = naive.unionByName(lin_a)
     skor = pick_champion(score(predictions)
                          .join(F.broadcast(params), "model", "left")

@@ -700,17 +700,92 @@ def q_training_meta(spark, root):
 def q_fit_linear_models(spark, root):
     """M3: MLlib OLS / ridge / lasso scores on the test weeks (rows-only:
     solver numerics)."""
-    pred, _, _ = FC.fit_linear_models(_frame(spark, root), "normal")
-    return FC.score(pred)
+    return FC.score(FC.fit_linear_models(_frame(spark, root))[0])
 
 
 @register("feature_impact", None)
 def q_feature_impact(spark, root):
     """Coefficient x training standard deviation per model and feature."""
-    _, coefs, train = FC.fit_linear_models(_frame(spark, root), "normal")
+    _, coefs, train, _ = FC.fit_linear_models(_frame(spark, root))
     return FC.feature_impact(coefs, train)
 
 
+# ---- the same views over models that SQL states in full
+_TRAIN, _TEST = "usable AND split = 'train'", "usable AND split = 'test'"
+SINGLE_SQL = NAIVE_SQL + [
+    "sf AS (" + "\n  UNION ALL ".join(
+        f"SELECT '{m}' AS model, '{c}' AS fitur, regr_slope(CAST(profit AS DOUBLE), CAST({c} AS DOUBLE)) AS coef, "
+        f"regr_intercept(CAST(profit AS DOUBLE), CAST({c} AS DOUBLE)) AS intercept, stddev_samp(CAST({c} AS DOUBLE)) AS sd "
+        f"FROM frame WHERE {_TRAIN}" for m, c in FC.SINGLE_MODELS.items()) + ")",
+    "sp AS (SELECT * FROM np UNION ALL " + "\n  UNION ALL ".join(
+        f"SELECT '{m}' AS model, week, CAST(profit AS DOUBLE) AS aktual, "
+        f"(SELECT intercept FROM sf WHERE fitur = '{c}') + (SELECT coef FROM sf WHERE fitur = '{c}') * CAST({c} AS DOUBLE) AS prediksi "
+        f"FROM frame WHERE {_TEST}" for m, c in FC.SINGLE_MODELS.items()) + ")",
+    """sk AS (SELECT *, ROW_NUMBER() OVER (ORDER BY mape, model) = 1 AS terbaik FROM (
+  SELECT model, ROUND(1.0 - sse / NULLIF(sst, 0.0), 9) AS r2, ROUND(SQRT(mse), 4) AS rmse, ROUND(mse, 0) AS mse, ROUND(mape, 9) AS mape
+  FROM (SELECT model, AVG((aktual - prediksi) * (aktual - prediksi)) AS mse, SUM((aktual - prediksi) * (aktual - prediksi)) AS sse,
+               COUNT(*) * VAR_POP(aktual) AS sst, AVG(ABS(aktual - prediksi) / NULLIF(ABS(aktual), 0.0)) AS mape
+        FROM sp GROUP BY model) m) s)"""]
+
+
+def _plain(spark, root):
+    return FC.plain_forecast(_frame(spark, root))
+
+
+@register("single_fits", _fc_sql("""
+SELECT model, fitur, ROUND(coef, 6) AS coef, ROUND(intercept, 2) AS intercept, ROUND(coef * sd, 2) AS dampak FROM sf""", SINGLE_SQL))
+def q_single_fits(spark, root):
+    """One-feature least squares and impacts on the training weeks."""
+    return FC.single_fits(_frame(spark, root)).select(
+        "model", "fitur", F.round("coef", 6).alias("coef"), F.round("intercept", 2).alias("intercept"), F.round("dampak", 2).alias("dampak"))
+
+
+@register("plain_scores", _fc_sql("SELECT model, r2, rmse, mse, mape, terbaik FROM sk", SINGLE_SQL))
+def q_plain_scores(spark, root):
+    """Scores and champion among naive and one-feature models."""
+    return _plain(spark, root)["skor"].select("model", "r2", "rmse", "mse", "mape", "terbaik")
+
+
+@register("plain_model_card", _fc_sql("""
+SELECT model, r2, rmse, mape * 100 AS mape_pct, format('{:.3f}', r2) AS r2_text, '$' || format('{:,.0f}', rmse) AS rmse_text,
+       format('{:.1f}', mape * 100) || '%' AS mape_text
+FROM sk WHERE terbaik""", SINGLE_SQL))
+def q_plain_model_card(spark, root):
+    """The card of that champion."""
+    return FC.model_card(_plain(spark, root)["skor"])
+
+
+@register("plain_score_table", _fc_sql("""
+SELECT model, CAST(NULL AS DOUBLE) AS reg_param, r2, mape, rmse, mse, '—' AS reg_param_text, format('{:.4f}', r2) AS r2_text,
+       format('{:.4f}', mape) AS mape_text, format('{:,.0f}', rmse) AS rmse_text, format('{:,.0f}', mse) AS mse_text
+FROM sk""", SINGLE_SQL))
+def q_plain_score_table(spark, root):
+    """The score table; a missing penalty prints a dash."""
+    return FC.score_table(_plain(spark, root)["skor"])
+
+
+@register("plain_predicted_vs_actual", _fc_sql("""
+SELECT week, series, ROUND(value, 4) AS value FROM (
+  SELECT week, 'Laba sebenarnya' AS series, aktual AS value FROM sp WHERE model = (SELECT model FROM sk WHERE terbaik)
+  UNION ALL SELECT week, 'Tebakan ' || model, prediksi FROM sp WHERE model = (SELECT model FROM sk WHERE terbaik)) u""", SINGLE_SQL))
+def q_plain_predicted_vs_actual(spark, root):
+    """The test weeks of that champion, long form."""
+    out = FC.predicted_vs_actual(_plain(spark, root)["prediksi"])
+    return out.select("week", "series", F.round("value", 4).alias("value"))
+
+
+@register("plain_feature_impact_top", _fc_sql("""
+SELECT CAST(ROW_NUMBER() OVER (ORDER BY ABS(d) DESC, fitur) AS INTEGER) AS rank, fitur, ROUND(d, 2) AS dampak,
+       CASE WHEN d >= 0 THEN 'positive' ELSE 'negative' END AS sign,
+       CASE WHEN format('{:,.0f}', d) LIKE '-%' THEN '' ELSE '+' END || format('{:,.0f}', d) AS text,
+       MAX(d < 0) OVER () AS any_negative
+FROM (SELECT fitur, coef * sd AS d FROM sf) x""", SINGLE_SQL))
+def q_plain_feature_impact_top(spark, root):
+    """The strongest features of the one-feature models."""
+    top = FC.feature_impact_top(_plain(spark, root)["dampak"])
+    return top.withColumn("dampak", F.round("dampak", 2))
+
+
 _FORECAST_CACHE: dict[tuple[str, str], dict[str, DataFrame]] = {}
 
 

@@ -81,3 +81,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     root = checkpoint_root(spark).rstrip("/")
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
+
+
+def materialized(df, name: str):
+    """``df`` written under the shared folder and read back: later jobs start
+    from its files, and nothing stays cached."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
