@@ -27,7 +27,7 @@ def corpus(spark):
 
 def test_budgets(spark):
     rows, docs = corpus(spark)
-    out = M.mix(docs, max_repeat=1.6, block_tokens=200).collect()
+    out = M.mix(docs, max_repeat=1.6, blocks=8).collect()
     tokens = lambda t: max(1, len((t or "").split()))
     total, got = {}, {}
     for _, t, s in rows:
@@ -45,7 +45,7 @@ def test_budgets(spark):
         assert total[s] <= got[s] <= k * total[s] + 0.5 and got[s] >= k * total[s] - 41
     for r in out:
         assert 0 <= r.mix_epoch <= 1
-    again = M.mix(docs.repartition(7), max_repeat=1.6, block_tokens=200).collect()
+    again = M.mix(docs.repartition(7), max_repeat=1.6, blocks=8).collect()
     key = lambda rs: sorted((r.doc_id, r.mix_epoch, r.mix_block) for r in rs)
     assert key(out) == key(again)
 

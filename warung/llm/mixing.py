@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from warung.llm.store import saved
+
 
 ADDED = ("mix_tokens", "mix_weight", "mix_epoch", "mix_block")
 
@@ -70,22 +72,28 @@ def fit_alpha(shares: list[float], *, max_repeat: float | None = None, min_entro
     return high if max_repeat is not None else low
 
 
-def mix(docs: DataFrame, *, max_repeat: float | None = None, min_entropy: float | None = None, block_tokens: int = 1_000_000,
+def mix(docs: DataFrame, *, max_repeat: float | None = None, min_entropy: float | None = None, blocks: int = 4096,
         seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         max_sources: int = 4096) -> DataFrame:
     """The rows of the mixture: each document once per epoch it is taken in.
 
     Adds ``mix_tokens``, ``mix_epoch`` (from 0), ``mix_block`` (its block's
-    place in the epoch's permutation) and ``mix_weight``.  Only one row per
-    source (at most ``max_sources``, else an error) reaches the driver; block
-    sums are one row per ``block_tokens``.
+    place in the epoch's permutation) and ``mix_weight``.
+
+    Documents fall into ``blocks`` blocks per source by hash.  One scan sums
+    the blocks (at most ``blocks * max_sources`` rows; more sources are an
+    error); a source's budget then ends within one block of its permutation,
+    and a second scan finds the document at which it ends.  What is taken
+    follows from those two places, one row per source, so no document moves.
     """
+    spark = docs.sparkSession
     docs = docs.drop(*[c for c in docs.columns if c.startswith("_mix_") or c in ADDED])
-    tokens = docs.withColumn("mix_tokens", F.greatest(word_count(F.col(text_col)), F.lit(1)).cast("long"))
-    source = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("null"))
-    tokens = tokens.withColumn("_mix_source", source)
-    found = (tokens.groupBy("_mix_source").agg(F.sum("mix_tokens").alias("n")).orderBy("_mix_source")
-             .limit(max_sources + 1).collect())
+    rows = docs.withColumn("mix_tokens", F.greatest(word_count(F.col(text_col)), F.lit(1)).cast("long"))
+    rows = rows.withColumn("_mix_source", F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("null")))
+    rows = rows.withColumn("_mix_blk", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(blocks)))
+    rows = rows.withColumn("_mix_key", F.struct(F.xxhash64(F.lit(seed + 1), F.col(id_col)).alias("h"), F.col(id_col).alias("id")))
+    sums = saved(spark, rows.groupBy("_mix_source", "_mix_blk").agg(F.sum("mix_tokens").alias("n")), "mix-blocks")
+    found = sums.groupBy("_mix_source").agg(F.sum("n").alias("n")).orderBy("_mix_source").limit(max_sources + 1).collect()
     if len(found) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
     total = sum(r["n"] for r in found)
@@ -94,27 +102,31 @@ def mix(docs: DataFrame, *, max_repeat: float | None = None, min_entropy: float
     plan = []
     for r, weight, times in zip(found, weights, repetitions(shares, weights), strict=True):
         budget = max(round(r["n"] * times), r["n"])
-        plan.append((r["_mix_source"], weight, budget // r["n"], budget % r["n"], max(1, math.ceil(r["n"] / block_tokens))))
-    spark = docs.sparkSession
+        plan.append((r["_mix_source"], weight, budget // r["n"], budget % r["n"]))
     plan_rows = F.broadcast(spark.createDataFrame(                     # a row per source
-        plan, "_mix_source string, mix_weight double, _mix_epochs long, _mix_rest long, _mix_blocks long"))
-    place = F.xxhash64(F.lit(seed), F.col(id_col))
-    rows = tokens.join(plan_rows, "_mix_source").withColumn("_mix_blk", F.pmod(place, F.col("_mix_blocks")))
-    # the part epoch: which blocks are whole, and which holds the edge
-    sums = rows.groupBy("_mix_source", "_mix_blk", "_mix_rest", "_mix_epochs", "_mix_blocks").agg(F.sum("mix_tokens").alias("_mix_sum"))
-    order = F.xxhash64(F.lit(seed), F.col("_mix_epochs"), F.col("_mix_blk"))
-    running = W.partitionBy("_mix_source").orderBy(order, "_mix_blk")
-    part = sums.withColumn("_mix_before", F.sum("_mix_sum").over(running) - F.col("_mix_sum"))
-    edge = part.where("_mix_before < _mix_rest and _mix_before + _mix_sum > _mix_rest").select("_mix_source", "_mix_blk", "_mix_before")
-    whole = part.where("_mix_before + _mix_sum <= _mix_rest").select("_mix_source", "_mix_blk")
-    inner = ["_mix_source", "_mix_blk"]
-    taken_edge = (rows.join(edge, inner).withColumn("_mix_run", F.sum("mix_tokens").over(
-        W.partitionBy(*inner).orderBy(F.xxhash64(F.lit(seed + 1), F.col(id_col)), id_col)
-        .rowsBetween(W.unboundedPreceding, 0)))
-        .where(F.col("_mix_before") + F.col("_mix_run") <= F.col("_mix_rest")).drop("_mix_before", "_mix_run"))
-    taken = rows.join(whole, inner, "left_semi").unionByName(taken_edge)
-    last = taken.withColumn("mix_epoch", F.col("_mix_epochs"))
-    full = rows.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_mix_epochs") - 1)))
-    out = full.unionByName(last)
-    out = out.withColumn("mix_block", F.pmod(F.xxhash64(F.lit(seed), F.col("mix_epoch"), F.col("_mix_blk")), F.lit(2**31)))
-    return out.drop("_mix_source", "_mix_epochs", "_mix_rest", "_mix_blocks", "_mix_blk")
+        plan, "_mix_source string, mix_weight double, _mix_epochs long, _mix_rest long"))
+
+    def place(epoch: Column) -> Column:
+        """A block's place in the permutation of an epoch."""
+        return F.struct(F.xxhash64(F.lit(seed), epoch, F.col("_mix_blk")).alias("h"), F.col("_mix_blk").alias("b"))
+
+    # the block of the part epoch in which each budget ends
+    spot = place(F.col("_mix_epochs"))
+    ranked = sums.join(plan_rows, "_mix_source").withColumn("_mix_spot", spot)
+    ranked = ranked.withColumn("_mix_before", F.sum("n").over(W.partitionBy("_mix_source").orderBy("_mix_spot")) - F.col("n"))
+    edge = F.broadcast(ranked.where("_mix_before <= _mix_rest and _mix_before + n > _mix_rest")
+                       .select("_mix_source", F.col("_mix_spot").alias("_mix_edge"), F.col("_mix_blk").alias("_mix_edge_blk"),
+                               (F.col("_mix_rest") - F.col("_mix_before")).alias("_mix_room")))
+    # the last document of it that fits; equal ids are taken together
+    inner = (rows.select("_mix_source", "_mix_blk", "_mix_key", "mix_tokens").join(edge, "_mix_source")
+             .where("_mix_blk = _mix_edge_blk").groupBy("_mix_source", "_mix_key", "_mix_room").agg(F.sum("mix_tokens").alias("n")))
+    inner = inner.withColumn("_mix_run", F.sum("n").over(W.partitionBy("_mix_source").orderBy("_mix_key")))
+    last = F.broadcast(inner.where("_mix_run <= _mix_room").groupBy("_mix_source").agg(F.max("_mix_key").alias("_mix_last")))
+    ends = saved(spark, plan_rows.join(edge, "_mix_source", "left").join(last, "_mix_source", "left"), "mix-ends")
+
+    met = rows.join(F.broadcast(ends), "_mix_source")                  # a row per source
+    inside = (spot < F.col("_mix_edge")) | ((F.col("_mix_blk") == F.col("_mix_edge_blk")) & (F.col("_mix_key") <= F.col("_mix_last")))
+    epochs = F.col("_mix_epochs") - F.when(F.coalesce(inside, F.lit(False)), 0).otherwise(1)
+    out = met.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), epochs)))
+    out = out.withColumn("mix_block", F.pmod(place(F.col("mix_epoch"))["h"], F.lit(2**31)))
+    return out.drop(*[c for c in out.columns if c.startswith("_mix_")])
