@@ -75,9 +75,10 @@ def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _anchor_rows(docs: DataFrame, batches_n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in S.texts_of(batch):
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
                 rid = part.column("rid").to_numpy()
-                found = [anchors(S.as_array(t or b"")) for t in texts]
+                found = [anchors(S.as_array(t)) for t in S.opened(part)]
                 counts = [len(f[0]) for f in found]
                 if not sum(counts):
                     continue
@@ -130,15 +131,14 @@ def _string_hashes(around: list[bytes], lead: np.ndarray) -> np.ndarray:
     """(classes, SIDE + 1): hash of the string that begins ``o`` bytes before
     the anchor, 0 where the text ends first.  ``around`` holds the surroundings
     of the anchor, ``lead`` how many bytes of them come before it."""
-    n = len(around)
-    out = np.zeros((n, SIDE + 1), dtype=np.uint64)
-    for i, (data, before) in enumerate(zip(around, lead.tolist(), strict=True)):
-        prefix = S.prefix_hash(S.as_array(data))
-        o = np.arange(max(0, LENGTH + before - len(data)), before + 1)
-        o = o[o <= SIDE]
-        start = before - o
-        out[i, o] = S.span_hashes(prefix, start, start + LENGTH) | np.uint64(1)
-    return out
+    size = np.array([len(a) for a in around])
+    low = np.cumsum(size) - size
+    prefix = S.prefix_hash(S.as_array(b"".join(around)))
+    start = (low + lead)[:, None] - np.arange(SIDE + 1)
+    inside = (start >= low[:, None]) & (start + LENGTH <= (low + size)[:, None])
+    start = np.where(inside, start, 0)
+    end = np.where(inside, start + LENGTH, 0)
+    return np.where(inside, S.span_hashes(prefix, start, end) | np.uint64(1), np.uint64(0))
 
 
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -150,7 +150,7 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 def _surroundings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``key, ctx, n, rid, pos, lead, around`` of one occurrence per class."""
     per_text = wanted.groupBy("rid").agg(F.collect_list(F.struct("key", "ctx", "n", "pos", "many")).alias("want"))
-    texts = S.squeezed(docs, ["rid"], "text").dropDuplicates(["rid"]).join(per_text, "rid")
+    texts = docs.select("rid", *S.SQUEEZED).join(per_text, "rid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,45 +172,47 @@ def _surroundings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _edges_in_groups(classes: DataFrame) -> DataFrame:
     """``rid, begin, end`` of what repeats, for the single classes of each key."""
-
-    def solve(rows: list[dict]) -> Iterator[tuple[int, int, int]]:
-        if len(rows) < 2:
-            return
-        h = _string_hashes([r["around"] for r in rows], np.array([r["lead"] for r in rows]))
-        order = np.argsort(h, axis=0, kind="stable")
-        ranked = np.take_along_axis(h, order, 0)
-        same = (ranked[1:] == ranked[:-1]) & (ranked[1:] != 0)
-        twice = np.zeros(h.shape, dtype=bool)
-        twice[1:] |= same
-        twice[:-1] |= same
-        flags = np.zeros(h.shape, dtype=bool)
-        np.put_along_axis(flags, order, twice, 0)
-        for k, r in enumerate(rows):
-            if r["n"] == 1:
-                for a, b in _runs(flags[k]):
-                    yield r["rid"], r["pos"] - b, r["pos"] - a + LENGTH
+    names = ["key", "n", "rid", "pos", "lead"]
+
+    def solve(c: dict[str, np.ndarray], around: list[bytes]) -> pa.RecordBatch:
+        """Whole groups at a time: equal strings at equal places of one key."""
+        h = _string_hashes(around, c["lead"])
+        tagged = S.mix(h ^ S.mix(c["key"].view(np.uint64))[:, None] ^ S.mix(np.arange(1, SIDE + 2, dtype=np.uint64))[None, :])
+        flat = tagged.ravel()
+        real = np.flatnonzero(h.ravel())
+        order = real[np.argsort(flat[real])]
+        same = flat[order][1:] == flat[order][:-1]
+        twice = np.zeros(len(flat), dtype=bool)
+        twice[order[1:][same]] = True
+        twice[order[:-1][same]] = True
+        flags = np.zeros((h.shape[0], SIDE + 3), dtype=np.int8)
+        flags[:, 1:-1] = twice.reshape(h.shape) & (c["n"] == 1)[:, None]
+        step = np.diff(flags, axis=1)
+        row, first = np.nonzero(step == 1)
+        _, after = np.nonzero(step == -1)
+        pos = c["pos"][row]
+        return pa.RecordBatch.from_arrays([pa.array(c["rid"][row]), pa.array((pos - after + 1).astype(np.int32)),
+                                           pa.array((pos - first + LENGTH).astype(np.int32))], ["rid", "begin", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[dict] = []
+        rest, around = {n: np.empty(0, np.int64) for n in names}, []
         for batch in batches:
-            out: list[tuple[int, int, int]] = []
-            for row in batch.to_pylist():
-                if rest and rest[0]["key"] != row["key"]:
-                    out += solve(rest)
-                    rest = []
-                rest.append(row)
-            yield _spans(out)
-        yield _spans(list(solve(rest)))
+            rest = {n: np.concatenate([rest[n], batch.column(n).to_numpy()]) for n in names}
+            around += batch.column("around").to_pylist()
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(rest["key"])) + 1]) if around else np.zeros(1, int)
+            at = 0                                # up to the last group, which may go on
+            while at < starts[-1]:
+                stop = starts[np.searchsorted(starts, min(at + 4096, starts[-1]), side="right") - 1]
+                stop = stop if stop > at else starts[np.searchsorted(starts, at, side="right")]
+                yield solve({n: v[at:stop] for n, v in rest.items()}, around[at:stop])
+                at = stop
+            rest, around = {n: v[at:] for n, v in rest.items()}, around[at:]
+        if len(around) > 1:
+            yield solve(rest, around)
 
     return classes.repartition("key").sortWithinPartitions("key").mapInArrow(run, "rid long, begin int, end int")
 
 
-def _spans(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [(), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32())],
-                                      ["rid", "begin", "end"])
-
-
 def _edges_by_count(classes: DataFrame) -> DataFrame:
     """The same for keys of very many classes: one row per string, counted."""
 
@@ -234,7 +236,8 @@ def _edges_by_count(classes: DataFrame) -> DataFrame:
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, *, batches: int = 3, group: int = 2048) -> DataFrame:
-    """``rid, begin, end`` (overlapping) of all that repeats in ``docs(rid, text)``."""
+    """``rid, begin, end`` (overlapping) of all that repeats in the texts of
+    ``docs``, squeezed rows with an id ``rid`` of their own."""
     rows = saved(spark, _anchor_rows(docs, batches), "suffix-anchors")
     family = Family(spark)
     for turn in range(batches):
@@ -265,10 +268,12 @@ def _merged(spans: list, size: int) -> list[tuple[int, int]]:
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", batches: int = 3) -> DataFrame:
     """``doc_id, kept (bytes), spans, n_bytes, n_removed, n_spans, kept_sha256``."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.lit(8), id_col, text_col).alias("rid"), F.col(text_col).alias("text"))
-    found = repeated_spans(spark, rows.select("rid", "text"), batches=batches)
-    lists = saved(spark, found.distinct().groupBy("rid").agg(F.collect_list(F.struct("begin", "end")).alias("found")), "suffix-spans")
-    met = S.squeezed(rows, ["doc_id", "rid"], "text").join(lists, "rid", "left")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    # every row gets an id of its own, which holds once it is written
+    rows = saved(spark, S.squeezed(rows, ["doc_id"], "text").withColumn("rid", F.monotonically_increasing_id()), "suffix-texts")
+    found = repeated_spans(spark, rows, batches=batches)
+    lists = found.groupBy("rid").agg(F.collect_list(F.struct("begin", "end")).alias("found"))
+    met = rows.join(lists, "rid", "left")
 
     def cut(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:
