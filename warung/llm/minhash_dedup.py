@@ -14,8 +14,9 @@ already connected are passed over:
 2. in every node each class is held against one pivot (the smallest hash, so
    much the same in all nodes); confirmed links give components;
 3. nodes that hold more than one component are compared exhaustively across
-   components: small ones at once, large ones when all but a few rows are of
-   one component, or else in their children.
+   components: small ones, and large ones whose rows outside the largest
+   component times all rows are few enough; the others in their children.  At
+   first every row only meets its most similar partner, then all that are left.
 
 A pair whose sketches agree closely enough is confirmed on the full sets.
 Work per row is bounded at every step: nodes are cut into blocks, and only
@@ -42,18 +43,18 @@ from warung.llm.components import components
 from warung.llm.grouping import groups
 from warung.llm.store import saved
 
-POSITIONS = 64
-_SEEDS = np.random.default_rng(99).integers(1, 2**63, POSITIONS, dtype=np.uint64)
+POSITIONS = 128
+_SEEDS = np.random.default_rng(99).integers(1, 2**31, (2, POSITIONS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
     """Minwise 32-bit values of a non-empty set."""
-    out = np.empty(POSITIONS, dtype=np.uint32)
-    high = (shingles >> np.uint64(32)).astype(np.uint32)
-    for k in range(POSITIONS):
-        seed = _SEEDS[k]
-        mixed = (shingles * (seed | np.uint64(1)) >> np.uint64(32)).astype(np.uint32) ^ (high * np.uint32((int(seed) >> 32) | 1))
-        out[k] = mixed.min()
+    low, high = shingles.astype(np.uint32), (shingles >> np.uint64(32)).astype(np.uint32)
+    out = np.full(POSITIONS, 2**32 - 1, dtype=np.uint32)
+    for at in range(0, len(shingles), 1024):      # a block of values at a time
+        part = low[None, at:at + 1024] * _SEEDS[0]
+        part += high[None, at:at + 1024] * _SEEDS[1]
+        np.minimum(out, part.min(axis=1), out=out)
     return out
 
 
@@ -131,9 +132,10 @@ def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b).mean(-1) - 1 / 256) / (1 - 1 / 256)
 
 
-def _compare(rows: DataFrame, least: float) -> DataFrame:
-    """Plausible pairs ``(a, b)`` across components within each (node, ga, gb):
-    a left row with a right one; a row can be both."""
+def _compare(rows: DataFrame, least: float, every: bool) -> DataFrame:
+    """Plausible pairs ``(node, left, a, b)`` across components within each
+    (node, ga, gb): a left row with a right one; a row can be both.  Without
+    ``every`` only the most similar partner of each left row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, ["node", "ga", "gb"]):
@@ -144,20 +146,29 @@ def _compare(rows: DataFrame, least: float) -> DataFrame:
             for at in range(0, len(left), 64):
                 rows_l = left[at:at + 64]
                 cross = g["comp"][rows_l][:, None] != g["comp"][right][None, :]
-                cross &= ~(g["is_left"][right][None, :] & g["is_right"][rows_l][:, None] & (rows_l[:, None] >= right[None, :]))
+                if every:                         # each pair once
+                    cross &= ~(g["is_left"][right][None, :] & g["is_right"][rows_l][:, None] & (rows_l[:, None] >= right[None, :]))
                 i, j = np.nonzero(cross)
                 if not len(i):
                     continue
-                ok = agreement(g["small"][rows_l[i]], g["small"][right[j]]) >= least
+                near = agreement(g["small"][rows_l[i]], g["small"][right[j]])
+                ok = near >= least
+                if not every:
+                    order = np.lexsort([-near, i])
+                    best = np.zeros(len(i), dtype=bool)
+                    best[order[np.flatnonzero(np.diff(i[order], prepend=-1))]] = True
+                    ok &= best
                 out_a.append(g["class"][rows_l[i[ok]]])
                 out_b.append(g["class"][right[j[ok]]])
             if out_a and sum(map(len, out_a)):
                 a, b = np.concatenate(out_a), np.concatenate(out_b)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                node = np.full(len(a), g["node"][0])
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(a), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))],
+                                                 ["node", "left", "a", "b"])
 
     keys = ["node", "ga", "gb"]
     spread = rows.repartition(*keys).sortWithinPartitions(*keys)
-    return spread.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    return spread.mapInArrow(run, "node long, left long, a long, b long").where("a <> b")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -203,11 +214,11 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, *, k: int = 4, similarity: float = 0.8, trees: int = 10,
-                    small_node: int = 64, block: int = 2048, depth: int = 8, id_col: str = "doc_id",
+                    small_node: int = 64, comparisons: int = 1 << 21, block: int = 2048, depth: int = 8, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    least = similarity - 4.5 * math.sqrt(similarity * (1 - similarity) / POSITIONS)
+    least = similarity - 4 * math.sqrt(similarity * (1 - similarity) / POSITIONS)
     every = saved(spark, _sets(texts, k), "cps-sets")
     classes = (every.where("class is not null").groupBy("class")
                .agg(F.min(F.struct("doc_id", "n", "sketch", "small")).alias("r"))
@@ -239,31 +250,53 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, k: int = 4, similar
     slim = members.join(labelled.select("class", "comp"), "class").select("node", "class", "comp")
     mixed = slim.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("node")
     now = slim.join(mixed, "node").select("node", "class").join(labelled, "class").select("node", "class", "sketch", "small", "comp")
-    found = None
+    held = None
     for level in range(1, depth + 1):
         now = saved(spark, now, f"cps-level-{level}")
         per = now.groupBy("node", "comp").agg(F.count("*").alias("c"))
         per = per.groupBy("node").agg(F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps"))
         per = saved(spark, per.where("comps > 1").select("node", "size", F.col("top.comp").alias("major"), (F.col("size") - F.col("top.c")).alias("rest")), f"cps-sizes-{level}")
-        direct = (F.col("size") <= small_node) | (F.col("rest") <= small_node) | F.lit(level == depth)
+        direct = (F.col("size") <= small_node) | (F.col("size") * F.col("rest") <= comparisons) | F.lit(level == depth)
         rows = now.select("node", "class", "small", "comp").join(per.where(direct), "node")
-        here = _compare(_blocks(rows, small_node, block), least)
-        found = here if found is None else found.unionByName(here)
+        rows = rows.withColumn("ask", F.lit(True))
+        held = rows if held is None else held.unionByName(rows)
         large = per.where(~direct).select("node")
         if large.isEmpty():
             break
         now = _branch(now.join(large, "node", "left_semi"), similarity)
-    more = saved(spark, found.distinct(), "cps-more")
-    if not more.isEmpty():
-        lacking = ids.join(wanted(more), "class").join(sets.select("class"), "class", "left_anti")
-        sets = sets.unionByName(saved(spark, _full_sets(texts, lacking, k), "cps-full-more"))
-        extra = saved(spark, _confirm(more, sets, similarity), "cps-links-more")
-        if not extra.isEmpty():
-            group = (components(spark, links.unionByName(extra)).withColumnRenamed("node", "class")
-                     .withColumnRenamed("component", "comp"))
+    # each row with its most similar partner first: that joins nearly all that
+    # belongs together, and what is then still apart is compared in full
+    for full in (False, True):
+        hits = saved(spark, _compare(_blocks(held, small_node, block), least, full), f"cps-pairs-{full}")
+        pairs = hits.select("a", "b").distinct()
+        if hits.isEmpty():
+            break
+        lacking = ids.join(wanted(pairs), "class").join(sets.select("class"), "class", "left_anti")
+        sets = sets.unionByName(saved(spark, _full_sets(texts, lacking, k), f"cps-full-{full}"))
+        extra = saved(spark, _confirm(pairs, sets, similarity), f"cps-links-{full}")
+        if not full:                             # a row without a plausible partner has no more to ask
+            asks = hits.select("node", F.col("left").alias("class")).distinct().withColumn("ask", F.lit(True))
+            held = held.drop("ask").join(hits.select("node").distinct(), "node", "left_semi").join(asks, ["node", "class"], "left")
+            held = held.withColumn("ask", F.coalesce("ask", F.lit(False)))
+        if extra.isEmpty():
+            continue
+        # links between components join the components
+        label = labelled.select("class", "comp")
+        ends = (extra.join(label.withColumnRenamed("class", "a").withColumnRenamed("comp", "ca"), "a")
+                .join(label.withColumnRenamed("class", "b").withColumnRenamed("comp", "cb"), "b"))
+        joined = components(spark, ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        joined = joined.withColumnRenamed("node", "comp").withColumnRenamed("component", "top_comp")
+        relabel = lambda df: (df.join(joined, "comp", "left").withColumn("comp", F.coalesce("top_comp", "comp")).drop("top_comp"))
+        labelled = saved(spark, relabel(labelled), f"cps-labelled-{full}")
+        if not full:
+            held = held.join(joined.withColumnRenamed("comp", "major").withColumnRenamed("top_comp", "top_major"), "major", "left")
+            held = relabel(held.withColumn("major", F.coalesce("top_major", "major")).drop("top_major"))
+            apart = held.groupBy("node").agg(F.count(F.when(F.col("comp") != F.col("major"), 1)).alias("rest"))
+            held = held.drop("rest").join(apart.where("rest > 0"), "node")
+    group = labelled.select("class", "comp")
 
     # 3. the smallest doc_id of each component
-    joined = ids.join(group, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+    joined = ids.join(group, "class")
     lowest = joined.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     final = joined.join(lowest, "comp").select("class", "component_id")
     slim_docs = every.select("doc_id", "n", "class")
@@ -282,16 +315,17 @@ def _agreement_series(x, y):
 
 
 def _blocks(rows: DataFrame, small_node: int, block: int) -> DataFrame:
-    """Groups to compare.  A small node is one group of rows that are left and
-    right.  Of a large one the rows outside its largest component are left,
-    all rows right; either side is cut into blocks that meet pairwise."""
+    """Groups to compare.  A small node is one group of rows that are right,
+    and left if they still ask.  Of a large one the asking rows outside its
+    largest component are left, all rows right; either side is cut into blocks
+    that meet pairwise."""
     whole = rows.where(F.col("size") <= small_node).select(
-        "node", F.lit(0).alias("ga"), F.lit(0).alias("gb"), "class", "small", "comp", F.lit(True).alias("is_left"), F.lit(True).alias("is_right"))
+        "node", F.lit(0).alias("ga"), F.lit(0).alias("gb"), "class", "small", "comp", F.col("ask").alias("is_left"), F.lit(True).alias("is_right"))
     big = (rows.where(F.col("size") > small_node).withColumn("pa", F.ceil(F.col("rest") / block).cast("int"))
            .withColumn("pb", F.ceil(F.col("size") / block).cast("int")))
     place = lambda parts: F.pmod(F.xxhash64(F.lit(2), "class"), F.col(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
-    left = (big.where("comp <> major").withColumn("ga", place("pa")).withColumn("gb", every("pb"))
+    left = (big.where("comp <> major and ask").withColumn("ga", place("pa")).withColumn("gb", every("pb"))
             .select("node", "ga", "gb", "class", "small", "comp", F.lit(True).alias("is_left"), F.lit(False).alias("is_right")))
     right = (big.withColumn("gb", place("pb")).withColumn("ga", every("pa"))
              .select("node", "ga", "gb", "class", "small", "comp", F.lit(False).alias("is_left"), F.lit(True).alias("is_right")))
