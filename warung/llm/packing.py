@@ -338,7 +338,7 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, *, end_id: int =
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                doc, n = (part.column(c).to_numpy() for c in ("doc_id", "n"))
+                n = part.column("n").to_numpy()
                 task, ids = part.column("task").to_numpy(), part.column("ids").to_pylist()
                 queue = np.array([where[x] for x in part.column("source").to_pylist()])
                 low = base[task, queue] + part.column("start").to_numpy()
@@ -354,9 +354,9 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, *, end_id: int =
                     start = begin - low[row]
                     pieces = [ids[r][4 * s:4 * (s + k)] for r, s, k in zip(row.tolist(), start.tolist(), length.tolist(), strict=True)]
                     sums = np.fromiter(map(zlib.crc32, pieces), np.int64, len(pieces))
-                    columns = [doc[row], start, length, sums, n[row], windows, offset]
+                    columns = [start, length, sums, n[row], windows, offset]
                     yield pa.RecordBatch.from_arrays(
-                        [*(pa.array(c, pa.int64()) for c in columns), part.column("source").take(pa.array(row)),
+                        [part.column("doc_id").take(pa.array(row)), *(pa.array(c, pa.int64()) for c in columns), part.column("source").take(pa.array(row)),
                          pa.array(pieces, pa.binary()) if keep_ids else pa.nulls(len(row), pa.binary())],
                         ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "ids"])
 
