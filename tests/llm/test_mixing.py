@@ -55,3 +55,25 @@ def test_empty_table_and_too_many_sources(spark):
     assert M.mix(docs.where("doc_id < 0"), max_repeat=2.0).count() == 0
     with pytest.raises(ValueError):
         M.mix(docs, max_repeat=2.0, max_sources=2)
+
+
+def test_more_sources_than_a_driver_table(spark):
+    rows = [(i, "w " * (1 + i % 7), f"host{i % 5000}") for i in range(5600)] + [(9000 + i, "w " * 50, "big") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    total, got, took = {}, {}, {}
+    for _, t, s in rows:
+        total[s] = total.get(s, 0) + len(t.split())
+    n, names = sum(total.values()), sorted(total)
+    for limit in ({"max_repeat": 1.5}, {"min_entropy": 8.3}):
+        got.clear()
+        took.clear()
+        for r in M.mix(docs, blocks=8, **limit).collect():
+            got[r.source] = got.get(r.source, 0) + r.mix_tokens
+            took[r.source] = r.mix_weight
+            assert r.mix_tokens == len(rows[r.doc_id if r.doc_id < 5600 else r.doc_id - 3400][1].split())
+        shares = [total[s] / n for s in names]
+        weights = M.tempered(shares, M.fit_alpha(shares, **limit))
+        for s, w, k in zip(names, weights, M.repetitions(shares, weights)):
+            assert abs(took[s] - w) < 1e-9 and total[s] <= got[s] <= k * total[s] + 0.5001, (s, limit)
+            assert got[s] >= k * total[s] - 50
+        assert got["big"] == total["big"]

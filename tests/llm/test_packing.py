@@ -92,3 +92,37 @@ def test_empty_table_and_too_many_sources(spark):
     assert K.pack(spark, docs.where("doc_id < 0"), PATH).count() == 0
     with pytest.raises(ValueError):
         K.pack(spark, docs, PATH, max_sources=2)
+
+
+def valid(pieces, window):
+    """Windows full and without gaps; documents whole.  Tokens by source and window."""
+    fill, docs, held = {}, {}, {}
+    for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset)):
+        assert fill.get(p.sequence_id, 0) == p.offset
+        fill[p.sequence_id] = p.offset + p.length
+        docs[p.doc_id, p.source, p.doc_tokens] = docs.get((p.doc_id, p.source, p.doc_tokens), 0) + p.length
+        held[p.source, p.sequence_id] = held.get((p.source, p.sequence_id), 0) + p.length
+    assert sorted(fill) == list(range(len(fill))) and all(fill[k] == window for k in range(len(fill) - 1))
+    assert all(n % d[2] == 0 for d, n in docs.items())
+    return held
+
+
+def test_sources_that_share_a_queue(spark):
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string, source string").repartition(3)
+    docs = docs.localCheckpoint()
+    one, many = (K.pack(spark, docs, PATH, window=64, keep_ids=True, queues=q).collect() for q in (256, 1))
+    assert sorted(map(str, one)) == sorted(map(str, many)) and len(valid(many, 64))
+    targets = {"s0": 1.0, "s1": 1.0}
+    one, many = (valid(K.pack(spark, docs, PATH, window=64, targets=targets, queues=q).collect(), 64) for q in (256, 1))
+    assert {k: n for k, n in one.items() if k[0] in targets} == {k: n for k, n in many.items() if k[0] in targets}
+    assert {s for s, _ in many} == {"s0", "s1", "s2", None}
+
+
+def test_more_sources_than_a_driver_table(spark):
+    rows = [(i, "a word", f"host{i}") for i in range(4500)] + [(9000 + i, "b " * 300, "big") for i in range(20)] + [(9999, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    held = valid(K.pack(spark, docs, PATH, window=512).collect(), 512)
+    totals = {}
+    for (s, _), n in held.items():
+        totals[s] = totals.get(s, 0) + n
+    assert len(totals) == 4502 and totals["host7"] == 3 and totals["big"] == 20 * 301

@@ -11,7 +11,11 @@ phase, in which the other queues share by their weights.
 
 Token ids are made once, written as 16- or 32-bit numbers beside each
 document's place in its queue, and cut into pieces where they lie: only
-per-task token counts per source move between tasks.
+per-task token counts per source move between tasks, as a written table.
+
+Beyond some number of sources those without a target make one queue together,
+in the order in which their tokens are due: a distributed sort ranks the
+tokens, and the same divisor method says which window takes which ranks.
 
 Defined results: a null text is empty and yields the end id alone; repeated
 rows are packed once each; a null source is a queue of its own; an empty table
@@ -30,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from warung.llm import textscan as S
@@ -267,7 +272,8 @@ class Layout:
         """The window that holds the token, or one nearby."""
         for p in self.phases:
             end = p.first + p.count
-            if token <= self.bounds(np.array([end]))[0, queue]:
+            reach = self.bounds(np.array([end]))[0, queue]
+            if token < reach or (token == reach and slack > 0):
                 if not len(p.weights) or not p.weights[queue]:
                     return max(p.first + slack, 0) if slack < 0 else end
                 share = p.weights[queue] / p.weights.sum()
@@ -304,44 +310,101 @@ def tokenized(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: st
     return rows.mapInArrow(run, "task int, doc_id long, source string, start long, n long, ids binary")
 
 
+def spread(spark: SparkSession, docs: DataFrame, shared, queue: int) -> DataFrame:
+    """Pieces of the documents of many sources, which share one queue of the
+    layout.  Token ``j`` of a source of ``total`` tokens is due at ``(j + 1/2) /
+    total``, of equal times the first source's first; its rank in that order is
+    its place in the queue.  The rows are tokens: with more sources than a window
+    has tokens the average piece is no longer than one."""
+    first = [F.col("source").isNull(), F.col("source")]
+    each = docs.select("source", "low", "total", F.explode(F.sequence("low", F.col("low") + F.col("n") - 1)).alias("j"))
+    line = each.withColumn("due", (F.col("j") + 0.5) / F.col("total")).orderBy("due", *first, "j")
+    line = saved(spark, line.select("source", "low", "j", F.monotonically_increasing_id().alias("at")), "pack-line")
+    part = F.shiftright("at", 33)
+    sizes = line.groupBy(part.alias("part")).agg(F.count("*").alias("k")).orderBy("part").collect()   # a row per task of the sort
+    before = np.cumsum([0, *(r["k"] for r in sizes)]).tolist()
+    starts = spark.createDataFrame([(r["part"], k) for r, k in zip(sizes, before, strict=False)], "part long, before long")
+    ranked = line.withColumn("part", part).join(F.broadcast(starts), "part")
+    ranked = ranked.select("source", "low", "j", (F.col("before") + F.col("at").bitwiseAND(2**33 - 1)).alias("rank"))
+
+    def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        layout = shared.value[1]
+        for batch in batches:
+            rank = batch.column("rank").to_numpy()
+            for run in np.split(np.arange(len(rank)), np.flatnonzero(np.diff(rank) != 1) + 1):
+                if not len(run):
+                    continue
+                begin, _, windows, offset = layout.pieces(queue, np.array([rank[run[0]], rank[run[-1]] + 1]))
+                at = np.searchsorted(begin, rank[run], side="right") - 1
+                some = batch.slice(run[0], len(run))
+                yield pa.RecordBatch.from_arrays(
+                    [some.column("source"), some.column("low"), some.column("j"),
+                     pa.array(windows[at], pa.int64()), pa.array(offset[at] + rank[run] - begin[at], pa.int64())],
+                    ["source", "low", "j", "sequence_id", "seat"])
+
+    seats = ranked.mapInArrow(seat, "source string, low long, j long, sequence_id long, seat long")
+    found = seats.groupBy("source", "low", "sequence_id").agg(
+        F.min("j").alias("j"), F.count("*").alias("length"), F.min("seat").alias("seat"))
+    whole = W.partitionBy("sequence_id")                               # at most a window's tokens
+    found = found.select(F.col("source").alias("_source"), F.col("low").alias("_low"), (F.col("j") - F.col("low")).alias("start"), "length", "sequence_id",
+                         (F.min("seat").over(whole) + F.sum("length").over(whole.orderBy(*first, "low")) - F.col("length")).alias("offset"))
+    met = found.join(docs, F.col("source").eqNullSafe(F.col("_source")) & (F.col("low") == F.col("_low")))
+    met = met.withColumn("ids", F.expr("substring(ids, cast(4 * start + 1 as int), cast(4 * length as int))"))
+    return met.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), F.col("n").alias("doc_tokens"),
+                      "sequence_id", "offset", "source", "ids")
+
+
 def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, *, end_id: int = 2, window: int = 4096,
-         targets: dict[str, float] | None = None, max_tasks: int = 10_000, max_sources: int = 4096,
+         targets: dict[str, float] | None = None, max_tasks: int = 10_000, max_sources: int | None = None, queues: int = 256,
          id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep_ids: bool = False) -> DataFrame:
     """Pieces of all documents, placed in windows of ``window`` tokens.
 
     ``targets`` are wanted token proportions by source (a source not named
     shares what is natural to it at weight 0 once the others are dry); by
     default the proportions of the corpus, so that every window holds the
-    mixture of the whole.  ``max_tasks`` tasks tokenize, so the table of queue
-    offsets sent to the tasks has at most ``max_tasks * max_sources`` numbers;
-    more sources raise an error.  With ``keep_ids`` the pieces carry their ids.
+    mixture of the whole.  ``max_tasks`` tasks tokenize.  Up to ``queues``
+    sources are cut where they lie, with one number per source sent to the
+    tasks; of more, those without a target are placed by ``spread`` (the same
+    pieces if there are no targets; else the same tokens of every target in
+    every window).  There may be any number of sources; a caller that wants an
+    error beyond some number gives ``max_sources``.  With ``keep_ids`` the pieces carry their ids.
     """
     if docs.rdd.getNumPartitions() > max_tasks:
         docs = docs.coalesce(max_tasks)
     tokens = saved(spark, tokenized(docs, vocabulary, end_id, id_col, text_col, source_col), "pack-tokens")
-    counts = tokens.groupBy("task", "source").agg(F.sum("n").alias("n")).toPandas()
-    names = sorted(counts["source"].unique().tolist(), key=lambda s: (s is None, s or ""))
-    if len(names) > max_sources:
-        raise ValueError(f"{len(names)} sources; max_sources is {max_sources}")
-    place = {s: k for k, s in enumerate(names)}
-    tasks = int(counts["task"].max()) + 1 if len(counts) else 0
-    table = np.zeros((tasks, len(names)), dtype=np.int64)
-    for task, source, n in counts.itertuples(index=False):
-        table[task, place[source]] = n
-    totals = table.sum(axis=0)
-    offsets = np.cumsum(table, axis=0) - table
-    weights = np.array([targets.get(s, 0.0) for s in names]) if targets else totals.astype(np.float64)
-    shared = spark.sparkContext.broadcast((place, offsets, Layout(totals, schedule(totals, weights, window), window)))
+    counts = tokens.groupBy("task", "source").agg(F.sum("n").alias("n"))
+    by = W.partitionBy("source")                                       # a row per task
+    offsets = saved(spark, counts.select(F.col("task").alias("_task"), F.col("source").alias("_source"),
+                                         (F.sum("n").over(by.orderBy("task")) - F.col("n")).alias("base"),
+                                         F.sum("n").over(by).alias("total")), "pack-offsets")
+    sources = offsets.groupBy("_source").agg(F.first("total").alias("total"))
+    if max_sources is not None and (found := sources.count()) > max_sources:
+        raise ValueError(f"{found} sources; max_sources is {max_sources}")
+    own = sources.limit(queues + 1).collect()
+    named, rest = F.lit(True), []
+    if len(own) > queues:
+        known = F.col("source").isin([s for s in targets or {} if s is not None])
+        named = F.when(F.col("source").isNull(), F.lit(None in (targets or {}))).otherwise(known)
+        split = sources.withColumnRenamed("_source", "source").withColumn("named", named)
+        own = split.where("named").collect()
+        rest = [split.where("not named").agg(F.sum("total")).first()[0] or 0]
+    own.sort(key=lambda r: (r[0] is None, r[0] or ""))
+    place = {r[0]: k for k, r in enumerate(own)}
+    totals = np.array([*(r["total"] for r in own), *rest], dtype=np.int64)
+    weights = np.array([*(targets.get(s, 0.0) for s in place), *(0.0 for _ in rest)]) if targets else totals.astype(np.float64)
+    shared = spark.sparkContext.broadcast((place, Layout(totals, schedule(totals, weights, window), window)))
+    lying = tokens.join(offsets, (F.col("task") == F.col("_task")) & F.col("source").eqNullSafe(F.col("_source")))
+    lying = lying.select("doc_id", "source", (F.col("base") + F.col("start")).alias("low"), "n", "total", "ids")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, base, layout = shared.value
+        where, layout = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 n = part.column("n").to_numpy()
-                task, ids = part.column("task").to_numpy(), part.column("ids").to_pylist()
+                ids = part.column("ids").to_pylist()
                 queue = np.array([where[x] for x in part.column("source").to_pylist()])
-                low = base[task, queue] + part.column("start").to_numpy()
+                low = part.column("low").to_numpy()
                 order = np.lexsort([low, queue])
                 # runs of documents that follow one another in a queue
                 breaks = (queue[order][1:] != queue[order][:-1]) | ((low + n)[order][:-1] != low[order][1:])
@@ -360,7 +423,9 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, *, end_id: int =
                          pa.array(pieces, pa.binary()) if keep_ids else pa.nulls(len(row), pa.binary())],
                         ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "ids"])
 
-    pieces = tokens.mapInArrow(cut, PIECES + ", ids binary")
+    pieces = lying.where(named).drop("total").mapInArrow(cut, PIECES + ", ids binary")
+    if rest:
+        pieces = pieces.unionByName(spread(spark, lying.where(~named), shared, len(own)))
     return pieces if keep_ids else pieces.drop("ids")
 
 
