@@ -58,3 +58,22 @@ def test_record_members_and_plain_archives():
         while (h := s.head()) is not None:
             bodies.append(s.body(int(M.parse_headers(h)["content-length"]), True))
         assert bodies == [b"abc"] * 3
+
+
+def test_pages_without_an_id(spark):
+    import duckdb
+
+    from warung.llm import oracle, queries
+    rows = PAGES + [(None, "http://n", "<p>" + "z" * 200), (None, "http://n", "short"), (None, None, None), (None, "u", "y" * 150), (None, "u", "y" * 150)]
+    got = M.read_warc(spark, archive(spark, rows)).collect()
+    none = sorted((r.record_type, r.payload, r.refers_to or "") for r in got if r.record_id is None)
+    assert len(got) == len(rows)
+    assert none == [("response", "", ""), ("response", "short", ""), ("response", "y" * 150, ""), ("response", "y" * 150, ""), ("revisit", "", f"{M.ID}1")]
+    folder = tempfile.mkdtemp(prefix="warung-warc-")
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    df = queries.op4_warc(spark, folder)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{folder}/pages.parquet/*.parquet')")
+    rel = con.sql(oracle.SQL["op4_warc"])
+    at = [rel.columns.index(c) for c in df.columns]
+    assert sorted(map(str, map(tuple, df.collect()))) == sorted(str(tuple(r[k] for k in at)) for r in rel.fetchall())

@@ -46,10 +46,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.read_warc(spark, path)
     number = lambda c: F.regexp_extract(c, rf"^{warc.ID}(-?\d+)$", 1).cast("long")
     response = F.col("record_type") == "response"
+    refers = F.when(F.col("record_id").isNotNull(), number(F.col("refers_to")))     # as SQL compares ids
     return found.select(
         number(F.col("record_id")).alias("page_id"), "payload_bytes",
         F.when(response, F.col("payload_sha256")).otherwise(F.col("payload_digest")).alias("payload_digest"),
-        "record_type", number(F.col("refers_to")).alias("refers_to"))
+        "record_type", refers.alias("refers_to"))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

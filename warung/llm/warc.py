@@ -10,8 +10,10 @@ record type and on header columns pushed down, headers parsed first, and a
 payload decoded only when the record is wanted and payloads are asked for.
 
 Defined results: a null payload is empty; a null url is written without a
-target and read back as null; repeated rows are written once each (rows equal
-in both id and payload are all responses if theirs is the smallest id).
+target and read back as null; a page without an id is written without a record
+id and read back with a null one (a revisit, if a page with an id has its
+payload); repeated rows are written once each (rows equal in both id and
+payload are all responses if theirs is the smallest id).
 """
 
 from __future__ import annotations
@@ -50,7 +52,7 @@ def with_revisits(pages: DataFrame, *, id_col: str = "page_id", html_col: str =
                            .otherwise(F.concat_ws("#", F.lit("small"), F.col(id_col).cast("string"), F.xxhash64("payload_digest").cast("string"))))
     first = rows.groupBy("_group").agg(F.min(id_col).alias("_first"))
     met = rows.join(first, "_group", "left")
-    return (met.withColumn("refers_to", F.when(F.col(id_col) != F.col("_first"), F.col("_first")))
+    return (met.withColumn("refers_to", F.when(~F.col(id_col).eqNullSafe(F.col("_first")), F.col("_first")))
             .drop("_group", "_first"))
 
 
@@ -63,7 +65,7 @@ def record(id_col: str, url_col: str, date: str) -> Column:
     return F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        line("WARC-Record-ID", F.concat(F.lit(f"<{ID}"), F.col(id_col).cast("string"), F.lit(">"))),
+        F.when(F.col(id_col).isNull(), "").otherwise(line("WARC-Record-ID", F.concat(F.lit(f"<{ID}"), F.col(id_col).cast("string"), F.lit(">")))),
         line("WARC-Date", F.lit(date)),
         F.when(uri.isNull(), "").otherwise(line("WARC-Target-URI", uri)),
         F.when(revisit, F.concat(
