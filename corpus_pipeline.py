@@ -40,12 +40,16 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles,
-    similarity 0.8): the one of the smallest id."""
+    similarity 0.8): the one of the smallest id, a null one first."""
     ship(spark)
-    found = minhash_dedup.near_duplicates(spark, docs, k=5, similarity=0.8)
-    kept = found.where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    # an id of each row's own, ordered by doc_id: a kept doc_id keeps no other text
+    row = F.struct("doc_id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("text_hash"))
+    docs = docs.select(*COLUMNS, row.alias("_row"))
+    found = minhash_dedup.near_duplicates(spark, docs, k=5, similarity=0.8, id_col="_row")
+    kept = found.where("kept").select(F.col("_row").alias("_kept")).distinct()
     # of rows with one id and one text a single row stays
-    out = docs.select(COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    alike = [F.col(f"_row.{c}").eqNullSafe(F.col(f"_kept.{c}")) for c in ("doc_id", "text_hash")]
+    out = docs.join(kept, alike[0] & alike[1], "left_semi")
     return out.dropDuplicates(["doc_id", "text"]).select(COLUMNS)
 
 

@@ -55,3 +55,23 @@ def test_queries_run_and_match_their_sql(spark, name):
         rel = con.sql(oracle.SQL[name])
         at = [rel.columns.index(c) for c in df.columns]
         assert sorted(map(str, (tuple(r) for r in rows))) == sorted(str(tuple(r[k] for k in at)) for r in rel.fetchall())
+
+
+def test_near_copies_go_row_by_row(spark):
+    import random
+
+    from helpers_llm import sentence
+    rng = random.Random(3)
+    one, two, three, four = (sentence(rng, words=60) for _ in range(4))
+    near = lambda t: t + " more"
+    rows = [(1, one), (2, near(one)), (2, two),              # the id of a near copy also stands on a kept row
+            (None, three), (None, near(three)), (None, four), (None, four), (7, near(four))]
+    schema = spark.read.parquet(f"{SF}/documents.parquet").select(C.COLUMNS).schema
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema).repartition(3)
+    got = [(r.doc_id, r.text) for r in C.drop_near_copies(spark, docs, SF).collect()]
+    third = [x for x in got if x[1] in (three, near(three))]
+    assert len(third) == 1 and third[0][0] is None
+    assert sorted((x for x in got if x not in third), key=str) == sorted([(1, one), (2, two), (None, four)], key=str)
+    # across different sets a null id comes before all others in the operator, too
+    found = C.minhash_dedup.near_duplicates(spark, docs.where("doc_id = 7 OR doc_id IS NULL"), k=5).collect()
+    assert {r.component_id for r in found} == {None} and [r.kept for r in found if r.doc_id == 7] == [False]

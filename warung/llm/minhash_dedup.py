@@ -297,7 +297,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, k: int = 4, similar
 
     # 3. the smallest doc_id of each component
     joined = ids.join(group, "class")
-    lowest = joined.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    lowest = (joined.groupBy("comp").agg(F.min(F.struct("doc_id")).alias("least"))      # a null one first
+              .select("comp", F.col("least.doc_id").alias("component_id")))
     final = joined.join(lowest, "comp").select("class", "component_id")
     slim_docs = every.select("doc_id", "n", "class")
     out = (slim_docs.where("class is not null").join(final, "class").select("doc_id", "n", "component_id")
