@@ -73,3 +73,15 @@ def test_repeated_rows_and_empty_table(spark):
     got = sorted((r.vec_id, r.n_links, r.component_id) for r in E.near_duplicates(spark, df).collect())
     assert got == [(1, 2, 1), (1, 2, 1), (2, 2, 1)]
     assert E.near_duplicates(spark, df.where("vec_id > 5")).count() == 0
+
+
+def test_rows_without_an_id(spark):
+    rng = np.random.default_rng(4)
+    one, two, three = (rng.normal(size=24) for _ in range(3))
+    rows = [(None, one.tolist(), 0), (7, (one + 1e-3).tolist(), 0), (5, (one + 2e-3).tolist(), 0), (None, two.tolist(), 0), (None, (two + 1e-3).tolist(), 0),
+            (None, three.tolist(), 1), (8, three.tolist(), 0), (None, None, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    got = E.near_duplicates(spark, df).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [
+        (None, 2, 5, False), (7, 2, 5, False), (5, 2, 5, True), (None, 1, None, True), (None, 1, None, True),
+        (None, 0, None, True), (8, 0, 8, True), (None, 0, None, True)]))

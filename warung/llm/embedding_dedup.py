@@ -16,7 +16,9 @@ by itself, so no list of pairs is ever shuffled.
 Defined results: a vector that is null, empty, zero or holds a null or
 non-finite component, or whose label is null, links with nothing; vectors of
 different length do not link; repeated rows link with each other and share
-their class's component; ties take the smallest id.
+their class's component; ties take the smallest id.  A null id is none: a
+component takes the smallest of its other ids, and of rows without one only
+those are kept whose component has no id at all.
 """
 
 from __future__ import annotations
@@ -206,7 +208,8 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, *, threshold: float
     good = F.coalesce(F.col("label").isNotNull() & (F.size("v") > 0) & finite & nonzero, F.lit(False))
     rows = rows.withColumn("good", good)
     usable = rows.where("good")
-    classes = saved(spark, usable.groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("m")), "lattice-classes")
+    classes = usable.groupBy("label", "v").agg(F.min("id").alias("least"), F.count("*").alias("m"))
+    classes = saved(spark, classes.withColumn("id", F.monotonically_increasing_id()), "lattice-classes")   # ids of the classes' own
     facts = classes.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
     dim = facts["dim"] or 8
     if blocks is None:
@@ -289,10 +292,13 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, *, threshold: float
     found = saved(spark, spread.mapInArrow(compare, "id long, links long, root long"), "lattice-links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     group = components(spark, found.select(F.col("id").alias("a"), F.col("root").alias("b")).where("a <> b").distinct())
-    one = (classes.join(links, "id", "left").join(group.withColumnRenamed("node", "id"), "id", "left")
+    lowest = (group.join(classes.select(F.col("id").alias("node"), "least"), "node")
+              .groupBy("component").agg(F.min("least").alias("lowest")))
+    group = group.join(lowest, "component").select(F.col("node").alias("id"), "component", "lowest")
+    one = (classes.join(links, "id", "left").join(group, "id", "left")
            .select("label", "v", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-                   F.coalesce("component", "id").alias("component_id")))
+                   F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("lowest")).alias("component_id")))
     linked = usable.join(one, ["label", "v"]).select("id", "n_links", "component_id")
     alone = rows.where("not good").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(F.col("id").alias(id_col), "n_links", "component_id",
-                                            (F.col("id") == F.col("component_id")).alias("kept"))
+                                            F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
