@@ -48,3 +48,10 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     got = [tuple(r) for r in M.near_duplicates(spark, rows).collect()]
     assert sorted(got, key=str) == sorted([(1, 2, None, False)] * 2 + [(1, 2, 1, True), (None, 2, None, True), (2, 2, 1, False)], key=str)
     assert M.near_duplicates(spark, rows.where("doc_id > 5")).count() == 0
+
+
+def test_pairs_lost_by_the_estimate():
+    import math
+    least = math.ceil(M.least_agreement(0.8) * M.POSITIONS)
+    lost = sum(math.comb(M.POSITIONS, k) * 0.8 ** k * 0.2 ** (M.POSITIONS - k) for k in range(least))
+    assert lost < 5e-5                             # 1e-4 at four deviations

@@ -192,6 +192,12 @@ def _confirm(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return met.select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long")
 
 
+def least_agreement(similarity: float) -> float:
+    """The share of equal positions from which a pair is confirmed on its full
+    sets: 4.5 standard deviations below the similarity."""
+    return similarity - 4.5 * math.sqrt(similarity * (1 - similarity) / POSITIONS)
+
+
 def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """``(class, items)``: the sorted shingles of the wanted classes, from the
     text of one document of each."""
@@ -218,7 +224,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, k: int = 4, similar
                     text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    least = similarity - 4 * math.sqrt(similarity * (1 - similarity) / POSITIONS)
+    least = least_agreement(similarity)
     every = saved(spark, _sets(texts, k), "cps-sets")
     classes = (every.where("class is not null").groupBy("class")
                .agg(F.min(F.struct("doc_id", "n", "sketch", "small")).alias("r"))
