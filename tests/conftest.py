@@ -1,11 +1,12 @@
-import datetime as dt
 import os
 import sys
 import tempfile
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path.insert(0, os.path.dirname(HERE))
+sys.path.insert(0, HERE)
 
 from warung.session import get_session  # noqa: E402
 
@@ -17,15 +18,3 @@ def spark():
                     extra={"spark.checkpoint.dir": ckpt})
     yield s
     s.stop()
-
-
-def d(y, m, day):
-    return dt.datetime(y, m, day)
-
-
-SALES_SCHEMA = ("tanggal timestamp_ntz, category string, status string, product_id bigint, "
-                "items bigint, gross_sales decimal(22,2), profit decimal(28,4)")
-ORDERS_SCHEMA = "tanggal timestamp_ntz, status string, orders bigint"
-EVENTS_SCHEMA = "tanggal timestamp_ntz, event_type string, traffic_source string, sessions bigint"
-DIM_SCHEMA = "product_id bigint, product_name string, brand string"
-PAIRS_SCHEMA = "kat1 string, kat2 string, n bigint"

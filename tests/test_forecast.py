@@ -3,7 +3,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from conftest import SALES_SCHEMA
+from helpers import SALES_SCHEMA
 from warung.operators import forecast as FC
 
 SKOR_SCHEMA = ("model string, reg_param double, r2 double, rmse double, mse double, mape double, "

@@ -2,7 +2,7 @@ import pytest
 from pyspark.errors import PySparkException
 from py4j.protocol import Py4JJavaError
 
-from conftest import PAIRS_SCHEMA
+from helpers import PAIRS_SCHEMA
 from warung.operators import graph
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.errors import PySparkException
 from py4j.protocol import Py4JJavaError
 
-from conftest import DIM_SCHEMA, SALES_SCHEMA, d
+from helpers import DIM_SCHEMA, SALES_SCHEMA, d
 from warung.operators import products
 
 

@@ -9,7 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from conftest import ORDERS_SCHEMA, PAIRS_SCHEMA, SALES_SCHEMA
+from helpers import ORDERS_SCHEMA, PAIRS_SCHEMA, SALES_SCHEMA
 from warung.operators import filters, graph, sales
 
 CATS = ["A", "B", "C"]

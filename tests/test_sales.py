@@ -2,7 +2,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from conftest import ORDERS_SCHEMA, SALES_SCHEMA, d
+from helpers import ORDERS_SCHEMA, SALES_SCHEMA, d
 from warung.operators import filters, sales
 
 

@@ -1,4 +1,4 @@
-from conftest import EVENTS_SCHEMA, d
+from helpers import EVENTS_SCHEMA, d
 from warung.operators import visitors
 
 
