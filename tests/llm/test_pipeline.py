@@ -50,7 +50,7 @@ def test_queries_run_and_match_their_sql(spark, name):
     assert rows
     if name in oracle.SQL:
         con = duckdb.connect()
-        for t in ("documents", "pages", "embeddings", "labels"):
+        for t in ("documents", "pages", "embeddings", "labels", "benchmark"):
             con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
         rel = con.sql(oracle.SQL[name])
         at = [rel.columns.index(c) for c in df.columns]

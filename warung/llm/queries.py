@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from warung.llm import embedding_dedup, language_id, line_dedup, minhash_dedup, mixing, packing, quality_rules, suffix_dedup, url_filters, warc
+from warung.llm import (decontaminate, embedding_dedup, language_id, line_dedup, merkle, minhash_dedup, mixing, packing, quality_rules, resample,
+                        suffix_dedup, url_filters, warc)
 from warung.llm.store import ship
 from warung.session import scratch_path
 
@@ -86,8 +87,25 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(spark, _table(spark, sf_dir, "embeddings"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and verification of every document, a third of them tampered with."""
+    return merkle.manifest(spark, _table(spark, sf_dir, "documents"), received=merkle.tampered_leaf())
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stand in a benchmark window."""
+    out = decontaminate.report(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents, drawn towards the benchmark's distribution."""
+    out = resample.resample(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 _ALL = [op1_line_dedup, op2_language_id, op3_quality_rules, op4_warc, op5_suffix_dedup, op6_minhash_dedup, op7_mixing, op8_packing, op9_url_filters,
-        op10_embedding_dedup]
+        op10_embedding_dedup, op11_merkle_manifest, op12_decontamination, op13_importance_resampling]
 
 
 def _with_package(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
