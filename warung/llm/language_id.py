@@ -263,7 +263,7 @@ def fit(docs: DataFrame, *, max_documents: int = 3000, per_document: int = 3, wi
     if edge is None:
         return None
     rows = sample_windows(usable.where(key <= edge), per_document=per_document, width=width, text_col=text_col, lang_col=lang_col)
-    found = rows.distinct().limit(max_documents * per_document).collect()
+    found = rows.distinct().orderBy("piece", "lang").limit(max_documents * per_document).collect()
     found = sorted(found, key=lambda r: (r["lang"], bytes(r["piece"])))
     labels = sorted({r["lang"] for r in found})
     if not labels:
@@ -274,9 +274,10 @@ def fit(docs: DataFrame, *, max_documents: int = 3000, per_document: int = 3, wi
     return train(windows, np.array([labels.index(r["lang"]) for r in found]), labels, **how)
 
 
-def predict(docs: DataFrame, net: Network | None, *, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` but the text, with ``lang_pred`` and ``score``."""
-    rest = [c for c in docs.columns if c != text_col]
+def predict(docs: DataFrame, net: Network | None, *, text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """All columns of ``docs`` (the text with ``keep_text``), with ``lang_pred``
+    and ``score``."""
+    rest = [c for c in docs.columns if keep_text or c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

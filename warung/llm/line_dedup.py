@@ -83,12 +83,13 @@ def _line_rows(docs: DataFrame, min_words: int) -> DataFrame:
         for batch in batches:
             for part, texts in S.texts_of(batch):
                 rows: list[list[np.ndarray]] = []
-                for k, text in enumerate(texts):
-                    if not text:
-                        continue
-                    lines = _Lines(text)
+                for low, high in S.bounded(texts):
+                    some = [t or b"" for t in texts[low:high]]
+                    lines = _Lines(b"\n".join(some))                  # hashes do not depend on where a line stands
                     if len(lines.number):
-                        rows.append([np.full(len(lines.number), k), lines.number, lines.hashes(), lines.count, *lines.halves()])
+                        first = np.cumsum([0, *(t.count(b"\n") + 1 for t in some)])
+                        text = np.searchsorted(first, lines.number, side="right") - 1
+                        rows.append([low + text, lines.number - first[text], lines.hashes(), lines.count, *lines.halves()])
                 if not rows:
                     continue
                 row, number, h, count, *halves = (np.concatenate(c) for c in zip(*rows, strict=True))
@@ -229,8 +230,7 @@ def find_removed(spark: SparkSession, docs: DataFrame, min_words: int) -> DataFr
     return hit.where(F.col("near") | ~same).select("doc_id", "rid", "rid2", "line", (~same).alias("exact"))
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, *, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text",
-                **_) -> DataFrame:
+def dedup_lines(spark: SparkSession, docs: DataFrame, *, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the remaining lines as text, and ``n_lines``, ``n_exact``
     and ``n_near`` (removed lines that repeat an earlier one, or are near one)."""
     added = ["n_lines", "n_exact", "n_near", "n_gone"]

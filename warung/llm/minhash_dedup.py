@@ -81,7 +81,7 @@ def children(paths: np.ndarray, sketches: np.ndarray, similarity: float) -> tupl
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """``(doc_id, n, class, sketch, small)`` of ``docs(doc_id, text)``."""
+    """``(doc_id, k1, k2, n, class, sketch, small)`` of ``docs(doc_id, text, k1, k2)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,11 +98,11 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
                     else:
                         cls.append(None), sk.append(None), small.append(None)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sk, pa.binary()),
-                     pa.array(small, pa.binary())], ["doc_id", "n", "class", "sketch", "small"])
+                    [*(part.column(c) for c in ("doc_id", "k1", "k2")), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sk, pa.binary()),
+                     pa.array(small, pa.binary())], ["doc_id", "k1", "k2", "n", "class", "sketch", "small"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, class long, sketch binary, small binary")
+    return docs.mapInArrow(run, f"doc_id {kind}, k1 long, k2 int, n long, class long, sketch binary, small binary")
 
 
 def _branch(rows: DataFrame, similarity: float, trees: int = 0) -> DataFrame:
@@ -199,8 +199,9 @@ def least_agreement(similarity: float) -> float:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``(class, items)``: the sorted shingles of the wanted classes, from the
-    text of one document of each."""
+    """``(class, items)``: the sorted shingles of the wanted classes ``(k1, k2,
+    class)``, from the text of one document of each; a row of ``docs`` meets one
+    class at most, however many share its id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,14 +209,13 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 items, cls = [], []
                 for text, want in zip(texts, part.column("class").to_pylist(), strict=True):
                     found = S.document_set(text, k)
-                    # of several rows with this doc_id only those of the class fit
+                    # two texts whose 96-bit keys agree are told apart here
                     if int(S.mix(found).sum(dtype=np.uint64).view(np.int64)) == want:
                         items.append(found.tobytes())
                         cls.append(want)
                 yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(items, pa.binary())], ["class", "items"])
 
-    wanted = wanted.withColumnRenamed("doc_id", "_id")
-    rows = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("class", "text")
+    rows = docs.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select("class", "text")
     return rows.mapInArrow(run, "class long, items binary").dropDuplicates(["class"])
 
 
@@ -224,10 +224,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, k: int = 4, similar
                     text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    texts = texts.withColumn("k1", F.xxhash64("doc_id", "text")).withColumn("k2", F.hash(F.lit(6), "text", "doc_id"))
     least = least_agreement(similarity)
     every = saved(spark, _sets(texts, k), "cps-sets")
     classes = (every.where("class is not null").groupBy("class")
-               .agg(F.min(F.struct("doc_id", "n", "sketch", "small")).alias("r"))
+               .agg(F.min(F.struct("doc_id", "k1", "k2", "n", "sketch", "small")).alias("r"))
                .select("class", "r.*"))
     classes = saved(spark, classes, "cps-classes")
 
@@ -244,9 +245,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, k: int = 4, similar
     best = (met.select("class", "pivot", close("small", "other").alias("near")).where(F.col("near") >= least)
             .groupBy("class").agg(F.max(F.struct("near", F.col("pivot").alias("b"))).alias("m")))
     pairs = saved(spark, best.select(F.least("class", "m.b").alias("a"), F.greatest("class", "m.b").alias("b")).distinct(), "cps-star")
-    ids = classes.select("class", "doc_id")
+    ids, keys = classes.select("class", "doc_id"), classes.select("class", "k1", "k2")
     wanted = lambda p: p.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    sets = saved(spark, _full_sets(texts, ids.join(wanted(pairs), "class"), k), "cps-full")
+    sets = saved(spark, _full_sets(texts, keys.join(wanted(pairs), "class"), k), "cps-full")
     links = saved(spark, _confirm(pairs, sets, similarity), "cps-links")
     group = components(spark, links).withColumnRenamed("node", "class").withColumnRenamed("component", "comp")
 
@@ -264,7 +265,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, k: int = 4, similar
         per = saved(spark, per.where("comps > 1").select("node", "size", F.col("top.comp").alias("major"), (F.col("size") - F.col("top.c")).alias("rest")), f"cps-sizes-{level}")
         direct = (F.col("size") <= small_node) | (F.col("size") * F.col("rest") <= comparisons) | F.lit(level == depth)
         rows = now.select("node", "class", "small", "comp").join(per.where(direct), "node")
-        rows = rows.withColumn("ask", F.lit(True))
+        rows = saved(spark, rows.withColumn("ask", F.lit(True)), f"cps-held-{level}")   # a union of files, not of plans
         held = rows if held is None else held.unionByName(rows)
         large = per.where(~direct).select("node")
         if large.isEmpty():
@@ -277,13 +278,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, k: int = 4, similar
         pairs = hits.select("a", "b").distinct()
         if hits.isEmpty():
             break
-        lacking = ids.join(wanted(pairs), "class").join(sets.select("class"), "class", "left_anti")
+        lacking = keys.join(wanted(pairs), "class").join(sets.select("class"), "class", "left_anti")
         sets = sets.unionByName(saved(spark, _full_sets(texts, lacking, k), f"cps-full-{full}"))
         extra = saved(spark, _confirm(pairs, sets, similarity), f"cps-links-{full}")
         if not full:                             # a row without a plausible partner has no more to ask
             asks = hits.select("node", F.col("left").alias("class")).distinct().withColumn("ask", F.lit(True))
             held = held.drop("ask").join(hits.select("node").distinct(), "node", "left_semi").join(asks, ["node", "class"], "left")
-            held = held.withColumn("ask", F.coalesce("ask", F.lit(False)))
+            held = saved(spark, held.withColumn("ask", F.coalesce("ask", F.lit(False))), "cps-asking")
         if extra.isEmpty():
             continue
         # links between components join the components

@@ -22,6 +22,7 @@ def saved(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: set[str] = set()
 
 
@@ -29,6 +30,8 @@ def ship(spark: SparkSession) -> None:
     """Hand this package to the executors' Python workers, once per application,
     so that jobs run where the package is not installed."""
     app = spark.sparkContext.applicationId
+    if not spark.sparkContext.getConf().contains(ARROW_ROWS):
+        spark.conf.set(ARROW_ROWS, "1000")       # rows may be whole documents: memory follows the batch
     if app in _shipped:
         return
     top = Path(__file__).resolve().parents[1]

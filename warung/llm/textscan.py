@@ -115,6 +115,18 @@ def texts_of(batch: pa.RecordBatch, column: str = "text", rows: int = 256) -> It
         yield part, part.column(column).cast(pa.binary()).to_pylist()
 
 
+def bounded(texts: list, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
+    """Ranges of the texts that hold ``most`` bytes together, or one longer text."""
+    low = size = 0
+    for k, t in enumerate(texts):
+        size += len(t or b"") + 1
+        if size > most and k > low:
+            yield low, k
+            low, size = k, len(t or b"") + 1
+    if low < len(texts):
+        yield low, len(texts)
+
+
 # ----------------------------------------------------- texts that must travel
 SQUEEZED = ["_warung_z", "_warung_size"]
 
