@@ -25,7 +25,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str, *, leas
     probabilities below ``least_score`` go.  A missing ``lang`` is filled in."""
     ship(spark)
     net = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
-    told = language_id.predict(docs.select(*COLUMNS, F.col("text").alias("_read")), net, text_col="_read")
+    told = language_id.predict(docs.select(COLUMNS), net, keep_text=True)
     kept = told.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= least_score))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(COLUMNS)
 
