@@ -210,7 +210,7 @@ def window_probabilities(net: Network, data: np.ndarray, lengths: np.ndarray) ->
     return logits.sum(0, dtype=np.float64)
 
 
-def document_probabilities(net: Network, texts: list[bytes], lanes: int = 4096) -> np.ndarray:
+def document_probabilities(net: Network, texts: list[bytes], lanes: int = 1024) -> np.ndarray:
     """Pooled label probabilities (rows sum to 1) of non-empty texts."""
     total = np.zeros((len(texts), len(net.labels)))
     sizes = np.array([len(t) for t in texts])
@@ -293,7 +293,7 @@ def predict(docs: DataFrame, net: Network | None, *, text_col: str = "text", kee
                                                  [*rest, "lang_pred", "score"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
-    return docs.mapInArrow(run, (kinds + ", " if kinds else "") + "lang_pred string, score double")
+    return docs.mapInArrow(S.lean(run), (kinds + ", " if kinds else "") + "lang_pred string, score double")
 
 
 def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **how) -> DataFrame:

@@ -101,7 +101,7 @@ def _line_rows(docs: DataFrame, min_words: int) -> DataFrame:
                      pa.array(h.view(np.int64)), *keys], ["doc_id", "rid", "rid2", "line", "h", "k0", "k1", "k2", "k3"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, rid long, rid2 int, line int, h long, k0 long, k1 long, k2 long, k3 long")
+    return docs.mapInArrow(S.lean(run), f"doc_id {kind}, rid long, rid2 int, line int, h long, k0 long, k1 long, k2 long, k3 long")
 
 
 def _variants(rows: DataFrame) -> DataFrame:
@@ -144,7 +144,7 @@ def _variants(rows: DataFrame) -> DataFrame:
                      part.column("rid").take(take), pa.array(line)], ["key", "kind", "h", "doc_id", "rid", "line"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"key long, kind byte, h long, doc_id {kind}, rid long, line int")
+    return rows.mapInArrow(S.lean(run), f"key long, kind byte, h long, doc_id {kind}, rid long, line int")
 
 
 def _word_lists(rows: DataFrame) -> DataFrame:
@@ -162,7 +162,7 @@ def _word_lists(rows: DataFrame) -> DataFrame:
                         words.append(b" ".join(split[w["line"]]))
                 yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(words, pa.binary())], ["h", "words"])
 
-    return rows.mapInArrow(run, "h long, words binary")
+    return rows.mapInArrow(S.lean(run), "h long, words binary")
 
 
 def within_one(a: list[bytes], b: list[bytes]) -> bool:
@@ -261,5 +261,5 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, *, min_words: int = 5, id_
                                                  [*keep, text_col, "n_lines", "n_exact", "n_gone"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    out = met.mapInArrow(rebuild, (kinds + ", " if kinds else "") + f"`{text_col}` string, n_lines long, n_exact long, n_gone long")
+    out = met.mapInArrow(S.lean(rebuild), (kinds + ", " if kinds else "") + f"`{text_col}` string, n_lines long, n_exact long, n_gone long")
     return out.withColumn("n_near", F.col("n_gone") - F.col("n_exact")).drop("n_gone")

@@ -102,7 +102,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
                      pa.array(small, pa.binary())], ["doc_id", "k1", "k2", "n", "class", "sketch", "small"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, k1 long, k2 int, n long, class long, sketch binary, small binary")
+    return docs.mapInArrow(S.lean(run), f"doc_id {kind}, k1 long, k2 int, n long, class long, sketch binary, small binary")
 
 
 def _branch(rows: DataFrame, similarity: float, trees: int = 0) -> DataFrame:
@@ -124,7 +124,7 @@ def _branch(rows: DataFrame, similarity: float, trees: int = 0) -> DataFrame:
                                                      ["node", "class", *(["sketch", "small", "comp"] if deeper else [])])
 
     more = ", sketch binary, small binary, comp long" if deeper else ""
-    return rows.mapInArrow(run, "node long, class long" + more)
+    return rows.mapInArrow(S.lean(run), "node long, class long" + more)
 
 
 def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -168,7 +168,7 @@ def _compare(rows: DataFrame, least: float, every: bool) -> DataFrame:
 
     keys = ["node", "ga", "gb"]
     spread = rows.repartition(*keys).sortWithinPartitions(*keys)
-    return spread.mapInArrow(run, "node long, left long, a long, b long").where("a <> b")
+    return spread.mapInArrow(S.lean(run), "node long, left long, a long, b long").where("a <> b")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -189,7 +189,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
     met = pairs.join(sets.select(F.col("class").alias("a"), F.col("items").alias("xa")), "a")
     met = met.join(sets.select(F.col("class").alias("b"), F.col("items").alias("xb")), "b")
-    return met.select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long")
+    return met.select("a", "b", "xa", "xb").mapInArrow(S.lean(run), "a long, b long")
 
 
 def least_agreement(similarity: float) -> float:
@@ -216,7 +216,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(items, pa.binary())], ["class", "items"])
 
     rows = docs.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select("class", "text")
-    return rows.mapInArrow(run, "class long, items binary").dropDuplicates(["class"])
+    return rows.mapInArrow(S.lean(run), "class long, items binary").dropDuplicates(["class"])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, *, k: int = 4, similarity: float = 0.8, trees: int = 10,

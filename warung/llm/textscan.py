@@ -7,7 +7,8 @@ a mixing step, so any span's hash comes from two prefix sums.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -127,6 +128,20 @@ def bounded(texts: list, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
         yield low, len(texts)
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the worker gives its free memory back: workers are
+    kept for later stages, whose own memory comes on top."""
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)     # glibc's
+            if trim:
+                trim(0)
+    return wrapped
+
+
 # ----------------------------------------------------- texts that must travel
 SQUEEZED = ["_warung_z", "_warung_size"]
 
@@ -144,7 +159,7 @@ def squeezed(docs, keys: list[str], text_col: str):
                      pa.array([len(t) for t in texts], pa.int64())], [*keys, "_warung_z", "_warung_size"])
 
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
-    return docs.select(*keys, text_col).mapInArrow(run, kinds + ", _warung_z binary, _warung_size long")
+    return docs.select(*keys, text_col).mapInArrow(lean(run), kinds + ", _warung_z binary, _warung_size long")
 
 
 def opened(part: pa.RecordBatch) -> Iterator[bytes]:
