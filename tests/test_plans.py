@@ -6,7 +6,7 @@ from warung.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 # keys whose callable writes data (plans of their read-back are checked elsewhere)
-WRITERS = {"load_mart", "build_fact_events_stream", "build_forecast", "pick_champion",
+WRITERS = {"load_mart", "build_sales_increments", "build_fact_events_stream", "build_forecast", "pick_champion",
            "model_card", "predicted_vs_actual", "compare_engines", "score_table",
            "feature_impact_top", "fit_linear_models", "feature_impact"}
 
@@ -31,12 +31,20 @@ def test_no_cross_product_or_python_in_any_plan(spark):
 
 
 def test_filters_reach_the_scan(spark):
-    plan = plan_of(catalog.REGISTRY["kpi_cards_filtered"].run(spark, SF))
+    plan = plan_of(catalog.REGISTRY["filter_all"].run(spark, SF))
     assert "PushedFilters: [IsNotNull(tanggal), GreaterThanOrEqual(tanggal" in plan
     assert "In(category, [ECONOMY ring,PROMO bolt,SMALL anvil])" in plan
     assert "ReadSchema: struct<tanggal:timestamp_ntz,category:string,status:string,product_id:bigint" in plan
 
 
+def test_kpi_and_category_views_never_scan_the_product_grain(spark):
+    for key in ("kpi_cards", "kpi_cards_filtered", "category_table", "category_table_filtered", "report_labels"):
+        plan = plan_of(catalog.REGISTRY[key].run(spark, SF))
+        assert "product_id" not in plan and "/fact_sales/" not in plan and "/sales_products/" in plan, key
+    plan = plan_of(catalog.REGISTRY["kpi_cards_part_months"].run(spark, SF))
+    assert "product_id" in plan and "/sales_products/" in plan
+
+
 def test_hot_key_paths_combine_map_side(spark):
     pairs = plan_of(catalog.REGISTRY["category_pairs"].run(spark, SF))
     # distinct (order, category) rows are combined before the shuffle, and no

@@ -40,7 +40,9 @@ RANKINGS = ["unit terjual", "profit"]
 
 # Mart table names; the rollup is ours, the others equal the dashboard's (FIXED VALUES).
 ROLLUP_TABLE = "sales_rollup"
-MART_TABLES = ["fact_sales", "fact_orders", "fact_events", "dim_products", ROLLUP_TABLE]
+# exact product sets by month, as bitmaps (see ``marts.build_product_bits``)
+PRODUCT_BITS_TABLE = "sales_products"
+MART_TABLES = ["fact_sales", "fact_orders", "fact_events", "dim_products", ROLLUP_TABLE, PRODUCT_BITS_TABLE]
 FACTS_WITH_DATE = ["fact_sales", "fact_orders", "fact_events"]
 GRAPH_TABLE = "category_pairs"
 FORECAST_TABLES = ["skor", "prediksi", "dampak", "meta"]

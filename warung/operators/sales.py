@@ -22,6 +22,15 @@ def domain(df: DataFrame, name: str, values: list) -> DataFrame:
     return df.sparkSession.sql(f"SELECT * FROM VALUES {rows} AS t(ord, {name})")
 
 
+def distinct_products(products: DataFrame, *keys: str) -> DataFrame:
+    """A3: exact number of products per ``keys``, from product bitmaps
+    (``filters.product_sets``) or, without, from a fact."""
+    if "products" not in products.columns:
+        return products.groupBy(*keys).agg(F.count_distinct("product_id").alias("n_products"))
+    union = products.groupBy(*keys, "bucket").agg(F.bitmap_count(F.bitmap_or_agg("products")).alias("n"))
+    return union.groupBy(*keys).agg(F.sum("n").alias("n_products"))
+
+
 def kpi_cards(sales: DataFrame, orders: DataFrame, products: DataFrame | None = None) -> DataFrame:
     """A1-A3: one row — gross sales, profit, orders, cancel rate (%), distinct
     products sold.
@@ -31,11 +40,11 @@ def kpi_cards(sales: DataFrame, orders: DataFrame, products: DataFrame | None =
     may cover more than the sales KPIs (kept as in the dashboard).  The two
     global aggregates are stacked and folded into one row (no join).
 
-    With ``products`` (the sales fact under the same filters) ``sales`` may be
-    the rollup: sums come from it, distinct products from the fact.
+    With ``products`` (product sets, or the sales fact, under the same filters)
+    ``sales`` may be the rollup: sums come from it, distinct products from there.
     """
     s = sales.agg(F.sum("gross_sales").alias("gross_sales"), F.sum("profit").alias("profit"))
-    p = (sales if products is None else products).agg(F.count_distinct("product_id").alias("products_sold"))
+    p = distinct_products(sales if products is None else products).withColumnRenamed("n_products", "products_sold")
     o = orders.agg(
         F.sum("orders").alias("orders"),
         F.sum(F.when(F.col("status") == "Cancelled", F.col("orders"))).alias("cancelled"))
@@ -66,15 +75,13 @@ def orders_by_status(orders: DataFrame) -> DataFrame:
 
 def category_table(sales: DataFrame, products: DataFrame | None = None) -> DataFrame:
     """Per category units, gross, profit and distinct products; by gross
-    desc.  With ``products`` (the sales fact under the same filters) ``sales``
-    may be the rollup, as in ``kpi_cards``."""
+    desc.  With ``products`` ``sales`` may be the rollup, as in ``kpi_cards``."""
     known = F.col("category").isNotNull()
     sums = (sales.where(known).groupBy("category")
             .agg(F.sum("items").cast("bigint").alias("unit"),
                  F.sum("gross_sales").cast("double").alias("gross"),
                  F.sum("profit").cast("double").alias("profit")))
-    count = ((sales if products is None else products).where(known).groupBy("category")
-             .agg(F.count_distinct("product_id").alias("produk_unik")))
+    count = distinct_products((sales if products is None else products).where(known), "category").withColumnRenamed("n_products", "produk_unik")
     return (sums.join(count, "category", "left")
             .select("category", "unit", "gross", "profit", F.coalesce("produk_unik", F.lit(0)).cast("bigint").alias("produk_unik"))
             .orderBy(F.col("gross").desc(), "category"))

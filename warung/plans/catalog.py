@@ -121,9 +121,12 @@ class _View(dict):
 
     def __init__(self, spark: SparkSession, root: str, selection: tuple):
         super().__init__()
-        self.marts, self.selection = _marts(spark, root), selection
+        self.marts, self.selection, self.bounds = _marts(spark, root), selection, lambda: _bounds(spark, root)
 
     def __missing__(self, name: str) -> DataFrame:
+        if name == "products":
+            self[name] = filters.product_sets(self.marts[M.PRODUCT_BITS_TABLE], self.marts["fact_sales"], *self.selection, bounds=self.bounds())
+            return self[name]
         table = {"sales": "fact_sales", "orders": "fact_orders", "rollup": M.ROLLUP_TABLE}[name]
         self[name] = filters.filter_facts(self.marts[table], *self.selection)
         return self[name]
@@ -177,6 +180,29 @@ def q_build_fact_sales(spark, root):
         F.col("profit").cast("double").alias("profit"))
 
 
+@register("build_sales_increments", with_marts(["fact_sales"], """
+SELECT tanggal, category, status, product_id, items,
+       CAST(gross_sales AS DOUBLE) AS gross_sales, CAST(profit AS DOUBLE) AS profit
+FROM fact_sales"""))
+def q_build_sales_increments(spark, root):
+    """The source arrives in two deliveries, some lines before
+    their orders; the published fact after the second is that of one build."""
+    from warung.session import scratch_path
+    from warung.sources.increments import publish_sales, read_sales
+    from warung.sources.tables import read_sources
+    base, source = scratch_path(spark, "increments"), read_sources(spark, root, ("part", "orders", "lineitem"))
+    for k in (0, 1):
+        source["orders"].where(F.col("o_orderkey") % 2 == k).write.mode("append").parquet(f"{base}/source/orders.parquet")
+        late = F.col("l_orderkey") % 8 == 7                              # by then their orders are known, or not yet
+        source["lineitem"].where(~late if k == 0 else late).write.mode("append").parquet(f"{base}/source/lineitem.parquet")
+        if k == 0:
+            source["part"].write.parquet(f"{base}/source/part.parquet")
+        publish_sales(spark, f"{base}/marts", f"{base}/source")
+    return read_sales(spark, f"{base}/marts")["fact_sales"].select(
+        "tanggal", "category", "status", "product_id", "items",
+        F.col("gross_sales").cast("double").alias("gross_sales"), F.col("profit").cast("double").alias("profit"))
+
+
 @register("build_fact_orders", with_marts(["fact_orders"], "SELECT * FROM fact_orders"))
 def q_build_fact_orders(spark, root):
     """B2: orders per day and status."""
@@ -208,6 +234,9 @@ UNION ALL SELECT 'fact_orders', COUNT(*) FROM fact_orders
 UNION ALL SELECT 'fact_events', COUNT(*) FROM fact_events
 UNION ALL SELECT 'dim_products', COUNT(*) FROM dim_products
 UNION ALL SELECT 'sales_rollup', COUNT(*) FROM (SELECT DISTINCT tanggal, category, status FROM fact_sales) r
+UNION ALL SELECT 'sales_products', COUNT(*) FROM (
+  SELECT DISTINCT date_trunc('month', tanggal) AS m, category, status, CASE WHEN product_id > 0 THEN 1 + (product_id - 1) // 32768 ELSE product_id // 32768 END AS b
+  FROM fact_sales WHERE product_id IS NOT NULL) r
 UNION ALL SELECT 'category_pairs', COUNT(*) FROM category_pairs"""))
 def q_load_mart(spark, root):
     """Publish all marts of the source as one version, or reuse
@@ -263,14 +292,26 @@ SELECT COALESCE(CAST((SELECT SUM(gross_sales) FROM s) AS DOUBLE), 0.0) AS gross_
 def q_kpi_cards(spark, root):
     """A1-A3: the KPI row over the whole range (flagship)."""
     v = _view(spark, root)
-    return sales.kpi_cards(v["rollup"], v["orders"], v["sales"])
+    return sales.kpi_cards(v["rollup"], v["orders"], v["products"])
 
 
 @register("kpi_cards_filtered", _kpi_sql(True))
 def q_kpi_cards_filtered(spark, root):
     """A1-A3 under the sidebar selection."""
     v = _view(spark, root, filtered=True)
-    return sales.kpi_cards(v["rollup"], v["orders"], v["sales"])
+    return sales.kpi_cards(v["rollup"], v["orders"], v["products"])
+
+
+# A selection that cuts into its first and last month.
+EDGE_START, EDGE_END = dt.datetime(1996, 1, 17), dt.datetime(1998, 5, 9)
+
+
+@register("kpi_cards_part_months", _kpi_sql(True).replace(f"{VIEW_START:%Y-%m-%d}", f"{EDGE_START:%Y-%m-%d}").replace(f"{VIEW_END:%Y-%m-%d}", f"{EDGE_END:%Y-%m-%d}"))
+def q_kpi_cards_part_months(spark, root):
+    """A1-A3 where the range cuts into its first and last month: product sets
+    of whole months, days of the two others."""
+    v = _View(spark, root, (EDGE_START, EDGE_END, VIEW_CATEGORIES, VIEW_STATUSES))
+    return sales.kpi_cards(v["rollup"], v["orders"], v["products"])
 
 
 def _labels_sql() -> str:
@@ -290,7 +331,7 @@ FROM (VALUES """ + cards + """) c(ord, card), k""")
 def q_report_labels(spark, root):
     """The KPI cards as display texts."""
     v = _view(spark, root)
-    return sales.report_labels(sales.kpi_cards(v["rollup"], v["orders"], v["sales"]))
+    return sales.report_labels(sales.kpi_cards(v["rollup"], v["orders"], v["products"]))
 
 
 def _status_sql(filtered: bool) -> str:
@@ -326,14 +367,14 @@ FROM s WHERE category IS NOT NULL GROUP BY category""", filtered)
 def q_category_table(spark, root):
     """Per-category breakdown."""
     v = _view(spark, root)
-    return sales.category_table(v["rollup"], v["sales"])
+    return sales.category_table(v["rollup"], v["products"])
 
 
 @register("category_table_filtered", _category_sql(True))
 def q_category_table_filtered(spark, root):
     """A7 under the sidebar selection."""
     v = _view(spark, root, filtered=True)
-    return sales.category_table(v["rollup"], v["sales"])
+    return sales.category_table(v["rollup"], v["products"])
 
 
 TRUNC_SQL = {"day": "CAST(CAST(tanggal AS DATE) AS TIMESTAMP)",

@@ -35,12 +35,12 @@ def sales_page(marts: dict[str, DataFrame], start: DateLike = None, end: DateLik
     """KPI cards, trend at the chosen grain (Harian / Mingguan / Bulanan),
     orders by status and the category table."""
     v = _view(marts, start, end, categories, statuses)
-    kpi = sales.kpi_cards(v["rollup"], v["orders"], v["sales"])
+    kpi = sales.kpi_cards(v["rollup"], v["orders"], v["products"])
     tr = sales.trend(v["rollup"], GRAINS.get(grain, grain))
     return {"kpi": kpi, "cards": sales.report_labels(kpi), "trend": tr,
             "trend_long": sales.trend_long(tr), "trend_end": sales.trend_end_labels(tr),
             "status": sales.orders_by_status(v["orders"]),
-            "categories": sales.category_table(v["rollup"], v["sales"])}
+            "categories": sales.category_table(v["rollup"], v["products"])}
 
 
 def visitors_page(marts: dict[str, DataFrame], start: DateLike = None, end: DateLike = None,

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from warung.fixed_values import (FACTS_WITH_DATE, FORECAST_TABLES,
-                                 GRAPH_TABLE, MART_TABLES, ROLLUP_TABLE, TRAFFIC_SOURCES)
+                                 GRAPH_TABLE, MART_TABLES, PRODUCT_BITS_TABLE, ROLLUP_TABLE, TRAFFIC_SOURCES)
 from warung.functions.scalars import day_ts
 from warung.sources.tables import read_table
 
@@ -101,13 +101,15 @@ def order_lines(orders: DataFrame) -> DataFrame:
         status_of(F.col("o_orderpriority"), F.col("o_orderstatus")).alias("status"))
 
 
-def build_fact_sales(lineitem: DataFrame, orders: DataFrame, part: DataFrame) -> DataFrame:
-    """B1: tanggal x category x status x product_id -> items, gross_sales, profit.
+SALES_GRAIN = ["tanggal", "category", "status", "product_id"]
+
+
+def sales_lines(lineitem: DataFrame, orders: DataFrame, part: DataFrame) -> DataFrame:
+    """The lines behind B1, at its grain's columns: items, gross_sales, profit.
 
     Both joins are equi-joins left to Catalyst/AQE: the part side is broadcast
     only while its measured size is under ``autoBroadcastJoinThreshold``,
-    otherwise it is a sort-merge join (AQE splits a skewed key).  The
-    aggregate runs partial-before-shuffle on the full grain.
+    otherwise it is a sort-merge join (AQE splits a skewed key).
 
     No line is dropped: one without its order has a NULL day and status, one
     without its part a NULL category and no profit.  A quantity that is not
@@ -124,11 +126,14 @@ def build_fact_sales(lineitem: DataFrame, orders: DataFrame, part: DataFrame) ->
               .withColumnRenamed("l_partkey", "product_id"))
     line_profit = (F.col("ext") * (F.lit(1) - F.col("disc"))
                    - F.col("q").cast(QUANTITY) * F.col("unit_cost")).cast(LINE_PROFIT)
-    return (joined
-            .groupBy("tanggal", "category", "status", "product_id")
-            .agg(F.sum("q").alias("items"),
-                 F.sum("ext").alias("gross_sales"),
-                 F.sum(line_profit).alias("profit")))
+    return joined.select(*SALES_GRAIN, F.col("q").alias("items"), F.col("ext").alias("gross_sales"), line_profit.alias("profit"))
+
+
+def build_fact_sales(lineitem: DataFrame, orders: DataFrame, part: DataFrame) -> DataFrame:
+    """B1: tanggal x category x status x product_id -> items, gross_sales,
+    profit; the aggregate runs partial-before-shuffle on the full grain."""
+    return (sales_lines(lineitem, orders, part).groupBy(*SALES_GRAIN)
+            .agg(*[F.sum(c).alias(c) for c in ("items", "gross_sales", "profit")]))
 
 
 def build_sales_rollup(fact_sales: DataFrame) -> DataFrame:
@@ -137,13 +142,30 @@ def build_sales_rollup(fact_sales: DataFrame) -> DataFrame:
     What the KPI sums, trends, category sums and the forecast read: at most
     days x categories x statuses rows (about 577,000 for the seven years and
     48 categories of the test data), whatever the number of lines.  Distinct
-    products do not add up, so they are counted on ``fact_sales``.
+    products do not add up; ``build_product_bits`` keeps them.
     """
     return (fact_sales.groupBy("tanggal", "category", "status")
             .agg(F.sum("items").alias("items"), F.sum("gross_sales").alias("gross_sales"),
                  F.sum("profit").cast("decimal(38,4)").alias("profit")))
 
 
+def build_product_bits(fact_sales: DataFrame) -> DataFrame:
+    """month x category x status x bucket -> ``products``, the set of product
+    ids as a bitmap of 32,768 bits (4 KB, run-length compressed in the file).
+
+    Bitmaps merge exactly: the union over any months, categories and statuses
+    is a bitwise or, its size a bit count, so distinct products never need the
+    product grain.  Rows grow with months and the range of the ids (one bucket
+    per 32,768 ids), not with lines; a NULL id is in no set, as for a distinct
+    count.
+    """
+    at = F.col("product_id")
+    return (fact_sales.where(at.isNotNull())
+            .groupBy(F.trunc(F.col("tanggal").cast("date"), "month").alias("month"), "category", "status",
+                     F.bitmap_bucket_number(at).alias("bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("products")))
+
+
 def build_fact_orders(orders: DataFrame) -> DataFrame:
     """B2: tanggal x status -> number of orders."""
     return (order_lines(orders)
@@ -205,6 +227,7 @@ def build_marts(spark: SparkSession, src_root: str) -> dict[str, DataFrame]:
         "fact_events": build_fact_events(events),
         "dim_products": build_dim_products(part),
         ROLLUP_TABLE: build_sales_rollup(build_fact_sales(lineitem, orders, part)),
+        PRODUCT_BITS_TABLE: build_product_bits(build_fact_sales(lineitem, orders, part)),
     }
 
 
@@ -228,6 +251,7 @@ REQUIRED_COLUMNS = {
     "fact_sales": ["tanggal", "category", "status", "product_id", "items",
                    "gross_sales", "profit"],
     ROLLUP_TABLE: ["tanggal", "category", "status", "items", "gross_sales", "profit"],
+    PRODUCT_BITS_TABLE: ["month", "category", "status", "bucket", "products"],
     "fact_orders": ["tanggal", "status", "orders"],
     "fact_events": ["tanggal", "event_type", "traffic_source", "sessions"],
     "dim_products": ["product_id", "product_name", "brand"],
@@ -247,7 +271,7 @@ def mart_path(root: str, name: str) -> str:
 # range (and category), so date-clustered row groups let the pushed-down
 # filters skip row groups.  A per-task sort; no extra shuffle.
 WRITE_ORDER = {"fact_sales": ["tanggal", "category"], ROLLUP_TABLE: ["tanggal", "category"], "fact_orders": ["tanggal"],
-               "fact_events": ["tanggal"]}
+               "fact_events": ["tanggal"], PRODUCT_BITS_TABLE: ["month", "category"]}
 # Facts large enough to be written in month directories, so a date-range
 # filter prunes whole directories (``PartitionFilters``) before any file is
 # opened.  The small facts (days x a few keys) stay one data set.
@@ -263,12 +287,34 @@ PARTITION_COLUMN = "month"
 
 
 MANIFESTS = "_manifests"
-MANIFEST_SCHEMA = "version string, published timestamp, src_root string, tables array<string>"
+MANIFEST_SCHEMA = "version string, published timestamp, src_root string, tables array<string>, source_mark string"
 Derived = Callable[[dict[str, DataFrame]], DataFrame]
 
 
+SOURCE_TABLES = ["orders", "lineitem", "part", "events"]
+
+
+def source_files(spark: SparkSession, src_root: str, tables: Iterable[str] = tuple(SOURCE_TABLES)) -> DataFrame:
+    """``(table, path, length, modified)`` of the source's files, from a listing;
+    no file is opened."""
+    found = None
+    for t in tables:
+        files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+                 .load(f"{src_root.rstrip('/')}/{t}.parquet")
+                 .select(F.lit(t).alias("table"), "path", "length", F.col("modificationTime").alias("modified")))
+        found = files if found is None else found.unionByName(files)
+    return found
+
+
+def source_mark(files: DataFrame) -> str:
+    """The content of a source as one text: number of files, bytes and two
+    sums of hashes over path, size and modification time."""
+    sums = [F.sum(F.xxhash64(F.lit(k), "table", "path", "length", F.unix_micros("modified")).cast("decimal(38,0)")) for k in (1, 2)]
+    return ":".join(str(x or 0) for x in files.agg(F.count("*"), F.sum("length"), *sums).first())
+
+
 def write_tables(spark: SparkSession, frames: dict[str, DataFrame | Derived], root: str, src_root: str = "",
-                 parallel: int = 4) -> str:
+                 parallel: int = 4, mark: str | None = None) -> str:
     """Write the tables into a folder of a new version and publish it.
 
     The writes are independent jobs, so they are submitted together from a few
@@ -301,8 +347,8 @@ def write_tables(spark: SparkSession, frames: dict[str, DataFrame | Derived], ro
         if name not in direct:
             write((name, derive(written)))
     tables = ", ".join(f"'{n}'" for n in frames)
-    manifest = spark.sql(f"SELECT '{version}' AS version, current_timestamp() AS published, "
-                         f"'{src_root}' AS src_root, array({tables}) AS tables")
+    manifest = spark.sql(f"SELECT '{version}' AS version, current_timestamp() AS published, array({tables}) AS tables")
+    manifest = manifest.withColumn("src_root", F.lit(src_root)).withColumn("source_mark", F.lit(mark))
     manifest.coalesce(1).write.mode("append").json(mart_path(root, MANIFESTS))
     return version
 
@@ -320,16 +366,18 @@ def published(spark: SparkSession, root: str) -> list[dict]:
 
 
 def read_tables(spark: SparkSession, root: str, names: Iterable[str],
-                required: dict[str, list[str]] | None = None, src_root: str | None = None) -> dict[str, DataFrame] | None:
+                required: dict[str, list[str]] | None = None, src_root: str | None = None,
+                mark: str | None = None) -> dict[str, DataFrame] | None:
     """The newest published tables, or ``None`` if one is absent,
-    stale, or (with ``src_root``) built from another source.
+    stale, or built from another source (``src_root``) or from other files of
+    it (``mark``, see ``source_mark``).
 
     A table is stale when it lacks a required column (the dashboard's check is
     that the three facts carry ``tanggal``; ours lists every column read).
     """
     names = list(names)
     for m in published(spark, root):
-        if set(names) <= set(m["tables"]) and src_root in (None, m["src_root"]):
+        if set(names) <= set(m["tables"]) and src_root in (None, m["src_root"]) and mark in (None, m["source_mark"]):
             break
     else:
         return None
@@ -342,18 +390,18 @@ def read_tables(spark: SparkSession, root: str, names: Iterable[str],
 def load_or_build(spark: SparkSession, root: str, names: list[str],
                   build: Callable[[], dict[str, DataFrame | Derived]],
                   required: dict[str, list[str]] | None = None,
-                  refresh: bool = False, src_root: str = "") -> dict[str, DataFrame]:
-    """Reuse the published tables when complete and of this source,
-    else build, write, publish and read back.
+                  refresh: bool = False, src_root: str = "", mark: str | None = None) -> dict[str, DataFrame]:
+    """Reuse the published tables when complete and of this source (with
+    ``mark``, of its very files), else build, write, publish and read back.
 
     Reading the written copy cuts the lineage: later jobs start from the
     parquet files, not from the source joins.
     """
     if not refresh:
-        found = read_tables(spark, root, names, required, src_root)
+        found = read_tables(spark, root, names, required, src_root, mark)
         if found is not None:
             return found
-    write_tables(spark, build(), root, src_root)
+    write_tables(spark, build(), root, src_root, mark=mark)
     found = read_tables(spark, root, names, required, src_root)
     if found is None:  # pragma: no cover - a write that did not land
         raise MartMissing(root, "the mart build")
@@ -372,21 +420,26 @@ def load_mart(spark: SparkSession, mart_root: str, src_root: str,
     def build():
         frames: dict[str, DataFrame | Derived] = dict(build_marts(spark, src_root))
         frames[ROLLUP_TABLE] = lambda written: build_sales_rollup(written["fact_sales"])
+        frames[PRODUCT_BITS_TABLE] = lambda written: build_product_bits(written["fact_sales"])
         if with_graph:
             frames[GRAPH_TABLE] = build_graph(spark, src_root)
         return frames
 
-    return load_or_build(spark, mart_root, names, build, required, refresh, src_root)
+    # Files that came, went or changed since make the published copy another's
+    mark = source_mark(source_files(spark, src_root))
+    return load_or_build(spark, mart_root, names, build, required, refresh, src_root, mark)
 
 
 def load_table(spark: SparkSession, mart_root: str, src_root: str, name: str) -> DataFrame:
     """One table on demand, published by itself under ``mart_root/name`` and
-    reused from there; the rollup is built from the published fact."""
+    reused from there; the rollup and the product sets are built from the
+    published fact."""
     def build():
         if name == GRAPH_TABLE:
             return {name: build_graph(spark, src_root)}
-        if name == ROLLUP_TABLE:
-            return {name: build_sales_rollup(load_table(spark, mart_root, src_root, "fact_sales"))}
+        if name in (ROLLUP_TABLE, PRODUCT_BITS_TABLE):
+            derive = build_sales_rollup if name == ROLLUP_TABLE else build_product_bits
+            return {name: derive(load_table(spark, mart_root, src_root, "fact_sales"))}
         return {name: build_marts(spark, src_root)[name]}
 
     return load_or_build(spark, mart_path(mart_root, name), [name], build, {name: REQUIRED_COLUMNS[name]}, src_root=src_root)[name]
