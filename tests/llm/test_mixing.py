@@ -77,3 +77,11 @@ def test_more_sources_than_a_driver_table(spark):
             assert abs(took[s] - w) < 1e-9 and total[s] <= got[s] <= k * total[s] + 0.5001, (s, limit)
             assert got[s] >= k * total[s] - 50
         assert got["big"] == total["big"]
+
+
+def test_documents_without_an_id_are_blocks_of_their_own(spark):
+    wide = spark.range(1000).selectExpr("id AS doc_id", "concat('w', id, ' a b c d e f g h i') AS text", "'large' AS source")
+    for key in ("cast(null AS bigint)", "id + 5000"):
+        small = spark.range(400).selectExpr(f"{key} AS doc_id", "concat('v', id, ' a b c d e f g h i') AS text", "'small' AS source")
+        taken = M.mix(wide.unionByName(small), max_repeat=1.5).where("source = 'small'").agg({"mix_tokens": "sum"}).first()[0]
+        assert 5990 <= taken <= 6000

@@ -115,7 +115,8 @@ def mix(docs: DataFrame, *, max_repeat: float | None = None, min_entropy: float
     Adds ``mix_tokens``, ``mix_epoch`` (from 0), ``mix_block`` (its block's
     place in the epoch's permutation) and ``mix_weight``.
 
-    Documents fall into ``blocks`` blocks per source by hash.  One scan sums
+    Documents fall into ``blocks`` blocks per source by hash of their id, or of
+    their text where the id is null; rows alike in that are taken together.  One scan sums
     the blocks; a source's budget then ends within one block of its
     permutation, and a second scan finds the document at which it ends.  What
     is taken follows from those two places, one row per source.  All tables by
@@ -127,8 +128,10 @@ def mix(docs: DataFrame, *, max_repeat: float | None = None, min_entropy: float
     docs = docs.drop(*[c for c in docs.columns if c.startswith("_mix_") or c in ADDED])
     rows = docs.withColumn("mix_tokens", F.greatest(word_count(F.col(text_col)), F.lit(1)).cast("long"))
     rows = rows.withColumn("_mix_source", F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("null")))
-    rows = rows.withColumn("_mix_blk", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(blocks)))
-    rows = rows.withColumn("_mix_key", F.struct(F.xxhash64(F.lit(seed + 1), F.col(id_col)).alias("h"), F.col(id_col).alias("id")))
+    known = F.col(id_col).isNotNull()
+    mark = lambda k: F.when(known, F.xxhash64(F.lit(k), F.col(id_col))).otherwise(F.xxhash64(F.lit(k), F.col(text_col)))
+    rows = rows.withColumn("_mix_blk", F.pmod(mark(seed), F.lit(blocks)))
+    rows = rows.withColumn("_mix_key", F.struct(mark(seed + 1).alias("h"), F.col(id_col).alias("id")))
     sums = saved(spark, rows.groupBy("_mix_source", "_mix_blk").agg(F.sum("mix_tokens").alias("n")), "mix-blocks")
     totals = saved(spark, sums.groupBy("_mix_source").agg(F.sum("n").alias("n")), "mix-totals")
     facts = totals.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.min("n").alias("least"), F.max("n").alias("most")).first()

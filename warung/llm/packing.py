@@ -128,6 +128,7 @@ class WordTokenizer:
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
+S.kept["packing"] = _tokenizers.clear
 
 
 def tokenizer(path: str) -> WordTokenizer:
@@ -307,7 +308,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: st
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
                        F.col(source_col).cast("string").alias("source"))
-    return rows.mapInArrow(S.lean(run), "task int, doc_id long, source string, start long, n long, ids binary")
+    return rows.mapInArrow(S.lean(run, "packing"), "task int, doc_id long, source string, start long, n long, ids binary")
 
 
 def spread(spark: SparkSession, docs: DataFrame, shared, queue: int) -> DataFrame:
@@ -423,7 +424,7 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, *, end_id: int =
                          pa.array(pieces, pa.binary()) if keep_ids else pa.nulls(len(row), pa.binary())],
                         ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "ids"])
 
-    pieces = lying.where(named).drop("total").mapInArrow(S.lean(cut), PIECES + ", ids binary")
+    pieces = lying.where(named).drop("total").mapInArrow(S.lean(cut, "packing"), PIECES + ", ids binary")
     if rest:
         pieces = pieces.unionByName(spread(spark, lying.where(~named), shared, len(own)))
     return pieces if keep_ids else pieces.drop("ids")

@@ -128,10 +128,24 @@ def bounded(texts: list, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
         yield low, len(texts)
 
 
-def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run``, after which the worker gives its free memory back: workers are
-    kept for later stages, whose own memory comes on top."""
+#: What operators keep in a worker from task to task, and how to let go of it.
+kept: dict[str, Callable[[], None]] = {}
+
+
+def forget(owner: str | None) -> None:
+    """Lets go of what operators other than ``owner`` have kept in this worker."""
+    for name, drop in kept.items():
+        if name != owner:
+            drop()
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+         owner: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` in a worker that does not hold other operators' caches, and gives
+    its free memory back afterwards: workers live on in later stages, whose own
+    memory comes on top."""
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(owner)
         try:
             yield from run(batches)
         finally:
