@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from warung.llm import textscan as S
-from warung.llm.store import saved
+from warung.llm.store import discard, saved
 
 
 class _Lines:
@@ -177,9 +177,9 @@ def within_one(a: list[bytes], b: list[bytes]) -> bool:
     return a[k + (len(a) == len(b)):] == b[k + 1:]
 
 
-def find_removed(spark: SparkSession, docs: DataFrame, min_words: int) -> DataFrame:
+def find_removed(spark: SparkSession, docs: DataFrame, min_words: int) -> tuple[DataFrame, list[DataFrame]]:
     """``doc_id, rid, rid2, line, exact`` of every line to remove, from
-    ``docs(doc_id, rid, rid2, text)``."""
+    ``docs(doc_id, rid, rid2, text)``; and the scratch tables that it reads."""
     lines = saved(spark, _line_rows(docs, min_words), "lines")
     place = F.struct("doc_id", "rid", "line")
     keys = ["k0", "k1", "k2", "k3"]
@@ -227,7 +227,8 @@ def find_removed(spark: SparkSession, docs: DataFrame, min_words: int) -> DataFr
              .select("h", "first", F.coalesce("near", F.lit(False)).alias("near")))
     hit = lines.select("doc_id", "rid", "rid2", "line", "h").join(going, "h")
     same = place.eqNullSafe(F.col("first"))
-    return hit.where(F.col("near") | ~same).select("doc_id", "rid", "rid2", "line", (~same).alias("exact"))
+    found = hit.where(F.col("near") | ~same).select("doc_id", "rid", "rid2", "line", (~same).alias("exact"))
+    return found, [lines, unique, candidates, texts, mine, near]
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, *, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,9 +239,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, *, min_words: int = 5, id_
     rid, rid2, null = "_warung_rid", "_warung_rid2", "_warung_null"
     rows = (docs.select(*keep, text_col).withColumn(rid, F.xxhash64(id_col, text_col)).withColumn(rid2, F.hash(F.lit(5), text_col, id_col)))
     slim = rows.select(F.col(id_col).alias("doc_id"), F.col(rid).alias("rid"), F.col(rid2).alias("rid2"), F.col(text_col).alias("text"))
-    gone = (find_removed(spark, slim, min_words).distinct().groupBy(F.col("rid").alias(rid), F.col("rid2").alias(rid2))
+    found, scratch = find_removed(spark, slim, min_words)
+    gone = (found.distinct().groupBy(F.col("rid").alias(rid), F.col("rid2").alias(rid2))
             .agg(F.collect_list("line").alias("gone"), F.sum(F.col("exact").cast("long")).alias("n_exact"), F.count("*").alias("n_gone")))
     gone = saved(spark, gone, "lines-gone")
+    discard(spark, scratch)
     squeezed = S.squeezed(rows.withColumn(null, F.col(text_col).isNull()), [rid, rid2, null, *keep], text_col)
     met = squeezed.join(gone, [rid, rid2], "left").drop(rid, rid2)
 

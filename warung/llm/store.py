@@ -19,7 +19,16 @@ def saved(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._warung_path = path
+    return out
+
+
+def discard(spark: SparkSession, tables: list[DataFrame]) -> None:
+    """Remove tables made by ``saved`` that no later plan reads."""
+    for df in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._warung_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
