@@ -126,3 +126,17 @@ def test_more_sources_than_a_driver_table(spark):
     for (s, _), n in held.items():
         totals[s] = totals.get(s, 0) + n
     assert len(totals) == 4502 and totals["host7"] == 3 and totals["big"] == 20 * 301
+
+
+def test_another_vocabulary_gets_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from warung.llm import packing
+    texts = ["Two  words, and more.", " leading space\nand lines", "", "\u00c9t\u00e9 13.5"]
+    for name, whole in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        path = public_tokenizers.path(name)
+        made = packing.WordTokenizer(path)
+        want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+        assert made.whole is whole
+        assert [np.frombuffer(i, "<u4").tolist() for i in made.batch([t.encode() for t in texts])] == want

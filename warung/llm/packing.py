@@ -45,6 +45,9 @@ PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 
 # ---------------------------------------------------------------- tokenizer
+PROBE = " The  quick (brown) fox,\n\tdidn't JUMP over 13.5 dogs; \u00c9t\u00e9 na\u00efve! e-mail: a_b@c.de <x> "
+
+
 class WordTokenizer:
     """Token ids per word from the ``tokenizers`` library, with a bounded cache.
 
@@ -64,6 +67,9 @@ class WordTokenizer:
         self.closing[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.room, self.young, self.old = room, {}, {}
         self.marks = {m: self._one([m])[0] for m in ".,;:!?"}
+        # another kind of vocabulary (one that keeps spaces, say) gets whole texts
+        self.whole = False
+        self.whole = not self.closing.any() or self.batch([PROBE.encode()]) != self._one([PROBE])
 
     def _one(self, words: list[str]) -> list[bytes]:
         made = self.library.encode_batch_fast(words, add_special_tokens=False)
@@ -109,6 +115,8 @@ class WordTokenizer:
 
     def batch(self, texts: list[bytes | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
+        if self.whole:
+            return self._one([(t or b"").decode("utf-8", "replace") for t in texts])
         # A marker of special tokens is case-sensitive; everything else is
         # lower-cased by the vocabulary's own normaliser.
         split = [(t or b"").split() if b"<|" in (t or b"") else (t or b"").lower().split() for t in texts]
