@@ -1,6 +1,7 @@
 import datetime as dt
 from decimal import Decimal
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from helpers import SALES_SCHEMA
@@ -133,6 +134,44 @@ def test_closed_form_agrees_with_mllib(spark):
     b = FC.closed_form(frame, penalties, specs)
     run_a = {(r.model, r.week): r.prediksi for r in a.collect()}
     run_b = {(r.model, r.week): r.prediksi for r in b.collect()}
-    assert {m for m, _ in run_b} == {"ols", "ridge"}
+    assert {m for m, _ in run_b} == {"ols", "ridge", "lasso"}
     for k, v in run_b.items():
         assert abs(run_a[k] - v) <= 1e-6 * max(1.0, abs(v)), k
+
+
+def _fold(x, y):
+    z = np.column_stack([x, y])
+    return FC.Gram(len(y), z.mean(axis=0), np.cov(z.T, bias=True))
+
+
+def test_moments_of_folds_add_up():
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(60, 6)) * [1, 5, 5, 2, 9, 1] + 3, rng.normal(size=60)
+    whole, parts = _fold(x, y), _fold(x[:41], y[:41]).merged(_fold(x[41:], y[41:]))
+    assert parts.n == 60 and np.allclose(parts.mean, whole.mean) and np.allclose(parts.cov, whole.cov)
+    empty = FC.Gram(0, np.zeros(7), np.zeros((7, 7)))
+    assert empty.merged(whole) is whole and whole.merged(empty) is whole
+
+
+def test_lasso_meets_its_optimality_conditions():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(80, 6))
+    x[:, 5] = 7.0                                    # no variance: coefficient 0
+    y = 4 * x[:, 0] - 2 * x[:, 1] + rng.normal(size=80)
+    g = _fold(x, y)
+    for r, (coef, base) in zip((0.05, 0.5, 50.0), FC.gram_fits(g, 1.0, [0.05, 0.5, 50.0])):
+        sx, sy = x[:, :5].std(axis=0), y.std()
+        slope = ((x[:, :5] - x[:, :5].mean(axis=0)) / sx).T @ (y - x @ coef - base) / len(y) / sy
+        w = coef[:5] * sx / sy
+        assert coef[5] == 0 and np.all(np.abs(slope) <= r / sy + 1e-9)
+        assert np.allclose(slope[w != 0], np.sign(w[w != 0]) * r / sy, atol=1e-9)
+    assert not np.any(coef)                          # the largest penalty removes every feature
+
+
+def test_ridge_penalties_from_one_decomposition():
+    rng = np.random.default_rng(7)
+    x, y = rng.normal(size=(50, 6)), rng.normal(size=50)
+    g = _fold(x, y)
+    for r, (coef, _) in zip((0.0, 1.0, 100.0), FC.gram_fits(g, 0.0, [0.0, 1.0, 100.0])):
+        extra = np.diag(np.diag(g.cov)[:6]) * r / y.std()
+        assert np.allclose(coef, np.linalg.solve(g.cov[:6, :6] + extra, g.cov[:6, 6]))

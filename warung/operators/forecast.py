@@ -19,6 +19,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from decimal import Decimal
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
@@ -172,16 +173,111 @@ def _fit(spec: LinearSpec, reg_param: float, train: DataFrame):
     return model
 
 
-def tuned(spec: LinearSpec, train: DataFrame, grid: list[float] = GRID) -> float:
-    """The penalty of GRID with the lowest MAPE on the last VALIDATION_WEEKS
-    training weeks, fitted on the weeks before them (ties: the smaller)."""
-    if spec.reg_param is not None:
-        return spec.reg_param
-    edge = train.agg(F.max("t").alias("t")).first()["t"] - VALIDATION_WEEKS
-    early, late = train.where(F.col("t") <= edge), train.where(F.col("t") > edge)
-    error = F.avg(F.abs(F.col("y") - F.col("prediksi")) / F.nullif(F.abs(F.col("y")), F.lit(0.0)))
-    scored = [(_fit(spec, r, early).transform(late).agg(error.alias("m")).first()["m"], r) for r in grid]
-    return min(scored)[1]
+@dataclass(frozen=True)
+class Gram:
+    """Moments of features and label over the weeks ``t <= edge`` (all, if
+    none): count, means and population covariances, the label last.  A few
+    dozen numbers whatever the length of the series."""
+    n: int
+    mean: np.ndarray
+    cov: np.ndarray
+
+    def merged(self, other: "Gram") -> "Gram":
+        """The moments of both sets of weeks together."""
+        if not self.n or not other.n:
+            return self if self.n else other
+        n, d = self.n + other.n, other.mean - self.mean
+        cov = (self.n * self.cov + other.n * other.cov) / n + np.outer(d, d) * (self.n * other.n / n ** 2)
+        return Gram(n, self.mean + d * (other.n / n), cov)
+
+
+def gram_folds(data: DataFrame) -> tuple[Gram, Gram]:
+    """The training weeks' moments before and in the last VALIDATION_WEEKS,
+    both from one aggregate (two rows)."""
+    cols = [*FEATURES, "y"]
+    sums = [F.avg(c).alias(f"m_{i}") for i, c in enumerate(cols)]
+    sums += [F.covar_pop(a, b).alias(f"c_{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j]
+    train = data.where(F.col("split") == "train")
+    late = F.col("t") > F.max("t").over(Window.partitionBy()) - VALIDATION_WEEKS
+    got = {r["late"]: r for r in train.withColumn("late", late).groupBy("late").agg(F.count(F.lit(1)).alias("n"), *sums).collect()}
+
+    def gram(r) -> Gram:
+        k = len(cols)
+        if r is None:
+            return Gram(0, np.zeros(k), np.zeros((k, k)))
+        return Gram(r["n"], np.array([r[f"m_{i}"] for i in range(k)]),
+                    np.array([[r[f"c_{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]))
+
+    return gram(got.get(False)), gram(got.get(True))
+
+
+def gram_fits(gram: Gram, elastic_net: float, penalties: list[float]) -> list[tuple[np.ndarray, float]]:
+    """(coefficients, intercept) for every penalty, from the moments alone.
+
+    Features and label are standardized; a penalty ``r`` becomes ``r / sd(y)``.
+    Ridge (0): one eigendecomposition serves all penalties.  Lasso (1):
+    coordinate descent on the correlations, from the largest penalty down, each
+    starting at the last solution.  A feature without variance gets 0."""
+    k = len(FEATURES)
+    sd = np.sqrt(np.diag(gram.cov))
+    used = np.flatnonzero(sd[:k] > 0)
+    out = {r: np.zeros(k) for r in penalties}
+    if len(used) and sd[k] > 0:
+        corr = gram.cov[np.ix_(used, used)] / np.outer(sd[used], sd[used])
+        target = gram.cov[used, k] / (sd[used] * sd[k])
+        if elastic_net == 0.0:
+            values, vectors = np.linalg.eigh(corr)
+            turned = vectors.T @ target
+        elif elastic_net != 1.0:
+            raise ValueError("closed forms exist for ridge (0) and lasso (1) only")
+        w = np.zeros(len(used))
+        for r in sorted(penalties, reverse=True):
+            bound = r / sd[k]
+            if elastic_net == 0.0:
+                w = vectors @ (turned / (values + bound))
+            else:
+                w = _descend(corr, target, bound, w)
+            out[r][used] = w * sd[k] / sd[used]
+    return [(out[r], float(gram.mean[k] - out[r] @ gram.mean[:k])) for r in penalties]
+
+
+def _descend(corr: np.ndarray, target: np.ndarray, bound: float, w: np.ndarray, rounds: int = 100_000) -> np.ndarray:
+    """Coordinate descent for the lasso on correlations; not converging is an error."""
+    w = w.copy()
+    for _ in range(rounds):
+        moved = 0.0
+        for j in range(len(w)):
+            rest = target[j] - corr[j] @ w + w[j]
+            new = np.sign(rest) * max(abs(rest) - bound, 0.0)
+            moved, w[j] = max(moved, abs(new - w[j])), new
+        if moved < 1e-13:
+            return w
+    raise RuntimeError(f"the lasso did not converge in {rounds} rounds")
+
+
+def linear(coef: np.ndarray, base: float):
+    """The prediction of a linear model as a column."""
+    value = F.lit(float(base))
+    for c, n in zip(coef, FEATURES):
+        value = value + F.lit(float(c)) * F.col(n)
+    return value
+
+
+def tuned(specs: list[LinearSpec], data: DataFrame, early: Gram, grid: list[float] = GRID) -> dict[str, float]:
+    """Each model's penalty: its own, or that of the grid with the lowest MAPE
+    on the last VALIDATION_WEEKS training weeks, fitted on the weeks before them
+    (ties: the smaller).  All candidates are scored in one aggregate."""
+    open_specs = [s for s in specs if s.reg_param is None]
+    fixed = {s.name: s.reg_param for s in specs if s.reg_param is not None}
+    if not open_specs:
+        return fixed
+    train = data.where(F.col("split") == "train")
+    late = train.where(F.col("t") > F.lit(train.agg(F.max("t").alias("t")).first()["t"] - VALIDATION_WEEKS))
+    error = lambda value: F.avg(F.abs(F.col("y") - value) / F.nullif(F.abs(F.col("y")), F.lit(0.0)))
+    fits = {s.name: gram_fits(early, s.elastic_net, grid) for s in open_specs}
+    got = late.agg(*[error(linear(*fit)).alias(f"{name}_{i}") for name, of in fits.items() for i, fit in enumerate(of)]).first()
+    best = {name: min((got[f"{name}_{i}"], r) for i, r in enumerate(grid))[1] for name in fits}
+    return {s.name: fixed[s.name] if s.name in fixed else best[s.name] for s in specs}
 
 
 def fit_linear_models(frame: DataFrame, specs: list[LinearSpec] = LINEAR_MODELS):
@@ -190,16 +286,17 @@ def fit_linear_models(frame: DataFrame, specs: list[LinearSpec] = LINEAR_MODELS)
     predictions, the coefficients (model, fitur, coef), the training weeks and
     the penalty of each model.
 
-    The weekly frame (52 rows a year) is written once and read back, so the
-    fits do not recompute it and nothing stays cached.
+    Penalties are chosen from moments (``gram_folds``, ``tuned``), so MLlib
+    fits each model once.  The weekly frame (52 rows a year) is written once and
+    read back, so the fits do not recompute it and nothing stays cached.
     """
     data = materialized(_design(frame), "forecast-frame")
+    penalties = tuned(specs, data, gram_folds(data)[0])
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
     train = data.where(F.col("split") == "train")
     ready, test = assembler.transform(train), assembler.transform(data.where(F.col("split") == "test"))
-    preds, coefs, penalties = [], [], {}
+    preds, coefs = [], []
     for spec in specs:
-        penalties[spec.name] = tuned(spec, ready)
         model = _fit(spec, penalties[spec.name], ready)
         preds.append(model.transform(test)
                      .select(F.lit(spec.name).alias("model"), "week", F.col("y").alias("aktual"),
@@ -213,38 +310,18 @@ def fit_linear_models(frame: DataFrame, specs: list[LinearSpec] = LINEAR_MODELS)
 
 
 def closed_form(frame: DataFrame, penalties: dict[str, float], specs: list[LinearSpec] = LINEAR_MODELS) -> DataFrame:
-    """Run B: the same L2 models without MLlib.  Means, variances and
-    covariances of the training weeks come from one SQL aggregate; the system
-    of as many unknowns as features is solved, and the predictions are a
-    projection.  The L1 model has no closed form and takes no part.
-
-    A penalty ``r`` on standardized features and label is ``r / stddev_pop(y) * var(x)``
-    on the diagonal.
-    """
-    import numpy as np
+    """Run B: the same models without MLlib, from the moments of the training
+    weeks (one aggregate) by ``gram_fits``; the predictions are a projection."""
     data = _design(frame)
-    cols = [*FEATURES, "y"]
-    sums = [F.avg(c).alias(f"m_{c}") for c in cols]
-    sums += [F.covar_samp(a, b).alias(f"c_{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j]
-    sums.append(F.stddev_pop("y").alias("sd_y"))
-    got = data.where(F.col("split") == "train").agg(*sums).first()
-    k = len(FEATURES)
-    if got["m_y"] is None:
+    early, late = gram_folds(data)
+    gram = early.merged(late)
+    if not gram.n:
         return data.limit(0).select(F.lit("").alias("model"), "week", F.col("y").alias("aktual"), F.col("y").alias("prediksi"))
-    cov = np.array([[got[f"c_{min(i, j)}_{max(i, j)}"] for j in range(k + 1)] for i in range(k + 1)])
-    out = None
-    for spec in specs:
-        if spec.elastic_net:
-            continue
-        extra = np.diag(np.diag(cov)[:k]) * penalties[spec.name] / (got["sd_y"] or 1.0)
-        coef = np.linalg.solve(cov[:k, :k] + extra, cov[:k, k])
-        base = got["m_y"] - sum(c * got[f"m_{n}"] for c, n in zip(coef, FEATURES))
-        value = F.lit(float(base))
-        for c, n in zip(coef, FEATURES):
-            value = value + F.lit(float(c)) * F.col(n)
-        one = data.where(F.col("split") == "test").select(F.lit(spec.name).alias("model"), "week", F.col("y").alias("aktual"), value.alias("prediksi"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    test = data.where(F.col("split") == "test")
+    stack = F.explode(F.array(*[
+        F.struct(F.lit(s.name).alias("model"), linear(*gram_fits(gram, s.elastic_net, [penalties[s.name]])[0]).alias("prediksi"))
+        for s in specs])).alias("p")
+    return test.select("week", F.col("y").alias("aktual"), stack).select("p.model", "week", "aktual", "p.prediksi")
 
 
 def single_fits(frame: DataFrame) -> DataFrame:
