@@ -751,6 +751,66 @@ def q_feature_impact(spark, root):
     return FC.feature_impact(coefs, train)
 
 
+# ---- ordinary and ridge least squares: SQL solves the normal equations
+_K = len(FC.FEATURES)
+_XS = [f"x{i}" for i in range(1, _K + 1)]
+_PRED = "a + list_dot_product(b, [" + ", ".join(_XS) + "])"
+L2_SPECS = [s for s in FC.LINEAR_MODELS if s.elastic_net == 0.0]
+
+
+def _step(k: int) -> str:
+    """One elimination step: column ``k`` becomes a unit vector."""
+    return f"""el{k} AS (SELECT fold, r, my, mx,
+  [CASE WHEN i = {k} THEN [v / m[{k}][{k}] FOR v IN m[i]]
+        ELSE [m[i][j] - m[i][{k}] * m[{k}][j] / m[{k}][{k}] FOR j IN range(1, {_K + 2})] END FOR i IN range(1, {_K + 1})] AS m
+  FROM el{k - 1})"""
+
+
+L2_SQL = FRAME_SQL + [
+    "xs AS (SELECT week, split, " + ", ".join(f"CAST({c} AS DOUBLE) AS {x}" for c, x in zip(FC.FEATURES, _XS))
+    + f", CAST(profit AS DOUBLE) AS y, t > MAX(CASE WHEN split = 'train' THEN t END) OVER () - {FC.VALIDATION_WEEKS} AS late "
+      "FROM frame WHERE usable)",
+    "folds AS (SELECT 'early' AS fold, * FROM xs WHERE split = 'train' AND NOT late "
+    "UNION ALL SELECT 'all', * FROM xs WHERE split = 'train')",
+    "mom AS (SELECT fold, stddev_pop(y) AS sy, AVG(y) AS my, [" + ", ".join(f"AVG({x})" for x in _XS) + "] AS mx, ["
+    + ", ".join("[" + ", ".join(f"covar_pop({x}, {z})" for z in [*_XS, "y"]) + "]" for x in _XS) + "] AS cv FROM folds GROUP BY fold)",
+    f"""el0 AS (SELECT fold, r, my, mx,
+  [[cv[i][j] + CASE WHEN i = j THEN cv[i][i] * r / sy ELSE 0 END FOR j IN range(1, {_K + 2})] FOR i IN range(1, {_K + 1})] AS m
+  FROM mom, (VALUES {", ".join(f"(CAST({r} AS DOUBLE))" for r in [0.0, *FC.GRID])}) p(r))""",
+    *[_step(k) for k in range(1, _K + 1)],
+    f"""fit AS (SELECT fold, r, b, my - list_dot_product(b, mx) AS a
+  FROM (SELECT fold, r, my, mx, [v[{_K + 1}] FOR v IN m] AS b FROM el{_K}) e)""",
+    f"""best AS (SELECT r FROM fit, xs WHERE fold = 'early' AND r > 0 AND split = 'train' AND late
+  GROUP BY r ORDER BY AVG(ABS(y - ({_PRED})) / NULLIF(ABS(y), 0.0)), r LIMIT 1)""",
+    "chosen AS (SELECT CASE WHEN r = 0 THEN 'Linear Regression' ELSE 'Ridge' END AS model, r AS reg_param, a, b "
+    "FROM fit WHERE fold = 'all' AND (r = 0 OR r = (SELECT r FROM best)))"]
+
+
+@register("fit_l2_models", _fc_sql(f"""
+SELECT model, reg_param, ROUND(1.0 - sse / NULLIF(sst, 0.0), 6) AS r2, ROUND(SQRT(mse), 2) AS rmse, ROUND(mape, 6) AS mape
+FROM (SELECT model, reg_param, AVG((y - p) * (y - p)) AS mse, SUM((y - p) * (y - p)) AS sse,
+             COUNT(*) * VAR_POP(y) AS sst, AVG(ABS(y - p) / NULLIF(ABS(y), 0.0)) AS mape
+      FROM (SELECT model, reg_param, y, {_PRED} AS p FROM chosen, xs WHERE split = 'test') q
+      GROUP BY model, reg_param) m""", L2_SQL))
+def q_fit_l2_models(spark, root):
+    """M3: MLlib OLS and ridge with the tuned penalty, scored on the test weeks
+    (rounded to what two solvers share)."""
+    predictions, _, _, penalties = FC.fit_linear_models(_frame(spark, root), L2_SPECS)
+    params = spark.createDataFrame(list(penalties.items()), "model string, reg_param double")
+    return FC.score(predictions).join(F.broadcast(params), "model").select(
+        "model", "reg_param", F.round("r2", 6).alias("r2"), F.round("rmse", 2).alias("rmse"), F.round("mape", 6).alias("mape"))
+
+
+@register("feature_impact_l2", _fc_sql("""
+SELECT model, fitur, ROUND(b[i] * sd, 2) AS dampak
+FROM chosen, (""" + " UNION ALL ".join(
+    f"SELECT {i} AS i, '{c}' AS fitur, stddev_samp(x{i}) AS sd FROM xs WHERE split = 'train'" for i, c in enumerate(FC.FEATURES, 1)) + ") d", L2_SQL))
+def q_feature_impact_l2(spark, root):
+    """Feature impact of the OLS and ridge fits, to the cent."""
+    _, coefs, train, _ = FC.fit_linear_models(_frame(spark, root), L2_SPECS)
+    return FC.feature_impact(coefs, train).select("model", "fitur", F.round("dampak", 2).alias("dampak"))
+
+
 # ---- the same views over models that SQL states in full
 _TRAIN, _TEST = "usable AND split = 'train'", "usable AND split = 'test'"
 SINGLE_SQL = NAIVE_SQL + [
