@@ -191,15 +191,19 @@ class Gram:
         return Gram(n, self.mean + d * (other.n / n), cov)
 
 
+def _train_weeks(data: DataFrame) -> DataFrame:
+    """The training weeks with ``late``: is it one of the last VALIDATION_WEEKS."""
+    late = F.col("t") > F.max("t").over(Window.partitionBy()) - VALIDATION_WEEKS
+    return data.where(F.col("split") == "train").withColumn("late", late)
+
+
 def gram_folds(data: DataFrame) -> tuple[Gram, Gram]:
     """The training weeks' moments before and in the last VALIDATION_WEEKS,
     both from one aggregate (two rows)."""
     cols = [*FEATURES, "y"]
     sums = [F.avg(c).alias(f"m_{i}") for i, c in enumerate(cols)]
     sums += [F.covar_pop(a, b).alias(f"c_{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j]
-    train = data.where(F.col("split") == "train")
-    late = F.col("t") > F.max("t").over(Window.partitionBy()) - VALIDATION_WEEKS
-    got = {r["late"]: r for r in train.withColumn("late", late).groupBy("late").agg(F.count(F.lit(1)).alias("n"), *sums).collect()}
+    got = {r["late"]: r for r in _train_weeks(data).groupBy("late").agg(F.count(F.lit(1)).alias("n"), *sums).collect()}
 
     def gram(r) -> Gram:
         k = len(cols)
@@ -271,8 +275,7 @@ def tuned(specs: list[LinearSpec], data: DataFrame, early: Gram, grid: list[floa
     fixed = {s.name: s.reg_param for s in specs if s.reg_param is not None}
     if not open_specs:
         return fixed
-    train = data.where(F.col("split") == "train")
-    late = train.where(F.col("t") > F.lit(train.agg(F.max("t").alias("t")).first()["t"] - VALIDATION_WEEKS))
+    late = _train_weeks(data).where("late")
     error = lambda value: F.avg(F.abs(F.col("y") - value) / F.nullif(F.abs(F.col("y")), F.lit(0.0)))
     fits = {s.name: gram_fits(early, s.elastic_net, grid) for s in open_specs}
     got = late.agg(*[error(linear(*fit)).alias(f"{name}_{i}") for name, of in fits.items() for i, fit in enumerate(of)]).first()
