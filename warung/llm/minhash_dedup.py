@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from warung.llm import textscan as S
 from warung.llm.components import components
 from warung.llm.grouping import groups
-from warung.llm.store import saved
+from warung.llm.store import discard, saved
 
 POSITIONS = 128
 _SEEDS = np.random.default_rng(99).integers(1, 2**31, (2, POSITIONS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -106,8 +106,8 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _branch(rows: DataFrame, similarity: float, trees: int = 0) -> DataFrame:
-    """Rows (class, sketch, small[, node, comp]) to their children's rows; with
-    ``trees`` from the roots."""
+    """Rows (class, sketch[, node, comp]) to their children's rows (node, class[,
+    comp]); with ``trees`` from the roots."""
     deeper = not trees
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,12 +119,11 @@ def _branch(rows: DataFrame, similarity: float, trees: int = 0) -> DataFrame:
                     paths = part.column("node").to_numpy().view(np.uint64) if deeper else S.mix(np.full(part.num_rows, tree + 1, np.uint64))
                     row, child = children(paths, values, similarity)
                     take = pa.array(row)
-                    more = [part.column(c).take(take) for c in (["sketch", "small", "comp"] if deeper else [])]
-                    yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), part.column("class").take(take), *more],
-                                                     ["node", "class", *(["sketch", "small", "comp"] if deeper else [])])
+                    more = ["comp"] if deeper else []
+                    yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), *(part.column(c).take(take) for c in ["class", *more])],
+                                                     ["node", "class", *more])
 
-    more = ", sketch binary, small binary, comp long" if deeper else ""
-    return rows.mapInArrow(S.lean(run), "node long, class long" + more)
+    return rows.mapInArrow(S.lean(run), "node long, class long" + (", comp long" if deeper else ""))
 
 
 def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -231,6 +230,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, k: int = 4, similar
                .agg(F.min(F.struct("doc_id", "k1", "k2", "n", "sketch", "small")).alias("r"))
                .select("class", "r.*"))
     classes = saved(spark, classes, "cps-classes")
+    rows_of = saved(spark, every.select("doc_id", "n", "class"), "cps-rows")
+    discard(spark, [every])
 
     # 1. first-level nodes that hold more than one class, and their pivots
     first = _branch(classes.select("class", "sketch"), similarity, trees)
@@ -252,25 +253,30 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, k: int = 4, similar
     group = components(spark, links).withColumnRenamed("node", "class").withColumnRenamed("component", "comp")
 
     # 2. what is still apart, node by node and level by level
-    labelled = classes.select("class", "sketch", "small").join(group, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+    labelled = classes.select("class").join(group, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
     labelled = saved(spark, labelled, "cps-labelled")
-    slim = members.join(labelled.select("class", "comp"), "class").select("node", "class", "comp")
+    slim = members.join(labelled, "class").select("node", "class", "comp")
     mixed = slim.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("node")
-    now = slim.join(mixed, "node").select("node", "class").join(labelled, "class").select("node", "class", "sketch", "small", "comp")
-    held = None
+    now = slim.join(mixed, "node")
+    held, before, scratch = None, [members], []
     for level in range(1, depth + 1):
         now = saved(spark, now, f"cps-level-{level}")
+        discard(spark, before)
         per = now.groupBy("node", "comp").agg(F.count("*").alias("c"))
         per = per.groupBy("node").agg(F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps"))
         per = saved(spark, per.where("comps > 1").select("node", "size", F.col("top.comp").alias("major"), (F.col("size") - F.col("top.c")).alias("rest")), f"cps-sizes-{level}")
         direct = (F.col("size") <= small_node) | (F.col("size") * F.col("rest") <= comparisons) | F.lit(level == depth)
-        rows = now.select("node", "class", "small", "comp").join(per.where(direct), "node")
+        rows = now.join(per.where(direct), "node").join(brief, "class")
         rows = saved(spark, rows.withColumn("ask", F.lit(True)), f"cps-held-{level}")   # a union of files, not of plans
+        scratch.append(rows)
         held = rows if held is None else held.unionByName(rows)
         large = per.where(~direct).select("node")
+        before = [now, per]
         if large.isEmpty():
+            discard(spark, before)
             break
-        now = _branch(now.join(large, "node", "left_semi"), similarity)
+        wide = now.join(large, "node", "left_semi").join(classes.select("class", "sketch"), "class")
+        now = _branch(wide, similarity)
     # each row with its most similar partner first: that joins nearly all that
     # belongs together, and what is then still apart is compared in full
     for full in (False, True):
@@ -285,12 +291,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, k: int = 4, similar
             asks = hits.select("node", F.col("left").alias("class")).distinct().withColumn("ask", F.lit(True))
             held = held.drop("ask").join(hits.select("node").distinct(), "node", "left_semi").join(asks, ["node", "class"], "left")
             held = saved(spark, held.withColumn("ask", F.coalesce("ask", F.lit(False))), "cps-asking")
+            discard(spark, scratch)
         if extra.isEmpty():
             continue
         # links between components join the components
-        label = labelled.select("class", "comp")
-        ends = (extra.join(label.withColumnRenamed("class", "a").withColumnRenamed("comp", "ca"), "a")
-                .join(label.withColumnRenamed("class", "b").withColumnRenamed("comp", "cb"), "b"))
+        ends = (extra.join(labelled.withColumnRenamed("class", "a").withColumnRenamed("comp", "ca"), "a")
+                .join(labelled.withColumnRenamed("class", "b").withColumnRenamed("comp", "cb"), "b"))
         joined = components(spark, ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         joined = joined.withColumnRenamed("node", "comp").withColumnRenamed("component", "top_comp")
         relabel = lambda df: (df.join(joined, "comp", "left").withColumn("comp", F.coalesce("top_comp", "comp")).drop("top_comp"))
@@ -300,16 +306,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, k: int = 4, similar
             held = relabel(held.withColumn("major", F.coalesce("top_major", "major")).drop("top_major"))
             apart = held.groupBy("node").agg(F.count(F.when(F.col("comp") != F.col("major"), 1)).alias("rest"))
             held = held.drop("rest").join(apart.where("rest > 0"), "node")
-    group = labelled.select("class", "comp")
 
     # 3. the smallest doc_id of each component
-    joined = ids.join(group, "class")
+    joined = ids.join(labelled, "class")
     lowest = (joined.groupBy("comp").agg(F.min(F.struct("doc_id")).alias("least"))      # a null one first
               .select("comp", F.col("least.doc_id").alias("component_id")))
     final = joined.join(lowest, "comp").select("class", "component_id")
-    slim_docs = every.select("doc_id", "n", "class")
-    out = (slim_docs.where("class is not null").join(final, "class").select("doc_id", "n", "component_id")
-           .unionByName(slim_docs.where("class is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))))
+    out = (rows_of.where("class is not null").join(final, "class").select("doc_id", "n", "component_id")
+           .unionByName(rows_of.where("class is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))))
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id",
                       F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
