@@ -30,6 +30,23 @@ def test_matrix_properties(spark):
     assert all(m[(a, b)] == m[(b, a)] for a, b in m)
 
 
+def test_tile_draws_every_cell(spark):
+    p = spark.createDataFrame([("A", "B", 3), ("A", "C", 1), ("B", "D", 5), ("C", "D", 2)], PAIRS_SCHEMA)
+    # volumes: B 8, D 7, A 4, C 3
+    whole = {(r.y, r.x): r.z for r in graph.co_purchase_tile(p).collect()}
+    assert len(whole) == 16
+    assert all(whole[(k, k)] is None for k in "ABCD")
+    assert whole[("B", "C")] == whole[("C", "B")] == whole[("A", "D")] == whole[("D", "A")] == 0.0
+    sparse = {(r.y, r.x): r.z for r in graph.co_purchase_matrix(p).collect()}
+    assert {k: z for k, z in whole.items() if z} == sparse
+    # a tile off the diagonal, and one that reaches past the last node
+    tile = graph.co_purchase_tile(p, y_from=1, x_from=3, size=2).collect()
+    assert {(r.y_ord, r.y, r.x_ord, r.x): r.z for r in tile} == {
+        (1, "B", 3, "A"): 3.0, (1, "B", 4, "C"): 0.0, (2, "D", 3, "A"): 0.0, (2, "D", 4, "C"): 2.0}
+    assert [(r.y, r.x) for r in graph.co_purchase_tile(p, 4, 4, 2).collect()] == [("C", "C")]
+    assert graph.co_purchase_tile(spark.createDataFrame([], PAIRS_SCHEMA)).count() == 0
+
+
 def test_pairs_duplicate_is_an_error(spark):
     p = spark.createDataFrame([("A", "B", 3), ("B", "A", 2)], PAIRS_SCHEMA)
     with pytest.raises((PySparkException, Py4JJavaError)):

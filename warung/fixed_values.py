@@ -60,5 +60,8 @@ CO_PURCHASE_SUFFIX = " co-purchase"
 ORDER_SUFFIX = " order"
 PAIR_JOINER = "  +  "
 
+# nodes a side of a drawn tile of the co-purchase matrix (ours)
+TILE_SIZE = 64
+
 # FIXED VALUES: KPI card titles, in display order.
 KPI_CARDS = ["Gross Sales", "Profit", "Order", "Cancel Rate", "Produk Terjual"]

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from warung.fixed_values import CO_PURCHASE_SUFFIX, ORDER_SUFFIX, PAIR_JOINER, TOP_PAIRS
+from warung.fixed_values import CO_PURCHASE_SUFFIX, ORDER_SUFFIX, PAIR_JOINER, TILE_SIZE, TOP_PAIRS
 from warung.functions.scalars import count_text, percent_text
 
 
@@ -99,6 +99,28 @@ def co_purchase_matrix(pairs: DataFrame) -> DataFrame:
             .select("y_ord", "y", "x_ord", "x", F.coalesce(F.col("n").cast("double"), F.lit(0.0)).alias("z")))
 
 
+def co_purchase_tile(pairs: DataFrame, y_from: int = 1, x_from: int = 1, size: int = TILE_SIZE) -> DataFrame:
+    """G2/J6/U2, drawn: ``(y_ord, y, x_ord, x, z)`` for every cell of a square
+    tile of the matrix, ``size`` nodes a side from the places ``y_from`` and
+    ``x_from`` of the volume order: 0 where no order holds both categories,
+    NULL on the diagonal.
+
+    At most ``size`` squared rows, whatever the number of categories: the
+    tile's row nodes are spread over its columns' places, nodes and edges then
+    meet them by equi-joins.  A tile that reaches past the last node ends there.
+    """
+    nodes = category_volume(pairs).select("ord", F.col("category").alias("name"))
+    places = F.sequence(F.lit(x_from).cast("bigint"), F.lit(x_from + size - 1).cast("bigint"))
+    cells = (nodes.where(F.col("ord").between(y_from, y_from + size - 1))
+             .select(F.col("ord").alias("y_ord"), F.col("name").alias("y"), F.explode(places).alias("x_ord"))
+             .join(nodes.select(F.col("ord").alias("x_ord"), F.col("name").alias("x")), "x_ord"))
+    edges = assert_unique_edges(pairs)
+    z = F.when(F.col("y") != F.col("x"), F.coalesce(F.col("n").cast("double"), F.lit(0.0)))
+    return (cells.withColumn("kat1", F.least("y", "x")).withColumn("kat2", F.greatest("y", "x"))
+            .join(edges, ["kat1", "kat2"], "left")
+            .select("y_ord", "y", "x_ord", "x", z.alias("z")))
+
+
 def top_pairs(pairs: DataFrame, n: int = TOP_PAIRS) -> DataFrame:
     """The n most frequent pairs with label ``"a  +  b"``; ties by name."""
     top = (pairs.where(F.col("n").isNotNull())

@@ -17,8 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from warung.fixed_values import (FUNNEL_ROWS, FUNNEL_STAGES, KPI_CARDS, STAGE_NAMES,
-                                 STATUS_ORDER, TOP_N, TOP_PAIRS)
+from warung.fixed_values import (CO_PURCHASE_SUFFIX, FUNNEL_ROWS, FUNNEL_STAGES, KPI_CARDS, ORDER_SUFFIX, STAGE_NAMES,
+                                  STATUS_ORDER, TILE_SIZE, TOP_N, TOP_PAIRS)
 from warung.operators import filters, graph, products, sales, visitors
 from warung.plans.oracle_sql import with_marts
 from warung.sources import marts as M
@@ -652,6 +652,49 @@ def q_top_pairs(spark, root):
     return graph.top_pairs(_pairs(spark, root))
 
 
+def _tile_sql(pairs: str) -> str:
+    return with_marts(["category_pairs"], f"""
+SELECT a.ord AS y_ord, a.category AS y, b.ord AS x_ord, b.category AS x,
+       CASE WHEN a.category <> b.category THEN COALESCE(CAST(e.n AS DOUBLE), 0.0) END AS z
+FROM nodes a CROSS JOIN nodes b
+LEFT JOIN cp e ON e.kat1 = LEAST(a.category, b.category) AND e.kat2 = GREATEST(a.category, b.category)
+WHERE a.ord <= {TILE_SIZE} AND b.ord <= {TILE_SIZE}""",
+        [f"cp AS ({pairs})", VOLUME_SQL.replace("category_pairs", "cp"), NODES_SQL])
+
+
+@register("co_purchase_tile", _tile_sql("SELECT * FROM category_pairs"))
+def q_co_purchase_tile(spark, root):
+    """The first tile of the matrix, every cell drawn."""
+    return graph.co_purchase_tile(_pairs(spark, root))
+
+
+@register("co_purchase_tile_top_pairs", _tile_sql(
+    f"SELECT * FROM category_pairs WHERE n IS NOT NULL ORDER BY n DESC, kat1, kat2 LIMIT {TOP_PAIRS}"))
+def q_co_purchase_tile_top_pairs(spark, root):
+    """The matrix of the most frequent pairs alone; cells of no such
+    pair are 0."""
+    return graph.co_purchase_tile(graph.top_pairs(_pairs(spark, root)).select("kat1", "kat2", "n"))
+
+
+@register("network_file", with_marts(["category_pairs"], f"""
+SELECT 'node' AS kind, category AS name, CAST(NULL AS VARCHAR) AS other, volume AS weight,
+       category || ' — ' || format('{{:,.0f}}', CAST(volume AS DOUBLE)) || '{CO_PURCHASE_SUFFIX}' AS text
+FROM nodes
+UNION ALL SELECT 'edge', kat1, kat2, CAST(n AS BIGINT),
+       kat1 || ' + ' || kat2 || ': ' || format('{{:,.0f}}', CAST(n AS DOUBLE)) || '{ORDER_SUFFIX}'
+FROM category_pairs""", [VOLUME_SQL, NODES_SQL]))
+def q_network_file(spark, root):
+    """The drawable network, written and read back."""
+    from warung.session import scratch_path
+    path = scratch_path(spark, "network")
+    graph.write_network(_pairs(spark, root), path)
+    nodes, edges = (spark.read.parquet(f"{path}/{k}") for k in ("nodes", "edges"))
+    return (nodes.select(F.lit("node").alias("kind"), F.col("category").alias("name"), F.lit(None).cast("string").alias("other"),
+                         F.col("volume").alias("weight"), "text")
+            .unionByName(edges.select(F.lit("edge").alias("kind"), F.col("kat1").alias("name"), F.col("kat2").alias("other"),
+                                      F.col("n").alias("weight"), "text")))
+
+
 # ------------------------------------------------------------ forecast
 from warung.operators import forecast as FC  # noqa: E402
 
