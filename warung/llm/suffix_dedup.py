@@ -1,13 +1,13 @@
-"""Repeated passages by a logarithmic family of suffix arrays.
+"""Repeated passages by a logarithmic family of anchor tables.
 
 A byte goes when a string of ``LENGTH`` bytes that covers it also starts
-anywhere else in the corpus.  Suffix arrays are sparse: of the ``LENGTH - GRAM
-+ 1`` grams in any string of ``LENGTH`` bytes the one of the smallest hash is
-an anchor, so equal strings have equal anchors at equal places, and only
-suffixes that begin at anchors are indexed (about one in 76 bytes), ordered by
-the hash of their first ``GRAM`` bytes.
+anywhere else in the corpus.  The levels hold counts of anchor hashes in place
+of suffix arrays: of the ``LENGTH - GRAM + 1`` grams in any string of
+``LENGTH`` bytes the one of the smallest hash is an anchor, so equal strings
+have equal anchors at equal places, and only anchors are indexed (about one in
+76 bytes), by the hash of their ``GRAM`` bytes.
 
-Documents come in batches.  A batch's array is scanned against every level of
+Documents come in batches.  A batch's table is scanned against every level of
 the family for common keys; levels of equal size merge into one of twice the
 size, so an entry is rewritten a logarithmic number of times.
 
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from warung.llm import textscan as S
-from warung.llm.store import saved
+from warung.llm.store import discard, saved
 
 LENGTH = 200
 GRAM = 50
@@ -96,13 +96,14 @@ class Family:
     """The levels: ``(batches in it, table of key and n)``, largest first."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.levels, self.repeated, self.turns = spark, [], [], 0
+        self.spark, self.levels, self.repeated, self.turns, self.tables = spark, [], [], 0, []
 
     def add(self, suffixes: DataFrame) -> None:
         """A new batch (rows with ``key``): its array, the scans, the merges."""
         self.turns += 1
         name = f"suffix-{self.turns}"
         array = saved(self.spark, suffixes.groupBy("key").agg(F.count("*").alias("n")).sortWithinPartitions("key"), name)
+        self.tables.append(array)
         self.repeated.append(array.where("n > 1").select("key"))
         size, merge = 1, []
         for level_size, level in reversed(self.levels):
@@ -116,6 +117,7 @@ class Family:
             for level in merge:
                 both = both.unionByName(level)
             array = saved(self.spark, both.groupBy("key").agg(F.sum("n").alias("n")).sortWithinPartitions("key"), f"{name}-merged")
+            self.tables.append(array)
             self.repeated.append(array.where("n > 1").select("key"))
         self.levels = [x for x in self.levels if all(x[1] is not m for m in merge)] + [(size, array)]
 
@@ -141,12 +143,6 @@ def _string_hashes(around: list[bytes], lead: np.ndarray) -> np.ndarray:
     return np.where(inside, S.span_hashes(prefix, start, end) | np.uint64(1), np.uint64(0))
 
 
-def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
-    """Runs of true flags as (first, last)."""
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]])))
-    return list(zip(edges[0::2].tolist(), (edges[1::2] - 1).tolist(), strict=True))
-
-
 def _surroundings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``key, ctx, n, rid, pos, lead, around`` of one occurrence per class."""
     per_text = wanted.groupBy("rid").agg(F.collect_list(F.struct("key", "ctx", "n", "pos", "many")).alias("want"))
@@ -236,13 +232,14 @@ def _edges_by_count(classes: DataFrame) -> DataFrame:
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, *, batches: int = 3, group: int = 2048) -> DataFrame:
-    """``rid, begin, end`` (overlapping) of all that repeats in the texts of
-    ``docs``, squeezed rows with an id ``rid`` of their own."""
+    """``rid, found`` (spans, overlapping) of every text of ``docs`` with a
+    repeat; ``docs`` are squeezed rows with an id ``rid`` of their own."""
     rows = saved(spark, _anchor_rows(docs, batches), "suffix-anchors")
     family = Family(spark)
     for turn in range(batches):
         family.add(rows.where(F.col("turn") == turn))
     hits = saved(spark, rows.join(family.keys(), "key").select("key", "ctx", "rid", "pos"), "suffix-hits")
+    discard(spark, [rows, *family.tables])
     classes = (hits.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("rid", "pos")).alias("one"))
                .select("key", "ctx", "n", "one.rid", "one.pos"))
     classes = saved(spark, classes, "suffix-classes")
@@ -252,7 +249,11 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, *, batches: int = 3, gr
              .where("c > 1 and least = 1").select("key", (F.col("c") > group).alias("many")))
     near = saved(spark, _surroundings(docs, classes.join(apart, "key")), "suffix-edges")
     edges = _edges_in_groups(near.where("not many")).unionByName(_edges_by_count(near.where("many")))
-    return whole.unionByName(edges)
+    # one row per text with a repeat, so the tables above can go
+    lists = whole.unionByName(edges).groupBy("rid").agg(F.collect_list(F.struct("begin", "end")).alias("found"))
+    lists = saved(spark, lists, "suffix-spans")
+    discard(spark, [hits, classes, near])
+    return lists
 
 
 def _merged(spans: list, size: int) -> list[tuple[int, int]]:
@@ -271,9 +272,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_i
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     # every row gets an id of its own, which holds once it is written
     rows = saved(spark, S.squeezed(rows, ["doc_id"], "text").withColumn("rid", F.monotonically_increasing_id()), "suffix-texts")
-    found = repeated_spans(spark, rows, batches=batches)
-    lists = found.groupBy("rid").agg(F.collect_list(F.struct("begin", "end")).alias("found"))
-    met = rows.join(lists, "rid", "left")
+    met = rows.join(repeated_spans(spark, rows, batches=batches), "rid", "left")
 
     def cut(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:
