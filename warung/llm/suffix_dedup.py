@@ -245,14 +245,17 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, *, batches: int = 3, gr
     classes = saved(spark, classes, "suffix-classes")
     whole = (hits.join(classes.where("n > 1").select("key", "ctx"), ["key", "ctx"])
              .select("rid", F.greatest(F.col("pos") - SIDE, F.lit(0)).alias("begin"), (F.col("pos") + LENGTH).alias("end")))
+    by_text = lambda spans: spans.groupBy("rid").agg(F.collect_list(F.struct("begin", "end")).alias("found"))
+    whole = saved(spark, by_text(whole), "suffix-whole")
+    discard(spark, [hits])
     apart = (classes.groupBy("key").agg(F.count("*").alias("c"), F.min("n").alias("least"))
              .where("c > 1 and least = 1").select("key", (F.col("c") > group).alias("many")))
     near = saved(spark, _surroundings(docs, classes.join(apart, "key")), "suffix-edges")
     edges = _edges_in_groups(near.where("not many")).unionByName(_edges_by_count(near.where("many")))
     # one row per text with a repeat, so the tables above can go
-    lists = whole.unionByName(edges).groupBy("rid").agg(F.collect_list(F.struct("begin", "end")).alias("found"))
+    lists = whole.unionByName(by_text(edges)).groupBy("rid").agg(F.flatten(F.collect_list("found")).alias("found"))
     lists = saved(spark, lists, "suffix-spans")
-    discard(spark, [hits, classes, near])
+    discard(spark, [whole, classes, near])
     return lists
 
 
