@@ -84,16 +84,17 @@ def read_sales(spark: SparkSession, root: str, *, lines: bool = False) -> dict[s
 
 
 # ------------------------------------------------------------------ the delta
-def _cells(lines: DataFrame, sign: int = 1) -> DataFrame:
-    return lines.groupBy(*M.SALES_GRAIN).agg(*[(F.sum(c) * sign).alias(c) for c in MEASURES], F.sum(F.lit(sign)).alias("lines"),
-                                             F.sum(F.when(F.col("profit").isNotNull(), sign).otherwise(0)).alias("with_profit"))
+def _kinds(cells: DataFrame) -> DataFrame:
+    """Cells in the types of the published fact, which take any number of merges."""
+    kinds = {"items": "bigint", "gross_sales": "decimal(38,2)", "profit": "decimal(38,4)", "lines": "bigint", "with_profit": "bigint"}
+    return cells.select(*M.SALES_GRAIN, *[F.col(c).cast(k).alias(c) for c, k in kinds.items()])
 
 
-def _summed(cells: DataFrame) -> DataFrame:
-    """Cells merged; one that has lost all its lines is gone."""
-    kinds = {"items": "bigint", "gross_sales": "decimal(38,2)", "profit": "decimal(38,4)"}
-    sums = [F.sum(c).cast(kinds[c]).alias(c) for c in MEASURES] + [F.sum(c).cast("bigint").alias(c) for c in ("lines", "with_profit")]
-    out = cells.groupBy(*M.SALES_GRAIN).agg(*sums).where("lines > 0")
+def _summed(cells: DataFrame, tasks: int) -> DataFrame:
+    """Cells merged by ``tasks`` tasks (few cells meet another, so they are
+    summed after their shuffle); one that has lost all its lines is gone."""
+    sums = cells.repartition(tasks, *M.SALES_GRAIN).groupBy(*M.SALES_GRAIN).agg(*[F.sum(c).alias(c) for c in (*MEASURES, "lines", "with_profit")])
+    out = _kinds(sums).where("lines > 0")
     return out.withColumn("profit", F.when(F.col("with_profit") > 0, F.col("profit")))
 
 
@@ -149,7 +150,7 @@ def publish_sales(spark: SparkSession, root: str, src_root: str) -> dict:
             done, layers = "increment", known[0]["layers"]
     if done == "full":
         source = {t: read_table(spark, src_root, t) for t in SOURCES}
-        sales = _summed(_cells(M.sales_lines(source["lineitem"], source["orders"], source["part"])))
+        sales = _kinds(M.sales_cells(M.sales_lines(source["lineitem"], source["orders"]), source["part"], M.line_tasks(source["lineitem"])))
         orders = _order_cells(source["orders"])
     if done == "full" or months:
         _write(spark, root, version, sales, orders)
@@ -166,20 +167,22 @@ def _increment(spark: SparkSession, root: str, src_root: str, state: dict, fresh
     part, orders = read_table(spark, src_root, "part"), read_table(spark, src_root, "orders")
     new_lines, new_orders = _files(spark, src_root, "lineitem", fresh["lineitem"]), _files(spark, src_root, "orders", fresh["orders"])
     held = {t: _read(spark, root, state, t) for t in ("fact_sales", "fact_orders")}
-    delta = _cells(M.sales_lines(new_lines, orders, part))
-    waiting = held["fact_sales"].where(F.col(KEY) == NO_MONTH)
+    lines = M.sales_lines(new_lines, orders).withColumn("sign", F.lit(1))
+    tasks, waiting = [new_lines], held["fact_sales"].where(F.col(KEY) == NO_MONTH)
     if fresh["orders"] and not waiting.isEmpty():
         # old lines whose order has come now leave the cells without a day
         old_lines = _files(spark, src_root, "lineitem", old["lineitem"])
         moved = old_lines.join(new_orders.select(F.col("o_orderkey").alias("l_orderkey")).distinct(), "l_orderkey", "left_semi")
         known = _files(spark, src_root, "orders", old["orders"])
-        delta = (delta.unionByName(_cells(M.sales_lines(moved, known, part), -1))
-                 .unionByName(_cells(M.sales_lines(moved, orders, part))))
+        tasks.append(old_lines)
+        lines = (lines.unionByName(M.sales_lines(moved, known).withColumn("sign", F.lit(-1)))
+                 .unionByName(M.sales_lines(moved, orders).withColumn("sign", F.lit(1))))
+    delta = M.sales_cells(lines, part, M.line_tasks(*tasks))
     delta = materialized(delta, "sales-delta")
     order_delta = materialized(_order_cells(new_orders), "orders-delta")
     touched = delta.select(_month()).union(order_delta.select(_month())).distinct()
     months = sorted(r[0] for r in touched.collect())                   # a row per month
     hit = F.col(KEY).isin(months)
-    sales = _summed(held["fact_sales"].where(hit).drop(KEY).unionByName(delta))
+    sales = _summed(held["fact_sales"].where(hit).drop(KEY).unionByName(delta), M.line_tasks(read_table(spark, src_root, "lineitem")))
     counts = held["fact_orders"].where(hit).drop(KEY).unionByName(order_delta)
     return sales, counts.groupBy("tanggal", "status").agg(F.sum("orders").alias("orders")), months

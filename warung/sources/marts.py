@@ -41,15 +41,21 @@ from warung.functions.scalars import day_ts
 from warung.sources.tables import read_table
 
 # Value ranges of one line: prices below 10^10, discounts below 10, unit costs
-# below 10^7 and quantities below 10^5.  With these the whole line-profit
-# expression stays within 18 digits, so Spark computes it on 64-bit longs
-# instead of BigDecimal; a value outside its range is an overflow error
-# (ANSI mode), never a silently wrong sum.
+# below 10^7 and quantities below 10^5.  With these a line's amounts stay within
+# 18 digits, so Spark computes them on 64-bit longs instead of BigDecimal; a
+# value outside its range is an overflow error (ANSI mode), never a silently
+# wrong sum.
 MONEY = "decimal(12,2)"
 RATE = "decimal(3,2)"
 UNIT_COST = "decimal(9,2)"
 QUANTITY = "decimal(5,0)"
-LINE_PROFIT = "decimal(18,4)"
+# sums of a cell
+CELL_MONEY = "decimal(22,2)"
+CELL_PROFIT = "decimal(28,4)"
+# tasks that sum lines: for each split of the line files (Spark's splits are at
+# most 128 MB), and at most
+TASKS_PER_SPLIT = 16
+MAX_LINE_TASKS = 10_000
 
 
 # ----------------------------------------------------------------- mappings
@@ -104,36 +110,68 @@ def order_lines(orders: DataFrame) -> DataFrame:
 SALES_GRAIN = ["tanggal", "category", "status", "product_id"]
 
 
-def sales_lines(lineitem: DataFrame, orders: DataFrame, part: DataFrame) -> DataFrame:
-    """The lines behind B1, at its grain's columns: items, gross_sales, profit.
+def sales_lines(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+    """The lines behind B1 with the day and status of their orders; ``rev`` is
+    ``ext * (1 - disc)``.
 
-    Both joins are equi-joins left to Catalyst/AQE: the part side is broadcast
-    only while its measured size is under ``autoBroadcastJoinThreshold``,
-    otherwise it is a sort-merge join (AQE splits a skewed key).
-
-    No line is dropped: one without its order has a NULL day and status, one
-    without its part a NULL category and no profit.  A quantity that is not
-    whole, or money with more digits than its type, is an error.
+    An equi-join left to Catalyst/AQE.  No line is dropped: one without its
+    order has a NULL day and status.  A quantity that is not whole, or money
+    with more digits than its type, is an error.
     """
     qty = exact(F.col("l_quantity"), "l_quantity", "bigint")
     price = exact(F.col("l_extendedprice"), "l_extendedprice", MONEY)
     disc = exact(F.col("l_discount"), "l_discount", RATE)
-    lines = lineitem.select("l_orderkey", "l_partkey", qty.alias("q"),
+    lines = lineitem.select("l_orderkey", F.col("l_partkey").alias("product_id"), qty.alias("q"),
                             price.alias("ext"), disc.alias("disc"))
-    joined = (lines
-              .join(order_lines(orders), F.col("l_orderkey") == F.col("o_orderkey"), "left")
-              .join(product_lines(part).withColumnRenamed("product_id", "p_key"), F.col("l_partkey") == F.col("p_key"), "left")
-              .withColumnRenamed("l_partkey", "product_id"))
-    line_profit = (F.col("ext") * (F.lit(1) - F.col("disc"))
-                   - F.col("q").cast(QUANTITY) * F.col("unit_cost")).cast(LINE_PROFIT)
-    return joined.select(*SALES_GRAIN, F.col("q").alias("items"), F.col("ext").alias("gross_sales"), line_profit.alias("profit"))
+    return (lines.join(order_lines(orders), F.col("l_orderkey") == F.col("o_orderkey"), "left")
+            .select("tanggal", "status", "product_id", "q", "ext", (F.col("ext") * (F.lit(1) - F.col("disc"))).alias("rev")))
+
+
+def line_tasks(*lineitem: DataFrame) -> int:
+    """Tasks that sum lines: a few for each split of the files, as the cells
+    of one task have to fit its memory (nearly every line is a cell of its own,
+    and left to coalesce, a task gets millions of them and spills)."""
+    return max(1, min(TASKS_PER_SPLIT * sum(t.rdd.getNumPartitions() for t in lineitem), MAX_LINE_TASKS))
+
+
+def sales_cells(lines: DataFrame, part: DataFrame, tasks: int) -> DataFrame:
+    """Cells of B1 with ``lines`` and ``with_profit``, the lines behind them and
+    those with a profit; ``lines`` as of ``sales_lines``, their ``sign`` (if any)
+    is 1 or -1.
+
+    Lines are summed before they meet their part, as a narrow row of its own
+    keys: a cell's profit is the sum of ``rev`` less its quantity times the unit
+    cost.  Parts of one key and category are summed too, so a key that comes
+    more than once multiplies lines as a join of lines would.  A line without
+    its part has a NULL category and no profit.
+    """
+    signed = "sign" in lines.columns
+    sign = F.col("sign") if signed else F.lit(1)
+    turned = lambda c: F.when(sign < 0, -F.col(c)).otherwise(F.col(c)) if signed else F.col(c)
+    lines = lines.withColumn("paid", F.col("q").cast(QUANTITY))
+    both = F.col("q").isNotNull() & F.col("rev").isNotNull()
+    keys = ["tanggal", "status", "product_id"]
+    cells = (lines.repartition(tasks, *keys).groupBy(*keys)
+             .agg(F.sum(turned("q")).alias("q"), F.sum(turned("ext")).alias("ext"), F.sum(F.when(both, turned("rev"))).alias("rev"),
+                  F.sum(F.when(both, turned("paid"))).alias("paid"), F.count(F.when(both, 1)).alias("met"),
+                  F.sum(sign).alias("n"), F.sum(F.when(both, sign).otherwise(0)).alias("n_paid")))
+    kinds = (product_lines(part).groupBy(F.col("product_id").alias("p_key"), "category")
+             .agg(F.count(F.lit(1)).alias("parts"), F.count("unit_cost").alias("priced"), F.sum("unit_cost").cast("decimal(19,2)").alias("cost")))
+    times = F.coalesce(F.col("parts"), F.lit(1))
+    count = lambda x: x.cast("decimal(10,0)")
+    profit = F.when((F.col("met") > 0) & (F.col("priced") > 0),
+                    (F.col("rev").cast("decimal(27,4)") * count(F.col("priced")) - F.col("paid").cast("decimal(15,0)") * F.col("cost")).cast(CELL_PROFIT))
+    return (cells.join(kinds, F.col("product_id") == F.col("p_key"), "left")
+            .select(*SALES_GRAIN, (F.col("q") * times).alias("items"),
+                    (F.col("ext").cast("decimal(27,2)") * count(times)).cast(CELL_MONEY).alias("gross_sales"), profit.alias("profit"),
+                    (F.col("n") * times).alias("lines"), (F.col("n_paid") * F.coalesce("priced", F.lit(0))).alias("with_profit")))
 
 
 def build_fact_sales(lineitem: DataFrame, orders: DataFrame, part: DataFrame) -> DataFrame:
     """B1: tanggal x category x status x product_id -> items, gross_sales,
-    profit; the aggregate runs partial-before-shuffle on the full grain."""
-    return (sales_lines(lineitem, orders, part).groupBy(*SALES_GRAIN)
-            .agg(*[F.sum(c).alias(c) for c in ("items", "gross_sales", "profit")]))
+    profit (see ``sales_cells``)."""
+    cells = sales_cells(sales_lines(lineitem, orders), part, line_tasks(lineitem))
+    return cells.select(*SALES_GRAIN, "items", "gross_sales", "profit")
 
 
 def build_sales_rollup(fact_sales: DataFrame) -> DataFrame:
