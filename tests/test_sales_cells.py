@@ -52,3 +52,13 @@ def test_lines_are_dealt_to_tasks_by_the_size_of_their_files(spark):
     assert tasks == M.TASKS_PER_SPLIT * lineitem.rdd.getNumPartitions()
     plan = plan_of(M.build_fact_sales(lineitem, orders, part))
     assert "hashpartitioning(tanggal" in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_held_and_new_cells_are_merged_after_their_shuffle(spark):
+    from warung.sources import increments as I
+    lineitem, orders, part = source(spark)
+    cells = I._kinds(M.sales_cells(M.sales_lines(lineitem, orders), part, 3))
+    merged = I._summed(cells.unionByName(cells), 3)
+    assert "REPARTITION_BY_NUM" in plan_of(merged)
+    double = lambda r: tuple(x * 2 if i > 3 and x is not None else x for i, x in enumerate(r))
+    assert rows(merged) == sorted(map(double, rows(cells)), key=str)
