@@ -1,12 +1,15 @@
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 from helpers_llm import text
+from pyspark.sql import functions as F
 
 from warung.llm import suffix_dedup as M
+from warung.llm.store import CLEANUP, saved
 
 
 def brute(docs):
@@ -71,3 +74,16 @@ def test_levels_merge_geometrically(spark):
         family.add(spark.range(k * 10, k * 10 + 12).withColumnRenamed("id", "key"))
     assert [size for size, _ in family.levels] == [4, 2]
     assert sorted(r.key for r in family.keys().collect()) == sorted(10 * k + j for k in range(1, 6) for j in (0, 1))
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {str(f) for f in disk.getAllFiles().mkString("\n").split("\n") if f.endswith(".data")}
+    before, setting = files(), spark.conf.get(CLEANUP)
+    table = saved(spark, spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "shuffled")
+    for _ in range(100):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and table.count() == 7
+    assert spark.conf.get(CLEANUP) == setting

@@ -11,14 +11,24 @@ from pyspark.sql import DataFrame, SparkSession
 from warung.session import scratch_path
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` under the shared folder and return it read back.
 
     A lost executor then costs a re-read of files that all executors share,
-    never a recomputation of what came before.
+    never a recomputation of what came before.  Nothing reads the shuffles of
+    the write again, so their files go at its end, not when the driver happens
+    to collect its garbage.
     """
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._warung_path = path
     return out

@@ -143,6 +143,12 @@ def _string_hashes(around: list[bytes], lead: np.ndarray) -> np.ndarray:
     return np.where(inside, S.span_hashes(prefix, start, end) | np.uint64(1), np.uint64(0))
 
 
+def _tags(h: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The strings' hashes with their anchor's key and distance from it: a
+    string is the same only there."""
+    return S.mix(h ^ S.mix(key.view(np.uint64))[:, None] ^ S.mix(np.arange(1, SIDE + 2, dtype=np.uint64))[None, :])
+
+
 def _surroundings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``key, ctx, n, rid, pos, lead, around`` of one occurrence per class."""
     per_text = wanted.groupBy("rid").agg(F.collect_list(F.struct("key", "ctx", "n", "pos", "many")).alias("want"))
@@ -173,8 +179,7 @@ def _edges_in_groups(classes: DataFrame) -> DataFrame:
     def solve(c: dict[str, np.ndarray], around: list[bytes]) -> pa.RecordBatch:
         """Whole groups at a time: equal strings at equal places of one key."""
         h = _string_hashes(around, c["lead"])
-        tagged = S.mix(h ^ S.mix(c["key"].view(np.uint64))[:, None] ^ S.mix(np.arange(1, SIDE + 2, dtype=np.uint64))[None, :])
-        flat = tagged.ravel()
+        flat = _tags(h, c["key"]).ravel()
         real = np.flatnonzero(h.ravel())
         order = real[np.argsort(flat[real])]
         same = flat[order][1:] == flat[order][:-1]
@@ -216,19 +221,16 @@ def _edges_by_count(classes: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
+                key, n, rid, pos = (part.column(c).to_numpy() for c in ("key", "n", "rid", "pos"))
                 h = _string_hashes(part.column("around").to_pylist(), part.column("lead").to_numpy())
                 row, o = np.nonzero(h)
-                take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("key").take(take), pa.array(h[row, o].view(np.int64)), pa.array(o.astype(np.int32)),
-                     part.column("n").take(take), part.column("rid").take(take), part.column("pos").take(take)],
-                    ["key", "string", "o", "n", "rid", "pos"])
-
-    rows = classes.mapInArrow(spell, "key long, string long, o int, n long, rid long, pos int")
-    # a string is the same only at the same distance from the anchor's key
-    twice = rows.groupBy("key", "string", "o").agg(F.count("*").alias("times")).where("times > 1").drop("times")
-    return (rows.where("n = 1").join(twice, ["key", "string", "o"])
-            .select("rid", (F.col("pos") - F.col("o")).alias("begin"), (F.col("pos") - F.col("o") + LENGTH).alias("end")))
+                    [pa.array(_tags(h, key)[row, o].view(np.int64)), pa.array(rid[row]), pa.array((pos[row] - o).astype(np.int32)),
+                     pa.array(n[row] == 1)], ["string", "rid", "begin", "asks"])
+
+    rows = classes.mapInArrow(spell, "string long, rid long, begin int, asks boolean")
+    twice = rows.groupBy("string").agg(F.count("*").alias("times")).where("times > 1").drop("times")
+    return rows.where("asks").join(twice, "string").select("rid", "begin", (F.col("begin") + LENGTH).alias("end"))
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, *, batches: int = 3, group: int = 2048) -> DataFrame:
