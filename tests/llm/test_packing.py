@@ -5,6 +5,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from helpers_llm import text
+from tokenizers import Tokenizer
 
 from warung.llm import packing as K
 
@@ -140,3 +141,13 @@ def test_another_vocabulary_gets_whole_texts():
         want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
         assert made.whole is whole
         assert [np.frombuffer(i, "<u4").tolist() for i in made.batch([t.encode() for t in texts])] == want
+
+
+def test_words_of_ascii_letters_are_told_apart_from_their_last_mark():
+    words, library = K.WordTokenizer(PATH), Tokenizer.from_file(PATH)
+    texts = ["Hello, WORLD! a.b, (it), it's, don't. x?! y.. \"quoted,\" 3, 4.5; Été, naïve. z,", "end.", "a ,b , c", ", . ;", "café”, ok, no",
+             "<|endoftext|>, Upper, CASE. <|startoftext|>it, x", "tab,\tline.\nnext;\x0bv:\x0cf,\x1cg,\x85h", "thonre stthable qzxv, Qzxv! " * 3, ""]
+    for _ in range(2):
+        assert words.batch([t.encode() for t in texts]) == [np.array(library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert b"hello" in words.young and b"hello," not in words.young
+    assert words.plain is not words.library

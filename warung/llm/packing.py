@@ -24,10 +24,14 @@ yields no piece.
 
 from __future__ import annotations
 
+import itertools
 import math
+import os
+import re
+import string
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,6 +49,7 @@ PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 
 # ---------------------------------------------------------------- tokenizer
+LAST_MARK = re.compile(rb"[.,;:!?](?<=[a-z].)(?=\s|\Z)")    # after a letter, at a word's end
 PROBE = " The  quick (brown) fox,\n\tdidn't JUMP over 13.5 dogs; \u00c9t\u00e9 na\u00efve! e-mail: a_b@c.de <x> "
 
 
@@ -55,18 +60,27 @@ class WordTokenizer:
     words one after the other; a letter before a mark of punctuation ends a
     piece, so a word's last mark is looked up by itself.  New words made of
     letters are tokenized many at a time and told apart by their closing
-    tokens.  Two generations of ``room`` words keep what is frequent; a word
-    that fell out is tokenized again.
+    tokens; those of ASCII letters, lower-cased, go straight to the library's
+    model if that gives the same ids.  Two generations of ``room`` words keep
+    what is frequent; a word that fell out is tokenized again.
     """
 
     def __init__(self, path: str, room: int = 200_000):
-        from tokenizers import Tokenizer
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")      # a task has one core
+        from tokenizers import Tokenizer, pre_tokenizers
         self.library = Tokenizer.from_file(path)
         vocabulary = self.library.get_vocab()
         self.closing = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.closing[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.room, self.young, self.old = room, {}, {}
-        self.marks = {m: self._one([m])[0] for m in ".,;:!?"}
+        self.marks = {m.encode(): self._one([m])[0] for m in ".,;:!?"}
+        # the same model without what leaves lower-cased ASCII words as they are
+        self.plain = Tokenizer(self.library.model)
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        known = sorted(t for t in (t.removesuffix("</w>") for t in vocabulary) if t.isascii() and t.isalpha() and t.islower())[::20]
+        tried = " ".join([string.ascii_lowercase, *known, *(a + b for a, b in itertools.pairwise(known))])
+        if self._ids(self.plain, tried) != self._ids(self.library, tried):
+            self.plain = self.library
         # another kind of vocabulary (one that keeps spaces, say) gets whole texts
         self.whole = False
         self.whole = not self.closing.any() or self.batch([PROBE.encode()]) != self._one([PROBE])
@@ -75,39 +89,46 @@ class WordTokenizer:
         made = self.library.encode_batch_fast(words, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in made]
 
-    def _many(self, words: list[str]) -> list[bytes]:
+    @staticmethod
+    def _ids(library, text: str) -> list[int]:
+        return library.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _many(self, words: list[bytes], library) -> list[bytes]:
         """Ids of words of letters only."""
         out: list[bytes] = []
-        for at in range(0, len(words), 4096):
-            some = words[at:at + 4096]
-            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+        for at in range(0, len(words), 512):
+            some = words[at:at + 512]             # neighbours share merges if sorted
+            ids = np.array(self._ids(library, b" ".join(some).decode()), dtype="<u4")
             ends = np.flatnonzero(self.closing[ids]) + 1
             if len(ends) != len(some):            # a letter whose lower case is no letter alone
-                out += self._one(some)
+                out += self._one([w.decode() for w in some])
                 continue
             flat, cuts = ids.tobytes(), (4 * ends).tolist()
             out += [flat[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
         return out
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Adds the ids of words that are in neither generation."""
+    def _learn(self, words: Iterable[bytes]) -> None:
+        """Adds the ids of words that are not in the young generation."""
         young, old, marks = self.young, self.old, self.marks
-        letters, others, marked = {}, [], []
+        ascii_, letters, others, marked = set(), set(), [], []
         for w in words:
-            text = w.decode()
-            if text.isalpha():
-                letters[w] = text
-            elif text[-1] in marks and text[:-1].isalpha():
-                core = w[:-1]
-                marked.append((w, core, text[-1]))
+            if w in old:
+                young[w] = old[w]
+            elif w.isalpha():                     # of ASCII letters
+                ascii_.add(w)
+            elif (mark := w[-1:]) in marks and ((core := w[:-1]).isalpha() or core.decode().isalpha()):
+                marked.append((w, core, mark))
                 if core not in young:
                     if core in old:
                         young[core] = old[core]
                     else:
-                        letters[core] = text[:-1]
+                        (ascii_ if core.isascii() else letters).add(core)
+            elif w.decode().isalpha():
+                letters.add(w)
             else:
                 others.append(w)
-        young.update(zip(letters, self._many(list(letters.values())), strict=True))
+        for some, library in ((sorted(ascii_), self.plain), (sorted(letters), self.library)):
+            young.update(zip(some, self._many([w.lower() for w in some], library), strict=True))
         if others:
             young.update(zip(others, self._one([w.decode() for w in others]), strict=True))
         for w, core, mark in marked:
@@ -119,17 +140,18 @@ class WordTokenizer:
             return self._one([(t or b"").decode("utf-8", "replace") for t in texts])
         # A marker of special tokens is case-sensitive; everything else is
         # lower-cased by the vocabulary's own normaliser.
-        split = [(t or b"").split() if b"<|" in (t or b"") else (t or b"").lower().split() for t in texts]
-        young, old = self.young, self.old
-        new = []
-        for w in set().union(*split) - young.keys():
-            if w in old:
-                young[w] = old[w]
-            else:
-                new.append(w)
-        if new:
-            self._learn(new)
-        out = [b"".join([young[w] for w in ws]) for ws in split]
+        split = [(t or b"").split() if b"<|" in (t or b"") else LAST_MARK.sub(rb" \g<0>", (t or b"").lower()).split() for t in texts]
+        words = [w for ws in split for w in ws]
+        young = self.young
+        found = list(map(young.get, words))
+        new = [k for k, ids in enumerate(found) if ids is None]
+        self._learn({words[k] for k in new})
+        for k in new:
+            found[k] = young[words[k]]
+        out, at = [], 0
+        for ws in split:
+            out.append(b"".join(found[at:at + len(ws)]))
+            at += len(ws)
         if len(young) > self.room:
             self.old, self.young = young, {}
         return out
