@@ -253,11 +253,15 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, *, batches: int = 3, gr
     apart = (classes.groupBy("key").agg(F.count("*").alias("c"), F.min("n").alias("least"))
              .where("c > 1 and least = 1").select("key", (F.col("c") > group).alias("many")))
     near = saved(spark, _surroundings(docs, classes.join(apart, "key")), "suffix-edges")
-    edges = _edges_in_groups(near.where("not many")).unionByName(_edges_by_count(near.where("many")))
+    discard(spark, [classes])
+    # one after the other, so that only one's shuffles lie on disk
+    grouped = saved(spark, by_text(_edges_in_groups(near.where("not many"))), "suffix-grouped")
+    counted = saved(spark, by_text(_edges_by_count(near.where("many"))), "suffix-counted")
+    discard(spark, [near])
     # one row per text with a repeat, so the tables above can go
-    lists = whole.unionByName(by_text(edges)).groupBy("rid").agg(F.flatten(F.collect_list("found")).alias("found"))
+    lists = whole.unionByName(grouped).unionByName(counted).groupBy("rid").agg(F.flatten(F.collect_list("found")).alias("found"))
     lists = saved(spark, lists, "suffix-spans")
-    discard(spark, [whole, classes, near])
+    discard(spark, [whole, grouped, counted])
     return lists
 
 
