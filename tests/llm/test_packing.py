@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from helpers_llm import text
 from tokenizers import Tokenizer
@@ -151,3 +152,16 @@ def test_words_of_ascii_letters_are_told_apart_from_their_last_mark():
         assert words.batch([t.encode() for t in texts]) == [np.array(library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
     assert b"hello" in words.young and b"hello," not in words.young
     assert words.plain is not words.library
+
+
+def test_workers_keep_no_words_after_a_task(spark):
+    rng = random.Random(12)
+    docs = spark.createDataFrame([(k, text(rng), "s") for k in range(200)], "doc_id long, text string, source string").repartition(8)
+    assert K.tokenized(docs, PATH, 2, "doc_id", "text", "source").count() == 200
+
+    def kept(batches):
+        for batch in batches:
+            n = sum(len(t.young) + len(t.old) for t in K._tokenizers.values())
+            yield pa.RecordBatch.from_arrays([pa.array([n] * batch.num_rows, pa.int64())], ["n"])
+
+    assert spark.range(64, numPartitions=64).mapInArrow(kept, "n long").agg({"n": "max"}).first()[0] == 0

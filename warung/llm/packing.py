@@ -134,6 +134,10 @@ class WordTokenizer:
         for w, core, mark in marked:
             young[w] = young[core] + marks[mark]
 
+    def forget(self) -> None:
+        """Lets go of the words."""
+        self.young, self.old = {}, {}
+
     def batch(self, texts: list[bytes | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         if self.whole:
@@ -323,18 +327,22 @@ def tokenized(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task, placed_so_far = tokenizer(path), TaskContext.get().partitionId(), {}
         tail = np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
-            for part, texts in S.texts_of(batch):
-                ids = [i + tail for i in encoder.batch(texts)]
-                starts = []
-                for source, one in zip(part.column("source").to_pylist(), ids, strict=True):
-                    at = placed_so_far.get(source, 0)
-                    starts.append(at)
-                    placed_so_far[source] = at + len(one) // 4
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([task] * len(ids), pa.int32()), part.column("doc_id"), part.column("source"),
-                     pa.array(starts, pa.int64()), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())],
-                    ["task", "doc_id", "source", "start", "n", "ids"])
+        try:
+            for batch in batches:
+                for part, texts in S.texts_of(batch):
+                    ids = [i + tail for a, b in S.bounded(texts) for i in encoder.batch(texts[a:b])]
+                    starts = []
+                    for source, one in zip(part.column("source").to_pylist(), ids, strict=True):
+                        at = placed_so_far.get(source, 0)
+                        starts.append(at)
+                        placed_so_far[source] = at + len(one) // 4
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([task] * len(ids), pa.int32()), part.column("doc_id"), part.column("source"),
+                         pa.array(starts, pa.int64()), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())],
+                        ["task", "doc_id", "source", "start", "n", "ids"])
+                S.give_back()
+        finally:                                  # idle workers are many: words stay for a task only
+            encoder.forget()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
                        F.col(source_col).cast("string").alias("source"))

@@ -139,6 +139,14 @@ def forget(owner: str | None) -> None:
             drop()
 
 
+def give_back() -> None:
+    """Returns this worker's free memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)     # glibc's
+    if trim:
+        trim(0)
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
          owner: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run`` in a worker that does not hold other operators' caches, and gives
@@ -149,10 +157,7 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)     # glibc's
-            if trim:
-                trim(0)
+            give_back()
     return wrapped
 
 
