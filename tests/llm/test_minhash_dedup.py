@@ -55,3 +55,57 @@ def test_pairs_lost_by_the_estimate():
     least = math.ceil(M.least_agreement(0.8) * M.POSITIONS)
     lost = sum(math.comb(M.POSITIONS, k) * 0.8 ** k * 0.2 ** (M.POSITIONS - k) for k in range(least))
     assert lost < 5e-5                             # 1e-4 at four deviations
+
+
+def alike(n=110, links=8):
+    """Texts of one base, nearly all pairs of which are alike but not enough."""
+    rng = random.Random(8)
+    base = text(rng, "en", 16).split()
+    docs = []
+    for d in range(n):
+        words = list(base)
+        for at in rng.sample(range(len(words)), 5):
+            words[at] = "v%d" % rng.randrange(10**6)
+        docs.append((d, " ".join(words)))
+    for d in range(links):
+        words = docs[d][1].split(" ")
+        words[-1 - d] = "x%d" % d
+        docs.append((n + d, " ".join(words)))
+    return docs
+
+
+@pytest.mark.parametrize("items", [1 << 20, 5000])
+def test_loosely_alike_texts_make_no_table_of_pairs(spark, monkeypatch, items):
+    docs, made = alike(), {}
+
+    def counted(spark, df, name, save=M.saved):
+        made[name] = (out := save(spark, df, name)).count()
+        return out
+
+    monkeypatch.setattr(M, "saved", counted)
+    if hasattr(M, "_bundles"):                    # sets of a bundle cut among tasks
+        monkeypatch.setattr(M, "_bundles", lambda *a, cut=M._bundles: cut(*a, items=items))
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    out = {r.doc_id: r.component_id for r in M.near_duplicates(spark, rows).collect()}
+    assert out == brute(docs)[1]
+    tables = {name: n for name, n in made.items() if not name.startswith(("cps-nodes", "cps-level", "cps-held", "cps-asking"))}
+    if items == 1 << 20:                          # parts of a bundle hold its rows again
+        assert max(tables.values()) <= made["cps-nodes"], made
+
+
+def test_bundles_keep_a_class_that_asks_and_is_asked(spark):
+    rng = random.Random(9)
+    docs, rows = [], []
+    for node in range(40):
+        words = text(rng, "en", 8).split()
+        for d in (2 * node, 2 * node + 1):
+            docs.append((d, " ".join(words), d, 0))
+            rows += [(node, d, side) for side in ("left", "right")]
+            words[40] = "other"
+    sets = M._sets(spark.createDataFrame(docs, "doc_id long, text string, k1 long, k2 int"), 4).localCheckpoint()
+    held = (spark.createDataFrame(rows, "node long, doc_id long, side string").join(sets, "doc_id")
+            .selectExpr("node", "0 AS ga", "0 AS gb", "class", "small", "n", "class AS comp", "side = 'left' AS is_left", "side = 'right' AS is_right"))
+    bundles = M._bundles(held, M.least_agreement(0.8), 80).localCheckpoint()
+    assert bundles.count() == 80 and bundles.where("is_left and is_right").count() == 80
+    items = M._full_sets(spark.createDataFrame(docs, "doc_id long, text string, k1 long, k2 int"), sets.select("k1", "k2", "class"), 4)
+    assert M._joined(bundles, items, M.least_agreement(0.8), 80).count() == 40

@@ -16,13 +16,21 @@ def column_array(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
 
 
-def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
-    """The rows of each run of equal keys (rows come sorted by them)."""
+def ragged_array(column: pa.Array) -> np.ndarray:
+    """Binaries of any width as an array of bytes objects."""
+    out = np.empty(len(column), dtype=object)
+    out[:] = column.to_pylist()
+    return out
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str], ragged: tuple[str, ...] = ()) -> Iterator[dict[str, np.ndarray]]:
+    """The rows of each run of equal keys (rows come sorted by them); the
+    ``ragged`` columns hold binaries of any width."""
     rest: dict[str, np.ndarray] | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = {n: column_array(batch.column(n)) for n in batch.schema.names}
+        now = {n: (ragged_array if n in ragged else column_array)(batch.column(n)) for n in batch.schema.names}
         if rest is not None:
             now = {n: np.concatenate([rest[n], now[n]]) for n in now}
         size = len(now[keys[0]])

@@ -19,8 +19,10 @@ already connected are passed over:
    first every row only meets its most similar partner, then all that are left.
 
 A pair whose sketches agree closely enough is confirmed on the full sets.
-Work per row is bounded at every step: nodes are cut into blocks, and only
-plausible, unconnected pairs are ever emitted.
+Work per row is bounded at every step: nodes are cut into blocks.  No step
+gives out all pairs of a group: the last one brings the full sets of the rows
+that have a plausible partner to one place, confirms pairs there, and emits
+only links that join two components.
 
 Defined results: a null or empty text, or one without words, has the empty set
 and is linked with nothing; equal texts and repeated rows are one component;
@@ -131,10 +133,10 @@ def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b).mean(-1) - 1 / 256) / (1 - 1 / 256)
 
 
-def _compare(rows: DataFrame, least: float, every: bool) -> DataFrame:
-    """Plausible pairs ``(node, left, a, b)`` across components within each
-    (node, ga, gb): a left row with a right one; a row can be both.  Without
-    ``every`` only the most similar partner of each left row."""
+def _compare(rows: DataFrame, least: float) -> DataFrame:
+    """The most similar plausible partner ``(node, left, a, b)`` of each left row
+    among the right ones of other components within each (node, ga, gb); a row
+    can be both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, ["node", "ga", "gb"]):
@@ -144,19 +146,14 @@ def _compare(rows: DataFrame, least: float, every: bool) -> DataFrame:
             out_a, out_b = [], []
             for at in range(0, len(left), 64):
                 rows_l = left[at:at + 64]
-                cross = g["comp"][rows_l][:, None] != g["comp"][right][None, :]
-                if every:                         # each pair once
-                    cross &= ~(g["is_left"][right][None, :] & g["is_right"][rows_l][:, None] & (rows_l[:, None] >= right[None, :]))
-                i, j = np.nonzero(cross)
+                i, j = np.nonzero(g["comp"][rows_l][:, None] != g["comp"][right][None, :])
                 if not len(i):
                     continue
                 near = agreement(g["small"][rows_l[i]], g["small"][right[j]])
-                ok = near >= least
-                if not every:
-                    order = np.lexsort([-near, i])
-                    best = np.zeros(len(i), dtype=bool)
-                    best[order[np.flatnonzero(np.diff(i[order], prepend=-1))]] = True
-                    ok &= best
+                order = np.lexsort([-near, i])
+                best = np.zeros(len(i), dtype=bool)
+                best[order[np.flatnonzero(np.diff(i[order], prepend=-1))]] = True
+                ok = best & (near >= least)
                 out_a.append(g["class"][rows_l[i[ok]]])
                 out_b.append(g["class"][right[j[ok]]])
             if out_a and sum(map(len, out_a)):
@@ -170,6 +167,96 @@ def _compare(rows: DataFrame, least: float, every: bool) -> DataFrame:
     return spread.mapInArrow(S.lean(run), "node long, left long, a long, b long").where("a <> b")
 
 
+def _bundles(rows: DataFrame, least: float, percent: int, items: int = 1 << 20) -> DataFrame:
+    """Rows ``(g1, g2, class, comp, small, is_left, is_right)`` that have a plausible
+    partner in another component of their (node, ga, gb).  Rows that hang
+    together by such pairs are one bundle, named by what is in it, so one that
+    other nodes hold as well stays once; either side of a bundle is cut at
+    about ``items`` shingles, whose sets one task can hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in groups(batches, ["node", "ga", "gb"]):
+            # a class can be a left row and another, right one
+            _, row, at_ = np.unique(g["class"], return_index=True, return_inverse=True)
+            sides = [np.bincount(at_, g[side]) > 0 for side in ("is_left", "is_right")]
+            g = {name: v[row] for name, v in g.items()}
+            left, right = map(np.flatnonzero, sides)
+            bundle = np.arange(len(row))          # each row's first row
+            asks, asked = np.zeros(len(bundle), dtype=bool), np.zeros(len(bundle), dtype=bool)
+            for at in range(0, len(left), 64):
+                rows_l = left[at:at + 64]
+                n_l, n_r = g["n"][rows_l][:, None], g["n"][right][None, :]
+                i, j = np.nonzero((g["comp"][rows_l][:, None] != g["comp"][right][None, :])
+                                  & (100 * np.minimum(n_l, n_r) >= percent * np.maximum(n_l, n_r)))
+                ok = agreement(g["small"][rows_l[i]], g["small"][right[j]]) >= least
+                i, j = rows_l[i[ok]], right[j[ok]]
+                asks[i] = asked[j] = True
+                while (bundle[i] != bundle[j]).any():
+                    x, y = bundle[i], bundle[j]
+                    np.minimum.at(bundle, np.maximum(x, y), np.minimum(x, y))
+                    while (bundle[bundle] != bundle).any():
+                        bundle = bundle[bundle]
+            met = np.flatnonzero(asks | asked)
+            met = met[np.argsort(bundle[met], kind="stable")]
+            for some in np.split(met, np.flatnonzero(np.diff(bundle[met])) + 1):
+                if not len(some):
+                    continue
+                parts = [np.split(side, np.flatnonzero(np.diff(np.cumsum(g["n"][side]) // items)) + 1) for side in (some[asks[some]], some[asked[some]])]
+                for one in parts[0]:
+                    for other in parts[1]:
+                        both = np.union1d(one, other)
+                        is_left, is_right = np.isin(both, one), np.isin(both, other)
+                        h = S.mix(g["class"][both].view(np.uint64) * np.uint64(4) + S.mix(g["class"][both].view(np.uint64))
+                                  + is_left.astype(np.uint64) + is_right.astype(np.uint64) * np.uint64(2))
+                        names = [v.sum(dtype=np.uint64).view(np.int64) for v in (h, S.mix(h + np.uint64(7)))]
+                        yield pa.RecordBatch.from_arrays(
+                            [*(pa.array(np.full(len(both), v)) for v in names), pa.array(g["class"][both]), pa.array(g["comp"][both]),
+                             pa.array([v.tobytes() for v in g["small"][both]], pa.binary()), pa.array(is_left), pa.array(is_right)],
+                            ["g1", "g2", "class", "comp", "small", "is_left", "is_right"])
+
+    keys = ["node", "ga", "gb"]
+    spread = rows.repartition(*keys).sortWithinPartitions(*keys)
+    found = spread.mapInArrow(S.lean(run), "g1 long, g2 long, class long, comp long, small binary, is_left boolean, is_right boolean")
+    return found.dropDuplicates(["g1", "g2", "class"])
+
+
+def _joined(bundles: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
+    """Links ``(a, b)``, confirmed on the full sets, that join the components of
+    each bundle as all its pairs would: fewer than it has rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in groups(batches, ["g1", "g2"], ragged=("items",)):
+            n = np.array([len(x) // 8 for x in g["items"]])
+            ids = np.unique(np.frombuffer(b"".join(g["items"]), np.uint64), return_inverse=True)[1]
+            ends = np.cumsum(n)
+            sets_ = [ids[e - k:e] for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
+            mark, comp, right = np.zeros(len(ids), dtype=bool), g["comp"].copy(), np.flatnonzero(g["is_right"])
+            out_a, out_b = [], []
+            for x in np.flatnonzero(g["is_left"]).tolist():
+                ask = comp[right] != comp[x]
+                if g["is_right"][x]:              # each pair once
+                    ask &= ~(g["is_left"][right] & (right < x))
+                with_ = right[ask]
+                with_ = with_[100 * np.minimum(n[with_], n[x]) >= percent * np.maximum(n[with_], n[x])]
+                with_ = with_[agreement(g["small"][x][None, :], g["small"][with_]) >= least]
+                if not len(with_):
+                    continue
+                mark[sets_[x]] = True
+                hits = mark[np.concatenate([sets_[y] for y in with_.tolist()])]
+                mark[sets_[x]] = False
+                same = np.add.reduceat(hits, np.cumsum(n[with_]) - n[with_], dtype=np.int64)
+                for y in with_[100 * same >= percent * (n[x] + n[with_] - same)].tolist():
+                    if comp[y] != comp[x]:
+                        out_a.append(g["class"][x]), out_b.append(g["class"][y])
+                        comp[comp == comp[y]] = comp[x]
+            if out_a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(out_a, out_b)), pa.array(np.maximum(out_a, out_b))], ["a", "b"])
+
+    keys = ["g1", "g2"]
+    spread = bundles.join(sets.select("class", "items"), "class").repartition(*keys).sortWithinPartitions(*keys)
+    return spread.mapInArrow(S.lean(run), "a long, b long").distinct()
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose full sets reach the similarity."""
     percent = round(similarity * 100)
@@ -266,7 +353,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, k: int = 4, similar
         per = per.groupBy("node").agg(F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps"))
         per = saved(spark, per.where("comps > 1").select("node", "size", F.col("top.comp").alias("major"), (F.col("size") - F.col("top.c")).alias("rest")), f"cps-sizes-{level}")
         direct = (F.col("size") <= small_node) | (F.col("size") * F.col("rest") <= comparisons) | F.lit(level == depth)
-        rows = now.join(per.where(direct), "node").join(brief, "class")
+        rows = now.join(per.where(direct), "node").join(classes.select("class", "small", "n"), "class")
         rows = saved(spark, rows.withColumn("ask", F.lit(True)), f"cps-held-{level}")   # a union of files, not of plans
         scratch.append(rows)
         held = rows if held is None else held.unionByName(rows)
@@ -277,35 +364,43 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, k: int = 4, similar
             break
         wide = now.join(large, "node", "left_semi").join(classes.select("class", "sketch"), "class")
         now = _branch(wide, similarity)
+    def merged(extra: DataFrame) -> DataFrame:
+        """Links between components join the components: ``(comp, top_comp)``."""
+        ends = (extra.join(labelled.withColumnRenamed("class", "a").withColumnRenamed("comp", "ca"), "a")
+                .join(labelled.withColumnRenamed("class", "b").withColumnRenamed("comp", "cb"), "b"))
+        joined = components(spark, ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        return joined.withColumnRenamed("node", "comp").withColumnRenamed("component", "top_comp")
+
+    def relabel(df: DataFrame, joined: DataFrame) -> DataFrame:
+        return df.join(joined, "comp", "left").withColumn("comp", F.coalesce("top_comp", "comp")).drop("top_comp")
+
     # each row with its most similar partner first: that joins nearly all that
     # belongs together, and what is then still apart is compared in full
-    for full in (False, True):
-        hits = saved(spark, _compare(_blocks(held, small_node, block), least, full), f"cps-pairs-{full}")
+    hits = saved(spark, _compare(_blocks(held, small_node, block), least), "cps-pairs")
+    if not hits.isEmpty():
         pairs = hits.select("a", "b").distinct()
-        if hits.isEmpty():
-            break
         lacking = keys.join(wanted(pairs), "class").join(sets.select("class"), "class", "left_anti")
-        sets = sets.unionByName(saved(spark, _full_sets(texts, lacking, k), f"cps-full-{full}"))
-        extra = saved(spark, _confirm(pairs, sets, similarity), f"cps-links-{full}")
-        if not full:                             # a row without a plausible partner has no more to ask
-            asks = hits.select("node", F.col("left").alias("class")).distinct().withColumn("ask", F.lit(True))
-            held = held.drop("ask").join(hits.select("node").distinct(), "node", "left_semi").join(asks, ["node", "class"], "left")
-            held = saved(spark, held.withColumn("ask", F.coalesce("ask", F.lit(False))), "cps-asking")
-            discard(spark, scratch)
-        if extra.isEmpty():
-            continue
-        # links between components join the components
-        ends = (extra.join(labelled.withColumnRenamed("class", "a").withColumnRenamed("comp", "ca"), "a")
-                .join(labelled.withColumnRenamed("class", "b").withColumnRenamed("comp", "cb"), "b"))
-        joined = components(spark, ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        joined = joined.withColumnRenamed("node", "comp").withColumnRenamed("component", "top_comp")
-        relabel = lambda df: (df.join(joined, "comp", "left").withColumn("comp", F.coalesce("top_comp", "comp")).drop("top_comp"))
-        labelled = saved(spark, relabel(labelled), f"cps-labelled-{full}")
-        if not full:
+        sets = sets.unionByName(saved(spark, _full_sets(texts, lacking, k), "cps-full-best"))
+        extra = saved(spark, _confirm(pairs, sets, similarity), "cps-links-best")
+        # a row without a plausible partner has no more to ask
+        asks = hits.select("node", F.col("left").alias("class")).distinct().withColumn("ask", F.lit(True))
+        held = held.drop("ask").join(hits.select("node").distinct(), "node", "left_semi").join(asks, ["node", "class"], "left")
+        held = saved(spark, held.withColumn("ask", F.coalesce("ask", F.lit(False))), "cps-asking")
+        discard(spark, scratch)
+        if not extra.isEmpty():
+            joined = merged(extra)
+            labelled = saved(spark, relabel(labelled, joined), "cps-labelled-best")
             held = held.join(joined.withColumnRenamed("comp", "major").withColumnRenamed("top_comp", "top_major"), "major", "left")
-            held = relabel(held.withColumn("major", F.coalesce("top_major", "major")).drop("top_major"))
+            held = relabel(held.withColumn("major", F.coalesce("top_major", "major")).drop("top_major"), joined)
             apart = held.groupBy("node").agg(F.count(F.when(F.col("comp") != F.col("major"), 1)).alias("rest"))
             held = held.drop("rest").join(apart.where("rest > 0"), "node")
+        percent = round(similarity * 100)
+        bundles = saved(spark, _bundles(_blocks(held, small_node, block), least, percent), "cps-bundles")
+        lacking = keys.join(bundles.select("class").distinct(), "class").join(sets.select("class"), "class", "left_anti")
+        sets = sets.unionByName(saved(spark, _full_sets(texts, lacking, k), "cps-full-rest"))
+        extra = saved(spark, _joined(bundles, sets, least, percent), "cps-links-rest")
+        if not extra.isEmpty():
+            labelled = saved(spark, relabel(labelled, merged(extra)), "cps-labelled-rest")
 
     # 3. the smallest doc_id of each component
     joined = ids.join(labelled, "class")
@@ -332,13 +427,13 @@ def _blocks(rows: DataFrame, small_node: int, block: int) -> DataFrame:
     largest component are left, all rows right; either side is cut into blocks
     that meet pairwise."""
     whole = rows.where(F.col("size") <= small_node).select(
-        "node", F.lit(0).alias("ga"), F.lit(0).alias("gb"), "class", "small", "comp", F.col("ask").alias("is_left"), F.lit(True).alias("is_right"))
+        "node", F.lit(0).alias("ga"), F.lit(0).alias("gb"), "class", "small", "n", "comp", F.col("ask").alias("is_left"), F.lit(True).alias("is_right"))
     big = (rows.where(F.col("size") > small_node).withColumn("pa", F.ceil(F.col("rest") / block).cast("int"))
            .withColumn("pb", F.ceil(F.col("size") / block).cast("int")))
     place = lambda parts: F.pmod(F.xxhash64(F.lit(2), "class"), F.col(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
     left = (big.where("comp <> major and ask").withColumn("ga", place("pa")).withColumn("gb", every("pb"))
-            .select("node", "ga", "gb", "class", "small", "comp", F.lit(True).alias("is_left"), F.lit(False).alias("is_right")))
+            .select("node", "ga", "gb", "class", "small", "n", "comp", F.lit(True).alias("is_left"), F.lit(False).alias("is_right")))
     right = (big.withColumn("gb", place("pb")).withColumn("ga", every("pa"))
-             .select("node", "ga", "gb", "class", "small", "comp", F.lit(False).alias("is_left"), F.lit(True).alias("is_right")))
+             .select("node", "ga", "gb", "class", "small", "n", "comp", F.lit(False).alias("is_left"), F.lit(True).alias("is_right")))
     return whole.unionByName(left).unionByName(right)
