@@ -72,3 +72,22 @@ def test_within_one():
     w = lambda s: s.split()
     assert M.within_one(w("a b c"), w("a x c")) and M.within_one(w("a b c"), w("a c")) and M.within_one(w("a"), w("a"))
     assert not M.within_one(w("a b c d"), w("b c d e")) and not M.within_one(w("a b c"), w("c b a"))
+
+
+def test_only_variants_of_several_lines_are_compared_by_place(spark, monkeypatch):
+    tables, save = {}, M.saved
+
+    def saved(spark, df, name):
+        out = save(spark, df, name)
+        tables[name] = out.toPandas()
+        return out
+
+    monkeypatch.setattr(M, "saved", saved)
+    docs = corpus()
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    out = {r.doc_id: r.text for r in M.dedup_lines(spark, rows).collect()}
+    assert out == brute(docs)
+    every, shared = tables["lines-variants"], tables["lines-shared-variants"]
+    lines = every.groupby(["group", "key"])["h"].nunique()
+    assert (shared.groupby(["group", "key"])["h"].nunique() == lines[lines > 1]).all() and len(shared) < len(every)
+    assert tables["lines-words"]["h"].is_unique and len(tables["lines-words"]) == len(tables["lines-candidates"])

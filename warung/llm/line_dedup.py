@@ -104,9 +104,13 @@ def _line_rows(docs: DataFrame, min_words: int) -> DataFrame:
     return docs.mapInArrow(S.lean(run), f"doc_id {kind}, rid long, rid2 int, line int, h long, k0 long, k1 long, k2 long, k3 long")
 
 
+def _bytes(part: pa.RecordBatch) -> list[bytes]:
+    return part.column("text").cast(pa.binary()).to_pylist()
+
+
 def _variants(rows: DataFrame) -> DataFrame:
-    """Variant rows of candidate lines: ``rows`` hold a squeezed text and its
-    candidate lines ``want`` (line, four flags: which halves are shared).
+    """Variant rows of candidate lines: ``rows`` hold a text and its candidate
+    lines ``want`` (line, four flags: which halves are shared).
 
     ``kind`` 1: a place left out, among lines of one length; 2: a line with one
     word less; 3: a line as it is, to be met by kind 2."""
@@ -116,7 +120,7 @@ def _variants(rows: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 out: list[list] = []
-                for k, (text, want) in enumerate(zip(S.opened(part), part.column("want").to_pylist(), strict=True)):
+                for k, (text, want) in enumerate(zip(_bytes(part), part.column("want").to_pylist(), strict=True)):
                     lines = _Lines(text)
                     place = {int(n): j for j, n in enumerate(lines.number)}
                     h = lines.hashes()
@@ -155,7 +159,7 @@ def _word_lists(rows: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 hs, words = [], []
-                for text, want in zip(S.opened(part), part.column("want").to_pylist(), strict=True):
+                for text, want in zip(_bytes(part), part.column("want").to_pylist(), strict=True):
                     split = [x.split() for x in text.lower().split(b"\n")]
                     for w in want:
                         hs.append(w["h"])
@@ -190,22 +194,23 @@ def find_removed(spark: SparkSession, docs: DataFrame, min_words: int) -> tuple[
     # lines that share a half with another line
     half = unique.select("h", F.posexplode(F.array(*keys)).alias("which", "key")).where("key is not null")
     shared = half.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key")
-    flags = (half.join(shared, "key").groupBy("h").agg(F.bit_or(F.expr("shiftleft(1, which)")).alias("shared")))
+    flags = (half.join(shared.hint("shuffle_hash"), "key").groupBy("h").agg(F.bit_or(F.expr("shiftleft(1, which)")).alias("shared")))
     # as the longer line the halves (n) count against another's (n + 1) as well
     candidates = saved(spark, unique.join(flags, "h").select("h", "shared", "first", "rid2"), "lines-candidates")
 
-    squeezed = S.squeezed(docs, ["rid", "rid2"], "text").dropDuplicates(["rid", "rid2"])
+    whole = docs.select("rid", "rid2", "text").dropDuplicates(["rid", "rid2"])
     wanted = (candidates.groupBy(F.col("first.rid").alias("rid"), "rid2")
               .agg(F.first("first.doc_id").alias("doc_id"), F.collect_list(F.struct(F.col("first.line").alias("line"), "shared", "h")).alias("want")))
-    texts = saved(spark, squeezed.join(wanted, ["rid", "rid2"]), "lines-texts")
+    texts = saved(spark, whole.join(wanted, ["rid", "rid2"]), "lines-texts")
     variants = _variants(texts).select("key", "kind", "h", place.alias("first"))
 
-    # the earliest line of each variant; kinds 2 and 3 meet each other
-    mine = saved(spark, variants.withColumn("group", F.when(F.col("kind") == 1, 1).otherwise(2)), "lines-variants")
+    # the earliest line of each variant; kinds 2 and 3 meet each other.  Few
+    # variants are of two lines, and only those are compared by their place
+    every = saved(spark, variants.withColumn("group", F.when(F.col("kind") == 1, 1).otherwise(2)), "lines-variants")
+    several = every.groupBy("group", "key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("group", "key")
+    mine = saved(spark, every.join(several.hint("shuffle_hash"), ["group", "key"], "left_semi"), "lines-shared-variants")
     least = lambda k: F.min(F.when(F.col("kind") == k, F.struct("first", "h")))
-    best = (mine.groupBy("group", "key").agg(least(1).alias("m1"), least(2).alias("m2"), least(3).alias("m3"),
-                                             F.min("h").alias("lo"), F.max("h").alias("hi"))
-            .where("lo <> hi").drop("lo", "hi"))
+    best = mine.groupBy("group", "key").agg(least(1).alias("m1"), least(2).alias("m2"), least(3).alias("m3"))
     met = mine.join(best, ["group", "key"])
     other = F.when(F.col("kind") == 1, F.col("m1")).when(F.col("kind") == 2, F.col("m3")).otherwise(F.col("m2"))
     near = (met.select("h", "first", other.alias("o")).where(F.col("o.first") < F.col("first"))
@@ -213,7 +218,7 @@ def find_removed(spark: SparkSession, docs: DataFrame, min_words: int) -> tuple[
     near = saved(spark, near, "lines-near")
 
     # verify the deciding pairs on their words
-    words = _word_lists(texts)
+    words = saved(spark, _word_lists(texts), "lines-words")
     pairs = (near.join(words, "h").join(words.select(F.col("h").alias("earlier"), F.col("words").alias("other")), "earlier"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,12 +228,12 @@ def find_removed(spark: SparkSession, docs: DataFrame, min_words: int) -> tuple[
             yield batch.filter(pa.array(ok, pa.bool_())).select(["h"])
 
     sure = pairs.mapInArrow(verify, "h long").distinct().withColumn("near", F.lit(True))
-    going = (unique.join(sure, "h", "left").where("n > 1 or near")
+    going = (unique.join(sure.hint("shuffle_hash"), "h", "left").where("n > 1 or near")
              .select("h", "first", F.coalesce("near", F.lit(False)).alias("near")))
-    hit = lines.select("doc_id", "rid", "rid2", "line", "h").join(going, "h")
+    hit = lines.select("doc_id", "rid", "rid2", "line", "h").join(going.hint("shuffle_hash"), "h")
     same = place.eqNullSafe(F.col("first"))
     found = hit.where(F.col("near") | ~same).select("doc_id", "rid", "rid2", "line", (~same).alias("exact"))
-    return found, [lines, unique, candidates, texts, mine, near]
+    return found, [lines, unique, candidates, texts, every, mine, near, words]
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, *, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,7 +241,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, *, min_words: int = 5, id_
     and ``n_near`` (removed lines that repeat an earlier one, or are near one)."""
     added = ["n_lines", "n_exact", "n_near", "n_gone"]
     keep = [c for c in docs.columns if c != text_col and c not in added]
-    rid, rid2, null = "_warung_rid", "_warung_rid2", "_warung_null"
+    rid, rid2 = "_warung_rid", "_warung_rid2"
     rows = (docs.select(*keep, text_col).withColumn(rid, F.xxhash64(id_col, text_col)).withColumn(rid2, F.hash(F.lit(5), text_col, id_col)))
     slim = rows.select(F.col(id_col).alias("doc_id"), F.col(rid).alias("rid"), F.col(rid2).alias("rid2"), F.col(text_col).alias("text"))
     found, scratch = find_removed(spark, slim, min_words)
@@ -244,21 +249,18 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, *, min_words: int = 5, id_
             .agg(F.collect_list("line").alias("gone"), F.sum(F.col("exact").cast("long")).alias("n_exact"), F.count("*").alias("n_gone")))
     gone = saved(spark, gone, "lines-gone")
     discard(spark, scratch)
-    squeezed = S.squeezed(rows.withColumn(null, F.col(text_col).isNull()), [rid, rid2, null, *keep], text_col)
-    met = squeezed.join(gone, [rid, rid2], "left").drop(rid, rid2)
+    met = rows.join(gone, [rid, rid2], "left").drop(rid, rid2)
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part, whole in S.texts_of(batch, text_col):
                 texts, n_lines = [], []
-                for text, absent, out in zip(S.opened(part), part.column(null).to_pylist(), part.column("gone").to_pylist(), strict=True):
-                    lines = [] if absent else text.split(b"\n")
-                    n_lines.append(len(lines))
+                for text, out in zip(whole, part.column("gone").to_pylist(), strict=True):
+                    n_lines.append(0 if text is None else text.count(b"\n") + 1)
                     if out:
                         drop = set(out)
-                        lines = [x for k, x in enumerate(lines) if k not in drop]
-                    texts.append(None if absent else b"\n".join(lines).decode("utf-8", "replace"))
+                        text = b"\n".join([x for k, x in enumerate(text.split(b"\n")) if k not in drop])
+                    texts.append(None if text is None else text.decode("utf-8", "replace"))
                 count = [pa.array([x or 0 for x in part.column(c).to_pylist()], pa.int64()) for c in ("n_exact", "n_gone")]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), *count],
                                                  [*keep, text_col, "n_lines", "n_exact", "n_gone"])
