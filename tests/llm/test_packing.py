@@ -165,3 +165,18 @@ def test_workers_keep_no_words_after_a_task(spark):
             yield pa.RecordBatch.from_arrays([pa.array([n] * batch.num_rows, pa.int64())], ["n"])
 
     assert spark.range(64, numPartitions=64).mapInArrow(kept, "n long").agg({"n": "max"}).first()[0] == 0
+
+
+def test_each_word_is_looked_up_once_and_runs_of_marks_by_themselves(monkeypatch):
+    words, library = K.WordTokenizer(PATH), Tokenizer.from_file(PATH)
+    texts = ["Abqu abqu ABQU, abqu. abqu\n" * 50, "zerth*** zerth$$$ veré### zerth.&&& veré!! zerth--\" é*** it's*** <b>***", "", None, "a", "x<| y, <|endoftext|>*** Zerth***, y,"]
+    encoded = [None if t is None else t.encode() for t in texts]
+    which, found, counts = K._words(encoded[:1])
+    assert sorted(found) == [b",", b".", b"abqu"] and len(which) == counts[0] == 7 * 50
+    words.forget()                                 # the probe's
+    asked, one = [], words._one
+    monkeypatch.setattr(words, "_one", lambda some: (asked.extend(some), one(some))[1])
+    got = words.batch(encoded)
+    assert got == [np.array(library.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert "***" in asked and not {"zerth***", "zerth$$$", "zerth.&&&", "veré###", "veré!!"} & set(asked)
+    assert not words.whole and words.batch([]) == []

@@ -27,7 +27,6 @@ from __future__ import annotations
 import itertools
 import math
 import os
-import re
 import string
 import zlib
 from array import array
@@ -49,8 +48,12 @@ PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 
 # ---------------------------------------------------------------- tokenizer
-LAST_MARK = re.compile(rb"[.,;:!?](?<=[a-z].)(?=\s|\Z)")    # after a letter, at a word's end
-PROBE = " The  quick (brown) fox,\n\tdidn't JUMP over 13.5 dogs; \u00c9t\u00e9 na\u00efve! e-mail: a_b@c.de <x> "
+MARKS = ".,;:!?"
+_IS_MARK = np.isin(np.arange(256), list(MARKS.encode()))
+_IS_LETTER = np.isin(np.arange(256), list(string.ascii_lowercase.encode()))
+TAIL = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "'<>")    # a run of these after a letter is a piece, too
+PROBE = (" The  quick (brown) fox,\n\tdidn't JUMP over 13.5 dogs; \u00c9t\u00e9 na\u00efve! e-mail: a_b@c.de <x> "
+         + " ".join(f"end{chr(c)} end{chr(c) * 3} \u00e9t\u00e9{chr(c)}{chr(33 + c % 6)}" for c in TAIL))
 
 
 class WordTokenizer:
@@ -58,7 +61,8 @@ class WordTokenizer:
 
     The vocabulary drops white space, so the ids of a text are those of its
     words one after the other; a letter before a mark of punctuation ends a
-    piece, so a word's last mark is looked up by itself.  New words made of
+    piece, so a word's last mark (or run of marks, when it is new) is looked up
+    by itself.  New words made of
     letters are tokenized many at a time and told apart by their closing
     tokens; those of ASCII letters, lower-cased, go straight to the library's
     model if that gives the same ids.  Two generations of ``room`` words keep
@@ -73,7 +77,7 @@ class WordTokenizer:
         self.closing = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.closing[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.room, self.young, self.old = room, {}, {}
-        self.marks = {m.encode(): self._one([m])[0] for m in ".,;:!?"}
+        self.marks = {m.encode(): self._one([m])[0] for m in MARKS}
         # the same model without what leaves lower-cased ASCII words as they are
         self.plain = Tokenizer(self.library.model)
         self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
@@ -110,29 +114,31 @@ class WordTokenizer:
     def _learn(self, words: Iterable[bytes]) -> None:
         """Adds the ids of words that are not in the young generation."""
         young, old, marks = self.young, self.old, self.marks
-        ascii_, letters, others, marked = set(), set(), [], []
+        ascii_, letters, others, marked = set(), set(), set(), []
         for w in words:
             if w in old:
                 young[w] = old[w]
             elif w.isalpha():                     # of ASCII letters
                 ascii_.add(w)
-            elif (mark := w[-1:]) in marks and ((core := w[:-1]).isalpha() or core.decode().isalpha()):
-                marked.append((w, core, mark))
-                if core not in young:
-                    if core in old:
-                        young[core] = old[core]
-                    else:
-                        (ascii_ if core.isascii() else letters).add(core)
-            elif w.decode().isalpha():
-                letters.add(w)
+            elif (core := w.rstrip(TAIL)).isalpha() or core.decode().isalpha():
+                if core == w:
+                    letters.add(w)
+                    continue
+                tail = w[len(core):]
+                marked.append((w, core, tail))
+                for part, kind in ((core, ascii_ if core.isascii() else letters), (tail, others)):
+                    if part in old:
+                        young[part] = old[part]
+                    elif part not in young and part not in marks:
+                        kind.add(part)
             else:
-                others.append(w)
+                others.add(w)
         for some, library in ((sorted(ascii_), self.plain), (sorted(letters), self.library)):
             young.update(zip(some, self._many([w.lower() for w in some], library), strict=True))
         if others:
             young.update(zip(others, self._one([w.decode() for w in others]), strict=True))
-        for w, core, mark in marked:
-            young[w] = young[core] + marks[mark]
+        for w, core, tail in marked:
+            young[w] = young[core] + (marks.get(tail) or young[tail])
 
     def forget(self) -> None:
         """Lets go of the words."""
@@ -142,25 +148,53 @@ class WordTokenizer:
         """Little-endian 32-bit ids of each text."""
         if self.whole:
             return self._one([(t or b"").decode("utf-8", "replace") for t in texts])
-        # A marker of special tokens is case-sensitive; everything else is
-        # lower-cased by the vocabulary's own normaliser.
-        split = [(t or b"").split() if b"<|" in (t or b"") else LAST_MARK.sub(rb" \g<0>", (t or b"").lower()).split() for t in texts]
-        words = [w for ws in split for w in ws]
+        which, words, counts = _words(texts)
         young = self.young
         found = list(map(young.get, words))
-        new = [k for k, ids in enumerate(found) if ids is None]
-        self._learn({words[k] for k in new})
-        for k in new:
-            found[k] = young[words[k]]
-        out, at = [], 0
-        for ws in split:
-            out.append(b"".join(found[at:at + len(ws)]))
-            at += len(ws)
+        if new := [k for k, ids in enumerate(found) if ids is None]:
+            self._learn(words[k] for k in new)
+            for k in new:
+                found[k] = young[words[k]]
+        ids = np.frombuffer(b"".join(found), dtype="<u4")
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first = np.cumsum(size) - size
+        ends = np.concatenate([[0], np.cumsum(size[which])])
+        ids = ids[np.repeat(first[which] - ends[:-1], size[which]) + np.arange(ends[-1])]
+        cuts = ends[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        out = [ids[a:b].tobytes() for a, b in itertools.pairwise(cuts)]
         if len(young) > self.room:
             self.old, self.young = young, {}
         return out
 
 
+def _words(texts: list[bytes | None]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """The texts' words one after the other as indices into a list of different
+    ones, that list, and each text's number of words.  A mark at a word's end,
+    after one of a-z, is a word of its own.
+
+    A marker of special tokens is case-sensitive, so texts with one stay as they
+    are; everything else is lower-cased by the vocabulary's own normaliser."""
+    marker = np.array([b"<|" in (t or b"") for t in texts], dtype=bool)
+    raw = S.as_array(b"\n".join([t or b"" if m else (t or b"").lower() for t, m in zip(texts, marker.tolist(), strict=True)]))
+    starts, ends = S.word_spans(raw)
+    limits = np.cumsum([len(t or b"") + 1 for t in texts])
+    counts = np.diff(np.searchsorted(starts, limits), prepend=0)
+    cut = (ends - starts > 1) & _IS_MARK[raw[ends - 1]]
+    cut[cut] = _IS_LETTER[raw[ends[cut] - 2]]
+    if marker.any():
+        cut &= ~np.repeat(marker, counts)
+    counts = np.diff(np.cumsum(np.append(0, cut))[np.cumsum(counts)], prepend=0) + counts
+    lengths = np.repeat(ends - starts, 1 + cut)
+    second = np.flatnonzero(cut) + np.arange(1, cut.sum() + 1)
+    lengths[second - 1] -= 1
+    lengths[second] = 1
+    offsets = np.zeros(len(lengths) + 1, dtype=np.int32)
+    np.cumsum(lengths, out=offsets[1:])
+    letters = raw[~S._SPACE[raw]]
+    coded = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist(), counts
+
+
 _tokenizers: dict[str, WordTokenizer] = {}
 S.kept["packing"] = _tokenizers.clear
 
