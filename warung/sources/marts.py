@@ -110,12 +110,11 @@ def order_lines(orders: DataFrame) -> DataFrame:
 SALES_GRAIN = ["tanggal", "category", "status", "product_id"]
 
 
-def sales_lines(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
-    """The lines behind B1 with the day and status of their orders; ``rev`` is
-    ``ext * (1 - disc)``.
+def lines_by_order(lineitem: DataFrame, days: DataFrame, how: str, *more: str) -> DataFrame:
+    """Lines as narrow rows with the day and status of their orders, and ``more``
+    columns of ``days`` (as of ``order_lines``).
 
-    An equi-join left to Catalyst/AQE.  No line is dropped: one without its
-    order has a NULL day and status.  A quantity that is not whole, or money
+    An equi-join left to Catalyst/AQE.  A quantity that is not whole, or money
     with more digits than its type, is an error.
     """
     qty = exact(F.col("l_quantity"), "l_quantity", "bigint")
@@ -123,8 +122,19 @@ def sales_lines(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     disc = exact(F.col("l_discount"), "l_discount", RATE)
     lines = lineitem.select("l_orderkey", F.col("l_partkey").alias("product_id"), qty.alias("q"),
                             price.alias("ext"), disc.alias("disc"))
-    return (lines.join(order_lines(orders), F.col("l_orderkey") == F.col("o_orderkey"), "left")
-            .select("tanggal", "status", "product_id", "q", "ext", (F.col("ext") * (F.lit(1) - F.col("disc"))).alias("rev")))
+    return (lines.join(days, F.col("l_orderkey") == F.col("o_orderkey"), how)
+            .select("tanggal", "status", "product_id", "q", "ext", "disc", *more))
+
+
+def with_revenue(lines: DataFrame) -> DataFrame:
+    """Lines of ``lines_by_order`` with ``rev``, their ``ext * (1 - disc)``."""
+    return lines.withColumn("rev", F.col("ext") * (F.lit(1) - F.col("disc"))).drop("disc")
+
+
+def sales_lines(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+    """The lines behind B1.  No line is dropped: one without its order has a
+    NULL day and status."""
+    return with_revenue(lines_by_order(lineitem, order_lines(orders), "left"))
 
 
 def line_tasks(*lineitem: DataFrame) -> int:
@@ -134,16 +144,29 @@ def line_tasks(*lineitem: DataFrame) -> int:
     return max(1, min(TASKS_PER_SPLIT * sum(t.rdd.getNumPartitions() for t in lineitem), MAX_LINE_TASKS))
 
 
+def product_kinds(part: DataFrame) -> DataFrame:
+    """Parts of one key and category as one row: their number, those with a
+    cost, and the sum of these costs."""
+    return (product_lines(part).groupBy(F.col("product_id").alias("p_key"), "category")
+            .agg(F.count(F.lit(1)).alias("parts"), F.count("unit_cost").alias("priced"), F.sum("unit_cost").cast("decimal(19,2)").alias("cost")))
+
+
 def sales_cells(lines: DataFrame, part: DataFrame, tasks: int) -> DataFrame:
+    """Cells of B1, see ``kind_cells``."""
+    return kind_cells(lines, product_kinds(part), tasks)
+
+
+def kind_cells(lines: DataFrame, kinds: DataFrame, tasks: int) -> DataFrame:
     """Cells of B1 with ``lines`` and ``with_profit``, the lines behind them and
     those with a profit; ``lines`` as of ``sales_lines``, their ``sign`` (if any)
     is 1 or -1.
 
     Lines are summed before they meet their part, as a narrow row of its own
     keys: a cell's profit is the sum of ``rev`` less its quantity times the unit
-    cost.  Parts of one key and category are summed too, so a key that comes
-    more than once multiplies lines as a join of lines would.  A line without
-    its part has a NULL category and no profit.
+    cost.  Parts of one key and category are summed too (``kinds``, of
+    ``product_kinds``), so a key that comes more than once multiplies lines as a
+    join of lines would.  A line without its part has a NULL category and no
+    profit.
     """
     signed = "sign" in lines.columns
     sign = F.col("sign") if signed else F.lit(1)
@@ -155,8 +178,6 @@ def sales_cells(lines: DataFrame, part: DataFrame, tasks: int) -> DataFrame:
              .agg(F.sum(turned("q")).alias("q"), F.sum(turned("ext")).alias("ext"), F.sum(F.when(both, turned("rev"))).alias("rev"),
                   F.sum(F.when(both, turned("paid"))).alias("paid"), F.count(F.when(both, 1)).alias("met"),
                   F.sum(sign).alias("n"), F.sum(F.when(both, sign).otherwise(0)).alias("n_paid")))
-    kinds = (product_lines(part).groupBy(F.col("product_id").alias("p_key"), "category")
-             .agg(F.count(F.lit(1)).alias("parts"), F.count("unit_cost").alias("priced"), F.sum("unit_cost").cast("decimal(19,2)").alias("cost")))
     times = F.coalesce(F.col("parts"), F.lit(1))
     count = lambda x: x.cast("decimal(10,0)")
     profit = F.when((F.col("met") > 0) & (F.col("priced") > 0),
